@@ -4,15 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratica.llm import langid, licenses, quality, simhash
+from stratica.llm import bpe, langid, licenses, packing, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    codec = bpe.Codec(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    both = codec.decode(codec.encode(docs))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -28,6 +42,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles)
 
 
+def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read_back, _ = packing.pack_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return read_back
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -35,9 +54,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe_codec": op1_bpe_codec,
     "op2_license_scan": op2_license_scan,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
+    "op7_token_packing": op7_token_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
