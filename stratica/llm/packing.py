@@ -209,7 +209,10 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     plus the start within the shard.
     """
     spark = manifest.sparkSession
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     shards = sorted(manifest.collect(), key=lambda r: r["place"])  # one row per shard, not per document
+    if not shards:
+        return spark.createDataFrame([], schema)
     total, starts = 0, []
     for r in shards:
         starts.append((r["file"], total))
@@ -217,7 +220,6 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     before = spark.createDataFrame(starts, "file string, before long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(F.broadcast(before), "file")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib

@@ -152,3 +152,15 @@ def judge_quality(docs: DataFrame, trees: FlatTrees, id_col: str = "doc_id", tex
     return map_rows(docs.select(id_col, F.col(text_col).cast("string")), run, schema)
 
 
+def drop_low_quality(docs: DataFrame, trees: FlatTrees, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``judge_quality`` keeps, all columns unchanged."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if rows.num_rows:
+                both = [statistics(t) for t in texts(rows.column(at))]
+                failed = base_failed(np.array([b[0] for b in both], dtype=np.int64))
+                yield rows.filter(pa.array(~failed & (trees.probability(np.array([b[1] for b in both], dtype=float)) >= threshold)))
+
+    return map_rows(docs, run, docs.schema)

@@ -9,12 +9,14 @@ half-radius 1), so no group grows with the data.  Neighbours in a group are link
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +25,11 @@ from stratica.llm.common import ascii_lower, drop_stored, map_rows, stored, text
 SEED = 42
 SHINGLE_WORDS = 3
 RADIUS = 2
+#: Similarity search: words of a shingle, the similarity that links, bits of a wide fingerprint, and the share of links at that very similarity to be found.
+WIDE_WORDS = 5
+SIMILARITY = 0.8
+WIDE_BITS = 512
+RECALL = 0.97
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -134,3 +141,126 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = distinct.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     classes = rooted.groupBy("_root").agg(F.min("_least").alias("component_id")).join(rooted.select("_fp", "_root"), "_root").select("_fp", "component_id")
     return prints.join(classes, "_fp").select(id_col, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def wide_fingerprint(hashes: np.ndarray, bits: int = WIDE_BITS) -> np.ndarray:
+    """``bits`` bits as longs: each 64 from the distinct hashes under another odd multiplier, each bit 1 if set in over half of them."""
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    hashes = np.unique(hashes)
+    for k in range(len(out) if len(hashes) else 0):
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 + 0xD1B54A32D192ED02 * k) % (1 << 64) | 1)
+        out[k] = fingerprint(mixed ^ (mixed >> np.uint64(32)))
+    return out.view(np.int64)
+
+
+def bit_rate(similarity: float) -> float:
+    """Expected share of differing bits of two shingle sets with this Jaccard similarity: their angle over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+@dataclass(frozen=True)
+class Bands:
+    """``count`` bands of ``width`` bits, spread over a fingerprint of ``bits``; fingerprints meet in a band at two differing bits or fewer."""
+
+    width: int
+    count: int
+    bits: int = WIDE_BITS
+
+    @staticmethod
+    def for_size(n: int, similarity: float, recall: float, bits: int = WIDE_BITS) -> Bands:
+        """Bands wide enough that unlike fingerprints of ``n`` seldom meet, and as many as the recall at the similarity takes."""
+        width = min(44, max(16, math.ceil(math.log2(max(n, 2))) + 7))
+        rate = bit_rate(similarity)
+        meet = sum(math.comb(width, k) * rate**k * (1 - rate) ** (width - k) for k in range(RADIUS + 1))
+        return Bands(width, math.ceil(math.log(1 - recall) / math.log(1 - meet)), bits)
+
+    def values(self, prints: np.ndarray) -> np.ndarray:
+        """Rows of longs to rows of band values, each under its band's number in the high bits."""
+        flat = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+        places = (np.arange(self.count)[:, None] * self.bits // self.count + np.arange(self.width)) % self.bits
+        return flat[:, places] @ (1 << np.arange(self.width, dtype=np.int64)) + (np.arange(self.count, dtype=np.int64) << 48)
+
+
+def text_key(text_col: str) -> Column:
+    """A hash of the text that tells a null from any text."""
+    return F.xxhash64(F.col(text_col).isNull(), F.col(text_col).cast("string"))
+
+
+def wide_prints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """Id, ``_key`` (a hash of the text), ``_print`` (array of longs) and ``_node`` (the print's hash) of every row."""
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("_key", T.LongType()), T.StructField("_print", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            prints = [wide_fingerprint(shingle_hashes(ascii_lower(t), shingle_words)) for t in texts(rows.column(2))]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(prints, pa.list_(pa.int64()))], names=schema.names)
+
+    return map_rows(docs.select(id_col, text_key(text_col).alias("_key"), F.col(text_col).cast("string")), run, schema).withColumn("_node", F.xxhash64("_print"))
+
+
+def similar_links(nodes: DataFrame, similarity: float, recall: float = RECALL) -> DataFrame:
+    """Links (a, b) of nodes whose prints say that they are at least that similar.
+
+    Each print is cut into bands and every band emits all variants within half the radius.  Nodes that meet on a
+    variant are linked with the smallest and the largest there (which is all pairs of up to three nodes, and a row a
+    node in any larger group), and every link is verified over all bits of the prints.
+    """
+    bands = Bands.for_size(nodes.count(), similarity, recall)
+    masks = [0, *(1 << k for k in range(bands.width))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if rows.num_rows:
+                values = bands.values(np.array(rows.column(1).to_pylist(), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(list(values), pa.list_(pa.int64()))], names=["_node", "_bands"])
+
+    banded = map_rows(nodes.select("_node", "_print"), run, "_node long, _bands array<long>").select("_node", F.explode("_bands").alias("_band"))
+    variants = banded.select("_node", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("_band").bitwiseXOR(m))).alias("_variant"))
+    ends = variants.groupBy("_variant").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).where("_low < _high")
+    met = variants.join(ends, "_variant").select(F.col("_node").alias("a"), F.explode(F.array("_low", "_high")).alias("b")).where("a <> b")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    most = math.floor(bit_rate(similarity) * WIDE_BITS)
+    both = pairs.join(nodes.select(F.col("_node").alias("a"), F.col("_print").alias("_x")), "a").join(nodes.select(F.col("_node").alias("b"), F.col("_print").alias("_y")), "b")
+    differing = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    return both.where(differing <= most).select("a", "b")
+
+
+def similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, recall: float) -> DataFrame:
+    """Id, ``_key``, ``_root`` (a node that stands for the component) and component_id of every row."""
+    prints = stored(wide_prints(docs, id_col, text_col, shingle_words), "wide-prints")
+    nodes = stored(prints.groupBy("_node").agg(F.first("_print").alias("_print"), F.min(id_col).alias("_least")), "wide-nodes")
+    roots = components(similar_links(nodes, similarity, recall)).withColumnRenamed("node", "_node")
+    rooted = nodes.select("_node", "_least").join(roots, "_node", "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root"))
+    classes = rooted.groupBy("_root").agg(F.min("_least").alias("component_id")).join(rooted.select("_node", "_root"), "_root")
+    return prints.select(id_col, "_key", "_node").join(classes, "_node").select(id_col, "_key", "_root", "component_id")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = WIDE_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row per row of ``docs``: id, component_id (the smallest id reachable by links of at least that similarity).
+
+    The similarity is the Jaccard similarity of the sets of shingles as wide fingerprints estimate it (at 512 bits
+    and 0.8 within 0.03).  Texts without words are copies of each other.  Nulls and repeated rows as in ``near_duplicates``.
+    """
+    return similar_rows(docs, id_col, text_col, shingle_words, similarity, recall).select(id_col, "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = WIDE_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row of every component of ``similar_documents``, all columns unchanged: that of the smallest id.
+
+    Where several rows carry that id, the one with the smallest hash of its columns stays; a component of null ids
+    only keeps one row in the same way.
+    """
+    found = similar_rows(docs, id_col, text_col, shingle_words, similarity, recall).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    counted = found.groupBy("_root", F.col(id_col).alias("_id"), "_key").agg(F.count("*").alias("_rows"))
+    roots = stored(counted.groupBy("_root").agg(F.min(F.struct("_key", "_id", "_rows")).alias("_one")).select("_one.*"), "similar-roots")
+
+    def of(which: Column) -> DataFrame:
+        chosen = roots.where(which).select(F.col("_id"), F.col("_key"))
+        return docs.join(chosen, docs[id_col].eqNullSafe(chosen["_id"]) & (F.xxhash64(docs[text_col].isNull(), docs[text_col].cast("string")) == chosen["_key"]), "left_semi")
+
+    once = of(F.col("_rows") == 1)
+    if roots.where(F.col("_rows") > 1).isEmpty():
+        return once
+    # a partial aggregate picks one, so an id with very many rows is no hot key
+    picked = of(F.col("_rows") > 1).groupBy(id_col, text_key(text_col)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_one")).select("_one.*")
+    return once.unionByName(picked)
