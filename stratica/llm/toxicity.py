@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,9 +50,13 @@ def words_of(text: bytes) -> list[bytes]:
     return ascii_lower(text).translate(ALNUM).split()
 
 
-def features_of(word: bytes) -> list[bytes]:
-    """The word itself and its beginnings, which are marked so that they differ from words."""
-    return [word, *(word[:k] + b"*" for k in BEGINNINGS if len(word) > k)]
+def features_of(word: bytes) -> list[int]:
+    """Hashes of the word itself and of its beginnings, which are marked so that they differ from words."""
+    return [xxhash.xxh64_intdigest(f) >> 1 for f in (word, *(word[:k] + b"*" for k in BEGINNINGS if len(word) > k))]
+
+
+def distinct_features(words: list[bytes]) -> np.ndarray:
+    return np.unique(np.array([f for w in set(words) for f in features_of(w)], dtype=np.int64))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -131,10 +136,10 @@ def fit_link(rows: Rows, before: np.ndarray, target: np.ndarray, use: np.ndarray
 
 @dataclass
 class Chain:
-    """The links in order; ``table`` maps a feature to its row in the weights (features x categories)."""
+    """The links in order; ``table`` maps a feature's hash to its row in the weights (features x categories)."""
 
     names: list[str]
-    table: dict[bytes, int]
+    table: dict[int, int]
     weights: np.ndarray
     earlier: np.ndarray
     bias: np.ndarray
@@ -169,33 +174,27 @@ class Chain:
         return self.__dict__ | {"kept": {}}
 
 
-def encode_rows(words: list[list[bytes]]) -> tuple[Rows, list[bytes]]:
-    """Rows of distinct features, and the features by code."""
-    codes: dict[bytes, int] = {}
-    per_row = [np.unique(np.array([codes.setdefault(f, len(codes)) for w in set(row) for f in features_of(w)], dtype=np.int64)) for row in (sorted(r) for r in words)]
-    return Rows(np.concatenate([np.zeros(0, np.int64), *per_row]), np.cumsum([0, *map(len, per_row)])), list(codes)
-
-
-def fit(words: list[list[bytes]], targets: np.ndarray, names: Sequence[str], folds: int = FOLDS) -> Chain:
-    """A chain from rows of words and their 0/1 targets (rows x categories), row i in fold i modulo ``folds``."""
-    rows, features = encode_rows(words)
+def fit(features: list[np.ndarray], targets: np.ndarray, names: Sequence[str], folds: int = FOLDS) -> Chain:
+    """A chain from rows of distinct feature hashes and their 0/1 targets (rows x categories), row i in fold i modulo ``folds``."""
+    hashes, codes = np.unique(np.concatenate([np.zeros(0, np.int64), *features]), return_inverse=True)
+    rows = Rows(codes, np.cumsum([0, *map(len, features)]))
     n, k_all = targets.shape
     fold = np.arange(n) % folds
     before = np.zeros((n, k_all))
     links: list[Link] = []
     for k in range(k_all):
-        links.append(fit_link(rows, before[:, :k], targets[:, k], np.ones(n, bool), len(features)))
+        links.append(fit_link(rows, before[:, :k], targets[:, k], np.ones(n, bool), len(hashes)))
         for f in range(folds if k + 1 < k_all else 0):
             own = fold == f
             if own.all() or not own.any():
                 continue
-            before[own, k] = sigmoid(fit_link(rows, before[:, :k], targets[:, k], ~own, len(features)).logits(rows, before[:, :k]))[own]
+            before[own, k] = sigmoid(fit_link(rows, before[:, :k], targets[:, k], ~own, len(hashes)).logits(rows, before[:, :k]))[own]
     chosen = np.unique(np.concatenate([np.zeros(0, np.int64), *[link.codes for link in links]]))
     weights, earlier = np.zeros((len(chosen), k_all)), np.zeros((k_all, k_all))
     for k, link in enumerate(links):
         weights[np.searchsorted(chosen, link.codes), k] = link.weights
         earlier[k, :k] = link.earlier
-    return Chain(list(names), {features[c]: i for i, c in enumerate(chosen.tolist())}, weights, earlier, np.array([link.bias for link in links]))
+    return Chain(list(names), dict(zip(hashes[chosen].tolist(), range(len(chosen)), strict=True)), weights, earlier, np.array([link.bias for link in links]))
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: Sequence[Category] = CATEGORIES, train_rows: int = TRAIN_ROWS) -> Chain:
@@ -209,23 +208,25 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     for c in columns:
         usable = usable.where(F.col(c).isin(0, 1))
     chosen = usable.groupBy(id_col).agg(*[F.max(c).alias(c) for c in columns]).orderBy(*hash_order(id_col)).limit(train_rows)
-    sample = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen.select(id_col, F.struct(*columns).alias("_label"))), id_col)
+    sample = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen.select(id_col, F.array(*columns).alias("_label"))), id_col)
     listed = [sorted(w.encode() for w in c.words) for c in categories]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            distinct, counts = [], []
-            for text in texts(batch.column(1)):
+            features, counts = [], []
+            for text in texts(batch.column(0)):
                 words = words_of(text)
-                distinct.append(sorted(set(words)))
+                features.append(distinct_features(words))
                 counts.append([sum(map(words.count, own)) for own in listed])
-            yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64())), batch.column(2), batch.column(0)], names=["words", "counts", "label", "id"])
-
-    schema = T.StructType([T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("label", chosen.select(F.struct(*columns).alias("s")).schema["s"].dataType), T.StructField("id", docs.schema[id_col].dataType)])
-    rows = map_rows(sample.select(id_col, "_text", "_label"), run, schema).collect()
-    rows.sort(key=lambda r: (str(r["id"]), [bytes(w) for w in r["words"]]))  # the fit must not hang on the order of tasks
-    targets = np.array([[float(r["label"][c.label] == 1 and r["counts"][k] >= c.at_least) for k, c in enumerate(categories)] for r in rows]).reshape(len(rows), len(categories))
-    return fit([[bytes(w) for w in r["words"]] for r in rows], targets, [c.name for c in categories])
+            yield pa.RecordBatch.from_arrays([pa.array(features, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64())), batch.column(1), batch.column(2)], names=["features", "counts", "label", "key"])
+
+    schema = "features array<long>, counts array<long>, label array<int>, key string"
+    found = map_rows(sample.select("_text", "_label", F.col(id_col).cast("string")), run, schema).toArrow()  # bounded by train_rows
+    key, labelled, counts = found["key"].to_pylist(), found["label"].to_pylist(), found["counts"].to_pylist()
+    features = [x.values.to_numpy() for x in found["features"]]
+    order = sorted(range(len(key)), key=lambda k: (key[k], features[k].tobytes()))  # the fit must not hang on the order of tasks
+    targets = np.array([[float(labelled[r][columns.index(c.label)] == 1 and counts[r][k] >= c.at_least) for k, c in enumerate(categories)] for r in order]).reshape(len(order), len(categories))
+    return fit([features[r] for r in order], targets, [c.name for c in categories])
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
