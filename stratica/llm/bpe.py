@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratica.llm.common import map_rows, texts
+from stratica.llm.common import map_rows, most_frequent, stored, texts
 from stratica.llm.transducer import Lexicon, compile_lexicon
 
 #: Code points with the Unicode property White_Space.
@@ -177,7 +177,7 @@ class _Two(dict):
 
 
 def frequent_words(docs: DataFrame, text_col: str, size: int, flush: int = 400_000) -> list[bytes]:
-    """The ``size`` most frequent blank-separated words of all rows; each task sums what it reads first."""
+    """At most ``size`` words, the most frequent blank-separated ones of all rows; each task sums what it reads first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -195,7 +195,7 @@ def frequent_words(docs: DataFrame, text_col: str, size: int, flush: int = 400_0
         yield from sums()
 
     counted = map_rows(docs.select(F.col(text_col).cast("string")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
+    return [word for word, _ in most_frequent(stored(counted, "word-counts"), size)]
 
 
 def build_lexicon(vocabulary: Vocabulary, words: list[bytes]) -> bytes:

@@ -92,5 +92,21 @@ def crc_mod5(id_column: str) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+def most_frequent(counts: DataFrame, size: int, word: str = "word", n: str = "n") -> list[tuple[bytes, int]]:
+    """At most ``size`` words, most frequent first: all whose count lies in the highest ranges that hold so many.
+
+    The ranges (16 to a doubling) are counted first, so only the words that are returned reach the driver.
+    """
+    level = F.floor(F.log2(n) * 16)
+    below, total = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["level"]):
+        total += r["words"]
+        if total > size:
+            below = r["level"]
+            break
+    chosen = counts if below is None else counts.where(level > below)
+    return sorted(((bytes(r[0]), r[1]) for r in chosen.select(word, n).collect()), key=lambda r: (-r[1], r[0]))
+
+
 def flatten(rows: Iterable[Iterable]) -> list:
     return [x for row in rows for x in row]
