@@ -36,7 +36,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 LEXICON_WORDS = 60_000
 LONGEST_WORD = 48
 #: Encoded chunks that a Python worker keeps; later ones are encoded anew each time they occur.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 200_000
 #: Bits of an id in a packed pair; the rank of a pair that never merges.
 PAIR = 32
 NEVER = 1 << 60
@@ -49,6 +49,82 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class PairTable:
+    """The merge ranks as an open-addressed table for lookups of whole arrays of pairs."""
+
+    BITS = 18
+    SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, ranks: dict[int, int], made: list[int], byte_ids: list[int]):
+        self.bits = max(self.BITS, (3 * len(ranks)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.ranks = np.full(1 << self.bits, self.none, dtype=np.int32)
+        self.made, self.byte_ids = np.array(made or [0], dtype=np.int32), np.array(byte_ids, dtype=np.int32)
+        waiting = np.fromiter(ranks, dtype=np.int64, count=len(ranks))
+        values = np.fromiter(ranks.values(), dtype=np.int32, count=len(ranks))
+        slots = self.slots(waiting)
+        while len(waiting):  # one key a slot; the others go on to the next
+            free = np.flatnonzero(self.keys[slots] < 0)
+            taken, first = np.unique(slots[free], return_index=True)
+            own = free[first]
+            self.keys[taken], self.ranks[taken] = waiting[own], values[own]
+            rest = np.ones(len(waiting), dtype=bool)
+            rest[own] = False
+            waiting, values, slots = waiting[rest], values[rest], (slots[rest] + 1) & (len(self.keys) - 1)
+
+    #: Rank of a pair that never merges.
+    none = np.iinfo(np.int32).max
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * self.SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of every pair of ids."""
+        keys = (left.astype(np.int64) << PAIR) | right
+        slots = self.slots(keys)
+        there = self.keys[slots]
+        out = np.where(there == keys, self.ranks[slots], self.none)
+        rest = np.flatnonzero((there != keys) & (there >= 0))
+        while len(rest):
+            slots[rest] = (slots[rest] + 1) & (len(self.keys) - 1)
+            there = self.keys[slots[rest]]
+            hit = there == keys[rest]
+            out[rest[hit]] = self.ranks[slots[rest[hit]]]
+            rest = rest[~hit & (there >= 0)]
+        return out
+
+    def merge(self, pieces: list[bytes], sizes: np.ndarray, width: int) -> list[bytes]:
+        """Ids of pieces of 1 to ``width`` bytes, each as bytes."""
+        n = len(pieces)
+        flat = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), dtype=np.uint8).reshape(n, width)
+        ids = self.byte_ids[flat]
+        ranks = np.full((n, width), self.none, dtype=np.int32)  # of each place with the next; the last has none
+        inside = np.arange(width - 1)[None, :] < (sizes - 1)[:, None]
+        ranks[:, :-1][inside] = self.find(ids[:, :-1][inside], ids[:, 1:][inside])
+        size, rows, places = sizes.copy(), np.arange(n), np.arange(width)
+        while len(rows):
+            at = ranks[rows].argmin(axis=1)
+            best = ranks[rows, at]
+            going = best < self.none
+            rows, at, best = rows[going], at[going], best[going]
+            if not len(rows):
+                break
+            shift = np.minimum(places + (places > at[:, None]), width - 1)
+            ids[rows] = np.take_along_axis(ids[rows], shift, axis=1)
+            moved = np.take_along_axis(ranks[rows], shift, axis=1)
+            moved[:, -1] = self.none
+            ids[rows, at] = self.made[best]
+            size[rows] -= 1
+            last = at >= size[rows] - 1
+            moved[np.arange(len(rows)), at] = np.where(last, self.none, self.find(ids[rows, at], ids[rows, np.minimum(at + 1, width - 1)]))
+            before = np.flatnonzero(at > 0)
+            moved[before, at[before] - 1] = self.find(ids[rows[before], at[before] - 1], ids[rows[before], at[before]])
+            ranks[rows] = moved
+        tape = ids[places < size[:, None]].astype("<u4").tobytes()
+        ends = (np.cumsum(size) * 4).tolist()
+        return [tape[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 class Vocabulary:
     """Ids, merge ranks and special tokens of a byte-level BPE file of the tokenizers library."""
 
@@ -65,6 +141,7 @@ class Vocabulary:
         #: Rank of a pair of ids (packed in one integer), and the id that each rank makes.
         self.ranks = {(self.ids[as_bytes(a)] << PAIR) | self.ids[as_bytes(b)]: r for r, (a, b) in enumerate(pairs)}
         self.made = [self.ids[as_bytes(a) + as_bytes(b)] for a, b in pairs]
+        self.pairs = PairTable(self.ranks, self.made, self.byte_ids)
         self.size = 1 + max([*self.ids.values(), *self.special.values()])
         self.outputs = [b""] * self.size
         for token, i in [*self.ids.items(), *((t.encode(), i) for t, i in self.special.items())]:
@@ -112,6 +189,22 @@ class Vocabulary:
                     heapq.heappush(heap, (r, left, parts[left], parts[right]))
         return [p for p in parts if p >= 0]
 
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """``merge`` for many pieces at once, as bytes of unsigned 32-bit integers: one merge in every piece a step."""
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        out: list[bytes] = [b""] * len(pieces)
+        low = 0
+        for high in (8, 16, 32):  # pieces of like length together
+            some = np.flatnonzero((sizes > low) & (sizes <= high))
+            low = high
+            for at in range(0, len(some), 8192):
+                part = some[at : at + 8192]
+                for k, ids in zip(part.tolist(), self.pairs.merge([pieces[k] for k in part.tolist()], sizes[part], high), strict=True):
+                    out[k] = ids
+        for k in np.flatnonzero(sizes > low).tolist():
+            out[k] = array.array("I", self.merge(pieces[k])).tobytes()
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; ids outside the vocabulary have none, and broken UTF-8 becomes U+FFFD."""
         return b"".join([self.outputs[i] for i in ids if 0 <= i < self.size]).decode("utf-8", "replace")
@@ -143,39 +236,27 @@ class Encoder:
         pieces = [[p.encode("utf-8", "surrogatepass") for p in self.vocabulary.pieces.findall(c)] for c in order]
         distinct = list({p for row in pieces for p in row})
         known = self.lexicon.outputs_of(distinct) if self.lexicon is not None else [None] * len(distinct)
-        merge = self.vocabulary.merge
-        ids = {p: array.array("I", merge(p)).tobytes() if k is None else k for p, k in zip(distinct, known, strict=True)}
-        return {c: b"".join([ids[p] for p in row]) for c, row in zip(order, pieces, strict=True)}
+        ids = dict(zip(distinct, known, strict=True))
+        unseen = [p for p, k in ids.items() if k is None]
+        ids.update(zip(unseen, self.vocabulary.merge_many(unseen), strict=True))
+        return {c: ids[row[0]] if len(row) == 1 else b"".join([ids[p] for p in row]) for c, row in zip(order, pieces, strict=True)}
 
     def encode(self, many: list[str]) -> list[bytes]:
         cut = [self._cut(text) for text in many]
         missing = {c for runs in cut for chunks, _ in runs for c in chunks} - self.kept.keys()
         fresh = self._learn(missing)
-        if len(self.kept) + len(fresh) <= KEPT_CHUNKS:
-            self.kept.update(fresh)
-            table = self.kept
-        else:
-            room = max(0, KEPT_CHUNKS - len(self.kept))
-            self.kept.update(list(fresh.items())[:room])
-            table = _Two(fresh, self.kept)
+        room = max(0, KEPT_CHUNKS - len(self.kept))
+        self.kept.update(fresh)
+        get = self.kept.__getitem__
         out = []
         for runs in cut:
-            parts = [b"".join(map(table.__getitem__, chunks)) + (b"" if end is None else np.uint32(end).tobytes()) for chunks, end in runs]
+            parts = [b"".join(map(get, chunks)) + (b"" if end is None else np.uint32(end).tobytes()) for chunks, end in runs]
             out.append(parts[0] if len(parts) == 1 else b"".join(parts))
+        for chunk in list(fresh)[room:]:
+            del self.kept[chunk]
         return out
 
 
-class _Two(dict):
-    """A table that falls back on another."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(first)
-        self.second = second
-
-    def __missing__(self, key):
-        return self.second[key]
-
-
 def frequent_words(docs: DataFrame, text_col: str, size: int, flush: int = 400_000) -> list[bytes]:
     """At most ``size`` words, the most frequent blank-separated ones of all rows; each task sums what it reads first."""
 
@@ -218,10 +299,13 @@ def load_encoder(vocabulary_name: str, lexicon_name: str | None) -> Encoder:
 def ship(docs: DataFrame, content: bytes, kind: str) -> str:
     """Send a file to all executors, present and future, under a name made of its content."""
     name = f"{kind}-{hashlib.sha256(content).hexdigest()[:24]}"
+    context = docs.sparkSession.sparkContext
+    if any(file.rsplit("/", 1)[-1] == name for file in context.listFiles):
+        return name
     path = os.path.join(tempfile.mkdtemp(prefix="spark-ship-"), name)
     with open(path, "wb") as f:
         f.write(content)
-    docs.sparkSession.sparkContext.addFile(path)
+    context.addFile(path)
     return name
 
 

@@ -29,9 +29,26 @@ def code_points(text: bytes) -> int:
     return len(text.translate(None, CONTINUATION))
 
 
+#: Bytes of the batches that the operators' functions get (a larger row is a batch by itself).
+BATCH_BYTES = 2_000_000
+
+
+def small_batches(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``limit`` bytes, whatever the sizes of rows."""
+    for whole in batches:
+        waiting = [whole]
+        while waiting:
+            part = waiting.pop()
+            if part.num_rows > 1 and part.nbytes > limit:
+                half = part.num_rows // 2
+                waiting += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` whose output always has the schema's own Arrow types."""
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` over small batches, so that a task's memory does not follow the lengths of texts."""
+    return df.mapInArrow(lambda batches: fn(small_batches(batches)), schema)
 
 
 def batch(columns: dict[str, list], types: dict[str, pa.DataType]) -> pa.RecordBatch:
