@@ -37,6 +37,8 @@ LEXICON_WORDS = 60_000
 LONGEST_WORD = 48
 #: Encoded chunks that a Python worker keeps; later ones are encoded anew each time they occur.
 KEPT_CHUNKS = 200_000
+#: Punctuation after letters that is a piece by itself.
+PLAIN_ENDS = tuple(".,;:!?")
 #: Bits of an id in a packed pair; the rank of a pair that never merges.
 PAIR = 32
 NEVER = 1 << 60
@@ -207,7 +209,9 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; ids outside the vocabulary have none, and broken UTF-8 becomes U+FFFD."""
-        return b"".join([self.outputs[i] for i in ids if 0 <= i < self.size]).decode("utf-8", "replace")
+        if ids and (min(ids) < 0 or max(ids) >= self.size):
+            ids = [i for i in ids if 0 <= i < self.size]
+        return b"".join(map(self.outputs.__getitem__, ids)).decode("utf-8", "replace")
 
 
 class Encoder:
@@ -230,10 +234,19 @@ class Encoder:
             at = hit.end()
         return [*out, (self._chunks(text[at:]), None)]
 
+    def _pieces(self, chunk: str) -> list[bytes]:
+        """The pattern's pieces of a chunk; letters alone, or before one mark of punctuation, need no pattern."""
+        start = chunk[:1] == " "
+        if chunk[start:].isalpha():
+            return [chunk.encode()]
+        if chunk[-1:] in PLAIN_ENDS and chunk[start:-1].isalpha():
+            return [chunk[:-1].encode(), chunk[-1:].encode()]
+        return [p.encode("utf-8", "surrogatepass") for p in self.vocabulary.pieces.findall(chunk)]
+
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """The ids of chunks not yet kept, as bytes of unsigned 32-bit integers."""
         order = list(chunks)
-        pieces = [[p.encode("utf-8", "surrogatepass") for p in self.vocabulary.pieces.findall(c)] for c in order]
+        pieces = [self._pieces(c) for c in order]
         distinct = list({p for row in pieces for p in row})
         known = self.lexicon.outputs_of(distinct) if self.lexicon is not None else [None] * len(distinct)
         ids = dict(zip(distinct, known, strict=True))
@@ -243,7 +256,7 @@ class Encoder:
 
     def encode(self, many: list[str]) -> list[bytes]:
         cut = [self._cut(text) for text in many]
-        missing = {c for runs in cut for chunks, _ in runs for c in chunks} - self.kept.keys()
+        missing = set().union(*[chunks for runs in cut for chunks, _ in runs]) - self.kept.keys()
         fresh = self._learn(missing)
         room = max(0, KEPT_CHUNKS - len(self.kept))
         self.kept.update(fresh)
