@@ -209,7 +209,7 @@ def similar_links(nodes: DataFrame, similarity: float, recall: float = RECALL) -
     masks = [0, *(1 << k for k in range(bands.width))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):  # each bit becomes a number for a while
             if rows.num_rows:
                 values = bands.values(np.array(rows.column(1).to_pylist(), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(list(values), pa.list_(pa.int64()))], names=["_node", "_bands"])

@@ -28,7 +28,7 @@ FEATURES = 2_048
 THRESHOLD = 0.5
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6)
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 #: Plain insults, by which the labelled rows are sorted into categories.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 
