@@ -201,9 +201,11 @@ def wide_prints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int)
 def similar_links(nodes: DataFrame, similarity: float, recall: float = RECALL) -> DataFrame:
     """Links (a, b) of nodes whose prints say that they are at least that similar.
 
-    Each print is cut into bands and every band emits all variants within half the radius.  Nodes that meet on a
-    variant are linked with the smallest and the largest there (which is all pairs of up to three nodes, and a row a
-    node in any larger group), and every link is verified over all bits of the prints.
+    Each print is cut into bands.  Nodes with the same band value are candidates with the smallest of them, which a
+    partial aggregate finds; so a group of near copies of any size is one row a node.  That smallest node then stands
+    for the band value, whose variants within half the radius meet those of other values: a variant can be met by
+    ``width`` + 1 values at most.  Those that meet are candidates with the smallest and the largest there, and every
+    candidate pair is verified over all bits of the prints.
     """
     bands = Bands.for_size(nodes.count(), similarity, recall)
     masks = [0, *(1 << k for k in range(bands.width))]
@@ -214,12 +216,16 @@ def similar_links(nodes: DataFrame, similarity: float, recall: float = RECALL) -
                 values = bands.values(np.array(rows.column(1).to_pylist(), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(list(values), pa.list_(pa.int64()))], names=["_node", "_bands"])
 
-    banded = map_rows(nodes.select("_node", "_print"), run, "_node long, _bands array<long>").select("_node", F.explode("_bands").alias("_band"))
-    variants = banded.select("_node", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("_band").bitwiseXOR(m))).alias("_variant"))
-    ends = variants.groupBy("_variant").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).where("_low < _high")
-    met = variants.join(ends, "_variant").select(F.col("_node").alias("a"), F.explode(F.array("_low", "_high")).alias("b")).where("a <> b")
+    banded = stored(map_rows(nodes.select("_node", "_print"), run, "_node long, _bands array<long>").select("_node", F.explode("_bands").alias("_band")), "wide-bands")
+    first = stored(banded.groupBy("_band").agg(F.min("_node").alias("_first")), "wide-band-values")
+    same = banded.join(first, "_band").where("_node <> _first").select(F.col("_node").alias("a"), F.col("_first").alias("b"))
+    variants = first.select("_first", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("_band").bitwiseXOR(m))).alias("_variant"))
+    there = Window.partitionBy("_variant")
+    ends = variants.select("_first", F.min("_first").over(there).alias("_low"), F.max("_first").over(there).alias("_high")).where("_low < _high")
+    met = same.unionByName(ends.select(F.col("_first").alias("a"), F.explode(F.array("_low", "_high")).alias("b")).where("a <> b"))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    most = math.floor(bit_rate(similarity) * WIDE_BITS)
+    rate = bit_rate(similarity)
+    most = math.floor(rate * WIDE_BITS + math.sqrt(rate * (1 - rate) * WIDE_BITS))  # one standard deviation of the estimate
     both = pairs.join(nodes.select(F.col("_node").alias("a"), F.col("_print").alias("_x")), "a").join(nodes.select(F.col("_node").alias("b"), F.col("_print").alias("_y")), "b")
     differing = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
     return both.where(differing <= most).select("a", "b")
@@ -238,8 +244,8 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = WIDE_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """One row per row of ``docs``: id, component_id (the smallest id reachable by links of at least that similarity).
 
-    The similarity is the Jaccard similarity of the sets of shingles as wide fingerprints estimate it (at 512 bits
-    and 0.8 within 0.03).  Texts without words are copies of each other.  Nulls and repeated rows as in ``near_duplicates``.
+    The similarity is the Jaccard similarity of the sets of shingles as wide fingerprints estimate it; a pair is
+    linked where it lies within one standard deviation (0.03 at 512 bits) below the threshold or above.  Texts without words are copies of each other.  Nulls and repeated rows as in ``near_duplicates``.
     """
     return similar_rows(docs, id_col, text_col, shingle_words, similarity, recall).select(id_col, "component_id")
 

@@ -186,7 +186,7 @@ def test_similar_documents(spark):
     texts = {r["doc_id"]: r["text"].split() for r in docs.collect()}
     sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in texts.items()}
     links = [(a, b) for a in group for b in group if a < b and len(sets[a] & sets[b]) >= 0.83 * len(sets[a] | sets[b])]
-    assert len(links) > 100 and sum(found[a] == found[b] for a, b in links) >= 0.97 * len(links)
+    assert len(links) > 100 and sum(found[a] == found[b] for a, b in links) >= 0.95 * len(links)
     assert all(group[found[k]] == group[k] for k in found)
 
 
