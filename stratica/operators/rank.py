@@ -16,10 +16,14 @@ from stratica.functions.text import words
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
+def equals(term: str):
+    return lambda word: word == F.lit(term)
+
+
 def bm25(items: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
     """Scores of all items that have a term: the usual formula with k1 = 1.2, b = 0.75 and idf at least 1e-6."""
     split = items.select(key, words(F.col(text)).alias("_words"))
-    sized = split.select(key, F.size("_words").alias("_len"), *[F.size(F.filter("_words", lambda w, t=t: w == t)).alias(f"_tf{k}") for k, t in enumerate(terms)])
+    sized = split.select(key, F.size("_words").alias("_len"), *[F.size(F.filter("_words", equals(t))).alias(f"_tf{k}") for k, t in enumerate(terms)])
     figures = sized.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count(F.when(F.col(f"_tf{k}") > 0, 1)).alias(f"_df{k}") for k in range(len(terms))])
     score = F.lit(0.0)
     for k in range(len(terms)):
