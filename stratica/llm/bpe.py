@@ -36,7 +36,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 LEXICON_WORDS = 60_000
 LONGEST_WORD = 48
 #: Encoded chunks that a Python worker keeps; later ones are encoded anew each time they occur.
-KEPT_CHUNKS = 200_000
+KEPT_CHUNKS = 150_000
 #: Punctuation after letters that is a piece by itself.
 PLAIN_ENDS = tuple(".,;:!?")
 #: Bits of an id in a packed pair; the rank of a pair that never merges.
@@ -304,7 +304,7 @@ def load_vocabulary(name: str) -> Vocabulary:
         return Vocabulary(f.read())
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def load_encoder(vocabulary_name: str, lexicon_name: str | None) -> Encoder:
     return Encoder(load_vocabulary(vocabulary_name), Lexicon(SparkFiles.get(lexicon_name)) if lexicon_name else None)
 
@@ -342,7 +342,14 @@ class Codec:
         Special tokens' strings inside a text are read as those tokens, as the library does by default.  Repeated
         rows are repeated; other columns are not read.
         """
-        schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+        return self._encode(docs, id_col, text_col, decoded=False)
+
+    def round_trip(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """``encode`` and ``decode`` in one pass: id, ``ids`` and ``decoded`` (the text of the ids)."""
+        return self._encode(docs, id_col, text_col, decoded=True)
+
+    def _encode(self, docs: DataFrame, id_col: str, text_col: str, decoded: bool) -> DataFrame:
+        schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), *([T.StructField("decoded", T.StringType())] if decoded else [])])
         names = self.vocabulary_name, self.lexicon_name
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +358,10 @@ class Codec:
                 ids = encoder.encode([t.decode("utf-8", "replace") for t in texts(rows.column(1))])
                 ends = np.cumsum([0, *(len(b) // 4 for b in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=schema.names)
+                columns = [rows.column(0), pa.ListArray.from_arrays(pa.array(ends), values)]
+                if decoded:
+                    columns.append(pa.array([encoder.vocabulary.decode(np.frombuffer(b, dtype="<i4").tolist()) for b in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         return map_rows(docs.select(id_col, F.col(text_col).cast("string")), run, schema)
 

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     codec = bpe.Codec(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    both = codec.decode(codec.encode(docs))
+    both = codec.round_trip(docs)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -52,7 +52,8 @@ def test_bpe_equals_the_library(spark, documents):
     for size in (0, 50, 60_000):
         codec = bpe.Codec(docs, path, lexicon_words=size)
         assert rows_of(codec.decode(codec.encode(docs)), "doc_id", "ids", "decoded") == sorted(expected, key=repr)
-    assert codec.decode(codec.encode(empty(spark))).count() == 0
+        assert rows_of(codec.round_trip(docs), "doc_id", "ids", "decoded") == sorted(expected, key=repr)
+    assert codec.decode(codec.encode(empty(spark))).count() == 0 and codec.round_trip(empty(spark)).count() == 0
 
 
 def test_license_base_columns(spark, documents):
