@@ -60,3 +60,40 @@ def fused(lists: Sequence[DataFrame], key: str, score: str = "score") -> DataFra
 def page(rows: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
     """One page in the order (only offset + size rows reach the last task)."""
     return rows.orderBy(*order).offset(offset).limit(size)
+
+
+def matching(items: DataFrame, text: str, wanted: str) -> DataFrame:
+    """Items that a search text matches: every quoted phrase word by word, and one of the loose words if there are any."""
+    import re
+
+    split = lambda s: re.findall(r"[^\W]+", s.lower())
+    phrases = [p for p in map(split, re.findall(r'"([^"]*)"', wanted)) if p]
+    loose = split(re.sub(r'"[^"]*"', " ", wanted))
+    if not phrases and not loose:
+        return items.where(F.lit(False))
+    line = F.concat(F.lit(" "), F.array_join(words(F.col(text)), " "), F.lit(" "))
+    hit = F.lit(True)
+    for p in phrases:
+        hit = hit & line.contains(f" {' '.join(p)} ")
+    if loose:
+        any_word = F.lit(False)
+        for w in loose:
+            any_word = any_word | line.contains(f" {w} ")
+        hit = hit & any_word
+    return items.where(hit)
+
+
+def similar_to(vectors: DataFrame, key: str, embedding: str, item: int | str, k: int) -> DataFrame:
+    """The k items most like a stored one (none if it is unknown); its vector is one row."""
+    own = vectors.where(F.col(key) == F.lit(item)).select(F.transform(embedding, lambda x: x.cast("double")).alias("_q")).limit(1)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    rest = vectors.where(F.col(key) != F.lit(item)).select(key, F.transform(embedding, lambda x: x.cast("double")).alias("_e"))
+    norm = lambda c: F.sqrt(total(F.transform(c, lambda x: x * x)))
+    scored = rest.join(F.broadcast(own)).select(key, F.round(total(F.zip_with("_e", "_q", lambda a, b: a * b)) / norm("_e") / norm("_q"), 9).alias("score"))
+    return top_k(scored, k, "score", key)
+
+
+def passages(hits: DataFrame, key: str, score: str, label: str, text: str, k: int, size: int = 2000) -> DataFrame:
+    """The k best hits as numbered passages: ``[n] label`` and the head of the text, which is the feature's limit on an answer."""
+    best = top_k(hits, k, score, key).withColumn("n", F.row_number().over(Window.orderBy(F.desc(score), key)))  # k rows
+    return best.select("n", key, F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.col(label), F.lit("\n"), F.left(F.col(text), F.lit(size))).alias("passage"))

@@ -25,3 +25,18 @@ def session(master: str | None = None, app: str = "stratica", **conf: str) -> Sp
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Use the cluster's checkpoint folder; one of our own only in local sessions that have none."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not configured:
+        import tempfile
+
+        configured = "file://" + tempfile.mkdtemp(prefix="spark-stratica-")
+    context.setCheckpointDir(configured)

@@ -9,6 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import stratica.plans.archive  # noqa: F401
 from stratica.plans.contract import ORACLE_SQL, QUERIES
 from stratica.streaming import windows
 
