@@ -33,6 +33,7 @@ MAGIC = b"BITPACK1"
 BLOCK = 4096
 SHARD_IDS = 4_000_000
 KEPT_WORDS = 400_000
+LINE_WORDS = 64
 
 
 def bits_for(vocabulary: int) -> int:
@@ -122,18 +123,33 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast([m.decode("utf-8", "replace") for m in many], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word: the library gets lines of many words, whose ids are told apart by where their tokens start."""
+        plain = [w.decode("utf-8", "replace") for w in words]
+        lines = [plain[i : i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
+        out = []
+        for line, found in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids, starts = np.array(found.ids, dtype="<u4").tobytes(), [start for start, _ in found.offsets]
+            ends = np.cumsum([len(w) + 1 for w in line])
+            at = 0
+            for end in (np.searchsorted(starts, ends) * 4).tolist():
+                out.append(ids[at:end])
+                at = end
+        return out
+
     def encode(self, many: list[bytes]) -> list[bytes]:
         """For every text its ids as bytes of unsigned 32-bit integers."""
         if not self.by_word:
             return self._library(many)
         split = [m.split() for m in many]
-        missing = list({w for words in split for w in words} - self.kept.keys())
-        fresh = dict(zip(missing, self._library(missing), strict=True))
+        rows = [list(map(self.kept.get, words)) for words in split]
+        missing = list({w for words, row in zip(split, rows, strict=True) if None in row for w, ids in zip(words, row, strict=True) if ids is None})
+        fresh = dict(zip(missing, self._words(missing), strict=True))
+        out = [b"".join([fresh[w] if ids is None else ids for w, ids in zip(words, row, strict=True)] if None in row else row) for words, row in zip(split, rows, strict=True)]
         room = KEPT_WORDS - len(self.kept)
         if room > 0:
             self.kept.update(list(fresh.items())[:room] if len(fresh) > room else fresh)
-        table = {w: fresh[w] if w in fresh else self.kept[w] for words in split for w in words} if len(fresh) > room else self.kept
-        return [b"".join(map(table.__getitem__, words)) for words in split]
+        return out
 
 
 @lru_cache(maxsize=2)
