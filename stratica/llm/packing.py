@@ -33,7 +33,7 @@ MAGIC = b"BITPACK1"
 BLOCK = 4096
 SHARD_IDS = 4_000_000
 KEPT_WORDS = 400_000
-LINE_WORDS = 64
+LINE_WORDS = 256
 
 
 def bits_for(vocabulary: int) -> int:
@@ -125,16 +125,13 @@ class WordEncoder:
 
     def _words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word: the library gets lines of many words, whose ids are told apart by where their tokens start."""
-        plain = [w.decode("utf-8", "replace") for w in words]
-        lines = [plain[i : i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
-        out = []
-        for line, found in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ids, starts = np.array(found.ids, dtype="<u4").tobytes(), [start for start, _ in found.offsets]
-            ends = np.cumsum([len(w) + 1 for w in line])
-            at = 0
-            for end in (np.searchsorted(starts, ends) * 4).tolist():
-                out.append(ids[at:end])
-                at = end
+        lines = [b" ".join(words[i : i + LINE_WORDS]).decode("utf-8", "replace") for i in range(0, len(words), LINE_WORDS)]
+        out: list[bytes] = []
+        for line, found in zip(lines, self.tokenizer.encode_batch(lines, add_special_tokens=False), strict=True):
+            ids, starts = np.array(found.ids, dtype="<u4").tobytes(), np.array([start for start, _ in found.offsets], dtype=np.int64)
+            ends = np.cumsum([len(w) + 1 for w in line.split(" ")])
+            cuts = (np.searchsorted(starts, ends) * 4).tolist()
+            out += [ids[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
         return out
 
     def encode(self, many: list[bytes]) -> list[bytes]:
