@@ -25,11 +25,15 @@ from stratica.llm.common import ascii_lower, drop_stored, map_rows, stored, text
 SEED = 42
 SHINGLE_WORDS = 3
 RADIUS = 2
-#: Similarity search: words of a shingle, the similarity that links, bits of a wide fingerprint, and the share of links at that very similarity to be found.
+#: Similarity search: words of a shingle and the similarity that links.
 WIDE_WORDS = 5
 SIMILARITY = 0.8
-WIDE_BITS = 512
-RECALL = 0.97
+#: Texts by which shingles are ordered, and most common shingles that travel with the tasks; they decide costs only.
+ORDER_ROWS = 100_000
+MOST_COMMON = 250_000
+#: Nodes of a shingle with which all others are compared first, and rows of a block where all pairs are compared.
+PIVOTS = 8
+BLOCK_ROWS = 1_000
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -143,120 +147,170 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "_fp").select(id_col, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(hashes: np.ndarray, bits: int = WIDE_BITS) -> np.ndarray:
-    """``bits`` bits as longs: each 64 from the distinct hashes under another odd multiplier, each bit 1 if set in over half of them."""
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    hashes = np.unique(hashes)
-    for k in range(len(out) if len(hashes) else 0):
-        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 + 0xD1B54A32D192ED02 * k) % (1 << 64) | 1)
-        out[k] = fingerprint(mixed ^ (mixed >> np.uint64(32)))
-    return out.view(np.int64)
+def text_key(text_col: str) -> Column:
+    """A hash of the text that tells a null from any text."""
+    return F.xxhash64(F.col(text_col).isNull(), F.col(text_col).cast("string"))
 
 
-def bit_rate(similarity: float) -> float:
-    """Expected share of differing bits of two shingle sets with this Jaccard similarity: their angle over pi."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(shingle_hashes(ascii_lower(text), words))
 
 
 @dataclass(frozen=True)
-class Bands:
-    """``count`` bands of ``width`` bits, spread over a fingerprint of ``bits``; fingerprints meet in a band at two differing bits or fewer."""
+class Common:
+    """Shingles found often, ascending, and the range of each one's count; all others have range 0.
 
-    width: int
-    count: int
-    bits: int = WIDE_BITS
+    They only say in which order the shingles of a text are taken, so a shingle that is missing here costs time, never a link.
+    """
 
-    @staticmethod
-    def for_size(n: int, similarity: float, recall: float, bits: int = WIDE_BITS) -> Bands:
-        """Bands wide enough that unlike fingerprints of ``n`` seldom meet, and as many as the recall at the similarity takes."""
-        width = min(44, max(16, math.ceil(math.log2(max(n, 2))) + 7))
-        rate = bit_rate(similarity)
-        meet = sum(math.comb(width, k) * rate**k * (1 - rate) ** (width - k) for k in range(RADIUS + 1))
-        return Bands(width, math.ceil(math.log(1 - recall) / math.log(1 - meet)), bits)
+    hashes: np.ndarray
+    levels: np.ndarray
 
-    def values(self, prints: np.ndarray) -> np.ndarray:
-        """Rows of longs to rows of band values, each under its band's number in the high bits."""
-        flat = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-        places = (np.arange(self.count)[:, None] * self.bits // self.count + np.arange(self.width)) % self.bits
-        return flat[:, places] @ (1 << np.arange(self.width, dtype=np.int64)) + (np.arange(self.count, dtype=np.int64) << 48)
+    def rarest(self, hashes: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` first of distinct hashes in the order that all texts share: rare ones before common ones."""
+        levels = np.zeros(len(hashes), dtype=np.int8)
+        if len(self.hashes) and len(hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            levels = np.where(self.hashes[at] == hashes, self.levels[at], 0)
+        return hashes[np.lexsort((hashes, levels))[:n]]
 
 
-def text_key(text_col: str) -> Column:
-    """A hash of the text that tells a null from any text."""
-    return F.xxhash64(F.col(text_col).isNull(), F.col(text_col).cast("string"))
+def common_shingles(docs: DataFrame, text_col: str, shingle_words: int, rows: int = ORDER_ROWS, most: int = MOST_COMMON) -> Common:
+    """At most about ``most`` shingles of the highest counts among some ``rows`` texts."""
+    total = docs.count()
+    some = docs.select(F.col(text_col).cast("string").alias("_text")).where(F.pmod(F.xxhash64("_text"), F.lit(max(1, -(-total // rows)))) == 0)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle_words) for t in texts(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["_shingle"])
 
-def wide_prints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """Id, ``_key`` (a hash of the text), ``_print`` (array of longs) and ``_node`` (the print's hash) of every row."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("_key", T.LongType()), T.StructField("_print", T.ArrayType(T.LongType()))])
+    counts = stored(map_rows(some, run, "_shingle long").groupBy("_shingle").agg(F.count("*").alias("n")).where("n > 2").select("_shingle", F.floor(F.log2("n") * 2).cast("int").alias("level")), "shingle-counts")
+    room, chosen = most, F.lit(False)
+    for r in sorted(counts.groupBy("level").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        of = F.col("level") == r["level"]
+        chosen = chosen | (of if r["n"] <= room else of & (F.pmod("_shingle", F.lit(1 << 20)) < int(room / r["n"] * (1 << 20))))
+        room -= min(room, r["n"])
+    found = counts.where(chosen).toArrow()  # bounded by ``most``
+    hashes, levels = found["_shingle"].to_numpy().view(np.uint64), found["level"].to_numpy().astype(np.int8)
+    order = np.argsort(hashes)
+    return Common(hashes[order], levels[order])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            prints = [wide_fingerprint(shingle_hashes(ascii_lower(t), shingle_words)) for t in texts(rows.column(2))]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(prints, pa.list_(pa.int64()))], names=schema.names)
 
-    return map_rows(docs.select(id_col, text_key(text_col).alias("_key"), F.col(text_col).cast("string")), run, schema).withColumn("_node", F.xxhash64("_print"))
+def least_overlap(n: int, similarity: float) -> int:
+    """The fewest shingles that a text of ``n`` shares with any text of at least that similarity."""
+    return math.ceil(similarity * n - 1e-9)
 
 
-def similar_links(nodes: DataFrame, similarity: float, recall: float = RECALL) -> DataFrame:
-    """Links (a, b) of nodes whose prints say that they are at least that similar.
+def shingled(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
+    """Id, ``_key`` (a hash of the text), ``_node`` (a hash of its shingle set), ``_size`` of the set and ``_rare`` of every row.
 
-    Each print is cut into bands.  Nodes with the same band value are candidates with the smallest of them, which a
-    partial aggregate finds; so a group of near copies of any size is one row a node.  That smallest node then stands
-    for the band value, whose variants within half the radius meet those of other values: a variant can be met by
-    ``width`` + 1 values at most.  Those that meet are candidates with the smallest and the largest there, and every
-    candidate pair is verified over all bits of the prints.
+    ``_rare`` are so many of its shingles, in an order that all texts share, that any two sets of at least the
+    similarity have one in common: the texts share ``least_overlap`` shingles, and only fewer than that are left out.
     """
-    bands = Bands.for_size(nodes.count(), similarity, recall)
-    masks = [0, *(1 << k for k in range(bands.width))]
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("_key", T.LongType()), T.StructField("_node", T.LongType()), T.StructField("_size", T.IntegerType()), T.StructField("_rare", T.ArrayType(T.LongType()))])
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):  # each bit becomes a number for a while
-            if rows.num_rows:
-                values = bands.values(np.array(rows.column(1).to_pylist(), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(list(values), pa.list_(pa.int64()))], names=["_node", "_bands"])
-
-    banded = stored(map_rows(nodes.select("_node", "_print"), run, "_node long, _bands array<long>").select("_node", F.explode("_bands").alias("_band")), "wide-bands")
-    first = stored(banded.groupBy("_band").agg(F.min("_node").alias("_first")), "wide-band-values")
-    same = banded.join(first, "_band").where("_node <> _first").select(F.col("_node").alias("a"), F.col("_first").alias("b"))
-    variants = first.select("_first", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("_band").bitwiseXOR(m))).alias("_variant"))
-    there = Window.partitionBy("_variant")
-    ends = variants.select("_first", F.min("_first").over(there).alias("_low"), F.max("_first").over(there).alias("_high")).where("_low < _high")
-    met = same.unionByName(ends.select(F.col("_first").alias("a"), F.explode(F.array("_low", "_high")).alias("b")).where("a <> b"))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rate = bit_rate(similarity)
-    most = math.floor(rate * WIDE_BITS + math.sqrt(rate * (1 - rate) * WIDE_BITS))  # one standard deviation of the estimate
-    both = pairs.join(nodes.select(F.col("_node").alias("a"), F.col("_print").alias("_x")), "a").join(nodes.select(F.col("_node").alias("b"), F.col("_print").alias("_y")), "b")
-    differing = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-    return both.where(differing <= most).select("a", "b")
-
-
-def similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, recall: float) -> DataFrame:
+        import xxhash
+
+        common = sent.value
+        for rows in batches:
+            sets = [shingle_set(t, shingle_words) for t in texts(rows.column(2))]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
+            rare = [common.rarest(x, len(x) - least_overlap(len(x), similarity) + 1).view(np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), pa.array(rare, pa.list_(pa.int64()))], names=schema.names)
+
+    return map_rows(docs.select(id_col, text_key(text_col).alias("_key"), F.col(text_col).cast("string")), run, schema)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of nodes whose shingle sets have at least the Jaccard similarity, by their whole sets."""
+    needed = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct().join(nodes.select("_node", "_key"), "_node")
+    found = docs.select(text_key(text_col).alias("_key"), F.col(text_col).cast("string").alias("_text")).join(needed, "_key").groupBy("_node").agg(F.first("_text").alias("_text"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingle_set(t, shingle_words).tobytes() for t in texts(rows.column(1))], pa.binary())], names=["_node", "_set"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            keep = []
+            for x, y in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield rows.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    sets = stored(map_rows(found, read, "_node long, _set binary"), "shingle-sets")
+    # many pairs may share b: it is joined while rows are small
+    both = pairs.join(sets.select(F.col("_node").alias("b"), F.col("_set").alias("_y")), "b").join(sets.select(F.col("_node").alias("a"), F.col("_set").alias("_x")), "a")
+    return stored(map_rows(both.select("a", "b", "_x", "_y"), compare, "a long, b long"), "similar-links")
+
+
+def similar_roots(prints: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
+    """(node, root) for every node with a link to another: nodes that are at least that similar have the same root.
+
+    Candidates are nodes that share a rare shingle.  First those of a shingle are compared with its ``PIVOTS`` smallest,
+    so that a large group of near copies becomes one component at a cost in proportion to its size.  Then all pairs of a
+    shingle that these comparisons left in different components are compared: no pair is left out.
+    """
+    check = lambda pairs: verified(pairs, nodes, docs, text_col, shingle_words, similarity)
+    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9
+    rows = prints.select("_node", "_size", F.explode("_rare").alias("_shingle"))
+    several = rows.groupBy("_shingle").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).where("_low < _high").select("_shingle")
+    shared = stored(rows.join(several, "_shingle").distinct(), "shared-shingles")
+    rank = F.row_number().over(Window.partitionBy("_shingle").orderBy("_node"))
+    pivots = shared.withColumn("_rank", rank).where(F.col("_rank") <= PIVOTS).select("_shingle", F.col("_node").alias("b"), F.col("_size").alias("_of"))
+    met = shared.join(pivots, "_shingle").where((F.col("_node") > F.col("b")) & near(F.col("_size"), F.col("_of")))
+    pairs = stored(met.select(F.col("_node").alias("a"), "b").distinct(), "similar-pairs")
+    roots = components(check(pairs))
+    large = stored(shared.groupBy("_shingle").agg(F.count("*").alias("_n")).where(F.col("_n") > PIVOTS), "large-shingles")
+    if large.isEmpty():
+        return roots
+    roots = stored(roots, "similar-first-roots")
+    rooted = shared.join(large, "_shingle").join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root")
+    apart = rooted.groupBy("_shingle").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low < _high").select("_shingle")
+    # the rows of a shingle are dealt into blocks, each of which meets all others of the shingle
+    rooted = stored(rooted.join(apart, "_shingle").withColumn("_blocks", F.ceil(F.col("_n") / BLOCK_ROWS)), "rooted-shingles")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block")
+    left = rooted.select("_shingle", F.pmod("_node", "_blocks").alias("_block"), F.col("_node").alias("a"), F.col("_size").alias("_x"), F.col("_root").alias("_from"))
+    others = rooted.select("_shingle", "_blocks", F.col("_root").alias("_to")).distinct().select("_shingle", "_to", blocks)
+    right = rooted.select("_shingle", F.col("_root").alias("_to"), F.col("_node").alias("b"), F.col("_size").alias("_y"), blocks)
+    met = left.join(others, ["_shingle", "_block"]).where("_from < _to").join(right, ["_shingle", "_to", "_block"]).where(near(F.col("_x"), F.col("_y")))
+    rest = stored(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "similar-pairs")
+    if rest.isEmpty():
+        return roots
+    return components(check(rest).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
     """Id, ``_key``, ``_root`` (a node that stands for the component) and component_id of every row."""
-    prints = stored(wide_prints(docs, id_col, text_col, shingle_words), "wide-prints")
-    nodes = stored(prints.groupBy("_node").agg(F.first("_print").alias("_print"), F.min(id_col).alias("_least")), "wide-nodes")
-    roots = components(similar_links(nodes, similarity, recall)).withColumnRenamed("node", "_node")
+    prints = stored(shingled(docs, id_col, text_col, shingle_words, similarity), "shingled")
+    nodes = stored(prints.groupBy("_node").agg(F.min("_key").alias("_key"), F.min(id_col).alias("_least")), "similar-nodes")
+    roots = similar_roots(prints, nodes, docs, text_col, shingle_words, similarity).withColumnRenamed("node", "_node")
     rooted = nodes.select("_node", "_least").join(roots, "_node", "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root"))
     classes = rooted.groupBy("_root").agg(F.min("_least").alias("component_id")).join(rooted.select("_node", "_root"), "_root")
     return prints.select(id_col, "_key", "_node").join(classes, "_node").select(id_col, "_key", "_root", "component_id")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = WIDE_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: id, component_id (the smallest id reachable by links of at least that similarity).
 
-    The similarity is the Jaccard similarity of the sets of shingles as wide fingerprints estimate it; a pair is
-    linked where it lies within one standard deviation (0.03 at 512 bits) below the threshold or above.  Texts without words are copies of each other.  Nulls and repeated rows as in ``near_duplicates``.
+    The similarity is the Jaccard similarity of the sets of shingles, and every pair that reaches it is linked, no other.
+    Texts without words are copies of each other.  Nulls and repeated rows as in ``near_duplicates``.
     """
-    return similar_rows(docs, id_col, text_col, shingle_words, similarity, recall).select(id_col, "component_id")
+    return similar_rows(docs, id_col, text_col, shingle_words, similarity).select(id_col, "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = WIDE_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row of every component of ``similar_documents``, all columns unchanged: that of the smallest id.
 
     Where several rows carry that id, the one with the smallest hash of its columns stays; a component of null ids
     only keeps one row in the same way.
     """
-    found = similar_rows(docs, id_col, text_col, shingle_words, similarity, recall).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    found = similar_rows(docs, id_col, text_col, shingle_words, similarity).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     counted = found.groupBy("_root", F.col(id_col).alias("_id"), "_key").agg(F.count("*").alias("_rows"))
     roots = stored(counted.groupBy("_root").agg(F.min(F.struct("_key", "_id", "_rows")).alias("_one")).select("_one.*"), "similar-roots")
 

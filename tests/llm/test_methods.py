@@ -222,3 +222,46 @@ def test_pipeline_equals_its_stages(spark):
     assert len(clean & {r["doc_id"] for r in corpus_pipeline.toxicity_filter(spark, judged, sf_dir).collect()}) >= 0.95 * len(clean)
     decoded = corpus_pipeline.encoding(spark, kept, sf_dir).join(kept, "doc_id")
     assert decoded.where("decoded <> text").count() == 0
+
+
+def exact_components(texts: dict[int, str], similarity: float = 0.8) -> dict[int, int]:
+    """Smallest id reachable by links of at least that Jaccard similarity, by comparing all pairs."""
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in ((k, t.split()) for k, t in texts.items())}
+    root = {k: k for k in texts}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in texts:
+        for b in texts:
+            if a < b and top(a) != top(b) and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    return {k: top(k) for k in texts}
+
+
+def test_unlike_documents_that_share_half_their_text(spark):
+    """300 documents with a common half, among which pairs of about 0.85 are planted, and near copies of one document."""
+    rng = np.random.default_rng(5)
+    half = [f"c{k}" for k in range(150)]
+    texts = {}
+    for _ in range(260):
+        texts[len(texts)] = half + [f"w{k}" for k in rng.integers(0, 10**6, 150)]
+    for k in range(40):
+        own = list(texts[k])
+        for at in rng.choice(np.arange(150, 295), 5, replace=False):
+            own[at] = f"n{rng.integers(0, 10**6)}"
+        texts[len(texts)] = own
+    base = [f"b{k}" for k in range(200)]
+    for _ in range(60):
+        own = list(base)
+        for at in rng.choice(200, int(rng.integers(1, 6)), replace=False):
+            own[at] = f"m{rng.integers(0, 10**6)}"
+        texts[len(texts)] = own
+    texts = {k: " ".join(w) for k, w in texts.items()}
+    expected = exact_components(texts)
+    assert sum(expected[k] != k for k in range(260, 300)) >= 35
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == expected
