@@ -8,9 +8,8 @@ the training corpus and one unknown word add up to one.
 Counts of the most frequent ``head`` words travel with the tasks.  The rest of each text's words (none of them can be a
 hot key, since all hot words are in the head) is joined with the count table once, after the texts have been read.
 
-The network is trained by replicas: tasks that start from the same weights each pass over their share of the training
-sample, and their weights are averaged, for a few rounds.  The sample is a fixed share of the training documents, so it
-grows with the corpus; the share is raised where a small corpus would give too few tokens.
+The network is trained by replicas: tasks that start from the same weights each pass over their part of the training
+documents, and their weights are averaged, for a few rounds.  Every training document is used once, in one of the rounds.
 """
 
 from __future__ import annotations
@@ -32,8 +31,6 @@ from stratica.llm.common import ascii_lower, crc_mod5, map_rows, most_frequent,
 END = b" "
 CLASSES, CLASS_SIZE, HIDDEN = 32, 32, 16
 HEAD = 100_000
-TRAIN_SHARE = 1 / 32
-LEAST_TOKENS = 400_000
 REPLICA_TOKENS = 250_000
 MOST_REPLICAS = 4_096
 ROUNDS = 2
@@ -159,18 +156,17 @@ def train_round(sample: DataFrame, replicas: int, model: Model, text_col: str, r
     return model.weights.unpack(mean.astype("<f4").tobytes())
 
 
-def fit_model(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = TRAIN_SHARE, least_tokens: int = LEAST_TOKENS, rounds: int = ROUNDS, **shape: int) -> Model:
+def fit_model(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, **shape: int) -> Model:
     """A trained model of the rows of ``docs``, whose words ``counts`` holds."""
     model = build_model(counts, **shape)
     if not model.tokens:
         return model
-    share = min(1.0, max(share, least_tokens / model.tokens))
-    replicas = min(MOST_REPLICAS, max(1, round(share * model.tokens / REPLICA_TOKENS)))
+    replicas = min(MOST_REPLICAS, max(1, round(model.tokens / rounds / REPLICA_TOKENS)))
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    chosen = docs.where(F.col(text_col).isNotNull() & (F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20)))).select(F.col(text_col).cast("string").alias("_text"), key.alias("_key"))
-    sample = stored(chosen.repartition(replicas, "_key").sortWithinPartitions("_key", "_text"), "lm-sample")
+    keyed = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("_text"), key.alias("_key"))
     for k in range(rounds):
-        dealt = sample.repartition(replicas, "_key").sortWithinPartitions("_key", "_text")
+        own = keyed.where(F.pmod(F.xxhash64("_key"), F.lit(rounds)) == k)
+        dealt = own.repartition(replicas, "_key").sortWithinPartitions("_key", "_text")
         model.weights = train_round(dealt, replicas, model, "_text", RATE * (1 - k / (rounds + 1)))
     return model
 

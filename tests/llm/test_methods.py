@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from stratica.llm import decontam, gru, simhash, toxicity, transducer, trees
+from stratica.llm import decontam, gru, lm, simhash, toxicity, transducer, trees
 from tests.llm.fixtures import FIRST, awkward, empty, rows_of
 
 
@@ -265,3 +265,17 @@ def test_unlike_documents_that_share_half_their_text(spark):
     assert sum(expected[k] != k for k in range(260, 300)) >= 35
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == expected
+
+
+def test_network_trains_on_every_training_document_once(spark, monkeypatch):
+    texts = {k: " ".join(f"w{(k * 7 + j) % 900}" for j in range(300)) for k in range(1500)}  # 450,000 tokens
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    seen = []
+
+    def train_round(sample, replicas, model, text_col, rate):
+        seen.extend(r[0] for r in sample.select(text_col).collect())
+        return model.weights
+
+    monkeypatch.setattr(lm, "train_round", train_round)
+    lm.fit_model(docs, lm.stored(lm.count_words(docs, "text"), "counts"))
+    assert sorted(seen) == sorted(texts.values())
