@@ -279,3 +279,15 @@ def test_network_trains_on_every_training_document_once(spark, monkeypatch):
     monkeypatch.setattr(lm, "train_round", train_round)
     lm.fit_model(docs, lm.stored(lm.count_words(docs, "text"), "counts"))
     assert sorted(seen) == sorted(texts.values())
+
+
+def test_links_are_exact_at_the_threshold(spark):
+    """Pairs of 90 shingles each: 80 in common are 0.80 of all 100, 79 are less."""
+    texts, expected = {}, {}
+    for g in range(60):
+        words = [f"g{g}w{k}" for k in range(94)]
+        common = 80 if g % 2 else 79
+        texts[2 * g], texts[2 * g + 1] = " ".join(words), " ".join(words[: common + 4] + [f"g{g}n{k}" for k in range(90 - common)])
+        expected |= {2 * g: 2 * g, 2 * g + 1: 2 * g + (common < 80)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == expected
