@@ -226,8 +226,8 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, id_col: str =
 
     read = stored(map_rows(docs.select(id_col, F.col(text_col).cast("string")), run, schema), "lm-scores")
     rare = read.select("_row", F.explode("_tail").alias("t")).select("_row", F.col("t.word").alias("word"), F.col("t.n").alias("k"))
-    floor = int(model.counts[-1]) if len(model.counts) else 0
-    joined = rare.join(counts.where(F.col("n") <= floor), "word", "left").select("_row", "k", F.coalesce("n", F.lit(0)).alias("c"))
+    outside = counts.where(F.col("n") <= int(model.counts[-1])) if len(model.counts) else counts
+    joined = rare.join(outside, "word", "left").select("_row", "k", F.coalesce("n", F.lit(0)).alias("c"))
     log_of = lambda tokens, distinct: F.log10((F.col("c") + 0.5) / F.lit(tokens + 0.5 * (distinct + 1)))
     sums = joined.groupBy("_row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("_known"), F.sum(F.col("k") * log_of(model.tokens, model.distinct)).alias("_base"), F.sum(F.col("k") * log_of(model.other_tokens, model.other_distinct)).alias("_other"))
     zero = F.lit(0.0)

@@ -291,3 +291,10 @@ def test_links_are_exact_at_the_threshold(spark):
         expected |= {2 * g: 2 * g, 2 * g + 1: 2 * g + (common < 80)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == expected
+
+
+def test_scores_with_an_empty_head(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
+    counts = lm.stored(lm.count_words(docs, "text"), "counts")
+    model = lm.build_model(counts, head=1, classes=4, class_size=8, hidden=4)
+    assert not model.words and [r["n_known"] for r in lm.score_texts(docs, model, counts).collect()] == [4, 4]
