@@ -88,24 +88,53 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The folder below the shared one that holds all that this application has stored."""
+    return f"{shared_dir(spark)}/stratica-{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+#: Spark's setting by which the shuffle files of a finished write are deleted at once, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends here and survives lost executors."""
+    """Write a frame to the shared folder and read it back: lineage ends here, survives lost executors and leaves no shuffle files."""
     spark = df.sparkSession
     folder = new_folder(spark, kind)
-    df.write.mode("errorifexists").parquet(folder)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete a table that ``stored`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def delete_path(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Delete all that this application has stored, once no result that reads it is needed any more."""
+    delete_path(spark, own_folder(spark))
+
+
+def drop_stored(*frames: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once nothing reads them any more."""
+    for df in frames:
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete_path(df.sparkSession, name)
+
+
+def one_row_an_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each id (columns of ``docs``): that of the smallest text hash, so that a repeated id weighs no more than another."""
+    rest = F.struct(*[c for c in docs.columns if c != id_col])
+    return docs.groupBy(id_col).agg(F.min_by(rest, F.xxhash64(F.col(text_col).cast("string"))).alias("_one")).select(id_col, "_one.*")
 
 
 def hash_order(*columns: str) -> list:

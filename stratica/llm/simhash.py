@@ -5,6 +5,11 @@ every distinct fingerprint emits all variants within half the radius, the varian
 that meet on a variant are verified by their Hamming distance.  Only distinct fingerprints are shuffled: a group of
 copies of any size is one row, and a variant can be met by no more fingerprints than its own ball holds (65 at
 half-radius 1), so no group grows with the data.  Neighbours in a group are linked as a chain, never as all pairs.
+
+The similarity search (``similar_documents``, ``keep_one_of_each``) starts from the same balls: texts whose fingerprints
+meet are candidates, and their whole shingle sets decide.  Fingerprints of texts at a Jaccard similarity of 0.8 differ in
+about ten of 64 bits, more than a ball of radius 2 reaches, so an exact completion follows: all texts that the balls left
+apart and that share one of their rarest shingles are compared as well, which every pair at the similarity does.
 """
 
 from __future__ import annotations
@@ -31,9 +36,11 @@ SIMILARITY = 0.8
 #: Texts by which shingles are ordered, and most common shingles that travel with the tasks; they decide costs only.
 ORDER_ROWS = 100_000
 MOST_COMMON = 250_000
-#: Nodes of a shingle with which all others are compared first, and rows of a block where all pairs are compared.
-PIVOTS = 8
+#: Rounds in which every node is compared with one pivot before all that is left is compared; rows of a block of a shingle
+#: that meets all others; shingles of the texts that are held side by side while they are compared.
+PIVOTS = 2
 BLOCK_ROWS = 1_000
+CELL_SHINGLES = 1_000_000
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -142,8 +149,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = stored(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     distinct = prints.groupBy("_fp").agg(F.min(id_col).alias("_least"))
     roots = components(ball_links(distinct.select("_fp"), radius))
-    rooted = distinct.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
-    classes = rooted.groupBy("_root").agg(F.min("_least").alias("component_id")).join(rooted.select("_fp", "_root"), "_root").select("_fp", "component_id")
+    rooted = stored(distinct.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root")), "fingerprint-roots")
+    least = stored(rooted.groupBy("_root").agg(F.min("_least").alias("component_id")), "fingerprint-components")
+    # both sides are read anew, so that adaptive execution can split a component or a text with very many rows
+    classes = stored(rooted.join(least, "_root").select("_fp", "component_id"), "fingerprint-classes")
+    drop_stored(rooted, least)
     return prints.join(classes, "_fp").select(id_col, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -193,6 +203,7 @@ def common_shingles(docs: DataFrame, text_col: str, shingle_words: int, rows: in
         chosen = chosen | (of if r["n"] <= room else of & (F.pmod("_shingle", F.lit(1 << 20)) < int(room / r["n"] * (1 << 20))))
         room -= min(room, r["n"])
     found = counts.where(chosen).toArrow()  # bounded by ``most``
+    drop_stored(counts)
     hashes, levels = found["_shingle"].to_numpy().view(np.uint64), found["level"].to_numpy().astype(np.int8)
     order = np.argsort(hashes)
     return Common(hashes[order], levels[order])
@@ -203,13 +214,20 @@ def least_overlap(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
+def least_overlap_with_larger(n: int, similarity: float) -> int:
+    """The fewest shingles that a text of ``n`` shares with any text of at least that similarity that has no fewer shingles."""
+    return math.ceil(2 * similarity / (1 + similarity) * n - 1e-9)
+
+
 def shingled(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
-    """Id, ``_key`` (a hash of the text), ``_node`` (a hash of its shingle set), ``_size`` of the set and ``_rare`` of every row.
+    """Id, ``_key`` (a hash of the text), ``_node`` (a hash of its shingle set), ``_size`` of the set, ``_fp``, ``_rare`` and ``_first`` of every row.
 
-    ``_rare`` are so many of its shingles, in an order that all texts share, that any two sets of at least the
-    similarity have one in common: the texts share ``least_overlap`` shingles, and only fewer than that are left out.
+    ``_fp`` is the fingerprint.  ``_rare`` are the first shingles in an order that all texts share, so many that any two
+    sets of at least the similarity have one in common there: they share ``least_overlap``, and only fewer than that are
+    left out.  By the same count the one in common is among the ``_first`` of the smaller set.
     """
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("_key", T.LongType()), T.StructField("_node", T.LongType()), T.StructField("_size", T.IntegerType()), T.StructField("_rare", T.ArrayType(T.LongType()))])
+    fields = [("_key", T.LongType()), ("_node", T.LongType()), ("_size", T.IntegerType()), ("_fp", T.LongType()), ("_rare", T.ArrayType(T.LongType())), ("_first", T.IntegerType())]
+    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *[T.StructField(*f) for f in fields]])
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,82 +235,146 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
 
         common = sent.value
         for rows in batches:
-            sets = [shingle_set(t, shingle_words) for t in texts(rows.column(2))]
+            hashes = [shingle_hashes(ascii_lower(t), shingle_words) for t in texts(rows.column(2))]
+            prints = np.array([fingerprint(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in hashes]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
             rare = [common.rarest(x, len(x) - least_overlap(len(x), similarity) + 1).view(np.int64) for x in sets]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), pa.array(rare, pa.list_(pa.int64()))], names=schema.names)
+            first = [len(x) - least_overlap_with_larger(len(x), similarity) + 1 for x in sets]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), pa.array(prints), pa.array(rare, pa.list_(pa.int64())), pa.array(first, pa.int32())], names=schema.names)
 
-    return map_rows(docs.select(id_col, text_key(text_col).alias("_key"), F.col(text_col).cast("string")), run, schema)
+    return map_rows(docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("_key"), F.col(text_col).cast("string").alias("_text")), run, schema)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
-    """Those pairs (a, b) of nodes whose shingle sets have at least the Jaccard similarity, by their whole sets."""
-    needed = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct().join(nodes.select("_node", "_key"), "_node")
-    found = docs.select(text_key(text_col).alias("_key"), F.col(text_col).cast("string").alias("_text")).join(needed, "_key").groupBy("_node").agg(F.first("_text").alias("_text"))
+def ball_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes of one fingerprint, or of fingerprints that meet on a variant: at most two for each node ``a``."""
+    prints = stored(nodes.groupBy("_fp").agg(F.min("_node").alias("_of")), "ball-prints")
+    same = nodes.select("_node", "_fp").join(prints, "_fp").where("_node <> _of").select(F.col("_node").alias("a"), F.col("_of").alias("b"))
+    nearest = ball_links(prints.select("_fp"), radius).groupBy("b").agg(F.min("a").alias("a"))
+    met = nearest.join(prints.select(F.col("_fp").alias("a"), F.col("_of").alias("_a")), "a").join(prints.select(F.col("_fp").alias("b"), F.col("_of").alias("_b")), "b")
+    return same.unionByName(met.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingle_set(t, shingle_words).tobytes() for t in texts(rows.column(1))], pa.binary())], names=["_node", "_set"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            keep = []
-            for x, y in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield rows.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def compared(x: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the other sets (ascending hashes) have at least the Jaccard similarity with ``x``."""
+    sizes = np.array([len(y) for y in others], dtype=np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *others])
+    hit = np.zeros(len(flat) + 1, dtype=np.int64)
+    if len(x) and len(flat):
+        hit[1:] = np.cumsum(x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat)
+    ends = np.cumsum(sizes)
+    both = hit[ends] - hit[ends - sizes]
+    return both >= similarity * (len(x) + sizes - both) - 1e-9
 
-    sets = stored(map_rows(found, read, "_node long, _set binary"), "shingle-sets")
-    # many pairs may share b: it is joined while rows are small
-    both = pairs.join(sets.select(F.col("_node").alias("b"), F.col("_set").alias("_y")), "b").join(sets.select(F.col("_node").alias("a"), F.col("_set").alias("_x")), "a")
-    return stored(map_rows(both.select("a", "b", "_x", "_y"), compare, "a long, b long"), "similar-links")
 
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
+    """Those stored pairs (a, b) of nodes whose shingle sets have at least the Jaccard similarity, by their whole texts.
 
-def similar_roots(prints: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
-    """(node, root) for every node with a link to another: nodes that are at least that similar have the same root.
+    Candidates that hang together are dealt into parts of at most about ``CELL_SHINGLES``, and every pair belongs to the
+    cell of its two parts.  A text goes once to each cell that has a pair of it, so neither a pair nor a group ships texts.
+    """
+    groups = stored(components(pairs).join(nodes.select(F.col("_node").alias("node"), "_size"), "node"), "candidate-groups")
+    sums = groups.groupBy("root").agg(F.ceil(F.sum("_size") / CELL_SHINGLES).cast("long").alias("_parts"))
+    parts = groups.join(sums, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.greatest("_parts", F.lit(1))).alias("_part"))
+    placed = pairs.join(parts.select(F.col("node").alias("a"), "root", F.col("_part").alias("_x")), "a").join(parts.select(F.col("node").alias("b"), F.col("_part").alias("_y")), "b")
+    celled = stored(placed.select("a", "b", F.xxhash64("root", F.least("_x", "_y"), F.greatest("_x", "_y")).alias("_cell")), "candidate-cells")
+    asked = celled.groupBy("_cell", F.col("a").alias("_node")).agg(F.collect_set("b").alias("_with"))
+    silent = celled.select("_cell", F.col("b").alias("_node")).distinct().withColumn("_with", F.lit(None).cast("array<long>"))
+    members = asked.unionByName(silent).join(nodes.select("_node", F.col("_one._id").alias("_id"), F.col("_one._key").alias("_key")), "_node")
+    own = docs.select(F.col(id_col).alias("_own"), text_key(text_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
+    rows = own.join(members, F.col("_own").eqNullSafe(F.col("_id")) & (own["_key"] == members["_key"])).select("_cell", "_node", "_with", "_text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        wanted: dict[int, list[int]] = {}
+        current = None
+
+        def links() -> Iterator[pa.RecordBatch]:
+            for a, partners in wanted.items():
+                keep = compared(sets[a], [sets[b] for b in partners], similarity)
+                found = np.array(partners, dtype=np.int64)[keep]
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), a, dtype=np.int64)), pa.array(found)], names=["a", "b"])
+            sets.clear()
+            wanted.clear()
 
-    Candidates are nodes that share a rare shingle.  First those of a shingle are compared with its ``PIVOTS`` smallest,
-    so that a large group of near copies becomes one component at a cost in proportion to its size.  Then all pairs of a
-    shingle that these comparisons left in different components are compared: no pair is left out.
+        for batch in batches:
+            for cell, node, partners, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts(batch.column(3)), strict=True):
+                if cell != current:
+                    yield from links()
+                    current = cell
+                if node not in sets:
+                    sets[node] = shingle_set(text, shingle_words)
+                if partners is not None:
+                    wanted[node] = partners
+        yield from links()
+
+    found = stored(map_rows(rows.repartition("_cell").sortWithinPartitions("_cell"), compare, "a long, b long"), "similar-links")
+    drop_stored(groups, celled)
+    return found
+
+
+def similar_roots(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, radius: int = RADIUS) -> DataFrame:
+    """Stored (node, root) for every node with a link to another: nodes that are at least that similar have the same root.
+
+    First the texts that meet in a ball, and every text with the pivot of its rare shingles, are compared, so that a large
+    group of near copies becomes one component at a cost in proportion to its size.  Then all that share a rare shingle and
+    are still in different components are compared: no pair is left out.
     """
-    check = lambda pairs: verified(pairs, nodes, docs, text_col, shingle_words, similarity)
     near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9
-    rows = prints.select("_node", "_size", F.explode("_rare").alias("_shingle"))
-    several = rows.groupBy("_shingle").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high")).where("_low < _high").select("_shingle")
-    shared = stored(rows.join(several, "_shingle").distinct(), "shared-shingles")
-    rank = F.row_number().over(Window.partitionBy("_shingle").orderBy("_node"))
-    pivots = shared.withColumn("_rank", rank).where(F.col("_rank") <= PIVOTS).select("_shingle", F.col("_node").alias("b"), F.col("_size").alias("_of"))
-    met = shared.join(pivots, "_shingle").where((F.col("_node") > F.col("b")) & near(F.col("_size"), F.col("_of")))
-    pairs = stored(met.select(F.col("_node").alias("a"), "b").distinct(), "similar-pairs")
-    roots = components(check(pairs))
-    large = stored(shared.groupBy("_shingle").agg(F.count("*").alias("_n")).where(F.col("_n") > PIVOTS), "large-shingles")
-    if large.isEmpty():
-        return roots
-    roots = stored(roots, "similar-first-roots")
-    rooted = shared.join(large, "_shingle").join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root")
-    apart = rooted.groupBy("_shingle").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low < _high").select("_shingle")
+    rows = nodes.select("_node", "_size", "_first", F.posexplode("_rare").alias("_at", "_shingle")).select("_node", "_size", (F.col("_at") < F.col("_first")).alias("_short"), "_shingle")
+    several = stored(rows.groupBy("_shingle").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high"), F.max("_short").alias("_any")).where("_low < _high and _any").select("_shingle"), "several-shingles")
+    shared = stored(rows.join(several, "_shingle"), "shared-shingles")
+    drop_stored(several)
+    done = stored(ball_pairs(nodes, radius).distinct(), "ball-pairs")
+    links = verified(done, nodes, docs, id_col, text_col, shingle_words, similarity)
+    roots = stored(components(links), "similar-roots")
+    for _ in range(PIVOTS):
+        rooted = shared.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root")
+        pivots = rooted.groupBy("_shingle").agg(F.min(F.struct("_root", "_node", "_size")).alias("_low"), F.max("_root").alias("_high")).where("_low._root < _high").select("_shingle", "_low")
+        met = rooted.join(pivots, "_shingle").where((F.col("_root") > F.col("_low._root")) & near(F.col("_size"), F.col("_low._size")))
+        best = met.groupBy(F.col("_node").alias("a"), F.col("_low._node").alias("b")).agg(F.count("*").alias("_n")).join(done, ["a", "b"], "left_anti").groupBy("a").agg(F.max(F.struct("_n", "b")).alias("_best"))
+        pairs = stored(best.select("a", "_best.b"), "pivot-pairs")
+        if pairs.isEmpty():
+            break
+        links = verified(pairs, nodes, docs, id_col, text_col, shingle_words, similarity)
+        following = stored(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "similar-roots")
+        both = stored(done.unionByName(pairs), "compared-pairs")
+        drop_stored(roots, done, links)
+        roots, done = following, both
+    rooted = shared.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root")
+    apart = rooted.groupBy("_shingle").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"), F.ceil(F.count("*") / BLOCK_ROWS).alias("_blocks")).where("_low < _high").select("_shingle", "_blocks")
     # the rows of a shingle are dealt into blocks, each of which meets all others of the shingle
-    rooted = stored(rooted.join(apart, "_shingle").withColumn("_blocks", F.ceil(F.col("_n") / BLOCK_ROWS)), "rooted-shingles")
+    rooted = stored(rooted.join(apart, "_shingle"), "rooted-shingles")
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block")
-    left = rooted.select("_shingle", F.pmod("_node", "_blocks").alias("_block"), F.col("_node").alias("a"), F.col("_size").alias("_x"), F.col("_root").alias("_from"))
+    left = rooted.select("_shingle", F.pmod("_node", "_blocks").alias("_block"), F.col("_node").alias("a"), F.col("_size").alias("_x"), F.col("_short").alias("_a"), F.col("_root").alias("_from"))
     others = rooted.select("_shingle", "_blocks", F.col("_root").alias("_to")).distinct().select("_shingle", "_to", blocks)
-    right = rooted.select("_shingle", F.col("_root").alias("_to"), F.col("_node").alias("b"), F.col("_size").alias("_y"), blocks)
-    met = left.join(others, ["_shingle", "_block"]).where("_from < _to").join(right, ["_shingle", "_to", "_block"]).where(near(F.col("_x"), F.col("_y")))
-    rest = stored(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "similar-pairs")
+    right = rooted.select("_shingle", F.col("_root").alias("_to"), F.col("_node").alias("b"), F.col("_size").alias("_y"), F.col("_short").alias("_b"), blocks)
+    # the shingle in common is among the first of the smaller set
+    first = (F.col("_a") & (F.col("_x") <= F.col("_y"))) | (F.col("_b") & (F.col("_y") <= F.col("_x")))
+    met = left.join(others, ["_shingle", "_block"]).where("_from < _to").join(right, ["_shingle", "_to", "_block"]).where(first & near(F.col("_x"), F.col("_y")))
+    rest = stored(met.select("a", "b").distinct().join(done, ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "rest-pairs")
+    drop_stored(rooted, shared, done)
     if rest.isEmpty():
         return roots
-    return components(check(rest).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    links = verified(rest, nodes, docs, id_col, text_col, shingle_words, similarity)
+    final = stored(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "similar-roots")
+    drop_stored(rest, links, roots)
+    return final
 
 
-def similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
-    """Id, ``_key``, ``_root`` (a node that stands for the component) and component_id of every row."""
+def similar_nodes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (``_id, _key, _node``), and stored nodes with their ``_root`` and the row ``_one`` of the smallest id (null ids last)."""
     prints = stored(shingled(docs, id_col, text_col, shingle_words, similarity), "shingled")
-    nodes = stored(prints.groupBy("_node").agg(F.min("_key").alias("_key"), F.min(id_col).alias("_least")), "similar-nodes")
-    roots = similar_roots(prints, nodes, docs, text_col, shingle_words, similarity).withColumnRenamed("node", "_node")
-    rooted = nodes.select("_node", "_least").join(roots, "_node", "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root"))
-    classes = rooted.groupBy("_root").agg(F.min("_least").alias("component_id")).join(rooted.select("_node", "_root"), "_root")
-    return prints.select(id_col, "_key", "_node").join(classes, "_node").select(id_col, "_key", "_root", "component_id")
+    # copies are one node: rows of a node are reduced in the tasks before they are shuffled
+    one = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key")).alias("_one")
+    nodes = stored(prints.groupBy("_node").agg(one, *[F.first(c).alias(c) for c in ("_size", "_fp", "_rare", "_first")]), "similar-nodes")
+    rows = stored(prints.select("_id", "_key", "_node"), "similar-rows")
+    drop_stored(prints)
+    roots = similar_roots(nodes, docs, id_col, text_col, shingle_words, similarity).withColumnRenamed("node", "_node")
+    rooted = stored(nodes.select("_node", "_one").join(roots, "_node", "left").select("_node", "_one", F.coalesce("root", "_node").alias("_root")), "rooted-nodes")
+    drop_stored(nodes, roots)
+    return rows, rooted
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -301,26 +383,32 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The similarity is the Jaccard similarity of the sets of shingles, and every pair that reaches it is linked, no other.
     Texts without words are copies of each other.  Nulls and repeated rows as in ``near_duplicates``.
     """
-    return similar_rows(docs, id_col, text_col, shingle_words, similarity).select(id_col, "component_id")
+    rows, nodes = similar_nodes(docs, id_col, text_col, shingle_words, similarity)
+    least = stored(nodes.groupBy("_root").agg(F.min("_one").alias("_least")), "similar-least")
+    # both sides are read anew, so that adaptive execution can split a component or a text with very many rows
+    classes = stored(nodes.select("_node", "_root").join(least, "_root").select("_node", F.col("_least._id").alias("component_id")), "similar-classes")
+    return rows.join(classes, "_node").select(F.col("_id").alias(id_col), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row of every component of ``similar_documents``, all columns unchanged: that of the smallest id.
 
-    Where several rows carry that id, the one with the smallest hash of its columns stays; a component of null ids
-    only keeps one row in the same way.
+    Where several rows carry that id, the one with the smallest hash of its text stays, and of rows that are equal in both
+    the one with the smallest hash of its columns; a component of null ids only keeps one row in the same way.
     """
-    found = similar_rows(docs, id_col, text_col, shingle_words, similarity).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    counted = found.groupBy("_root", F.col(id_col).alias("_id"), "_key").agg(F.count("*").alias("_rows"))
-    roots = stored(counted.groupBy("_root").agg(F.min(F.struct("_key", "_id", "_rows")).alias("_one")).select("_one.*"), "similar-roots")
+    rows, nodes = similar_nodes(docs, id_col, text_col, shingle_words, similarity)
+    chosen = nodes.groupBy("_root").agg(F.min("_one").alias("_one")).select("_one._id", "_one._key")
+    again = rows.groupBy("_id", "_key").agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col("_id").alias("_again"), F.col("_key").alias("_of"))
+    marked = stored(chosen.join(again, F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_key") == F.col("_of")), "left").select("_id", "_key", F.col("_of").isNotNull().alias("_repeated")), "similar-chosen")
+    drop_stored(rows, nodes)
 
     def of(which: Column) -> DataFrame:
-        chosen = roots.where(which).select(F.col("_id"), F.col("_key"))
-        return docs.join(chosen, docs[id_col].eqNullSafe(chosen["_id"]) & (F.xxhash64(docs[text_col].isNull(), docs[text_col].cast("string")) == chosen["_key"]), "left_semi")
+        own = marked.where(which)
+        return docs.join(own, docs[id_col].eqNullSafe(own["_id"]) & (F.xxhash64(docs[text_col].isNull(), docs[text_col].cast("string")) == own["_key"]), "left_semi")
 
-    once = of(F.col("_rows") == 1)
-    if roots.where(F.col("_rows") > 1).isEmpty():
+    once = of(~F.col("_repeated"))
+    if marked.where("_repeated").isEmpty():
         return once
     # a partial aggregate picks one, so an id with very many rows is no hot key
-    picked = of(F.col("_rows") > 1).groupBy(id_col, text_key(text_col)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_one")).select("_one.*")
+    picked = of(F.col("_repeated")).groupBy(id_col, text_key(text_col)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_one")).select("_one.*")
     return once.unionByName(picked)
