@@ -6,6 +6,7 @@ stand in a text are escaped reversibly all the same, because the formatted conve
 The loss mask covers the texts of assistants; it is the prefix sum of +1 at each of their starts and -1 at each end.
 
 Turns are dealt by ranges of (conversation, turn), so a conversation with a third of all turns is spread over many tasks.
+All turns of a batch are encoded together, whatever conversations they belong to, and spliced afterwards.
 A conversation is a sequence of blocks of bounded size, one row each; only its digest (a sequential hash by its nature)
 streams the blocks of one conversation through one task, holding one block at a time.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratica.llm.bpe import Encoder, Vocabulary, load_vocabulary, ship
-from stratica.llm.common import map_rows, texts
+from stratica.llm.common import code_points, map_rows
 
 START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
@@ -59,36 +60,35 @@ class Assembler:
     def __init__(self, vocabulary: Vocabulary, loss_role: str = ASSISTANT):
         self.vocabulary, self.loss_role = vocabulary, loss_role
         self.encoder = Encoder(vocabulary, None)
-        self.start, self.end = vocabulary.size, vocabulary.size + 1
-        self.outputs = [*vocabulary.outputs, START.encode(), END.encode()]
-        self.newline = np.frombuffer(self.encoder.encode(["\n"])[0], dtype="<u4").astype(np.int32)
-
-    def assemble(self, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and loss mask (0/1) of consecutive turns."""
-        flat = [s for role, text in turns for s in (escape_role(role) + "\n", escape(text))]
-        segments = [np.frombuffer(b, dtype="<u4").astype(np.int32) for b in self.encoder.encode(flat)]
-        start, end = np.array([self.start], np.int32), np.array([self.end], np.int32)
-        parts, learned = [], []
-        for k, (role, _) in enumerate(turns):
-            parts += [start, segments[2 * k], segments[2 * k + 1], end, self.newline]
-            learned += [False, False, role == self.loss_role, False, False]
-        sizes = np.array([len(p) for p in parts], dtype=np.int64)
-        ends = np.cumsum(sizes)
-        ids = np.concatenate([np.zeros(0, np.int32), *parts])
+        self.start_id, self.end_id = vocabulary.size, vocabulary.size + 1
+        self.start, self.end = (np.array([i], "<i4").tobytes() for i in (self.start_id, self.end_id))
+        self.newline = self.encoder.encode(["\n"])[0]
+        #: Of every id, the bytes of its output that begin a character.
+        self.begins = np.array([code_points(b) for b in (*vocabulary.outputs, START.encode(), END.encode())], dtype=np.int64)
+
+    def segments(self, turns: list[tuple[str, str]]) -> list[bytes]:
+        """The ids of every turn's role line and text, two for each turn, as bytes: all that are given are encoded together."""
+        return self.encoder.encode([s for role, text in turns for s in (escape_role(role) + "\n", escape(text))])
+
+    def assemble(self, roles: list[str], segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and loss mask (0/1) of consecutive turns, from their encoded segments."""
+        parts = [p for k in range(len(roles)) for p in (self.start, segments[2 * k], segments[2 * k + 1], self.end, self.newline)]
+        ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4)
+        ids = np.frombuffer(b"".join(parts), dtype="<i4")
+        learned = np.array([role == self.loss_role for role in roles], dtype=bool)
         steps = np.zeros(len(ids) + 1, dtype=np.int64)
-        on = np.array(learned, dtype=bool)
-        np.add.at(steps, (ends - sizes)[on], 1)
-        np.add.at(steps, ends[on], -1)
+        np.add.at(steps, ends[1::5][learned], 1)  # a text begins where its role line ends
+        np.add.at(steps, ends[2::5][learned], -1)
         return ids, np.cumsum(steps)[:-1].astype(np.int8)
 
-    def text(self, ids: np.ndarray) -> str:
-        """The formatted text of ids without broken characters at its ends."""
-        return b"".join([self.outputs[i] for i in ids.tolist()]).decode("utf-8", "replace")
+    def characters(self, ids: np.ndarray) -> int:
+        """Code points of the formatted text: its bytes that do not continue a character."""
+        return int(self.begins[ids].sum())
 
     def turns(self, ids: np.ndarray, mask: np.ndarray) -> list[tuple[str, str, str | None]]:
         """Role, text and the text under the loss mask (None where nothing is) of each turn, unescaped, from the ids alone."""
         out = []
-        for a, b in zip(np.flatnonzero(ids == self.start).tolist(), np.flatnonzero(ids == self.end).tolist(), strict=True):
+        for a, b in zip(np.flatnonzero(ids == self.start_id).tolist(), np.flatnonzero(ids == self.end_id).tolist(), strict=True):
             line, _, text = self.vocabulary.decode(ids[a + 1 : b].tolist()).partition("\n")
             under = ids[a + 1 : b][mask[a + 1 : b] == 1]
             out.append((unescape_role(line), unescape(text), unescape(self.vocabulary.decode(under.tolist())) if len(under) else None))
@@ -128,35 +128,54 @@ def format_chats(turns: DataFrame, tokenizer: str, conv_col: str = "conv_id", tu
         from pyspark.sql.pandas.types import to_arrow_type
 
         assembler, task, number = load_assembler(name, loss_role), TaskContext.get().partitionId(), 0
-        held: list[tuple[str, str]] = []
+        roles: list[str] = []
+        held: list[bytes] = []
         size, current = 0, None
+        done: list[tuple[object, int, int, np.ndarray, np.ndarray]] = []
 
-        def flush() -> pa.RecordBatch:
+        def close() -> None:
             nonlocal number, size
-            ids, mask = assembler.assemble(held)
-            row = pa.RecordBatch.from_arrays(
-                [pa.array([current], to_arrow_type(kind)), pa.array([task], pa.int32()), pa.array([number], pa.int64()), pa.array([len(held)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids)), pa.ListArray.from_arrays(pa.array([0, len(mask)], pa.int32()), pa.array(mask))],
-                names=schema.names,
-            )
+            done.append((current, number, len(roles), *assembler.assemble(roles, held)))
+            roles.clear()
             held.clear()
             number, size = number + 1, 0
-            return row
+
+        def emit() -> pa.RecordBatch:
+            convs, numbers, turns, ids, masks = zip(*done, strict=True)
+            ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            rows = pa.RecordBatch.from_arrays(
+                [pa.array(convs, to_arrow_type(kind)), pa.array([task] * len(done), pa.int32()), pa.array(numbers, pa.int64()), pa.array(turns, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(masks)))],
+                names=schema.names,
+            )
+            done.clear()
+            return rows
 
         for batch in batches:
-            for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if held and (conv != current or len(held) >= block_turns or size >= 4 * block_tokens):
-                    yield flush()
+            turns = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            segments = assembler.segments(turns)
+            for k, (conv, (role, _)) in enumerate(zip(batch.column(0).to_pylist(), turns, strict=True)):
+                if roles and (conv != current or len(roles) >= block_turns or size >= block_tokens):
+                    close()
                 current = conv
-                held.append((role, text))
-                size += len(text)
-        if held:
-            yield flush()
+                roles.append(role)
+                held += segments[2 * k : 2 * k + 2]
+                size += (len(held[-2]) + len(held[-1])) // 4
+            if done:
+                yield emit()
+        if roles:
+            close()
+        if done:
+            yield emit()
 
     return map_rows(dealt, run, schema), name
 
 
 def chat_digests(blocks: DataFrame, vocabulary_name: str, loss_role: str = ASSISTANT) -> DataFrame:
-    """One row per conversation, read back from its blocks: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """One row per conversation, read back from its blocks: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    Null and empty roles and texts read back as empty, repeated turns each count, and rows without a conversation id are one
+    conversation; without blocks there are no rows.
+    """
     kind = blocks.schema["conv_id"].dataType
     schema = T.StructType([T.StructField("conv_id", kind), T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())])
 
@@ -191,7 +210,7 @@ def chat_digests(blocks: DataFrame, vocabulary_name: str, loss_role: str = ASSIS
                     if under is not None:
                         state[3] += len(under)
                         state[4].update(under.encode("utf-8", "replace"))
-                state[5] += len(assembler.text(own))
+                state[5] += assembler.characters(own)
             if len(done) >= 2000:
                 yield emit()
         if state:

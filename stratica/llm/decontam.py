@@ -6,12 +6,12 @@ marked on both sides, and so on down to ``min_tile``.  Tiles may lie in any orde
 moved is still covered; an item counts as leaked where its tiles cover ``threshold`` of its words.
 
 Documents are never shuffled.  The items are the side whose size has to be proven: they are dealt by a hash into as many
-blocks as keep each under ``block_chars``, and every block is one broadcast and one pass over the documents.
+blocks as keep each under ``block_chars``, written to the shared folder, and every block is one pass over the documents
+whose tasks read it there: nothing of the benchmark goes through the driver.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratica.llm.common import ALNUM, ascii_lower, map_rows, texts
+from stratica.llm.common import ALNUM, ascii_lower, map_rows, new_folder, texts
 
 MIN_TILE = 5
 THRESHOLD = 0.5
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 #: Odd multiplier of the window hashes, and the code of words that no item has.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 ABSENT = 0
@@ -136,87 +136,140 @@ def greedy_tiles(doc: np.ndarray, item: np.ndarray, min_tile: int = MIN_TILE) ->
     return tiles
 
 
+@dataclass(frozen=True)
+class Seeds:
+    """The windows of one size of all items: distinct hashes in order, and for each the items that have it, once for each place.
+
+    ``of_item`` are the numbers of the seeds at an item's places, from ``begins[item]`` on.
+    """
+
+    size: int
+    hashes: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
+    of_item: np.ndarray
+    begins: np.ndarray
+
+    def found(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a document's windows that are seeds, and the number of the seed at each."""
+        windows = window_hashes(values, self.size)
+        at = np.minimum(np.searchsorted(self.hashes, windows), len(self.hashes) - 1)
+        places = np.flatnonzero(self.hashes[at] == windows)
+        return places, at[places]
+
+    def item_places(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items that have any of the distinct seeds, and at how many places."""
+        first, sizes = self.starts[seeds], self.starts[seeds + 1] - self.starts[seeds]
+        ends = np.cumsum(sizes)
+        at = np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.unique(self.owners[at], return_counts=True)
+
+
+def covered_places(places: np.ndarray, size: int) -> int:
+    """How many words windows at the ascending places cover."""
+    return int(np.minimum(np.diff(places), size).sum()) + size if len(places) else 0
+
+
 class SeedIndex:
-    """The items of one block: codes of their words, and the hashes of their seeds with the items that have them."""
+    """The items of one block: codes of their words, and their seeds in flat arrays."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], min_tile: int):
-        self.min_tile = min_tile
         self.codes: dict[bytes, int] = {}
         self.keys = [key for key, _ in items]
         self.items = [np.array([self.codes.setdefault(w, len(self.codes) + 1) for w in words_of(text)], dtype=np.int64) for _, text in items]
         #: Items shorter than a tile are one seed of their own length.
         self.sizes = [min(min_tile, len(x)) for x in self.items]
-        self.seeds: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-        for size in sorted(set(self.sizes) - {0}):
-            owner: dict[int, set[int]] = {}
-            for k, codes in enumerate(self.items):
-                if self.sizes[k] == size:
-                    for h in window_hashes(mixed(codes), size).tolist():
-                        owner.setdefault(h, set()).add(k)
-            hashes = np.array(sorted(owner), dtype=np.uint64)
-            self.seeds[size] = (hashes, [np.array(sorted(owner[h])) for h in hashes.tolist()])
-
-    def candidates(self, codes: np.ndarray) -> dict[int, np.ndarray]:
-        """For every item that shares a seed with the document: which of the document's words lie in a shared seed."""
-        found: dict[int, np.ndarray] = {}
+        self.seeds = [self._seeds(size) for size in sorted(set(self.sizes) - {0})]
+
+    def _seeds(self, size: int) -> Seeds:
+        windows = [window_hashes(mixed(x), size) if n == size else np.zeros(0, dtype=np.uint64) for x, n in zip(self.items, self.sizes, strict=True)]
+        owners = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
+        hashes, of_item = np.unique(np.concatenate(windows), return_inverse=True)
+        order = np.argsort(of_item, kind="stable")
+        starts = np.searchsorted(of_item[order], np.arange(len(hashes) + 1))
+        return Seeds(size, hashes, starts, owners[order], of_item, np.cumsum([0, *map(len, windows)]))
+
+    def candidates(self, codes: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Items of which seeds that the document has can cover the threshold, with the document's words in those seeds (stretches, -1 between).
+
+        Items are counted before any is looked at, each seed of the document once: one that very many items have adds one
+        count to each, and an item without enough of them costs nothing more.
+        """
         values = mixed(codes)
-        for size, (hashes, owners) in self.seeds.items():
-            windows = window_hashes(values, size)
-            at = np.minimum(np.searchsorted(hashes, windows), len(hashes) - 1)
-            places = np.flatnonzero(hashes[at] == windows)
-            for place, seed in zip(places.tolist(), at[places].tolist(), strict=True):
-                for k in owners[seed].tolist():
-                    if k not in found:
-                        found[k] = np.zeros(len(codes), dtype=bool)
-                    found[k][place : place + size] = True
-        return found
+        for seeds in self.seeds:
+            places, own = seeds.found(values)
+            if not len(places):
+                continue
+            distinct = np.unique(own)
+            items, counts = seeds.item_places(distinct)
+            for k in items[counts * seeds.size >= threshold * np.array([len(self.items[i]) for i in items.tolist()])].tolist():
+                of_item = seeds.of_item[seeds.begins[k] : seeds.begins[k + 1]]
+                need = threshold * len(self.items[k])
+                if covered_places(np.flatnonzero(np.isin(of_item, distinct)), seeds.size) < need:
+                    continue
+                here = places[np.isin(own, of_item)]
+                if min(covered_places(here, seeds.size), len(self.items[k])) < need:
+                    continue
+                cut = np.flatnonzero(np.diff(here) > seeds.size) + 1
+                yield k, np.concatenate([np.append(np.arange(part[0], part[-1] + seeds.size), -1) for part in np.split(here, cut)])
 
     def leaks(self, text: bytes, threshold: float) -> list[tuple[int, list[Tile]]]:
         """Items whose tiles cover at least ``threshold`` of their words, with the tiles."""
         get = self.codes.get
         codes = np.array([get(w, ABSENT) for w in words_of(text)], dtype=np.int64)
         out = []
-        for k, shared in self.candidates(codes).items():
-            item = self.items[k]
-            if min(int(shared.sum()), len(item)) < threshold * len(item):
-                continue
+        for k, where in self.candidates(codes, threshold):
             # words outside shared seeds are in no tile: only the shared stretches are compared, kept apart by an absent word
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], shared, [False]]).astype(np.int8)))
-            where = np.concatenate([np.append(np.arange(a, b), -1) for a, b in edges.reshape(-1, 2)])
-            part = np.where(where >= 0, codes[where], ABSENT)
-            tiles = greedy_tiles(part, item, self.sizes[k])
+            item = self.items[k]
+            tiles = greedy_tiles(np.where(where >= 0, codes[where], ABSENT), item, self.sizes[k])
             if sum(t.length for t in tiles) >= threshold * len(item):
                 out.append((k, [Tile(int(where[t.doc_start]), t.item_start, t.length) for t in tiles]))
         return sorted(out)
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> list[DataFrame]:
-    """The items with words, distinct, in blocks whose texts are about ``block_chars`` characters together."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // block_chars) if total else 0
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+@dataclass(frozen=True)
+class Block:
+    """One part of the items in the shared folder, read by the tasks themselves."""
 
+    folder: str
+    number: int
+    min_tile: int
 
-def seed_indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, min_tile: int, block_chars: int) -> Iterator:
-    """One named broadcast of a SeedIndex's items per block."""
-    for block in blocks_of(benchmark, item_col, text_col, block_chars):
-        rows = sorted(((r["item_id"], r["text"].encode()) for r in block.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        if sum(len(r[1]) for r in rows) > 8 * block_chars + max(len(r[1]) for r in [*rows, (None, b"")]):
-            raise ValueError("a block of items is far larger than its bound: choose smaller blocks")
-        yield uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((rows, min_tile))
+    def index(self) -> SeedIndex:
+        import pyarrow.dataset
+        from pyarrow import fs
 
+        system, base = fs.FileSystem.from_uri(self.folder)
+        found = pyarrow.dataset.dataset(f"{base}/block={self.number}", filesystem=system, format="parquet").to_table(columns=["item_id", "text"])
+        rows = zip(found["item_id"].to_pylist(), (t.encode() for t in found["text"].to_pylist()), strict=True)
+        return SeedIndex(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])), self.min_tile)
 
-_indexes: dict[str, SeedIndex] = {}
 
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, min_tile: int, block_chars: int) -> list[Block]:
+    """The distinct items with a text, written to the shared folder in blocks of about ``block_chars`` characters each; only their number reaches the driver."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-total // block_chars)
+    if not n:
+        return []
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    sizes = dealt.groupBy("block").agg(F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest"))
+    if not sizes.where(F.col("chars") > 8 * block_chars + F.col("longest")).isEmpty():
+        raise ValueError("a block of items is far larger than its bound: choose smaller blocks")
+    folder = new_folder(benchmark.sparkSession, "benchmark-blocks")
+    dealt.repartition("block").write.partitionBy("block").parquet(folder)
+    return [Block(folder, r["block"], min_tile) for r in sizes.select("block").orderBy("block").collect()]
+
+
+_indexes: dict[Block, SeedIndex] = {}
 
-def index_of(sent: tuple) -> SeedIndex:
-    """The index of a named broadcast, built once per worker; only the latest is kept."""
-    name, items = sent
-    if name not in _indexes:
+
+def index_of(block: Block) -> SeedIndex:
+    """The index of a block, built once per worker; only the latest is kept."""
+    if block not in _indexes:
         _indexes.clear()
-        _indexes[name] = SeedIndex(*items.value)
-    return _indexes[name]
+        _indexes[block] = block.index()
+    return _indexes[block]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_tile: int = MIN_TILE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -231,9 +284,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(id_col, F.col(text_col).cast("string"))
     out = docs.sparkSession.createDataFrame([], schema)
 
-    def runner(sent):
+    def runner(block: Block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = index_of(sent)
+            index = index_of(block)
             for batch in batches:
                 columns: list[list] = [[] for _ in range(6)]
                 for at, text in enumerate(texts(batch.column(1))):
@@ -255,24 +308,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     def item_array(values: list) -> pa.Array:
         return pa.array(values, type=arrow_item)
 
-    parts = [map_rows(rows, runner(sent), schema) for sent in seed_indexes(docs, benchmark, item_col, item_text_col, min_tile, block_chars)]
+    parts = [map_rows(rows, runner(block), schema) for block in item_blocks(benchmark, item_col, item_text_col, min_tile, block_chars)]
     for k, part in enumerate(parts):
         out = part if k == 0 else out.unionByName(part)
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_tile: int = MIN_TILE, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, into which no item leaked (null and empty texts stay)."""
+    """The rows of ``docs``, all columns unchanged, into which no item leaked.
+
+    Null and empty texts stay; repeated rows are judged each by itself; an empty benchmark or table changes nothing.
+    """
     at = docs.columns.index(text_col)
 
-    def runner(sent):
+    def runner(block: Block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = index_of(sent)
+            index = index_of(block)
             for batch in batches:
                 yield batch.filter(pa.array([not index.leaks(t, threshold) for t in texts(batch.column(at))], pa.bool_()))
 
         return run
 
-    for sent in seed_indexes(docs, benchmark, item_col, item_text_col, min_tile, block_chars):
-        docs = map_rows(docs, runner(sent), docs.schema)
+    for block in item_blocks(benchmark, item_col, item_text_col, min_tile, block_chars):
+        docs = map_rows(docs, runner(block), docs.schema)
     return docs

@@ -14,6 +14,8 @@ import numpy as np
 #: Marks a place of a stream without a token.
 NOTHING = -1
 WINDOW = 16
+#: Streams that are trained side by side.
+WIDTH = 512
 SCORE_WINDOW = 32
 #: Tokens through which the state is carried in training.
 SEGMENT = 256
@@ -72,48 +74,73 @@ def initial(counts: np.ndarray, classes: int, class_size: int, hidden: int, seed
 
 
 def sigmoid(a: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-a))
+    """1 / (1 + exp(-a)), in place."""
+    np.negative(a, out=a)
+    np.exp(a, out=a)
+    a += 1
+    return np.reciprocal(a, out=a)
 
 
-def step(w: Weights, h: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """The state after the tokens, and what backpropagation needs."""
+def step(w: Weights, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """The state after tokens with the gate inputs ``x``, and what backpropagation needs."""
     n = w.hidden
-    x, a = w.x[tokens], h @ w.h
+    a = h @ w.h
     gates = sigmoid(x[:, : 2 * n] + a[:, : 2 * n])
     z, r = gates[:, :n], gates[:, n:]
-    c = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
-    return c + z * (h - c), (h, z, r, c, a[:, 2 * n :])
+    c = r * a[:, 2 * n :]
+    c += x[:, 2 * n :]
+    np.tanh(c, out=c)
+    after = h - c
+    after *= z
+    after += c
+    return after, (h, z, r, c, a[:, 2 * n :])
 
 
-def log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(axis=1, keepdims=True)
-    return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
+def log_softmax(a: np.ndarray, bounded: bool) -> np.ndarray:
+    """The log softmax of the rows, in place; rows whose values are ``bounded`` need no shift."""
+    if not bounded:
+        a -= a.max(axis=1, keepdims=True)
+    a -= np.log(np.exp(a).sum(axis=1, keepdims=True))
+    return a
+
 
+def within_bounds(w: Weights) -> bool:
+    """Whether no value of which an exponential is taken can be large: states lie between -1 and 1, so weights bound them."""
+    return max(np.abs(w.class_w).sum(axis=0).max() + np.abs(w.class_b).max(), np.abs(w.word_w).sum(axis=1).max() + np.abs(w.word_b).max()) < 60
 
-def by_class(tokens: np.ndarray, class_size: int, classes: int) -> list[tuple[int, np.ndarray]]:
-    """For every class that occurs, the places of its tokens."""
+
+def by_class(tokens: np.ndarray, class_size: int, classes: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order that puts the tokens of a class side by side, and the stretch of every class that occurs."""
     group = (tokens // class_size).astype(np.int16)  # short keys are sorted by counting
     order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(classes + 1))
-    return [(k, order[ends[k] : ends[k + 1]]) for k in range(classes) if ends[k] < ends[k + 1]]
+    ends = np.searchsorted(group[order], np.arange(classes + 1)).tolist()
+    return order, [(k, slice(ends[k], ends[k + 1])) for k in range(classes) if ends[k] < ends[k + 1]]
+
+
+def word_values(w: Weights, states: np.ndarray, stretches: list[tuple[int, slice]]) -> np.ndarray:
+    """What the words of each state's class get before the softmax; states stand by class."""
+    out = np.empty((len(states), w.class_size), np.float32)
+    for k, at in stretches:
+        np.matmul(states[at], w.word_w[k], out=out[at])
+        out[at] += w.word_b[k]
+    return out
 
 
 def log_share(a: np.ndarray, own: np.ndarray, bounded: bool) -> np.ndarray:
-    """The log softmax of one column of each row; rows whose values are ``bounded`` need no shift."""
+    """The log softmax of one column of each row; ``a`` is used up."""
     if not bounded:
-        a = a - a.max(axis=1, keepdims=True)
+        a -= a.max(axis=1, keepdims=True)
     chosen = a[np.arange(len(own)), own]
     return chosen - np.log(np.exp(a, out=a).sum(axis=1))
 
 
 def log_likelihood(w: Weights, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Natural log probability of each token given the state before it."""
-    size = w.class_size
-    # states lie between -1 and 1, so weights bound the values whose exponentials are summed
-    bounded = max(np.abs(w.class_w).sum(axis=0).max() + np.abs(w.class_b).max(), np.abs(w.word_w).sum(axis=1).max() + np.abs(w.word_b).max()) < 60
-    out = log_share(states @ w.class_w + w.class_b, tokens // size, bounded)
-    for k, at in by_class(tokens, size, w.class_b.shape[0]):
-        out[at] += log_share(states[at] @ w.word_w[k] + w.word_b[k], tokens[at] % size, bounded)
+    size, bounded = w.class_size, within_bounds(w)
+    order, stretches = by_class(tokens, size, w.class_b.shape[0])
+    states, tokens = states[order], tokens[order]
+    out = np.empty(len(tokens), np.float32)
+    out[order] = log_share(states @ w.class_w + w.class_b, tokens // size, bounded) + log_share(word_values(w, states, stretches), tokens % size, bounded)
     return out
 
 
@@ -126,7 +153,7 @@ def columns_of(documents: list[np.ndarray], start: int, steps: int) -> np.ndarra
     return np.ascontiguousarray(table.T)
 
 
-def score(w: Weights, documents: list[np.ndarray], together: int = 256) -> np.ndarray:
+def score(w: Weights, documents: list[np.ndarray], together: int = 1024) -> np.ndarray:
     """Natural log probability of every whole document; documents of like length run side by side."""
     out = np.zeros(len(documents))
     order = np.argsort([-len(d) for d in documents], kind="stable")
@@ -139,7 +166,8 @@ def score(w: Weights, documents: list[np.ndarray], together: int = 256) -> np.nd
             live = int(np.searchsorted(-sizes, -start, side="left"))  # sizes descend: those with more than ``start`` tokens
             steps = min(SCORE_WINDOW, int(sizes[0]) - start)
             tokens, h, states = columns_of(own[:live], start, steps), h[:live], []
-            for now in tokens:  # a document that ends within the window runs on to its end, uncounted
+            inputs = w.x[tokens]
+            for now in inputs:  # a document that ends within the window runs on to its end, uncounted
                 states.append(h)
                 h, _ = step(w, h, now)
             there = np.arange(start, start + steps)[:, None] < sizes[None, :live]
@@ -154,59 +182,65 @@ def gradients(w: Weights, h0: np.ndarray, window: np.ndarray, end: int) -> tuple
     The state of a stream starts anew after the ``end`` token and after NOTHING, which is not counted.
     """
     steps, n = window.shape[0], w.hidden
+    there = window != NOTHING
+    words = np.where(there, window, 0)
+    inputs = w.x[words]
+    goes_on = (there & (window != end)).astype(np.float32)[:, :, None]
     h, kept, states = h0, [], []
     for t in range(steps):
-        tokens = np.maximum(window[t], 0)
-        there = (window[t] != NOTHING)[:, None]
         states.append(h)
-        after, memory = step(w, h, tokens)
-        goes_on = (there & (window[t] != end)[:, None]).astype(np.float32)
-        kept.append((tokens, memory, goes_on))
-        h = after * goes_on
-    flat_h, flat = np.concatenate(states), window.reshape(-1)
-    count = flat != NOTHING
-    used, tokens = flat_h[count], flat[count]
-    size, classes, m = w.class_size, w.class_b.shape[0], max(int(count.sum()), 1)
-    p = log_softmax(used @ w.class_w + w.class_b)
-    group = tokens // size
-    loss = -float(p[np.arange(len(tokens)), group].sum())
-    p = np.exp(p)
-    p[np.arange(len(tokens)), group] -= 1
-    p /= m
-    d_used = p @ w.class_w.T
+        after, memory = step(w, h, inputs[t])
+        kept.append(memory)
+        h = after * goes_on[t]
+    flat_h, flat, count = np.concatenate(states), words.reshape(-1), there.reshape(-1)
+    whole = count.all()
+    used, tokens = (flat_h, flat) if whole else (flat_h[count], flat[count])
+    size, classes, m, bounded = w.class_size, w.class_b.shape[0], max(len(tokens), 1), within_bounds(w)
+    order, stretches = by_class(tokens, size, classes)
+    used, tokens, at = used[order], tokens[order], np.arange(len(tokens))
+    loss, shares = 0.0, []
+    for values, own in ((used @ w.class_w + w.class_b, tokens // size), (word_values(w, used, stretches), tokens % size)):
+        p = log_softmax(values, bounded)
+        loss -= float(p[at, own].sum())
+        np.exp(p, out=p)
+        p[at, own] -= 1
+        p /= m
+        shares.append(p)
+    p, q = shares
+    d_sorted = p @ w.class_w.T
     grad = replace(w, x=np.zeros_like(w.x), h=np.zeros_like(w.h), class_w=used.T @ p, class_b=p.sum(axis=0), word_w=np.zeros_like(w.word_w), word_b=np.zeros_like(w.word_b))
-    for k, at in by_class(tokens, size, classes):
-        q = log_softmax(used[at] @ w.word_w[k] + w.word_b[k])
-        own = tokens[at] % size
-        loss -= float(q[np.arange(len(at)), own].sum())
-        q = np.exp(q)
-        q[np.arange(len(at)), own] -= 1
-        q /= m
-        grad.word_w[k], grad.word_b[k] = used[at].T @ q, q.sum(axis=0)
-        d_used[at] += q @ w.word_w[k].T
-    d_states = np.zeros_like(flat_h)
-    d_states[count] = d_used
-    d_states = d_states.reshape(steps, -1, n)
+    for k, own in stretches:
+        grad.word_w[k], grad.word_b[k] = used[own].T @ q[own], q[own].sum(axis=0)
+        d_sorted[own] += q[own] @ w.word_w[k].T
+    d_used = np.empty_like(d_sorted)
+    d_used[order] = d_sorted
+    if whole:
+        d_states = d_used.reshape(steps, -1, n)
+    else:
+        d_states = np.zeros_like(flat_h)
+        d_states[count] = d_used
+        d_states = d_states.reshape(steps, -1, n)
     d_h = np.zeros_like(h0)
-    d_x = np.zeros((steps, h0.shape[0], 3 * n), np.float32)
+    d_x = np.empty((steps, h0.shape[0], 3 * n), np.float32)
+    d_a = np.empty((h0.shape[0], 3 * n), np.float32)
     for t in range(steps - 1, -1, -1):
-        tokens, (before, z, r, c, a), goes_on = kept[t]
-        d = d_h * goes_on
-        d_c = d * (1 - z) * (1 - c * c)
-        d_z = d * (before - c) * z * (1 - z)
-        d_r = d_c * a * r * (1 - r)
-        d_x[t] = np.concatenate([d_z, d_r, d_c], axis=1)
-        d_a = np.concatenate([d_z, d_r, d_c * r], axis=1)
+        before, z, r, c, a = kept[t]
+        d = d_h * goes_on[t]
+        d_z, d_r, d_c = d_x[t, :, :n], d_x[t, :, n : 2 * n], d_x[t, :, 2 * n :]
+        np.multiply(d, (1 - z) * (1 - c * c), out=d_c)
+        np.multiply(d, (before - c) * (z * (1 - z)), out=d_z)
+        np.multiply(d_c, a * (r * (1 - r)), out=d_r)
+        d_a[:, : 2 * n] = d_x[t, :, : 2 * n]
+        np.multiply(d_c, r, out=d_a[:, 2 * n :])
         grad.h += before.T @ d_a
-        d_h = d * z + d_a @ w.h.T + d_states[t]
-    ids = np.concatenate([k[0] for k in kept])
-    rows, place = np.unique(ids, return_inverse=True)
-    by_word = np.zeros((len(rows), len(ids)), np.float32) if len(rows) * len(ids) < 2_000_000 else None
-    if by_word is not None:
-        by_word[place, np.arange(len(ids))] = 1
-        grad.x[rows] = by_word @ d_x.reshape(len(ids), -1)
-    else:
-        np.add.at(grad.x, ids, d_x.reshape(len(ids), -1))
+        d *= z
+        d += d_a @ w.h.T
+        d += d_states[t]
+        d_h = d
+    # the rows of a word side by side, and one sum for each word
+    order = np.argsort(flat.astype(np.uint16 if len(w.x) <= 1 << 16 else np.int64), kind="stable")
+    rows, first = np.unique(flat[order], return_index=True)
+    grad.x[rows] = np.add.reduceat(d_x.reshape(len(flat), -1)[order], first, axis=0)
     return loss / m, grad, h
 
 
@@ -245,7 +279,7 @@ def streams(documents: list[np.ndarray], n: int, seed: int = 13) -> np.ndarray:
     return np.ascontiguousarray(table.reshape(n, steps).T)
 
 
-def train(w: Weights, documents: list[np.ndarray], end: int, optimizer: Adam, width: int = 64, window: int = WINDOW) -> float:
+def train(w: Weights, documents: list[np.ndarray], end: int, optimizer: Adam, width: int = WIDTH, window: int = WINDOW) -> float:
     """One pass over the documents (each ending in ``end``), changing the weights in place; the mean loss per token."""
     if not documents:
         return 0.0

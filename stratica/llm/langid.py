@@ -26,6 +26,8 @@ DOC_SIZE = 400
 #: More learned languages than this do not fit the bound on what the driver gathers.
 MAX_LANGUAGES = 2_000
 BOUNDARY = 0
+#: Places of a text whose n-grams are held at a time.
+SLICE = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -34,27 +36,47 @@ def letters() -> np.ndarray:
     return np.array([c if chr(c).isalpha() else BOUNDARY for c in range(0x110000)], dtype=np.int64)
 
 
-def ngrams(text: str) -> np.ndarray:
-    """All n-grams of the lower-cased letters, packed 21 bits a character; a boundary stands only at an n-gram's ends.
+def ngrams(codes: np.ndarray, starts: int) -> np.ndarray:
+    """All n-grams that begin at the first ``starts`` places, packed 21 bits a character; a boundary stands only at an n-gram's ends.
 
     The number of characters is part of the code: one more boundary at the left would be a different n-gram, so
     n-grams with a leading boundary keep a marker above their characters.
     """
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32)
     a = letters()[codes]
-    x, y = a[:-1], a[1:]
+    x, y = a[:-1][:starts], a[1:][:starts]
     pairs = (x << 21) | y
     pairs = pairs[(x > 0) | (y > 0)]
-    first, middle, last = a[:-2], a[1:-1], a[2:]
+    first, middle, last = a[:-2][:starts], a[1:-1][:starts], a[2:][:starts]
     inside = middle > 0
     # a letter's code point is below 2**18, so the marker bits of the length are free above 18 bits of the first place
     triples = ((first << 42) | (middle << 21) | last)[inside]
-    return np.concatenate([a[a > 0] | (np.int64(1) << 19), pairs | (np.int64(1) << 40), triples | (np.int64(1) << 62)])
+    single = a[:starts]
+    return np.concatenate([single[single > 0] | (np.int64(1) << 19), pairs | (np.int64(1) << 40), triples | (np.int64(1) << 62)])
+
+
+def gram_slices(text: str, size: int = SLICE) -> Iterator[np.ndarray]:
+    """The n-grams of the lower-cased letters of a whole text, ``size`` places at a time; slices overlap by two characters."""
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32)
+    for at in range(0, len(codes), size):
+        yield ngrams(codes[at : at + size + 2], min(size, len(codes) - at))
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text, ascending, and their counts."""
+    grams, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for part in gram_slices(text):
+        own, n = np.unique(part, return_counts=True)
+        if not len(grams):
+            grams, counts = own, n
+        else:
+            grams, place = np.unique(np.concatenate([grams, own]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, n]), minlength=len(grams)).astype(np.int64)
+    return grams, counts
 
 
 def ranked(text: str, size: int) -> np.ndarray:
     """The text's ``size`` most frequent n-grams, most frequent first, ties by code."""
-    grams, counts = np.unique(ngrams(text), return_counts=True)
+    grams, counts = counted(text)
     return grams[np.lexsort((grams, -counts))[:size]]
 
 
@@ -85,7 +107,10 @@ class Profiles:
 
 
 def count_ngrams(docs: DataFrame, lang_col: str, text_col: str, flush: int = 4_000_000) -> DataFrame:
-    """(lang, gram, n) over all rows with a language: partial sums in the tasks, then one aggregation."""
+    """(lang, gram, n) over all rows with a language: partial sums in the tasks, then one aggregation.
+
+    Rows with a null language or text are left out, empty texts count nothing, repeated rows count each; no rows, no counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -99,12 +124,12 @@ def count_ngrams(docs: DataFrame, lang_col: str, text_col: str, flush: int = 4_0
 
         for rows in batches:
             for lang, text in zip(rows.column(0).to_pylist(), texts(rows.column(1)), strict=True):
-                part = ngrams(text.decode("utf-8", "replace"))
-                held.setdefault(lang, []).append(part)
-                size += len(part)
-                if size >= flush:
-                    yield from sums()
-                    size = 0
+                for part in gram_slices(text.decode("utf-8", "replace")):
+                    held.setdefault(lang, []).append(part)
+                    size += len(part)
+                    if size >= flush:
+                        yield from sums()
+                        size = 0
         yield from sums()
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))

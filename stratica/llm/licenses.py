@@ -10,9 +10,11 @@ Rows are independent: no shuffle, no state between rows, so any hot source or ve
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,11 +25,15 @@ from stratica.llm.common import ALNUM, arrow_ddl, ascii_lower, batch, map_rows,
 
 @dataclass(frozen=True)
 class Notice:
-    """A phrase of lower-case words, its label, and the number of character edits allowed (0: exact)."""
+    """A phrase of lower-case words, its label, the number of character edits allowed (0: exact), and words that must stand as they are.
+
+    ``exact`` are the words by which one notice differs from another: edits may not turn them into each other.
+    """
 
     label: str
     phrase: str
     edits: int = 0
+    exact: tuple[str, ...] = ()
 
 
 #: The exact phrases of the base scan.
@@ -37,24 +43,29 @@ BASE = (
     Notice("reserved", "all rights reserved"),
 )
 
-#: Opening sentences of common public notices, with the edits allowed in each.
+#: Opening sentences of common public notices, with the edits allowed in each and the words that tell them apart.
 NOTICES = (
-    Notice("agpl", "gnu affero general public license", 3),
-    Notice("apache-2.0", "licensed under the apache license", 3),
+    Notice("agpl", "gnu affero general public license", 3, ("affero",)),
+    Notice("apache-2.0", "licensed under the apache license", 3, ("apache",)),
     Notice("bsd", "redistribution and use in source and binary forms", 5),
-    Notice("cc-by", "licensed under cc by", 2),
-    Notice("cc-by", "creative commons attribution", 3),
-    Notice("cc-by-nc", "licensed under cc by nc", 2),
-    Notice("cc0", "creative commons zero", 2),
+    Notice("bsd", "released under the bsd license", 3, ("bsd",)),
+    Notice("cc-by", "licensed under cc by", 2, ("cc", "by")),
+    Notice("cc-by", "creative commons attribution", 3, ("attribution",)),
+    Notice("cc-by-nc", "licensed under cc by nc", 2, ("cc", "by", "nc")),
+    Notice("cc-by-nd", "licensed under cc by nd", 2, ("cc", "by", "nd")),
+    Notice("cc-by-sa", "licensed under cc by sa", 2, ("cc", "by", "sa")),
+    Notice("cc0", "creative commons zero", 2, ("zero",)),
     Notice("copyright", "copyright notice and this permission notice", 4),
-    Notice("gpl", "gnu general public license", 3),
-    Notice("lgpl", "gnu lesser general public license", 3),
-    Notice("mit", "released under the mit license", 3),
+    Notice("gpl", "gnu general public license", 3, ("gnu",)),
+    Notice("gpl", "released under the gpl license", 3, ("gpl",)),
+    Notice("isc", "released under the isc license", 3, ("isc",)),
+    Notice("lgpl", "gnu lesser general public license", 3, ("lesser",)),
+    Notice("mit", "released under the mit license", 3, ("mit",)),
     Notice("mit", "permission is hereby granted free of charge", 4),
-    Notice("mpl-2.0", "mozilla public license", 2),
+    Notice("mpl-2.0", "mozilla public license", 2, ("mozilla",)),
     Notice("proprietary", "unauthorized copying of this file", 3),
     Notice("reserved", "all rights reserved", 2),
-    Notice("spdx", "spdx license identifier", 2),
+    Notice("spdx", "spdx license identifier", 2, ("spdx",)),
     Notice("unlicense", "released into the public domain", 3),
 )
 
@@ -116,10 +127,22 @@ class Scanner:
         for i, spans in windows.items():
             for low, high in merged(spans):
                 low = max(low, 0)
-                for hit in self.verify[i].finditer(joined, low, min(high, len(joined)), overlapped=False):
+                for hit in self.places(i, joined, low, min(high, len(joined))):
                     found.append((i, hit.start() - 1, hit.end() - 1, sum(hit.fuzzy_counts), hit.group()))
         found.sort()
-        return len(words), [(i, joined.count(" ", 0, start + 1) - 1, start, end, edits, what) for i, start, end, edits, what in found]
+        if not found:
+            return len(words), []
+        begins = list(accumulate((len(w) + 1 for w in joined[1:-1].split(" ")), initial=0))  # of each word, without the blank in front
+        return len(words), [(i, bisect_right(begins, start) - 1, start, end, edits, what) for i, start, end, edits, what in found]
+
+    def places(self, i: int, joined: str, low: int, high: int) -> Iterator:
+        """Matches of a notice in a stretch, one after another; where its exact words are not in one, the search goes on behind its start."""
+        exact = set(self.notices[i].exact)
+        while hit := self.verify[i].search(joined, low, high):
+            kept = not exact or exact <= set(hit.group().split(" "))
+            if kept:
+                yield hit
+            low = max(hit.end() if kept else hit.start() + 1, low + 1)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

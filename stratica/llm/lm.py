@@ -5,8 +5,10 @@ words and grows with the corpus, so it stays a table.  The most frequent words a
 Any other word is the model's "other" followed by its share among the other words: the probabilities of all words of
 the training corpus and one unknown word add up to one.
 
-Counts of the most frequent ``head`` words travel with the tasks.  The rest of each text's words (none of them can be a
-hot key, since all hot words are in the head) is joined with the count table once, after the texts have been read.
+Counts of the most frequent ``head`` words travel with the tasks.  The rest of each text's words is joined with the count
+table once, after the texts have been read.  A word that is frequent in training texts is in the head and so no hot key
+there; one that is frequent only in texts that are not learned from can be, and adaptive execution splits its rows, as both
+sides of the join are read from stored tables.
 
 The network is trained by replicas: tasks that start from the same weights each pass over their part of the training
 documents, and their weights are averaged, for a few rounds.  Every training document is used once, in one of the rounds.
@@ -25,19 +27,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratica.llm import gru
-from stratica.llm.common import ascii_lower, crc_mod5, map_rows, most_frequent, stored, texts
+from stratica.llm.common import ascii_lower, crc_mod5, map_rows, most_frequent, small_batches, stored, texts
 
 #: The end of a text in the count table: no word has a blank.
 END = b" "
 CLASSES, CLASS_SIZE, HIDDEN = 32, 32, 16
 HEAD = 100_000
-REPLICA_TOKENS = 250_000
+REPLICA_TOKENS = 1_000_000
 MOST_REPLICAS = 4_096
 ROUNDS = 2
-RATE = 0.01
+RATE = 0.05
 #: Tokens that a replica holds at a time, and characters that are scored side by side.
-CHUNK_TOKENS = 100_000
-CHUNK_BYTES = 2_000_000
+CHUNK_TOKENS = 300_000
+CHUNK_BYTES = 6_000_000
 #: Averaging goes through tasks of so many replicas each before the driver.
 FAN_IN = 64
 
@@ -184,7 +186,6 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, id_col: str =
     tail_kind = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]))
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("_tail", tail_kind)])
-    arrow_tail = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # head words and weights: bounded by the model's parameters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,11 +198,14 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, id_col: str =
         end_log = float(log10_share(np.array(model.ends), model.tokens, model.distinct))
         end_known = int(model.ends > 0)
 
-        def scored(ids: pa.Array, many: list[bytes]) -> pa.RecordBatch:
+        held_ids: list[pa.Array] = []
+        held: list[bytes] = []
+
+        def scored() -> pa.RecordBatch:
             nonlocal row
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "other", "tail")}
-            sequences = []
-            for text in many:
+            out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "other")}
+            sequences, rare_words, rare_counts, ends = [], [], [], [0]
+            for text in held:
                 words, codes = model.code(text)
                 known = codes[codes >= 0]
                 sequences.append(model.network_ids(codes))
@@ -210,19 +214,29 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, id_col: str =
                 out["base"].append(float(base_logs[known].sum()) + end_log)
                 out["other"].append(float(other_logs[known].sum()))
                 rare = Counter([words[i] for i in np.flatnonzero(codes < 0).tolist()])
-                out["tail"].append([{"word": w, "n": n} for w, n in rare.items()])
+                rare_words += rare.keys()
+                rare_counts += rare.values()
+                ends.append(len(rare_words))
             score = gru.score(model.weights, sequences) / ln10 + np.array(out["other"])
-            rows = np.arange(row, row + len(many))
-            row += len(many)
-            return pa.RecordBatch.from_arrays([pa.array(rows), ids, pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(score), pa.array(out["tail"], arrow_tail)], names=schema.names)
-
-        for batch in batches:
-            many = texts(batch.column(1))
-            sizes, first = np.cumsum([len(t) for t in many]), 0
-            while first < len(many):  # bounded memory whatever the batch
-                last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + CHUNK_BYTES, side="right")))
-                yield scored(batch.column(0).slice(first, last - first), many[first:last])
-                first = last
+            rows = np.arange(row, row + len(held))
+            row += len(held)
+            tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "n"]))
+            ids = pa.concat_arrays(held_ids)
+            held_ids.clear()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows), ids, pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(score), tail], names=schema.names)
+
+        size = 0
+        for batch in batches:  # texts side by side across batches, and bounded whatever their lengths
+            for part in small_batches([batch], CHUNK_BYTES):
+                if held and size + part.nbytes > CHUNK_BYTES:
+                    yield scored()
+                    size = 0
+                held_ids.append(part.column(0))
+                held += texts(part.column(1))
+                size += part.nbytes
+        if held:
+            yield scored()
 
     read = stored(map_rows(docs.select(id_col, F.col(text_col).cast("string")), run, schema), "lm-scores")
     rare = read.select("_row", F.explode("_tail").alias("t")).select("_row", F.col("t.word").alias("word"), F.col("t.n").alias("k"))

@@ -2,16 +2,19 @@
 
 Each id takes the minimum bits for the vocabulary.  A shard file holds whole documents in ascending id order:
 
-    magic 8 bytes | bits, block size, documents, ids, blocks, first id's number: 6 unsigned 64-bit integers
+    magic 8 bytes | bits, block size, documents, ids, blocks, number of the shard in its range: 6 unsigned 64-bit integers
     document ids: signed 64-bit | document starts: unsigned 64-bit (documents + 1) | block offsets: unsigned 64-bit (blocks + 1)
     packed blocks: ``block`` ids each (the last fewer), each block starting on a byte
 
-All integers are little-endian.  Block offsets make any id reachable without unpacking what stands before it.
+All integers are little-endian.  Block offsets make any id reachable without unpacking what stands before it.  Beside the
+shards of each range lies its index file, written once all sizes are known:
 
-Documents are dealt by ranges of their id (a hash of the text breaks ties, so repeated ids do not pile up in one
-range) and sorted within; every task writes shards of bounded size straight to the shared folder and renames each into
-place, so a task that is run again replaces its files with equal ones.  Only one row per shard is gathered, for the running
-sum of ids.
+    magic 8 bytes | for every shard of the range in order: the number of ids of all shards before it, unsigned 64-bit
+
+Documents are dealt by ranges of their id (a hash of the text and the row's place break ties, so neither repeated ids nor
+repeated rows pile up in one range) and sorted within; every task writes shards of bounded size straight to the shared
+folder and renames each into place, so a task that is run again replaces its files with equal ones.  The running sums are
+taken on Spark: over the ranges, then over the shards of each; nothing of the corpus or of its shards reaches the driver.
 """
 
 from __future__ import annotations
@@ -23,13 +26,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratica.llm.common import map_rows, new_folder, texts
+from stratica.llm.common import drop_stored, map_rows, new_folder, stored, texts
 
-MAGIC = b"BITPACK1"
+MAGIC, INDEX_MAGIC = b"BITPACK1", b"BITPIDX1"
 BLOCK = 4096
 SHARD_IDS = 4_000_000
 KEPT_WORDS = 400_000
@@ -57,14 +60,14 @@ def unpack(data: bytes | memoryview, bits: int, n: int) -> np.ndarray:
     return np.packbits(wide.reshape(-1), bitorder="little").view("<u4")
 
 
-def shard_image(doc_ids: list[int], ids: list[np.ndarray], bits: int, block: int = BLOCK) -> bytes:
+def shard_image(doc_ids: list[int], ids: list[np.ndarray], bits: int, block: int = BLOCK, number: int = 0) -> bytes:
     """The file of one shard."""
     sizes = np.array([len(x) for x in ids], dtype="<u8")
     flat = np.concatenate([np.zeros(0, dtype="<u4"), *ids])
     blocks = [pack(flat[i : i + block], bits) for i in range(0, len(flat), block)]
     out = io.BytesIO()
     out.write(MAGIC)
-    out.write(np.array([bits, block, len(ids), len(flat), len(blocks), 0], dtype="<u8").tobytes())
+    out.write(np.array([bits, block, len(ids), len(flat), len(blocks), number], dtype="<u8").tobytes())
     out.write(np.array(doc_ids, dtype="<i8").tobytes())
     out.write(np.concatenate([np.zeros(1, dtype="<u8"), np.cumsum(sizes, dtype="<u8")]).astype("<u8").tobytes())
     out.write(np.concatenate([np.zeros(1), np.cumsum([len(b) for b in blocks])]).astype("<u8").tobytes())
@@ -79,7 +82,7 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a token-id shard")
-        self.bits, self.block, docs, self.n_ids, blocks, _ = (int(x) for x in np.frombuffer(data, "<u8", 6, 8))
+        self.bits, self.block, docs, self.n_ids, blocks, self.number = (int(x) for x in np.frombuffer(data, "<u8", 6, 8))
         at = 56
         self.doc_ids = np.frombuffer(data, "<i8", docs, at)
         self.starts = np.frombuffer(data, "<u8", docs + 1, at := at + 8 * docs).astype(np.int64)
@@ -101,6 +104,27 @@ class Shard:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+def shard_name(task: int, number: int) -> str:
+    return f"shard-{task:06d}-{number:06d}.bin"
+
+
+def index_name(task: int) -> str:
+    return f"index-{task:06d}.bin"
+
+
+def put_file(system, base: str, name: str, content: bytes) -> None:
+    """Write a file under another name and move it into place: no reader sees half of it."""
+    passing = f"{base}/_{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(passing) as out:
+        out.write(content)
+    system.move(passing, f"{base}/{name}")
+
+
+def get_file(system, base: str, name: str) -> bytes:
+    with system.open_input_stream(f"{base}/{name}") as found:
+        return found.read()
+
+
 class WordEncoder:
     """Whole texts through the tokenizers library, word by word.
 
@@ -158,7 +182,7 @@ def word_encoder(spec: str) -> WordEncoder:
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Encode, pack and write all rows; returns (file, place, n_docs, n_ids), ``place`` ordering the shards.
+    """Encode, pack and write all rows; returns (range, number, n_docs, n_ids), which order the shards.
 
     A null text is empty and has the end id only; null ids come first and are stored as the smallest integer.
     Rows of one id stand next to each other, ordered by a hash of their text.
@@ -170,9 +194,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
     spark = docs.sparkSession
     bits = bits_for(max(Tokenizer.from_str(spec).get_vocab_size(with_added_tokens=True), end_id + 1))
     sent = spark.sparkContext.broadcast(spec)  # a vocabulary file: a few MB, whatever the data
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumns({"_tie": F.xxhash64("_text"), "_place": F.monotonically_increasing_id()})
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, "_id", "_tie").sortWithinPartitions("_id", "_tie").select("_id", "_text")
+    ranged = rows.repartitionByRange(n, "_id", "_tie", "_place").sortWithinPartitions("_id", "_tie", "_place").select("_id", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -187,12 +211,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
         size = number = 0
 
         def flush() -> pa.RecordBatch:
-            name = f"shard-{task:06d}-{number:06d}.bin"
-            passing = f"{base}/_{name}.{uuid.uuid4().hex}"
-            with system.open_output_stream(passing) as out:
-                out.write(shard_image(held_ids, held, bits))
-            system.move(passing, f"{base}/{name}")
-            row = pa.RecordBatch.from_pydict({"file": [name], "place": [(task << 32) | number], "n_docs": [len(held)], "n_ids": [size]})
+            name = shard_name(task, number)
+            put_file(system, base, name, shard_image(held_ids, held, bits, number=number))
+            row = pa.RecordBatch.from_pydict({"range": [task], "number": [number], "n_docs": [len(held)], "n_ids": [size]})
             held_ids.clear()
             held.clear()
             return row
@@ -212,45 +233,70 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
         if held:
             yield flush()
 
-    return map_rows(ranged, run, "file string, place long, n_docs long, n_ids long")
+    return map_rows(ranged, run, "range long, number long, n_docs long, n_ids long")
 
 
-def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the shard files named by ``manifest``.
+def write_starts(manifest: DataFrame, folder: str) -> DataFrame:
+    """Write the index file of every range; returns (range, n_shards)."""
+    ranges = manifest.groupBy("range").agg(F.sum("n_ids").alias("_all"))  # one row for each range, whatever the corpus
+    before = lambda column, window: F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = ranges.select("range", before("_all", Window.orderBy("range")).alias("_before"))
+    shards = manifest.join(first, "range").select("range", "number", (F.col("_before") + before("n_ids", Window.partitionBy("range").orderBy("number"))).alias("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    ``start`` is the number of ids of all documents before it: the running sum over the shards (one small row each)
-    plus the start within the shard.
+        system, base = fs.FileSystem.from_uri(folder)
+        starts: dict[int, list[int]] = {}
+        for rows in batches:
+            for key, first in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                starts.setdefault(key, []).append(first)
+        for key, own in starts.items():
+            put_file(system, base, index_name(key), INDEX_MAGIC + np.array(own, dtype="<u8").tobytes())
+        yield pa.RecordBatch.from_pydict({"range": pa.array(list(starts), pa.int64()), "n_shards": pa.array(map(len, starts.values()), pa.int64())})
+
+    return map_rows(shards.repartition("range").sortWithinPartitions("range", "number").select("range", "first"), run, "range long, n_shards long")
+
+
+def read_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the shard and index files of the folder.
+
+    ``start`` is the number of ids of all documents before it: that of its shard, from the range's index file, and its start
+    within the shard.  Documents with a null id have none here; repeated rows are separate documents.
     """
-    spark = manifest.sparkSession
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-    shards = sorted(manifest.collect(), key=lambda r: r["place"])  # one row per shard, not per document
-    if not shards:
-        return spark.createDataFrame([], schema)
-    total, starts = 0, []
-    for r in shards:
-        starts.append((r["file"], total))
-        total += r["n_ids"]
-    before = spark.createDataFrame(starts, "file string, before long")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(F.broadcast(before), "file")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder).select("path")  # Spark deals the files; a task opens its own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
         for rows in batches:
-            for content, first in zip(rows.column(0), rows.column(1).to_pylist(), strict=True):
-                shard = Shard(content.as_py())
+            for path in rows.column(0).to_pylist():
+                name = path.rsplit("/", 1)[-1]
+                shard = Shard(get_file(system, base, name))
+                index = get_file(system, base, index_name(int(name.split("-")[1])))
+                if index[:8] != INDEX_MAGIC:
+                    raise ValueError("not an index of token-id shards")
+                first = int(np.frombuffer(index, "<u8", 1, 8 + 8 * shard.number)[0])
                 crcs = [zlib.crc32(shard.document(k).tobytes()) for k in range(len(shard.doc_ids))]
                 keys = [None if k == -(1 << 63) else k for k in shard.doc_ids.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shard.starts[:-1] + first), pa.array(np.diff(shard.starts)), pa.array(crcs, pa.int64())], names=schema.names)
 
-    return map_rows(named.select("content", "before"), run, schema)
+    return map_rows(files, run, schema)
 
 
 def pack_corpus(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[DataFrame, str]:
-    """Write the corpus as shards and return what reading them back gives, and the folder of the files."""
-    from stratica.llm.common import stored
+    """Write the corpus as shards and return what reading them back gives, and the folder of the files.
 
-    folder = folder or new_folder(docs.sparkSession, "token-ids")
+    Nulls, empty texts and repeated rows as in ``write_shards``; an empty table gives no rows and no files.
+    """
+    spark = docs.sparkSession
+    folder = folder or new_folder(spark, "token-ids")
     manifest = stored(write_shards(docs, tokenizer, folder, end_id, id_col, text_col), "token-manifest")
-    return read_shards(manifest, folder), folder
+    if manifest.isEmpty():
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long"), folder
+    drop_stored(stored(write_starts(manifest, folder), "token-starts"), manifest)
+    return read_shards(spark, folder), folder

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratica.llm.common import code_points, hash_order, map_rows, texts
+from stratica.llm.common import code_points, hash_order, map_rows, one_row_an_id, texts
 from stratica.llm.trees import FlatTrees, fit_trees
 
 SYMBOLS = b"#*$%&|<>"
@@ -121,14 +121,15 @@ def with_statistics(docs: DataFrame, id_col: str, text_col: str, carry: str | No
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> FlatTrees:
     """Fit the trees on at most ``train_rows`` labelled ids (smallest hash of the id first).
 
-    Labels other than 0 and 1 and null ids are not used.  Repeated labels of one id count as one, the smaller.
+    Labels other than 0 and 1 and null ids are not used.  Repeated labels of one id count as one, the smaller, and of
+    repeated documents of one id only that of the smallest text hash is learned from.  Null and empty texts have no words.
     With no usable label the trees are empty and keep everything that the base rules keep.
     """
     usable = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("_label")).where(F.col(id_col).isNotNull() & F.col("_label").isin(0, 1))
     chosen = usable.groupBy(id_col).agg(F.min("_label").alias("_label")).orderBy(*hash_order(id_col)).limit(train_rows)
-    sample = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(chosen), id_col)
-    rows = with_statistics(sample, id_col, "_text", carry="_label").select(id_col, "_label", "features").toPandas()
-    rows = rows.assign(_key=[repr(list(f)) for f in rows["features"]]).sort_values([id_col, "_key"])  # the fit must not hang on the order of tasks
+    sample = one_row_an_id(docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), id_col), id_col, "_text")
+    rows = with_statistics(sample, id_col, "_text", carry="_label").select(id_col, "_label", "features").toPandas()  # one row for each of at most train_rows ids
+    rows = rows.sort_values(id_col)  # the fit must not hang on the order of tasks
     x = np.array(rows["features"].tolist(), dtype=float).reshape(len(rows), len(FEATURES))
     return fit_trees(x, rows["_label"].to_numpy(dtype=float), np.array(list(FEATURES.values())))
 
@@ -153,7 +154,10 @@ def judge_quality(docs: DataFrame, trees: FlatTrees, id_col: str = "doc_id", tex
 
 
 def drop_low_quality(docs: DataFrame, trees: FlatTrees, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``judge_quality`` keeps, all columns unchanged."""
+    """The rows of ``docs`` that ``judge_quality`` keeps, all columns unchanged.
+
+    Null and empty texts go, as they fail the base rules; repeated rows are judged each by itself; an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratica.llm.common import ALNUM, ascii_lower, hash_order, map_rows, texts
+from stratica.llm.common import ALNUM, ascii_lower, hash_order, map_rows, one_row_an_id, texts
 
 TRAIN_ROWS = 6_000
 FOLDS = 4
@@ -29,21 +29,25 @@ THRESHOLD = 0.5
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6)
 KEPT_WORDS = 100_000
-#: Plain insults, by which the labelled rows are sorted into categories.
-INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+#: Features most associated with the label that mark a category's rows, and how far from chance they must be.
+MARKERS = 64
+LEAST_Z = 4.0
 
 
 @dataclass(frozen=True)
 class Category:
-    """A label column of 0 and 1; with ``words``, only rows in which they stand ``at_least`` times count as 1."""
+    """A label column of 0 and 1; with a ``quantile``, only those of its rows count as 1 that have as many markers as that quantile of them, one at least.
+
+    Markers are the features most associated with the label.  Each row's are found on the other folds, so a row has no part
+    in choosing its own, and any vocabulary gives categories.
+    """
 
     name: str
     label: str
-    words: tuple[str, ...] = ()
-    at_least: int = 0
+    quantile: float | None = None
 
 
-CATEGORIES = (Category("insult", "toxic", INSULTS, 1), Category("severe", "toxic", INSULTS, 4), Category("toxic", "toxic"))
+CATEGORIES = (Category("marked", "toxic", 0.0), Category("severe", "toxic", 0.5), Category("toxic", "toxic"))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -94,6 +98,44 @@ class Link:
         return self.bias + before @ self.earlier + np.bincount(rows.row_numbers()[hit], self.weights[at[hit]], minlength=len(rows))
 
 
+def association(rows: Rows, target: np.ndarray, use: np.ndarray, n_codes: int) -> np.ndarray:
+    """For every feature how far its share among the target's rows is from that among the others, in standard errors; 0 for features of fewer than 3 rows."""
+    n, positive = int(use.sum()), float(target[use].sum())
+    number = rows.row_numbers()
+    used = use[number]
+    both = np.bincount(rows.codes[used], minlength=n_codes).astype(float)
+    ones = np.bincount(rows.codes[used], target[number[used]], minlength=n_codes)
+    p1, p0 = (ones + 0.5) / (positive + 1), (both - ones + 0.5) / (n - positive + 1)
+    z = np.log(p1 / p0) / np.sqrt(1 / (ones + 0.5) + 1 / (both - ones + 0.5))
+    z[both < 3] = 0
+    return z
+
+
+def marker_counts(rows: Rows, target: np.ndarray, fold: np.ndarray, n_codes: int) -> np.ndarray:
+    """For every row how many markers of the target it has, where markers come from the rows of other folds."""
+    out = np.zeros(len(rows))
+    number = rows.row_numbers()
+    for f in np.unique(fold):
+        use = fold != f
+        if not 0 < target[use].sum() < use.sum():
+            continue
+        z = association(rows, target, use, n_codes)
+        chosen = np.argsort(-z, kind="stable")[:MARKERS]
+        marks = np.zeros(n_codes, dtype=bool)
+        marks[chosen[z[chosen] > LEAST_Z]] = True
+        counts = np.bincount(number[marks[rows.codes]], minlength=len(rows))
+        out[~use] = counts[~use]
+    return out
+
+
+def category_target(category: Category, label: np.ndarray, markers: np.ndarray) -> np.ndarray:
+    """1 for the label's rows with enough markers (all of them without a quantile), else 0."""
+    if category.quantile is None or not label.any():
+        return label
+    least = max(1.0, float(np.quantile(markers[label > 0], category.quantile)))
+    return label * (markers >= least)
+
+
 def fit_link(rows: Rows, before: np.ndarray, target: np.ndarray, use: np.ndarray, n_codes: int, features: int = FEATURES, l2: float = 0.05, steps: int = 200) -> Link:
     """A logistic model on the rows in ``use``: the features most associated with the target, then accelerated gradient steps."""
     n, positive = int(use.sum()), float(target[use].sum())
@@ -102,11 +144,7 @@ def fit_link(rows: Rows, before: np.ndarray, target: np.ndarray, use: np.ndarray
         return Link(np.zeros(0, np.int64), np.zeros(0), np.zeros(before.shape[1]), float(np.log(prior / (1 - prior))))
     number = rows.row_numbers()
     used = use[number]
-    both = np.bincount(rows.codes[used], minlength=n_codes).astype(float)
-    ones = np.bincount(rows.codes[used], target[number[used]], minlength=n_codes)
-    p1, p0 = (ones + 0.5) / (positive + 1), (both - ones + 0.5) / (n - positive + 1)
-    z = np.abs(np.log(p1 / p0)) / np.sqrt(1 / (ones + 0.5) + 1 / (both - ones + 0.5))
-    z[both < 3] = 0
+    z = np.abs(association(rows, target, use, n_codes))
     chosen = np.sort(np.argsort(-z, kind="stable")[:features])
     chosen = chosen[z[chosen] > 2.0]
     at = np.minimum(np.searchsorted(chosen, rows.codes), max(len(chosen) - 1, 0))
@@ -174,12 +212,14 @@ class Chain:
         return self.__dict__ | {"kept": {}}
 
 
-def fit(features: list[np.ndarray], targets: np.ndarray, names: Sequence[str], folds: int = FOLDS) -> Chain:
-    """A chain from rows of distinct feature hashes and their 0/1 targets (rows x categories), row i in fold i modulo ``folds``."""
+def fit(features: list[np.ndarray], labels: np.ndarray, categories: Sequence[Category], columns: Sequence[str], folds: int = FOLDS) -> Chain:
+    """A chain from rows of distinct feature hashes and their 0/1 labels (rows x columns), row i in fold i modulo ``folds``."""
     hashes, codes = np.unique(np.concatenate([np.zeros(0, np.int64), *features]), return_inverse=True)
     rows = Rows(codes, np.cumsum([0, *map(len, features)]))
-    n, k_all = targets.shape
+    n, k_all = len(features), len(categories)
     fold = np.arange(n) % folds
+    markers = {c: marker_counts(rows, labels[:, j], fold, len(hashes)) for j, c in enumerate(columns)}
+    targets = np.array([category_target(c, labels[:, columns.index(c.label)], markers[c.label]) for c in categories]).T.reshape(n, k_all)
     before = np.zeros((n, k_all))
     links: list[Link] = []
     for k in range(k_all):
@@ -194,14 +234,16 @@ def fit(features: list[np.ndarray], targets: np.ndarray, names: Sequence[str], f
     for k, link in enumerate(links):
         weights[np.searchsorted(chosen, link.codes), k] = link.weights
         earlier[k, :k] = link.earlier
-    return Chain(list(names), dict(zip(hashes[chosen].tolist(), range(len(chosen)), strict=True)), weights, earlier, np.array([link.bias for link in links]))
+    return Chain([c.name for c in categories], dict(zip(hashes[chosen].tolist(), range(len(chosen)), strict=True)), weights, earlier, np.array([link.bias for link in links]))
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: Sequence[Category] = CATEGORIES, train_rows: int = TRAIN_ROWS) -> Chain:
     """Fit on at most ``train_rows`` labelled ids (smallest hash of the id first).
 
     Rows with a null id or with a label other than 0 and 1 are not used; repeated labels of one id count as one, the
-    larger.  Without usable rows the chain finds nothing toxic.
+    larger, and of repeated documents of one id only that of the smallest text hash is learned from, so ``train_rows``
+    bounds what reaches the driver.  Null and empty texts are rows without features.  Without usable rows the chain finds
+    nothing toxic.
     """
     columns = sorted({c.label for c in categories})
     usable = labels.select(id_col, *[F.col(c).cast("int").alias(c) for c in columns]).where(F.col(id_col).isNotNull())
@@ -209,24 +251,20 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         usable = usable.where(F.col(c).isin(0, 1))
     chosen = usable.groupBy(id_col).agg(*[F.max(c).alias(c) for c in columns]).orderBy(*hash_order(id_col)).limit(train_rows)
     sample = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen.select(id_col, F.array(*columns).alias("_label"))), id_col)
-    listed = [sorted(w.encode() for w in c.words) for c in categories]
+    sample = one_row_an_id(sample, id_col, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            features, counts = [], []
-            for text in texts(batch.column(0)):
-                words = words_of(text)
-                features.append(distinct_features(words))
-                counts.append([sum(map(words.count, own)) for own in listed])
-            yield pa.RecordBatch.from_arrays([pa.array(features, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64())), batch.column(1), batch.column(2)], names=["features", "counts", "label", "key"])
-
-    schema = "features array<long>, counts array<long>, label array<int>, key string"
-    found = map_rows(sample.select("_text", "_label", F.col(id_col).cast("string")), run, schema).toArrow()  # bounded by train_rows
-    key, labelled, counts = found["key"].to_pylist(), found["label"].to_pylist(), found["counts"].to_pylist()
+            features = [distinct_features(words_of(text)) for text in texts(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(features, pa.list_(pa.int64())), batch.column(1), batch.column(2)], names=["features", "label", "key"])
+
+    schema = "features array<long>, label array<int>, key string"
+    found = map_rows(sample.select("_text", "_label", F.col(id_col).cast("string")), run, schema).toArrow()  # one row for each of at most train_rows ids
+    key, labelled = found["key"].to_pylist(), found["label"].to_pylist()
     features = [x.values.to_numpy() for x in found["features"]]
-    order = sorted(range(len(key)), key=lambda k: (key[k], features[k].tobytes()))  # the fit must not hang on the order of tasks
-    targets = np.array([[float(labelled[r][columns.index(c.label)] == 1 and counts[r][k] >= c.at_least) for k, c in enumerate(categories)] for r in order]).reshape(len(order), len(categories))
-    return fit([features[r] for r in order], targets, [c.name for c in categories])
+    order = sorted(range(len(key)), key=lambda k: key[k])  # the fit must not hang on the order of tasks
+    labels = np.array([labelled[r] for r in order], dtype=float).reshape(len(order), len(columns))
+    return fit([features[r] for r in order], labels, categories, columns)
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -245,7 +283,10 @@ def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_c
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the chain does not find toxic, all columns unchanged."""
+    """The rows of ``docs`` that the chain does not find toxic, all columns unchanged.
+
+    Null and empty texts and texts without words stay, as do repeated rows each by itself; an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

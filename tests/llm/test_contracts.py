@@ -86,6 +86,33 @@ def test_license_fuzzy(spark, text, label):
     assert (label in row["labels"].split(",")) if label else row["labels"] == ""
 
 
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        ("this is released under the BSD license", "bsd"),
+        ("this is released under the ISC license", "isc"),
+        ("this is released under the GPL license", "gpl"),
+        ("this is released under the MIT license", "mit"),
+        ("this is released undr the MIT licence", "mit"),
+        ("this is released under the XYZ license", ""),
+        ("licensed under CC BY 4.0", "cc-by"),
+        ("licensed under CC BY-SA 4.0", "cc-by,cc-by-sa"),
+        ("licensed under CC BY-ND 4.0", "cc-by,cc-by-nd"),
+        ("licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"),
+        ("GNU Affero General Public License", "agpl,gpl"),
+        ("GNU Lesser General Public License", "gpl,lgpl"),
+        ("released under the BSD license. Parts are released under the MIT license", "bsd,mit"),
+    ],
+)
+def test_license_labels_do_not_turn_into_each_other(spark, text, labels):
+    """The base phrase ``general public license`` is in every one of its family."""
+    row = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["labels"] == labels
+    words = [w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))]
+    for m in row["matches"]:
+        assert " ".join(words[m["start_word"] :]).startswith(m["found"])
+
+
 def test_license_fuzzy_equals_search_without_seeds(spark, documents):
     """The seeds lose no place: every notice is also searched for by the regex library over the whole text."""
     import regex
@@ -95,7 +122,8 @@ def test_license_fuzzy_equals_search_without_seeds(spark, documents):
     found = {(r["doc_id"], r["text"]): r["labels"] for r in docs.join(licenses.scan_licenses(docs), "doc_id").select("doc_id", "text", "labels").collect()}
     for key, text in pairs(docs):
         joined = f" {' '.join(re.findall(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', lower(text)))} "
-        own = {n.label for n, p in slow.items() if p.search(joined)} | {n.label for n in licenses.BASE if f" {n.phrase} " in joined}
+        told = lambda n, p: any(set(n.exact) <= set(m.group().split()) for m in p.finditer(joined, overlapped=True))
+        own = {n.label for n, p in slow.items() if told(n, p)} | {n.label for n in licenses.BASE if f" {n.phrase} " in joined}
         assert found[key, text] == ",".join(sorted(own))
 
 
@@ -164,6 +192,40 @@ def test_language_id(spark, documents):
     assert {r["lang_pred"] for r in langid.identify(awkward(spark), nothing).collect()} == {"und"}
 
 
+def plain_grams(text: str) -> Counter:
+    """n-grams of one to three characters of the lower-cased text between blanks: letters, with boundaries only at their ends."""
+    a = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+    found = Counter(c for c in a if c != " ")
+    found.update(x + y for x, y in zip(a, a[1:], strict=False) if (x + y).strip())
+    found.update(x + y + z for x, y, z in zip(a, a[1:], a[2:], strict=False) if y != " ")
+    return found
+
+
+def test_language_id_equals_plain_out_of_place_distance(spark, documents):
+    """Profiles of all training rows and the distance of every document, counted anew with strings."""
+    code = lambda g: sum((0 if c == " " else ord(c)) << 21 * k for k, c in enumerate(reversed(g))) | (1 << (19, 40, 62)[len(g) - 1])
+    docs = both(spark, documents).where("length(text) < 3000 or text is null")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    training = lambda key: zlib.crc32(("" if key is None else str(key)).encode()) % 5 != 0
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for key, text, lang in rows:
+        if training(key) and lang is not None and text is not None:
+            counts[lang].update(plain_grams(text))
+    order = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], code(x[0])))]
+    profiles = {lang: {g: k for k, g in enumerate(order(c)[: langid.PROFILE_SIZE])} for lang, c in counts.items()}
+    expected = []
+    for key, text, _ in rows:
+        own = order(plain_grams(text or ""))[: langid.DOC_SIZE]
+        far = {lang: sum(min(abs(k - p[g]), langid.PROFILE_SIZE) if g in p else langid.PROFILE_SIZE for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=lambda lang: far[lang]) if own else "und"
+        expected.append((key, best, round(1 - far[best] / (langid.PROFILE_SIZE * len(own)), 9) if own else 0.0))
+    found = [(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in langid.identify(docs, langid.learn_profiles(langid.training_rows(docs))).collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+    text = "Über naïve " * 40
+    for size in (1, 2, 7, 1 << 19):  # long texts are cut, and lose no n-gram there
+        assert Counter(x for part in langid.gram_slices(text, size) for x in part.tolist()) == {code(g): n for g, n in plain_grams(text).items()}
+
+
 def test_token_packing(spark, documents):
     from tokenizers import Tokenizer
 
@@ -182,6 +244,12 @@ def test_token_packing(spark, documents):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 1]
         expected.append((key, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
     assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows), key=repr) == sorted(expected, key=repr)
+    # several shards in a range: the starts come from the index files
+    folder = packing.new_folder(spark, "token-ids")
+    small = packing.stored(packing.write_shards(docs, path, folder, partitions=3, shard_ids=500), "manifest")
+    packing.write_starts(small, folder).count()
+    again = packing.read_shards(spark, folder)
+    assert small.count() > 20 and rows_of(again) == rows_of(found)
     assert packing.pack_corpus(empty(spark), path)[0].count() == 0
 
 

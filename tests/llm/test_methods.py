@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from stratica.llm import decontam, gru, lm, simhash, toxicity, transducer, trees
+from stratica.llm import decontam, gru, lm, quality, simhash, toxicity, transducer, trees
 from tests.llm.fixtures import FIRST, awkward, empty, rows_of
 
 
@@ -64,6 +64,24 @@ def test_leaks(spark, text, leaked):
         assert decontam.drop_leaks(docs, items, block_chars=block_chars).count() == (0 if leaked else 1)
 
 
+def test_leaks_equal_tiling_of_all_pairs():
+    """The search for candidates loses no item: every document is also tiled with every item, as a whole."""
+    rng = np.random.default_rng(2)
+    word = lambda k: f"w{k}"
+    items = [[word(k) for k in rng.integers(0, 12, n)] for n in rng.integers(0, 30, 40)]
+    docs = [[word(k) for k in rng.integers(0, 14, rng.integers(0, 80))] for _ in range(60)]
+    docs += [docs[k] + items[k][3:] + docs[-k] + items[k][:3] for k in range(40)]
+    index = decontam.SeedIndex([(k, " ".join(x).encode()) for k, x in enumerate(items)], 3)
+    found = {(d, k) for d, doc in enumerate(docs) for k, _ in index.leaks(" ".join(doc).encode(), 0.5)}
+    expected = set()
+    for d, doc in enumerate(docs):
+        codes = np.array([index.codes.get(w.encode(), 0) for w in doc], dtype=np.int64)
+        for k, item in enumerate(index.items):
+            if len(item) and sum(t.length for t in decontam.greedy_tiles(codes.copy(), item, index.sizes[k])) >= 0.5 * len(item):
+                expected.add((d, k))
+    assert found == expected and len(expected) > 40
+
+
 def test_leaks_of_awkward_rows(spark, sf_dir):
     items, docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), awkward(spark)
     assert decontam.find_leaks(docs, items).count() == 0
@@ -76,6 +94,63 @@ def test_leaks_of_awkward_rows(spark, sf_dir):
     assert set(rows_of(exact)) <= set(rows_of(decontam.find_leaks(documents, items), "doc_id", "item_id"))
 
 
+def test_chain_equals_a_plain_one():
+    """The links and their out-of-fold inputs against the same chain written out link by link, and categories from any vocabulary."""
+    rng = np.random.default_rng(4)
+    bad = rng.integers(1 << 40, 1 << 41, 8)
+    label = rng.random(400) < 0.3
+    features = [np.unique(np.concatenate([rng.integers(0, 300, 12), rng.choice(bad, rng.integers(1, 6)) if y else rng.integers(0, 300, 2)])) for y in label]
+    chain = toxicity.fit(features, label[:, None].astype(float), toxicity.CATEGORIES, ["toxic"])
+    hashes, codes = np.unique(np.concatenate(features), return_inverse=True)
+    rows = toxicity.Rows(codes, np.cumsum([0, *map(len, features)]))
+    fold = np.arange(400) % toxicity.FOLDS
+    marks = np.zeros(400)
+    for i in range(400):  # markers of the other folds, row by row
+        use = [j for j in range(400) if fold[j] != fold[i]]
+        z = toxicity.association(rows, label.astype(float), np.isin(np.arange(400), use), len(hashes))
+        top = [k for k in np.argsort(-z, kind="stable")[: toxicity.MARKERS] if z[k] > toxicity.LEAST_Z]
+        marks[i] = len(set(hashes[top].tolist()) & set(features[i].tolist()))
+    least = {c.name: 0.0 if c.quantile is None else max(1.0, np.quantile(marks[label], c.quantile)) for c in toxicity.CATEGORIES}
+    before, links = np.zeros((400, 3)), []
+    for k, c in enumerate(toxicity.CATEGORIES):
+        target = (label & (marks >= least[c.name])).astype(float)
+        assert 0 < target.sum() < 400
+        links.append(toxicity.fit_link(rows, before[:, :k], target, np.ones(400, bool), len(hashes)))
+        for f in range(toxicity.FOLDS):
+            other = toxicity.fit_link(rows, before[:, :k], target, fold != f, len(hashes))
+            before[fold == f, k] = toxicity.sigmoid(other.logits(rows, before[:, :k]))[fold == f]
+    assert set(hashes[marks_of(rows, label, len(hashes))].tolist()) >= set(bad.tolist())
+    seen = np.zeros((400, 3))
+    for k, link in enumerate(links):  # scoring: every link gets what the chain itself said before
+        weight = dict(zip(hashes[link.codes].tolist(), link.weights.tolist(), strict=True))
+        for i, own in enumerate(features):
+            seen[i, k] = toxicity.sigmoid(link.bias + sum(weight.get(h, 0.0) for h in own.tolist()) + float(seen[i, :k] @ link.earlier))
+    for i, own in enumerate(features):
+        raw = chain.weights[[chain.table[h] for h in own.tolist() if h in chain.table]].sum(axis=0)
+        p = np.zeros(3)
+        for k in range(3):
+            p[k] = toxicity.sigmoid(chain.bias[k] + raw[k] + p[:k] @ chain.earlier[k, :k])
+        assert np.allclose(p, seen[i], atol=1e-9)
+    assert chain.earlier[1, 0] != 0 and chain.earlier[2, :2].any()
+
+
+def marks_of(rows, label, n):
+    z = toxicity.association(rows, label.astype(float), np.ones(len(label), bool), n)
+    return [k for k in np.argsort(-z, kind="stable")[: toxicity.MARKERS] if z[k] > toxicity.LEAST_Z]
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    docs = spark.createDataFrame([(k % 3, f"text number {k} of some words") for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 1), (1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "fit", lambda features, *_: seen.append(len(features)))
+        toxicity.fit_chain(docs, labels)
+        patch.setattr(quality, "fit_trees", lambda x, *_: seen.append(len(x)))
+        quality.fit_quality(docs, labels)
+    assert seen == [3, 3]
+
+
 def test_toxicity(spark, sf_dir):
     documents, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     chain = toxicity.fit_chain(documents, labels.where("doc_id % 4 <> 0"))
@@ -136,7 +211,7 @@ def test_gru_scores_are_probabilities_over_whole_documents():
             each = gru.log_likelihood(w, np.repeat(h, 12, axis=0), np.arange(12))
             assert abs(np.exp(each).sum() - 1) < 1e-4
             total += each[token]
-            h, _ = gru.step(w, h, np.array([token]))
+            h, _ = gru.step(w, h, w.x[[token]])
         expected.append(total)
     assert np.allclose(gru.score(w, documents, together=4), expected, atol=1e-3)
     assert w.unpack(w.pack()).pack() == w.pack()
