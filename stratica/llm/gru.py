@@ -119,7 +119,7 @@ def by_class(tokens: np.ndarray, class_size: int, classes: int) -> tuple[np.ndar
 
 def word_values(w: Weights, states: np.ndarray, stretches: list[tuple[int, slice]]) -> np.ndarray:
     """What the words of each state's class get before the softmax; states stand by class."""
-    out = np.empty((len(states), w.class_size), np.float32)
+    out = np.empty((len(states), w.class_size), states.dtype)
     for k, at in stretches:
         np.matmul(states[at], w.word_w[k], out=out[at])
         out[at] += w.word_b[k]
@@ -139,7 +139,7 @@ def log_likelihood(w: Weights, states: np.ndarray, tokens: np.ndarray) -> np.nda
     size, bounded = w.class_size, within_bounds(w)
     order, stretches = by_class(tokens, size, w.class_b.shape[0])
     states, tokens = states[order], tokens[order]
-    out = np.empty(len(tokens), np.float32)
+    out = np.empty(len(tokens), states.dtype)
     out[order] = log_share(states @ w.class_w + w.class_b, tokens // size, bounded) + log_share(word_values(w, states, stretches), tokens % size, bounded)
     return out
 
@@ -221,8 +221,8 @@ def gradients(w: Weights, h0: np.ndarray, window: np.ndarray, end: int) -> tuple
         d_states[count] = d_used
         d_states = d_states.reshape(steps, -1, n)
     d_h = np.zeros_like(h0)
-    d_x = np.empty((steps, h0.shape[0], 3 * n), np.float32)
-    d_a = np.empty((h0.shape[0], 3 * n), np.float32)
+    d_x = np.empty((steps, h0.shape[0], 3 * n), flat_h.dtype)
+    d_a = np.empty((h0.shape[0], 3 * n), flat_h.dtype)
     for t in range(steps - 1, -1, -1):
         before, z, r, c, a = kept[t]
         d = d_h * goes_on[t]

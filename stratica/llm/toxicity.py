@@ -31,7 +31,7 @@ BEGINNINGS = (4, 5, 6)
 KEPT_WORDS = 100_000
 #: Features most associated with the label that mark a category's rows, and how far from chance they must be.
 MARKERS = 64
-LEAST_Z = 4.0
+LEAST_Z = 3.0
 
 
 @dataclass(frozen=True)

@@ -172,7 +172,8 @@ def test_chain_uses_earlier_categories():
     rng = np.random.default_rng(2)
     words = [[b"bad"] * int(b) + [b"w%d" % k for k in rng.integers(0, 50, 5)] for b in rng.integers(0, 2, 400)]
     first = np.array([b"bad" in w for w in words], float)
-    chain = toxicity.fit([toxicity.distinct_features(w) for w in words], np.stack([first, first], axis=1), ["a", "b"])
+    categories = [toxicity.Category("a", "bad"), toxicity.Category("b", "bad")]
+    chain = toxicity.fit([toxicity.distinct_features(w) for w in words], first[:, None], categories, ["bad"])
     p = chain.probabilities([b"bad w1", b"w1 w2", b""])
     assert p[0].min() > 0.9 and p[1].max() < 0.1 and p[2].max() == 0 and chain.earlier[1, 0] > 0
 
