@@ -81,8 +81,8 @@ def verdict_class(status: Column, code: Column) -> Column:
 
 
 def source_uri(root: Column, rel: Column) -> Column:
-    """A percent-encoded address whose slashes stay."""
-    encoded = F.replace(F.replace(F.replace(F.url_encode(rel), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")), F.lit("*"), F.lit("%2A"))
+    """A file's address: its path percent-encoded, slashes too, so that it is one segment."""
+    encoded = F.replace(F.replace(F.url_encode(rel), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
     return F.concat(F.lit("o365://"), root, F.lit("/"), F.replace(encoded, F.lit("%7E"), F.lit("~")))
 
 
@@ -91,6 +91,24 @@ def subject_stem(subject: Column) -> Column:
     return F.regexp_replace(F.trim(subject), r"(?i)^((re|aw|fw|fwd|wg)\s*:\s*)+", "")
 
 
+def attachment_names(att: Column) -> Column:
+    """Names of an attachment line: parted by ``|``, or in lines without one by blanks, where a name ends with a word that has an extension."""
+    trimmed = lambda names: F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n != "")
+    ended = F.regexp_replace(F.regexp_replace(att, r"(\.[A-Za-z0-9]{1,8})( +|$)", "$1|"), " +", " ")
+    return F.when(att.contains("|"), trimmed(F.split(att, r"\|", -1))).otherwise(trimmed(F.split(ended, r"\|", -1)))
+
+
+def short_hash(text: Column) -> Column:
+    """Eight hexadecimal characters by which shortened names differ."""
+    return F.left(F.sha1(F.coalesce(text, F.lit(""))), F.lit(8))
+
+
+def phones(text: Column) -> Column:
+    """Sorted, distinct telephone numbers in a text: seven digits and more, with blanks, brackets, slashes and dashes between."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(\+?\d[\d ()/-]{5,}\d)"), F.lit(1)), lambda t: F.trim(t))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda t: F.length(F.regexp_replace(t, r"\D", "")) >= 7)))
+
+
 def contacts(text: Column) -> Column:
     """Sorted, distinct mail addresses in a text."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"), F.lit(1))))

@@ -43,11 +43,11 @@ def version_pairs(rows: DataFrame, by: str, order: list[Column], value: str) ->
     return rows.withColumn("before", F.lag(value).over(Window.partitionBy(by).orderBy(*order))).where("before is not null")
 
 
-def distinct_versions(rows: DataFrame, by: str, order: list[Column], value: str) -> DataFrame:
-    """Versions that differ from the one before, ``back`` counting from the newest (0)."""
-    own = Window.partitionBy(by).orderBy(*order)
-    changed = rows.withColumn("_before", F.lag(F.struct(value)).over(own)).where(F.col("_before").isNull() | ~F.col(f"_before.{value}").eqNullSafe(F.col(value))).drop("_before")
-    return changed.withColumn("back", F.count("*").over(Window.partitionBy(by)) - F.row_number().over(own))
+def distinct_versions(rows: DataFrame, by: str, order: list[str], value: str, key: str) -> DataFrame:
+    """The first row of every value of a group (its columns ``key`` and ``value``), ``back`` counting from the newest (0)."""
+    first = rows.groupBy(by, value).agg(F.min(F.struct(*order, key)).alias("_first"))
+    newest = Window.partitionBy(by).orderBy(F.desc("_first"))
+    return first.select(by, value, F.col("_first")[key].alias(key), (F.row_number().over(newest) - 1).cast("long").alias("back"))
 
 
 def rate(rows: DataFrame, by: str, ts: str, seconds: int) -> DataFrame:

@@ -6,12 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def broken_lines(lines: DataFrame, by: str, number: str, line: str, prev: str) -> DataFrame:
-    """First line of each chain whose ``prev`` is not the hash of the line before it (joined by number, so no chain lands in one task)."""
-    before = lines.select(by, (F.col(number) + 1).alias(number), F.sha2(F.coalesce(line, F.lit("")), 256).alias("_hash"))
-    checked = lines.select(by, number, prev).join(before, [by, number], "left")
-    wrong = F.col("_hash").isNotNull() & ~F.col("_hash").eqNullSafe(F.col(prev))
-    return checked.where(wrong).groupBy(by).agg(F.min(number).alias("broken"))
+def broken_lines(lines: DataFrame, by: str, number: str, line: str, prev: str, heads: DataFrame | None = None) -> DataFrame:
+    """(by, broken): the place of the first line of each chain that does not follow the one before it.
+
+    Lines are numbered from 1: the first has no ``prev``, each other the hash of the line numbered one less.  A line that
+    was deleted, altered, repeated or put in front breaks the chain at the line after it.  ``heads`` (by, head) name the hash
+    of the last line, whose own alteration no line would show.  Lines meet by number, so no chain lands in one task.
+    """
+    hashed = lines.select(by, F.col(number).alias("_n"), F.sha2(F.coalesce(line, F.lit("")), 256).alias("_hash"), F.col(prev).alias("_prev"))
+    before = hashed.groupBy(by, (F.col("_n") + 1).alias("_n")).agg(F.min("_hash").alias("_before"), F.count("*").alias("_many"))
+    checked = hashed.join(before, [by, "_n"], "left")
+    follows = F.when(F.col("_n") == 1, F.col("_prev").isNull()).otherwise((F.col("_many") == 1) & F.col("_before").eqNullSafe(F.col("_prev")))
+    wrong = checked.where(~F.coalesce(follows, F.lit(False))).groupBy(by).agg(F.min("_n").alias("_first"))
+    if heads is not None:
+        last = hashed.groupBy(by).agg(F.max(F.struct("_n", "_hash")).alias("_last")).join(heads, by).where(~F.col("_last._hash").eqNullSafe(F.col("head"))).select(by, F.col("_last._n").alias("_first"))
+        wrong = wrong.unionByName(last).groupBy(by).agg(F.min("_first").alias("_first"))
+    return hashed.join(wrong, by).where("_n <= _first").groupBy(by).agg(F.count("*").alias("broken"))
 
 
 def current(lines: DataFrame, rel: str, number: str, kind: str, ended: tuple[str, ...], keep: list[str]) -> DataFrame:

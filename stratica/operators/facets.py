@@ -32,11 +32,12 @@ def islands(items: DataFrame, by: str, ts: str, gap_seconds: int) -> DataFrame:
     return numbered.groupBy(by, "_run").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n")).drop("_run")
 
 
-def top_rest(items: DataFrame, by: str, k: int) -> DataFrame:
-    """The k largest groups and ``rest`` for all others; ties by name."""
+def top_rest(items: DataFrame, by: str, k: int, rest: str = "rest") -> DataFrame:
+    """The k largest groups and one row for all others, if there are any; ties by name.  Only k rows meet in one task."""
     counts = items.groupBy(F.col(by).alias("name")).agg(F.count("*").alias("n"))
-    place = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "name")))
-    return place.groupBy(F.when(F.col("place") <= k, F.col("name")).otherwise("rest").alias("name")).agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "name").limit(k)
+    others = counts.agg(F.sum("n").alias("_all")).join(F.broadcast(top.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_top"))))  # one row each
+    return top.unionByName(others.where("_all > _top").select(F.lit(rest).alias("name"), (F.col("_all") - F.col("_top")).alias("n")))
 
 
 def people(items: DataFrame, who: str, ts: Column) -> DataFrame:

@@ -66,7 +66,7 @@ def fold_fields(feed: DataFrame, key: str, number: str, removed: str, fields: st
     gone = feed.where(F.col(removed)).groupBy(key).agg(F.max(number).alias("_gone"))
     named = feed.where(~F.col(removed)).select(key, number, F.explode(fields).alias("field", "value"))
     alive = named.join(gone, key, "left").where(F.col("_gone").isNull() | (F.col(number) > F.col("_gone")))
-    return alive.groupBy(key, "field").agg(F.max_by(F.struct("value"), number).alias("_v")).select(key, "field", F.col("_v.value").alias("value"))
+    return alive.groupBy(key, "field").agg(F.max_by(F.struct("value"), F.struct(number, "value")).alias("_v")).select(key, "field", F.col("_v.value").alias("value"))
 
 
 def unanswered(items: DataFrame, verdicts: DataFrame, key: str, version: str) -> DataFrame:

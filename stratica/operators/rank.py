@@ -16,22 +16,44 @@ from stratica.functions.text import words
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-def equals(term: str):
-    return lambda word: word == F.lit(term)
+def bm25(items: DataFrame, key: str, text: str | Sequence[str], terms: Sequence[str]) -> DataFrame:
+    """Scores of all items that have a term: the usual formula with k1 = 1.2, b = 0.75 and idf at least 1e-6.
+
+    ``text`` is a column or several (title, text, names of attachments), which count as one.  A text is split once.
+    """
+    columns = [text] if isinstance(text, str) else list(text)
+    split = words(F.concat_ws(" ", *columns) if len(columns) > 1 else F.col(columns[0]))
+    # what is left without a term tells how often it was there
+    counts = lambda w: F.struct(F.size(w).alias("_len"), *[(F.size(w) - F.size(F.array_remove(w, t))).alias(f"_tf{k}") for k, t in enumerate(terms)])
+    sized = items.select(key, F.transform(F.array(split), counts)[0].alias("_c")).select(key, "_c.*")
+    figures = sized.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count(F.when(F.col(f"_tf{k}") > 0, 1)).alias(f"_df{k}") for k in range(len(terms))])
+    return scored(sized.where(" OR ".join(f"_tf{k} > 0" for k in range(len(terms)))), figures, key, len(terms))
 
 
-def bm25(items: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
-    """Scores of all items that have a term: the usual formula with k1 = 1.2, b = 0.75 and idf at least 1e-6."""
-    split = items.select(key, words(F.col(text)).alias("_words"))
-    sized = split.select(key, F.size("_words").alias("_len"), *[F.size(F.filter("_words", equals(t))).alias(f"_tf{k}") for k, t in enumerate(terms)])
-    figures = sized.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count(F.when(F.col(f"_tf{k}") > 0, 1)).alias(f"_df{k}") for k in range(len(terms))])
+def scored(sized: DataFrame, figures: DataFrame, key: str, n_terms: int) -> DataFrame:
+    """BM25 from term frequencies and lengths, and the one row of corpus figures."""
     score = F.lit(0.0)
-    for k in range(len(terms)):
+    for k in range(n_terms):
         tf, df = F.col(f"_tf{k}"), F.col(f"_df{k}")
         idf = F.greatest(F.log((F.col("_n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    hit = sized.where(" OR ".join(f"_tf{k} > 0" for k in range(len(terms))))
-    return hit.join(F.broadcast(figures)).select(key, score.alias("score"))  # figures: one row
+    return sized.join(F.broadcast(figures)).select(key, score.alias("score"))  # figures: one row
+
+
+def postings(items: DataFrame, key: str, text: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(term, key, tf) and (key, len) of all items: tables to be written once and searched often, the first by term."""
+    columns = [text] if isinstance(text, str) else list(text)
+    split = items.select(key, words(F.concat_ws(" ", *columns)).alias("_words"))
+    return split.select(key, F.explode("_words").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf")), split.select(key, F.size("_words").alias("len"))
+
+
+def bm25_of_postings(terms_of: DataFrame, lengths: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
+    """The scores of ``bm25`` from its tables: only the rows of the terms are read."""
+    own = terms_of.where(F.col("term").isin(*terms))
+    pivot = own.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"_tf{k}") for k, t in enumerate(terms)])
+    seen = own.agg(*[F.count(F.when(F.col("term") == t, 1)).alias(f"_df{k}") for k, t in enumerate(terms)])
+    figures = lengths.agg(F.count("*").alias("_n"), F.avg("len").alias("_avg")).join(F.broadcast(seen))  # one row each
+    return scored(pivot.join(lengths.withColumnRenamed("len", "_len"), key), figures, key, len(terms))
 
 
 def cosine(vectors: DataFrame, key: str, embedding: str, query: Sequence[float]) -> DataFrame:

@@ -7,17 +7,25 @@ feature's own bound on one series.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WEEKDAYS = ("MO", "TU", "WE", "TH", "FR", "SA", "SU")
 NEWEST = 4000
+FREQUENCIES = ("DAILY", "WEEKLY", "MONTHLY", "YEARLY")
+PARTS = ("freq", "interval", "places", "weekdays", "monthdays", "months", "setpos", "wkst", "until", "count")
 DAY = F.date_add
 
 
-def parts(rule: Column) -> dict[str, Column]:
-    """The parts of a rule's text.  An unknown frequency gives null dates."""
-    found = F.str_to_map(F.upper(F.regexp_replace(rule, r"\s", "")), F.lit(";"), F.lit("="))
+def bound_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, however often it is named there (a plain Column is written out anew each time)."""
+    return F.transform(F.array(value), use)[0]
+
+
+def parts(found: Column) -> dict[str, Column]:
+    """The parts of a rule, from the map of its text."""
     numbers = lambda key: F.filter(F.transform(F.split(F.coalesce(found[key], F.lit("")), ","), lambda x: x.try_cast("int")), lambda n: n.isNotNull() & (n != 0))
     days = F.filter(F.split(F.coalesce(found["BYDAY"], F.lit("")), ","), lambda d: F.right(d, F.lit(2)).isin(*WEEKDAYS))
     index = lambda d: F.array_position(F.array(*[F.lit(w) for w in WEEKDAYS]), F.right(d, F.lit(2))).cast("int") - 1
@@ -55,45 +63,69 @@ def in_month(first: Column, p: dict[str, Column], default_day: Column) -> Column
 
 
 def days(first: Column, p: dict[str, Column], horizon: Column) -> Column:
-    """The rule's days from ``first`` to the horizon in order."""
+    """The rule's days from ``first`` to the horizon in order; ``first`` alone for a frequency that is unknown or missing."""
     step = p["interval"]
+    # no step is made that UNTIL or, where every step has a day, COUNT takes away again
+    last = F.least(horizon, F.coalesce(F.to_date(p["until"]), horizon))
     upto = lambda n: F.sequence(F.lit(0), F.greatest(F.lit(0), n).cast("int"))
-    daily = F.transform(upto(F.datediff(horizon, first) / step), lambda k: DAY(first, k * step))
+    counted = lambda n: upto(F.least(n, F.coalesce(p["count"], n)))
+    daily = F.transform(counted(F.datediff(last, first) / step), lambda k: DAY(first, k * step))
     week = F.date_sub(first, F.pmod(F.weekday(first) - p["wkst"], F.lit(7)))
     wanted = F.when(F.size(p["weekdays"]) > 0, F.array_distinct(p["weekdays"])).otherwise(F.array(F.weekday(first)))
     shifts = F.array_sort(F.transform(wanted, lambda d: F.pmod(d - p["wkst"], F.lit(7)).cast("int")))
-    weekly = F.flatten(F.transform(upto(F.datediff(horizon, week) / 7 / step), lambda k: F.transform(shifts, lambda s: DAY(week, k * 7 * step + s))))
+    weekly = bound_once(shifts, lambda own: F.flatten(F.transform(counted(F.datediff(last, week) / 7 / step), lambda k: F.transform(own, lambda s: DAY(week, k * 7 * step + s)))))
     month = F.trunc(first, "month")
-    span = F.floor(F.months_between(horizon, month))
+    span = F.floor(F.months_between(last, month))
     monthly = F.flatten(F.transform(upto(span / step), lambda k: in_month(F.add_months(month, k * step), p, F.dayofmonth(first))))
     months = F.when(F.size(p["months"]) > 0, F.array_sort(F.array_distinct(p["months"]))).otherwise(F.array(F.month(first)))
     year = F.trunc(first, "year")
-    yearly = F.flatten(F.transform(upto(F.floor(F.months_between(horizon, year) / 12) / step), lambda k: F.flatten(F.transform(months, lambda m: in_month(F.add_months(year, k * step * 12 + m - 1), p, F.dayofmonth(first))))))
+    yearly = F.flatten(F.transform(upto(F.floor(F.months_between(last, year) / 12) / step), lambda k: F.flatten(F.transform(months, lambda m: in_month(F.add_months(year, k * step * 12 + m - 1), p, F.dayofmonth(first))))))
     chosen = F.when(p["freq"] == "DAILY", daily).when(p["freq"] == "WEEKLY", weekly).when(p["freq"] == "MONTHLY", monthly).when(p["freq"] == "YEARLY", yearly)
-    return F.filter(chosen, lambda d: (d >= first) & (d <= horizon))
+    return F.coalesce(F.filter(chosen, lambda d: (d >= first) & (d <= last)), F.array(first))
+
+
+def occurrences(start: Column, rule: Column, horizon: Column, exdates: Column | None = None) -> Column:
+    """The clock times of a series in order, the newest ``NEWEST`` of them; its rule is read once for each row."""
+    text = F.str_to_map(F.upper(F.regexp_replace(F.coalesce(rule, F.lit("")), r"\s", "")), F.lit(";"), F.lit("="))
+
+    def walls(p: Column) -> Column:
+        known = {k: p[k] for k in PARTS}
+        first = F.to_date(start)
+        clock = start - first.cast("timestamp_ntz")
+        found = days(first, known, horizon)
+        counted = F.when(known["count"] > 0, F.slice(found, F.lit(1), known["count"])).otherwise(found)
+        times = F.transform(counted, lambda d: d.cast("timestamp_ntz") + clock)
+        kept = F.filter(times, lambda w: known["until"].isNull() | (w <= known["until"]) | ~known["freq"].isin(*FREQUENCIES))
+        if exdates is not None:
+            kept = F.array_except(kept, F.coalesce(exdates, F.array().cast("array<timestamp_ntz>")))
+        return bound_once(kept, lambda all_: F.when(F.size(all_) > NEWEST, F.slice(all_, -NEWEST, NEWEST)).otherwise(all_))
+
+    return bound_once(text, lambda m: bound_once(F.struct(*[v.alias(k) for k, v in parts(m).items()]), walls))
 
 
 def expand(series: DataFrame, horizon: str, start: str = "start", rule: str = "rrule", tz: str = "tz", exdates: str | None = None) -> DataFrame:
     """One row per date: the series' columns, ``wall`` (its own clock) and ``at`` (an instant).
 
-    ``start`` is a clock time without zone; a null start or a rule that cannot be read gives no rows; a null zone is UTC.
-    A clock time that a spring change skips moves on by the gap.
+    ``start`` is a clock time without zone; a null start gives no rows, a missing rule or one of unknown frequency its first
+    date alone; a null zone is UTC.  A clock time that a spring change skips moves on by the gap.
     """
-    p = parts(F.col(rule))
-    first, clock = F.to_date(start), F.date_format(start, "HH:mm:ss")
-    found = days(first, p, F.lit(horizon).cast("date"))
-    counted = F.when(p["count"].isNotNull(), F.slice(found, F.lit(1), F.greatest(p["count"], F.lit(0)))).otherwise(found)
-    walls = F.transform(counted, lambda d: F.concat(d.cast("string"), F.lit(" "), clock).cast("timestamp_ntz"))
-    kept = F.filter(walls, lambda w: p["until"].isNull() | (w <= p["until"]))
-    if exdates:
-        kept = F.array_except(kept, F.coalesce(F.col(exdates), F.array().cast("array<timestamp_ntz>")))
-    newest = F.when(F.size(kept) > NEWEST, F.slice(kept, -NEWEST, NEWEST)).otherwise(kept)
-    rows = series.where(F.col(start).isNotNull()).withColumn("wall", F.explode(newest))
+    times = occurrences(F.col(start), F.col(rule), F.lit(horizon).cast("date"), F.col(exdates) if exdates else None)
+    rows = series.where(F.col(start).isNotNull()).withColumn("wall", F.explode(times))
     return rows.withColumn("at", F.to_utc_timestamp(F.col("wall").cast("timestamp"), F.coalesce(F.col(tz), F.lit("UTC"))))
 
 
-def with_exceptions(dates: DataFrame, exceptions: DataFrame, uid: str = "uid") -> DataFrame:
-    """Dates whose slot (``wall``) an exception replaces get the exception's time; a null ``moved`` takes the date away."""
+def with_exceptions(dates: DataFrame, exceptions: DataFrame, first: str | None = None, last: str | None = None, uid: str = "uid") -> DataFrame:
+    """Dates whose slot (``wall``) an exception replaces get the exception's time; a null ``moved`` takes the date away.
+
+    An exception whose slot is no date here counts by its own time, if that lies within ``first`` and ``last``.
+    """
     known = exceptions.select(uid, F.col("slot").alias("wall"), F.col("moved").alias("_moved"), F.lit(True).alias("_hit")).dropDuplicates([uid, "wall"])
-    joined = dates.select(uid, "wall").join(known, [uid, "wall"], "left")
-    return joined.where("_hit is null or _moved is not null").select(uid, F.coalesce("_moved", "wall").alias("wall"))
+    own = dates.select(uid, "wall", F.lit(True).alias("_date")).distinct()
+    joined = own.join(known, [uid, "wall"], "full_outer")
+    inside = F.lit(True)
+    if first is not None:
+        inside = inside & (F.col("_moved") >= F.lit(first).cast("timestamp_ntz"))
+    if last is not None:
+        inside = inside & (F.col("_moved") <= F.lit(last).cast("timestamp_ntz"))
+    kept = joined.where((F.col("_date") & (F.col("_hit").isNull() | F.col("_moved").isNotNull())) | (F.col("_date").isNull() & F.col("_moved").isNotNull() & inside))
+    return kept.select(uid, F.coalesce("_moved", "wall").alias("wall"))

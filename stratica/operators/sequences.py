@@ -49,9 +49,15 @@ def manifest_diff(old: DataFrame, new: DataFrame, key: str, signature: str) -> D
     return both.select(key, state.alias("state"))
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of ``changes`` replace those of ``base`` with the same key; the rest stays."""
-    return base.join(changes.select(key), key, "left_anti").unionByName(changes)
+def upsert(base: DataFrame, changes: DataFrame, key: str, number: str | None = None) -> DataFrame:
+    """Rows of ``changes`` replace those of ``base`` with the same key; the rest stays.
+
+    Of several changes of a key the last by ``number`` counts (without one, or with equal ones, the largest row).
+    """
+    rest = [c for c in changes.columns if c != key]
+    order = ([number] if number else []) + [c for c in rest if c != number]
+    last = changes.groupBy(key).agg(F.max(F.struct(*order)).alias("_l")).select(key, *[F.col("_l")[c].alias(c) for c in rest])
+    return base.join(last.select(key), key, "left_anti").unionByName(last.select(*base.columns))
 
 
 def repeat_dates(first: Column, every: str, count: int) -> Column:

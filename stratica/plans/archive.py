@@ -13,28 +13,61 @@ def ntz(name: str):
     return F.col(name).cast("timestamp_ntz")
 
 
+#: What is put behind the texts, so that every kind of mark and none occurs.
+ENDINGS = ("", "\r\n\r\n-----Original Message-----\r\n> old", "\nOn Monday 3 May\nBob wrote:\n> old\n", "\nFrom: a@x\nTo: b@x\nSent: today\nold", "\n > cited\nmore\n-- \nBob", "\n__________________________\nold", "\nSent from my phone\n")
+MARKS = "|".join(mail.QUOTE_MARKS)
+SIGNED = ["(?s)^(.+?)" + m for m in mail.SIGNATURE_MARKS]
+
+
+def sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def ended(column: str):
+    """The column with one of the endings, by the row's id."""
+    ends = F.array(*[F.lit(e) for e in ENDINGS])
+    return F.concat(F.col(column), ends[(F.col("doc_id") % len(ENDINGS)).cast("int")])
+
+
+def head_sql(inner: str, pattern: str) -> str:
+    return f"CASE WHEN regexp_matches({inner}, {sql_text(pattern)}) THEN regexp_extract({inner}, {sql_text(pattern)}, 1) ELSE {inner} END"
+
+
 @query(
-    r"""SELECT doc_id, substr(body, 1, strpos(body, '-----Original Message-----') - 1) AS text
-    FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10) || '-----Original Message-----' || chr(10) || '> old' AS body FROM documents)
-    WHERE NOT regexp_matches(text, '_{10}|(?m)^[ \t]*>|(?i)wrote:|schrieb|(?i)(from|von|sent|date):|(?m)^--')"""
+    f"""WITH t AS (SELECT doc_id, regexp_replace(text || ([{", ".join(sql_text(e) for e in ENDINGS)}])[doc_id % {len(ENDINGS)} + 1], '\r\n?', chr(10), 'g') AS b FROM documents),
+    q AS (SELECT doc_id, {head_sql("b", "(?s:^(.*?))(?:" + MARKS + ")")} AS h0 FROM t),
+    s1 AS (SELECT doc_id, {head_sql("h0", SIGNED[0])} AS h1 FROM q), s2 AS (SELECT doc_id, {head_sql("h1", SIGNED[1])} AS h2 FROM s1),
+    s3 AS (SELECT doc_id, {head_sql("h2", SIGNED[2])} AS h3 FROM s2), s4 AS (SELECT doc_id, {head_sql("h3", SIGNED[3])} AS h4 FROM s3)
+    SELECT doc_id, regexp_replace(h4, '(?m)^[ \t]*>.*$', '', 'g') AS text FROM s4"""
 )
 def strip_quoted(read):
-    docs = read("documents").where(~F.col("text").rlike(r"_{10}|(?m)^[ \t]*>|(?i)wrote:|schrieb|(?i)(from|von|sent|date):|(?m)^--"))
-    body = F.concat("text", F.lit("\n-----Original Message-----\n> old"))
-    return docs.select("doc_id", mail.strip_quoted(body).alias("text"))
+    return read("documents").select("doc_id", mail.strip_quoted(ended("text")).alias("text"))
 
 
-@query("SELECT conv_id, turn, 'mid:c' || conv_id || '@' || role AS thread FROM conversations")
+@query(
+    """SELECT conv_id, turn, role, CASE WHEN turn % 4 = 0 AND text IS NOT NULL THEN 'tix:' || lower(hex(encode(left(md5(text), 22))))
+    WHEN turn % 4 <= 1 THEN 'mid:c' || conv_id || '@' || lower(coalesce(role, 'none')) WHEN turn % 4 = 2 THEN 'mid:r' || conv_id ELSE 'mid:own' || turn END AS thread FROM conversations"""
+)
 def thread_key(read):
-    refs = F.concat(F.lit("<C"), F.col("conv_id").cast("string"), F.lit("@"), F.col("role"), F.lit("> <other@x>"))
-    none = F.lit(None).cast("string")
-    return read("conversations").select("conv_id", "turn", mail.thread_key(F.lit("!!"), refs, none, none).alias("thread"))
+    """Mails with an index (where there is a text), references, an answered id, or only their own."""
+    kind, none = F.col("turn") % 4, F.lit(None).cast("string")
+    index = F.when(kind == 0, F.base64(F.encode(F.substring(F.md5("text"), 1, 27), "UTF-8"))).otherwise("!!")
+    refs = F.when(kind <= 1, F.concat(F.lit("<C"), F.col("conv_id").cast("string"), F.lit("@"), F.coalesce("role", F.lit("None")), F.lit("> <other@x>"))).otherwise(none)
+    reply = F.when(kind == 2, F.concat(F.lit("<R"), F.col("conv_id").cast("string"), F.lit(">")))
+    own = F.concat(F.lit("<Own"), F.col("turn").cast("string"), F.lit(">"))
+    return read("conversations").select("conv_id", "turn", "role", mail.thread_key(index, refs, reply, own).alias("thread"))
 
 
-@query("SELECT page_id, regexp_replace(string_split(url, '/')[-1], '[<>:\"|?*]', '_', 'g') AS name FROM pages WHERE regexp_matches(string_split(url, '/')[-1], '^[A-Za-z0-9].*[A-Za-z0-9]$|^[A-Za-z0-9]$')")
+@query(
+    """WITH n AS (SELECT page_id, string_split(replace(trim(u), chr(92), '/'), '/')[-1] AS last FROM (SELECT page_id, unnest([url, url || '. .', '..' || chr(92) || ' a?b' || page_id || '<c> ', 'x/']) AS u, unnest([0, 1, 2, 3]) AS kind FROM pages)),
+    c AS (SELECT page_id, left(trim(regexp_replace(last, '[<>:"|?*\x00-\x1f]', '_', 'g'), '. '), 150) AS name FROM n)
+    SELECT page_id, coalesce(nullif(name, ''), 'anhang') AS name FROM c"""
+)
 def safe_name(read):
-    last = F.element_at(F.split("url", "/", -1), -1)
-    return read("pages").where(last.rlike("^[A-Za-z0-9].*[A-Za-z0-9]$|^[A-Za-z0-9]$")).select("page_id", mail.safe_name(F.col("url")).alias("name"))
+    """Every address as it is, with dots behind it, a path of another system, and one without a name."""
+    url = F.col("url")
+    names = F.array(url, F.concat(url, F.lit(". .")), F.concat(F.lit("..\\ a?b"), F.col("page_id").cast("string"), F.lit("<c> ")), F.lit("x/"))
+    return read("pages").select("page_id", F.explode(names).alias("n")).select("page_id", mail.safe_name(F.col("n")).alias("name"))
 
 
 @query("SELECT p_partkey, array_to_string(list_sort(list_distinct(['pdf', lower(left(p_type, 3))])), ' ') AS ext FROM part")
@@ -49,9 +82,9 @@ def party_domains(read):
     return read("supplier").select("s_suppkey", found.alias("domains"), mail.external(found, [f"n{k}.example" for k in range(5)]).alias("external"))
 
 
-@query("SELECT page_id, 'o365://sites/' || replace(replace(replace(replace(url, ':', '%3A'), '?', '%3F'), '=', '%3D'), '&', '%26') AS uri FROM pages WHERE regexp_matches(url, '^[A-Za-z0-9:/?=&_.~-]*$')")
+@query("SELECT page_id, 'o365://sites/' || url_encode(url || ' (ä)*~') AS uri FROM pages")
 def source_uri(read):
-    return read("pages").where(F.col("url").rlike("^[A-Za-z0-9:/?=&_.~-]*$")).select("page_id", mail.source_uri(F.lit("sites"), F.col("url")).alias("uri"))
+    return read("pages").select("page_id", mail.source_uri(F.lit("sites"), F.concat("url", F.lit(" (ä)*~"))).alias("uri"))
 
 
 @query("SELECT event_id, CASE WHEN user_id % 7 = 3 OR event_type = 'error' THEN 'refused' WHEN user_id % 7 IN (4, 5) THEN 'gone' ELSE 'retry' END AS verdict FROM events")
@@ -60,14 +93,14 @@ def verdict_class(read):
     return read("events").select("event_id", mail.verdict_class(status, F.when(F.col("event_type") == "error", "MalwareDetected")).alias("verdict"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))), ' ') AS mails FROM documents WHERE regexp_matches(text, '@')")
+@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))), ' ') AS mails FROM documents")
 def contact_regex(read):
-    return read("documents").where(F.col("text").contains("@")).select("doc_id", F.array_join(mail.contacts(F.col("text")), " ").alias("mails"))
+    return read("documents").select("doc_id", F.array_join(mail.contacts(F.col("text")), " ").alias("mails"))
 
 
-@query("SELECT doc_id, least(greatest(CAST(pow(2, ceil(log2(floor(length(text) / 4) + 1024))) AS BIGINT), 4096), 32768) AS num_ctx FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, least(greatest(CAST(pow(2, ceil(log2(floor(length(text) / 4) + 1024))) AS BIGINT), 4096), 32768) AS num_ctx FROM documents")
 def num_ctx(read):
-    return read("documents").where("text is not null").select("doc_id", mail.window_size(F.length("text")).alias("num_ctx"))
+    return read("documents").select("doc_id", mail.window_size(F.length("text")).alias("num_ctx"))
 
 
 @query(
@@ -91,6 +124,39 @@ def expand_weekly(read):
     return recurrence.expand(series, "2010-01-01").select("o_orderkey", F.to_date("wall").alias("day"))
 
 
+@query("SELECT o_orderkey, CAST(o_orderdate::DATE + (3 * k)::INT AS DATE) AS day FROM orders, range(4) r(k)")
+def expand_daily(read):
+    series = read("orders").select("o_orderkey", ntz("o_orderdate").alias("start"), F.lit("FREQ=DAILY;INTERVAL=3;COUNT=4").alias("rrule"), F.lit("UTC").alias("tz"))
+    return recurrence.expand(series, "2010-01-01").select("o_orderkey", F.to_date("wall").alias("day"))
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey, o_orderdate + INTERVAL 1 WEEK * k AS wall FROM orders, range(5) r(k)), f AS (SELECT o_orderkey, o_orderdate + INTERVAL 7 DAY AS slot, o_orderstatus AS s FROM orders)
+    SELECT o_orderkey, wall FROM d WHERE (o_orderkey, wall) NOT IN (SELECT o_orderkey, slot FROM f WHERE s IN ('F', 'P'))
+    UNION ALL SELECT o_orderkey, slot + INTERVAL 90 MINUTE FROM f WHERE s = 'P'
+    UNION ALL SELECT o_orderkey, o_orderdate + INTERVAL 1 HOUR FROM orders WHERE o_orderkey % 4 = 0 AND o_orderdate >= TIMESTAMP '1998-01-01'"""
+)
+def exdates_exceptions(read):
+    """Weekly series of five: the second date is taken out (F), moved (P) or kept; some have a date moved in from outside."""
+    orders = read("orders").select("o_orderkey", "o_orderstatus", ntz("o_orderdate").alias("start"))
+    out = F.when(F.col("o_orderstatus") == "F", F.array(F.expr("start + interval 7 days"))).otherwise(F.array().cast("array<timestamp_ntz>"))
+    dates = recurrence.expand(orders.select("o_orderkey", "start", F.lit("FREQ=WEEKLY;COUNT=5").alias("rrule"), F.lit("UTC").alias("tz"), out.alias("exdates")), "2012-01-01", exdates="exdates")
+    moved = orders.where("o_orderstatus = 'P'").select("o_orderkey", F.expr("start + interval 7 days").alias("slot"), F.expr("start + interval 7 days 90 minutes").alias("moved"))
+    inside = orders.where("o_orderkey % 4 = 0").select("o_orderkey", F.expr("start - interval 400 days").alias("slot"), F.expr("start + interval 1 hour").alias("moved"))
+    return recurrence.with_exceptions(dates, moved.unionByName(inside), "1998-01-01 00:00:00", None, "o_orderkey")
+
+
+@query(
+    """SELECT o_orderkey, wall, CASE WHEN wall >= TIMESTAMP '1999-03-28 03:00:00' AND wall < TIMESTAMP '1999-10-31 02:00:00' THEN wall - INTERVAL 2 HOUR ELSE wall - INTERVAL 1 HOUR END AS utc
+    FROM (SELECT o_orderkey, TIMESTAMP '1999-03-14 09:30:00' + INTERVAL 1 HOUR * (o_orderkey % 5)::INT + INTERVAL 1 WEEK * k AS wall FROM orders, range(4) r(k))"""
+)
+def dst_wall_clock(read):
+    """Weekly series of a zone whose clocks go forward in between keep their wall clock."""
+    start = F.lit("1999-03-14 09:30:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 5).cast("int"))
+    series = read("orders").select("o_orderkey", start.alias("start"), F.lit("FREQ=WEEKLY;COUNT=4").alias("rrule"), F.lit("Europe/Berlin").alias("tz"))
+    return recurrence.expand(series, "2010-01-01").select("o_orderkey", "wall", F.col("at").cast("timestamp_ntz").alias("utc"))
+
+
 @query(
     """SELECT s_suppkey AS node, a AS above, d AS distance FROM (WITH RECURSIVE r AS (SELECT s_suppkey, s_suppkey // 3 AS a, 1 AS d FROM supplier WHERE s_suppkey > 0
     UNION ALL SELECT s_suppkey, a // 3, d + 1 FROM r WHERE a > 0) SELECT * FROM r)"""
@@ -116,12 +182,24 @@ def org_changes(read):
     return graph.changes(old, new, "c_custkey", "c_nationkey", ["c_mktsegment"])
 
 
-@query("SELECT conv_id, min(turn) AS broken FROM (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE b IS NOT NULL AND length(b) > 200 GROUP BY conv_id")
+@query(
+    """WITH l AS (SELECT conv_id, turn + 1 AS n, text, lag(text) OVER w AS before, row_number() OVER w AS nth FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    p AS (SELECT *, CASE WHEN nth = 1 THEN CASE WHEN conv_id % 7 = 3 THEN 'invented' END WHEN length(before) > 1500 THEN 'altered' ELSE sha256(coalesce(before, '')) END AS prev FROM l),
+    k AS (SELECT *, row_number() OVER w AS place, lag(text) OVER w AS b, lag(1) OVER w AS has FROM p WHERE NOT (conv_id % 5 = 0 AND n = 2) WINDOW w AS (PARTITION BY conv_id ORDER BY n))
+    SELECT conv_id, min(place) AS broken FROM k WHERE n <> place OR prev IS DISTINCT FROM (CASE WHEN has = 1 THEN sha256(coalesce(b, '')) END)
+    OR (conv_id % 11 = 1 AND place = (SELECT max(place) FROM k m WHERE m.conv_id = k.conv_id)) GROUP BY 1"""
+)
 def chain_check(read):
-    """Hashes of long lines are recorded wrongly here, so the line after the first long one is where the chain breaks."""
-    rows = read("conversations").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
-    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.when(F.length("text") > 200, "altered").otherwise(F.sha2("text", 256)).alias("prev"))
-    return evidence.broken_lines(rows.join(before, ["conv_id", "turn"], "left"), "conv_id", "turn", "text", "prev")
+    """Chains with hashes of long lines recorded wrongly, a line deleted, a first line with a predecessor, or a wrong head."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("conv_id").orderBy("turn")
+    before = F.when(F.length(F.lag("text").over(own)) > 1500, "altered").otherwise(F.sha2(F.coalesce(F.lag("text").over(own), F.lit("")), 256))
+    first = F.when(F.col("conv_id") % 7 == 3, "invented")
+    lines = read("conversations").withColumn("prev", F.when(F.row_number().over(own) == 1, first).otherwise(before)).withColumn("n", F.col("turn") + 1)
+    kept = lines.where("not (conv_id % 5 = 0 and n = 2)")
+    heads = kept.groupBy("conv_id").agg(F.when(F.col("conv_id") % 11 == 1, "wrong").otherwise(F.sha2(F.coalesce(F.max_by("text", "n"), F.lit("")), 256)).alias("head"))
+    return evidence.broken_lines(kept, "conv_id", "n", "text", "prev", heads)
 
 
 @query("SELECT o_custkey, k AS o_orderkey FROM (SELECT o_custkey, max(o_orderkey) AS k, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1) WHERE s <> 'F'")
@@ -144,10 +222,10 @@ def verify_verdict(read):
     return read("events").select("event_id", evidence.verdict(F.col("event_type") != "error", value >= 20, recorded, F.lit("new"), F.lit("write"), announced).alias("verdict"))
 
 
-@query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 OR toxic = 1)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 OR toxic = 1)")
 def collect_new(read):
     labels = read("labels")
-    return casebook.collect_new(read("documents").where("text is not null"), labels.where("quality = 1"), labels.where("toxic = 1"), "doc_id").select("doc_id")
+    return casebook.collect_new(read("documents"), labels.where("quality = 1"), labels.where("toxic = 1"), "doc_id").select("doc_id")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE nx IS DISTINCT FROM event_type")
@@ -167,11 +245,11 @@ def version_pairs(read):
 
 
 @query(
-    """WITH v AS (SELECT * FROM (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) WHERE b IS DISTINCT FROM o_orderstatus)
-    SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS back FROM v"""
+    """WITH f AS (SELECT o_custkey, o_orderstatus, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, min((o_orderdate, o_orderkey)) AS seen FROM orders GROUP BY 1, 2)
+    SELECT o_custkey, o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY seen DESC) - 1 AS back FROM f"""
 )
 def distinct_versions(read):
-    return casebook.distinct_versions(read("orders"), "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")], "o_orderstatus").select("o_custkey", "o_orderkey", "back")
+    return casebook.distinct_versions(read("orders"), "o_custkey", ["o_orderdate"], "o_orderstatus", "o_orderkey")
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events")

@@ -155,6 +155,17 @@ def sources_present_absent(read):
     return facets.presence(read("documents"), "lang", ["en", "fr", "xx"])
 
 
+@query(
+    """WITH s AS (SELECT o_orderkey AS k, 'b' AS v FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'c' FROM orders WHERE o_orderkey % 6 = 0)
+    SELECT o_orderkey, coalesce(v, o_orderstatus) AS o_orderstatus FROM orders LEFT JOIN (SELECT k, max(v) AS v FROM s GROUP BY 1) ON k = o_orderkey"""
+)
+def upsert_last_wins(read):
+    """Every sixth order is changed twice in one batch."""
+    orders = read("orders").select("o_orderkey", "o_orderstatus")
+    changes = orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("b").alias("o_orderstatus"), F.lit(1).alias("nr")).unionByName(orders.where("o_orderkey % 6 = 0").select("o_orderkey", F.lit("c").alias("o_orderstatus"), F.lit(2).alias("nr")))
+    return sequences.upsert(orders, changes, "o_orderkey", "nr")
+
+
 @query("SELECT doc_id, text_sha FROM (SELECT doc_id, sha256(text) AS text_sha, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def dedupe_best(read):
     docs = read("documents").select("doc_id", F.sha2("text", 256).alias("text_sha"))
@@ -226,16 +237,19 @@ def subtree_totals(read):
 
 @query(
     r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(
-    regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
-    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages"""
+    regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+    '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages"""
 )
 def strip_html(read):
     return read("pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN strpos(lower(text), 'license') > 0 THEN substr(text, greatest(1, strpos(lower(text), 'license') - 20), 80) ELSE substr(text, 1, 80) END AS preview FROM documents")
+@query(
+    """WITH p AS (SELECT doc_id, text, list_min(list_filter([strpos(lower(text), 'license'), strpos(lower(text), ' queque'), strpos(lower(text), 'the ')], lambda x: x > 0)) AS first FROM documents)
+    SELECT doc_id, CASE WHEN first - 1 - 20 > 0 THEN '…' || ltrim(substr(text, first - 20, 79)) ELSE left(text, 80) END AS preview FROM p"""
+)
 def preview_snippet(read):
-    return read("documents").select("doc_id", tx.snippet(F.col("text"), "license", 80).alias("preview"))
+    return read("documents").select("doc_id", tx.snippet(F.col("text"), ["license", " queque", "the "], 80).alias("preview"))
 
 
 @query("SELECT event_id, TRY_CAST(props ->> '$.k' AS BIGINT) AS k FROM events")

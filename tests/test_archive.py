@@ -29,7 +29,10 @@ def dates(spark, rule, start, horizon, tz="Europe/Berlin"):
         ("FREQ=MONTHLY;BYDAY=1MO,1TU,1WE,1TH,1FR", "2026-01-01", "2026-03-31", "01-01 02-02 03-02"),
         ("FREQ=DAILY;COUNT=3", "2026-01-01", "2026-03-31", "01-01 01-02 01-03"),
         ("FREQ=DAILY;UNTIL=20260102", "2026-01-01", "2026-03-31", "01-01 01-02"),
-        ("FREQ=HOURLY", "2026-01-01", "2026-03-31", ""),
+        ("FREQ=HOURLY", "2026-01-01", "2026-03-31", "01-01"),
+        (None, "2026-01-01", "2026-03-31", "01-01"),
+        ("FREQ=DAILY;COUNT=0", "2026-01-01", "2026-01-03", "01-01 01-02 01-03"),
+        ("FREQ=MONTHLY;BYDAY=5FR;COUNT=2", "2026-01-02", "2026-12-31", "01-30 05-29"),
     ],
 )
 def test_recurrence(spark, rule, start, horizon, expected):
