@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,10 +36,9 @@ SIMILARITY = 0.8
 #: Texts by which shingles are ordered, and most common shingles that travel with the tasks; they decide costs only.
 ORDER_ROWS = 100_000
 MOST_COMMON = 250_000
-#: Rounds in which every node is compared with one pivot before all that is left is compared; rows of a block of a shingle
-#: that meets all others; shingles of the texts that are held side by side while they are compared.
+#: Rounds in which every node is compared with one pivot before all that is left is compared; shingles of the texts that
+#: are held side by side while others are compared with them.
 PIVOTS = 2
-BLOCK_ROWS = 1_000
 CELL_SHINGLES = 1_000_000
 
 
@@ -107,8 +106,11 @@ def ball_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
-def signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def stored_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The distinct edges (u, v) in the shared folder, and their number and hash, which are taken while they are written."""
+    seen = Observation()
+    kept = stored(edges.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("hash")), "links")
+    return kept, (seen.get["n"], seen.get["hash"])
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -118,24 +120,24 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     A node's smallest neighbour is a partial aggregate; the join back is an equi-join that adaptive execution can
     split where one node has very many neighbours.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    now = signature(edges)
-    for _ in range(max_rounds):
+    edges, now = stored_edges(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    for _ in range(max_rounds if now[0] else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every larger neighbour of u hangs on u's smallest neighbour
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: every smaller neighbour of u, and u, hang on the smallest of them
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v")))
-        following = stored(small.where("u <> v").distinct(), "links")
-        before, now = now, signature(following)
+        before = now
+        following, now = stored_edges(small.where("u <> v"))
         drop_stored(edges)
         edges = following
         if before == now:
             break
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if now[0]:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -255,63 +257,108 @@ def ball_pairs(nodes: DataFrame, radius: int) -> DataFrame:
     return same.unionByName(met.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 
-def compared(x: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Which of the other sets (ascending hashes) have at least the Jaccard similarity with ``x``."""
-    sizes = np.array([len(y) for y in others], dtype=np.int64)
-    flat = np.concatenate([np.zeros(0, np.uint64), *others])
-    hit = np.zeros(len(flat) + 1, dtype=np.int64)
-    if len(x) and len(flat):
-        hit[1:] = np.cumsum(x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat)
-    ends = np.cumsum(sizes)
-    both = hit[ends] - hit[ends - sizes]
-    return both >= similarity * (len(x) + sizes - both) - 1e-9
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
-    """Those stored pairs (a, b) of nodes whose shingle sets have at least the Jaccard similarity, by their whole texts.
-
-    Candidates that hang together are dealt into parts of at most about ``CELL_SHINGLES``, and every pair belongs to the
-    cell of its two parts.  A text goes once to each cell that has a pair of it, so neither a pair nor a group ships texts.
+class Side:
+    """Shingle sets of one side of a cell as an inverted index, so that a set meets only those that it shares shingles with."""
+
+    def __init__(self, nodes: list[int], roots: list[int], sets: list[np.ndarray]):
+        self.nodes, self.roots = nodes, roots
+        self.sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        self.shingles, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.starts = np.searchsorted(code[order], np.arange(len(self.shingles) + 1))
+
+    def overlaps(self, x: np.ndarray) -> np.ndarray:
+        """How many shingles each set of this side shares with ``x``."""
+        if not len(x) or not len(self.shingles):
+            return np.zeros(len(self.nodes), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, x), len(self.shingles) - 1)
+        hit = at[self.shingles[at] == x]
+        first, sizes = self.starts[hit], self.starts[hit + 1] - self.starts[hit]
+        ends = np.cumsum(sizes)
+        places = np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.owners[places], minlength=len(self.nodes))
+
+    def similar(self, x: np.ndarray, similarity: float) -> list[int]:
+        """Places of the sets that have at least the Jaccard similarity with ``x``."""
+        both = self.overlaps(x)
+        return np.flatnonzero(both >= similarity * (self.sizes + len(x) - both) - 1e-9).tolist()
+
+
+def verified(members: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of nodes within a cell that have at least the Jaccard similarity, by their whole texts.
+
+    ``members`` are ``_cell, _left, _node, _root``: the nodes on the left of a cell are compared with all others of it that
+    have another root.  The left of a cell is held as an index, the rest streams by; of links that connect what is connected
+    already only the first is given, so a cell gives fewer links than it has nodes.
     """
-    groups = stored(components(pairs).join(nodes.select(F.col("_node").alias("node"), "_size"), "node"), "candidate-groups")
-    sums = groups.groupBy("root").agg(F.ceil(F.sum("_size") / CELL_SHINGLES).cast("long").alias("_parts"))
-    parts = groups.join(sums, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.greatest("_parts", F.lit(1))).alias("_part"))
-    placed = pairs.join(parts.select(F.col("node").alias("a"), "root", F.col("_part").alias("_x")), "a").join(parts.select(F.col("node").alias("b"), F.col("_part").alias("_y")), "b")
-    celled = stored(placed.select("a", "b", F.xxhash64("root", F.least("_x", "_y"), F.greatest("_x", "_y")).alias("_cell")), "candidate-cells")
-    asked = celled.groupBy("_cell", F.col("a").alias("_node")).agg(F.collect_set("b").alias("_with"))
-    silent = celled.select("_cell", F.col("b").alias("_node")).distinct().withColumn("_with", F.lit(None).cast("array<long>"))
-    members = asked.unionByName(silent).join(nodes.select("_node", F.col("_one._id").alias("_id"), F.col("_one._key").alias("_key")), "_node")
+    placed = members.join(nodes.select("_node", F.col("_one._id").alias("_id"), F.col("_one._key").alias("_key")), "_node")
     own = docs.select(F.col(id_col).alias("_own"), text_key(text_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
-    rows = own.join(members, F.col("_own").eqNullSafe(F.col("_id")) & (own["_key"] == members["_key"])).select("_cell", "_node", "_with", "_text")
+    rows = own.join(placed, F.col("_own").eqNullSafe(F.col("_id")) & (own["_key"] == placed["_key"])).select("_cell", "_left", "_node", "_root", "_text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
-        wanted: dict[int, list[int]] = {}
-        current = None
-
-        def links() -> Iterator[pa.RecordBatch]:
-            for a, partners in wanted.items():
-                keep = compared(sets[a], [sets[b] for b in partners], similarity)
-                found = np.array(partners, dtype=np.int64)[keep]
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), a, dtype=np.int64)), pa.array(found)], names=["a", "b"])
-            sets.clear()
-            wanted.clear()
+        current, side = None, None
+        waiting: dict[int, tuple[int, np.ndarray]] = {}
+        above: dict[int, int] = {}
+
+        def top(root: int) -> int:
+            while (up := above.get(root, root)) != root:
+                above[root] = above.get(up, up)
+                root = up
+            return root
 
         for batch in batches:
-            for cell, node, partners, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts(batch.column(3)), strict=True):
+            found: list[tuple[int, int]] = []
+            for cell, left, node, root, text in zip(*(batch.column(k).to_pylist() for k in range(4)), texts(batch.column(4)), strict=True):
                 if cell != current:
-                    yield from links()
-                    current = cell
-                if node not in sets:
-                    sets[node] = shingle_set(text, shingle_words)
-                if partners is not None:
-                    wanted[node] = partners
-        yield from links()
-
-    found = stored(map_rows(rows.repartition("_cell").sortWithinPartitions("_cell"), compare, "a long, b long"), "similar-links")
-    drop_stored(groups, celled)
-    return found
+                    current, side = cell, None
+                    waiting.clear()
+                    above.clear()
+                own = shingle_set(text, shingle_words)
+                if left:
+                    waiting[node] = root, own
+                    continue
+                if side is None:
+                    side = Side(list(waiting), [r for r, _ in waiting.values()], [x for _, x in waiting.values()])
+                for k in side.similar(own, similarity):
+                    x, y = top(side.roots[k]), top(root)
+                    if x != y:
+                        above[max(x, y)] = min(x, y)
+                        found.append((side.nodes[k], node))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    dealt = rows.repartition("_cell").sortWithinPartitions("_cell", F.desc("_left"))
+    return stored(map_rows(dealt, compare, "a long, b long"), "similar-links")
+
+
+def hub_members(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of cells for stored pairs (a, b) of which few have the same ``a``: those of one ``b`` are dealt into cells of about ``CELL_SHINGLES``."""
+    sized = pairs.join(nodes.select(F.col("_node").alias("a"), "_size"), "a")
+    cells = stored(sized.groupBy("b").agg(F.greatest(F.ceil(F.sum("_size") / CELL_SHINGLES), F.lit(1)).cast("long").alias("_cells")), "hub-cells")
+    placed = pairs.join(cells, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), "_cells")).alias("_cell"))
+    side = lambda left, node: placed.select("_cell", F.lit(left).alias("_left"), F.col(node).alias("_node"), F.col(node).alias("_root"))
+    return side(True, "b").distinct().unionByName(side(False, "a"))
+
+
+def bundle_members(rooted: DataFrame, apart: DataFrame) -> DataFrame:
+    """Members of cells for the nodes of shingles (``apart``) that have several roots.
+
+    Shingles with the same smallest node are one bundle, as those of a group of near copies are: its nodes are compared once.
+    All that are not of the bundle's largest root stand on the left, against all of it; both sides are dealt into parts of
+    about ``CELL_SHINGLES``, so that no cell grows with the bundle.
+    """
+    bundles = stored(rooted.join(apart, "_shingle").select("_low", "_node", "_root", "_size").distinct(), "bundles")
+    by_root = bundles.groupBy("_low", "_root").agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum"))
+    parts = lambda total: F.greatest(F.ceil(total / CELL_SHINGLES), F.lit(1)).cast("long")
+    totals = by_root.groupBy("_low").agg(F.max(F.struct("_n", "_root", "_sum")).alias("_main"), F.sum("_sum").alias("_all"))
+    cells = stored(totals.select("_low", F.col("_main._root").alias("_main"), parts(F.col("_all") - F.col("_main._sum")).alias("_lefts"), parts(F.col("_all")).alias("_rights")), "bundle-cells")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("_node"), n)
+    rows = bundles.join(cells, "_low")
+    left = rows.where("_root <> _main").select("_low", "_node", "_root", own("_lefts").alias("_i"), every("_rights").alias("_j"), F.lit(True).alias("_left"))
+    right = rows.select("_low", "_node", "_root", every("_lefts").alias("_i"), own("_rights").alias("_j"), F.lit(False).alias("_left"))
+    return left.unionByName(right).select(F.xxhash64("_low", "_i", "_j").alias("_cell"), "_left", "_node", "_root")
 
 
 def similar_roots(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, radius: int = RADIUS) -> DataFrame:
@@ -319,47 +366,40 @@ def similar_roots(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
 
     First the texts that meet in a ball, and every text with the pivot of its rare shingles, are compared, so that a large
     group of near copies becomes one component at a cost in proportion to its size.  Then all that share a rare shingle and
-    are still in different components are compared: no pair is left out.
+    are still in different components are compared, in cells: no pair is left out.
     """
     near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9
+    named = (id_col, text_col, shingle_words, similarity)
+    as_links = lambda found: found.select(F.col("node").alias("a"), F.col("root").alias("b"))
     rows = nodes.select("_node", "_size", "_first", F.posexplode("_rare").alias("_at", "_shingle")).select("_node", "_size", (F.col("_at") < F.col("_first")).alias("_short"), "_shingle")
+    # the one shingle that a pair is sure to share is among the first of the smaller set
     several = stored(rows.groupBy("_shingle").agg(F.min("_node").alias("_low"), F.max("_node").alias("_high"), F.max("_short").alias("_any")).where("_low < _high and _any").select("_shingle"), "several-shingles")
     shared = stored(rows.join(several, "_shingle"), "shared-shingles")
     drop_stored(several)
-    done = stored(ball_pairs(nodes, radius).distinct(), "ball-pairs")
-    links = verified(done, nodes, docs, id_col, text_col, shingle_words, similarity)
-    roots = stored(components(links), "similar-roots")
-    for _ in range(PIVOTS):
-        rooted = shared.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root")
-        pivots = rooted.groupBy("_shingle").agg(F.min(F.struct("_root", "_node", "_size")).alias("_low"), F.max("_root").alias("_high")).where("_low._root < _high").select("_shingle", "_low")
+    roots = done = None
+    for k in range(PIVOTS):
+        rooted = shared.withColumn("_root", F.col("_node")) if roots is None else shared.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root")
+        rooted = rooted if roots is None else stored(rooted, "rooted-shingles")
+        # stored, so that adaptive execution can split a shingle with very many rows
+        pivots = stored(rooted.groupBy("_shingle").agg(F.min(F.struct("_root", "_node", "_size")).alias("_low"), F.max("_root").alias("_high")).where("_low._root < _high").select("_shingle", "_low"), "pivots")
         met = rooted.join(pivots, "_shingle").where((F.col("_root") > F.col("_low._root")) & near(F.col("_size"), F.col("_low._size")))
-        best = met.groupBy(F.col("_node").alias("a"), F.col("_low._node").alias("b")).agg(F.count("*").alias("_n")).join(done, ["a", "b"], "left_anti").groupBy("a").agg(F.max(F.struct("_n", "b")).alias("_best"))
-        pairs = stored(best.select("a", "_best.b"), "pivot-pairs")
-        if pairs.isEmpty():
-            break
-        links = verified(pairs, nodes, docs, id_col, text_col, shingle_words, similarity)
-        following = stored(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "similar-roots")
-        both = stored(done.unionByName(pairs), "compared-pairs")
-        drop_stored(roots, done, links)
+        counted = met.groupBy(F.col("_node").alias("a"), F.col("_low._node").alias("b")).agg(F.count("*").alias("_n"))
+        fresh = counted if done is None else counted.join(done, ["a", "b"], "left_anti")
+        pairs = fresh.groupBy("a").agg(F.max(F.struct("_n", "b")).alias("_best")).select("a", "_best.b")
+        pairs = stored(pairs.unionByName(ball_pairs(nodes, radius)).distinct() if k == 0 else pairs, "pivot-pairs")
+        links = verified(hub_members(pairs, nodes), nodes, docs, *named)
+        following = stored(components(links if roots is None else links.unionByName(as_links(roots))), "similar-roots")
+        both = pairs if done is None else stored(done.unionByName(pairs), "compared-pairs")
+        drop_stored(links, pivots, *([] if roots is None else [roots, done, pairs, rooted]))
         roots, done = following, both
-    rooted = shared.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root")
-    apart = rooted.groupBy("_shingle").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"), F.ceil(F.count("*") / BLOCK_ROWS).alias("_blocks")).where("_low < _high").select("_shingle", "_blocks")
-    # the rows of a shingle are dealt into blocks, each of which meets all others of the shingle
-    rooted = stored(rooted.join(apart, "_shingle"), "rooted-shingles")
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block")
-    left = rooted.select("_shingle", F.pmod("_node", "_blocks").alias("_block"), F.col("_node").alias("a"), F.col("_size").alias("_x"), F.col("_short").alias("_a"), F.col("_root").alias("_from"))
-    others = rooted.select("_shingle", "_blocks", F.col("_root").alias("_to")).distinct().select("_shingle", "_to", blocks)
-    right = rooted.select("_shingle", F.col("_root").alias("_to"), F.col("_node").alias("b"), F.col("_size").alias("_y"), F.col("_short").alias("_b"), blocks)
-    # the shingle in common is among the first of the smaller set
-    first = (F.col("_a") & (F.col("_x") <= F.col("_y"))) | (F.col("_b") & (F.col("_y") <= F.col("_x")))
-    met = left.join(others, ["_shingle", "_block"]).where("_from < _to").join(right, ["_shingle", "_to", "_block"]).where(first & near(F.col("_x"), F.col("_y")))
-    rest = stored(met.select("a", "b").distinct().join(done, ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "rest-pairs")
-    drop_stored(rooted, shared, done)
-    if rest.isEmpty():
+    rooted = stored(shared.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node")).drop("root"), "rooted-shingles")
+    apart = stored(rooted.groupBy("_shingle").agg(F.min("_root").alias("_least"), F.max("_root").alias("_high"), F.min("_node").alias("_low"), F.max("_short").alias("_any")).where("_least < _high and _any").select("_shingle", "_low"), "apart-shingles")
+    drop_stored(shared, done)
+    if apart.isEmpty():
         return roots
-    links = verified(rest, nodes, docs, id_col, text_col, shingle_words, similarity)
-    final = stored(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "similar-roots")
-    drop_stored(rest, links, roots)
+    links = verified(bundle_members(rooted, apart), nodes, docs, *named)
+    final = stored(components(links.unionByName(as_links(roots))), "similar-roots")
+    drop_stored(rooted, apart, links, roots)
     return final
 
 

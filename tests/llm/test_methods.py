@@ -377,10 +377,10 @@ def test_scores_with_an_empty_head(spark):
 
 
 def test_links_do_not_hang_on_the_order_of_shingles_or_sizes(spark, monkeypatch):
-    """With no common shingles known, one pivot and small blocks, as where tables are large, the links are the same."""
+    """With no common shingles known, one pivot and small cells, as where tables are large, the links are the same."""
     docs, _ = near_copies(spark)
     expected = exact_components({r["doc_id"]: r["text"] for r in docs.collect()})
-    for name, value in (("PIVOTS", 1), ("BLOCK_ROWS", 2)):
+    for name, value in (("PIVOTS", 1), ("CELL_SHINGLES", 700)):
         monkeypatch.setattr(simhash, name, value)
     monkeypatch.setattr(simhash, "common_shingles", lambda *_: simhash.Common(np.zeros(0, np.uint64), np.zeros(0, np.int8)))
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == expected
