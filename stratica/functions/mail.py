@@ -53,8 +53,8 @@ def safe_name(name: Column, instead: str = "anhang") -> Column:
 
 
 def extensions(names: Column) -> Column:
-    """Sorted, distinct lower-case extensions (letters and digits, at most 8) of names joined by ``|``."""
-    found = F.transform(F.split(names, r"\|", -1), lambda n: F.regexp_extract(F.lower(n), r"\.([\p{L}\p{N}]{1,8})$", 1))
+    """Sorted, distinct lower-case extensions (letters and digits, at most 8) of an attachment line."""
+    found = F.transform(attachment_names(names), lambda n: F.regexp_extract(F.lower(n), r"\.([\p{L}\p{N}]{1,8})$", 1))
     return F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda e: e != ""))), " ")
 
 

@@ -75,3 +75,97 @@ def balance(expected: DataFrame, states: DataFrame, unit: str, key: str) -> Data
     joined = expected.join(states.select(key, "state"), key, "left")
     counts = [F.count(F.when(F.col("state") == s, 1)).alias(s) for s in ("here", "waiting", "refused", "gone")]
     return joined.groupBy(unit).agg(F.count("*").alias("expected"), *counts, F.count(F.when(F.col("state").isNull(), 1)).alias("open"))
+
+
+def book_state(events: DataFrame, key: list[str], number: str = "nr") -> DataFrame:
+    """The state of things that events create, rename, close, open, note, move and delete: one row for each that is not deleted.
+
+    ``events``: the key, nr, op, value.  Each property is the last value of its own events after the last deletion, so the
+    fold is a set of maxima and needs no order of rows.  Columns: name, status (open without an event), folder, remark.
+    """
+    gone = events.where("op = 'delete'").groupBy(*key).agg(F.max(number).alias("_gone"))
+    alive = events.join(gone, key, "left").where(F.col("_gone").isNull() | (F.col(number) > F.col("_gone"))).where("op <> 'delete'")
+    last = lambda *ops: F.max_by(F.struct("op", "value"), F.when(F.col("op").isin(*ops), F.col(number)))
+    found = alive.groupBy(*key).agg(F.count(F.when(F.col("op") == "create", 1)).alias("_made"), last("create", "rename").alias("_name"), last("close", "open").alias("_status"), last("move").alias("_folder"), last("remark").alias("_remark"))
+    return found.where("_made > 0").select(*key, F.col("_name.value").alias("name"), F.when(F.col("_status.op") == "close", "closed").otherwise("open").alias("status"), F.col("_folder.value").alias("folder"), F.col("_remark.value").alias("remark"))
+
+
+def without_folders(items: DataFrame, folders: DataFrame) -> DataFrame:
+    """Members whose folder no longer exists are unsorted."""
+    known = folders.select("case_id", F.col("folder_id").alias("folder"), F.lit(True).alias("_there"))
+    return items.join(known, ["case_id", "folder"], "left").withColumn("folder", F.when(F.col("_there"), F.col("folder"))).drop("_there")
+
+
+def removals(removed: DataFrame, taken_out: DataFrame, added_by_hand: DataFrame) -> DataFrame:
+    """(case_id, key): removal marks after taking out and adding: taking out sets a mark, adding by hand clears it."""
+    key = ["case_id", "key"]
+    return removed.select(*key).unionByName(taken_out.select(*key)).distinct().join(added_by_hand.select(*key), key, "left_anti")
+
+
+def decorated_searches(searches: DataFrame, cases: DataFrame, folders: DataFrame) -> DataFrame:
+    """Saved searches with the names of their case and folder, where they have one."""
+    named = cases.select(F.col("id").alias("case_id"), F.col("name").alias("case_name"), "status")
+    return searches.join(named, "case_id", "left").join(folders.select("case_id", "folder_id", F.col("name").alias("folder_name")), ["case_id", "folder_id"], "left")
+
+
+def automatic_searches(searches: DataFrame, cases: DataFrame) -> DataFrame:
+    """Searches that file by themselves: marked so, by text, and of an open case."""
+    return searches.where("automatic and mode = 'text'").join(cases.where("status <> 'closed'").select(F.col("id").alias("case_id")), "case_id", "left_semi")
+
+
+def collected(hits: DataFrame, members: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members to add, report) of automatic searches: each hit (search_id, case_id, key) is already there, skipped as once removed, or new."""
+    key = ["case_id", "key"]
+    mark = lambda df, name: df.select(*key).distinct().withColumn(name, F.lit(True))
+    rows = hits.where("key is not null").join(mark(members, "_in"), key, "left").join(mark(removed, "_out"), key, "left")
+    state = F.when(F.col("_in"), "already").when(F.col("_out"), "skipped").otherwise("new")
+    judged = rows.withColumn("state", state)
+    counts = [F.count(F.when(F.col("state") == s, 1)).alias(s) for s in ("new", "skipped", "already")]
+    return judged.where("state = 'new'").groupBy(*key).agg(F.min("search_id").alias("search_id")), judged.groupBy("search_id").agg(F.count("*").alias("hits"), *counts)
+
+
+def pulled_thread(items: DataFrame, messages: DataFrame, removed: DataFrame) -> DataFrame:
+    """(case_id, key, folder): messages of the conversations of which a case has one, each into that one's folder (the smallest of several)."""
+    have = items.join(messages.select("key", "thread"), "key").groupBy("case_id", "thread").agg(F.min("folder").alias("folder"))
+    wanted = messages.join(have, "thread").select("case_id", "key", "folder")
+    return wanted.join(items.select("case_id", "key"), ["case_id", "key"], "left_anti").join(removed.select("case_id", "key"), ["case_id", "key"], "left_anti")
+
+
+def kept_history(history: DataFrame, ts: str, now: str, days: int) -> DataFrame:
+    """What retention keeps: rows of the last days; 30.44 days are a month."""
+    return history.where(F.col(ts) >= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days)))
+
+
+def snapshot(hits: DataFrame, list_id: str, criteria: str, at: str) -> DataFrame:
+    """A result list: the hits of a search at one moment, with its criteria."""
+    return hits.select(F.lit(list_id).alias("list_id"), F.lit(criteria).alias("criteria"), F.lit(at).cast("timestamp_ntz").alias("at"), "key")
+
+
+def case_summary(cases: DataFrame, items: DataFrame, index: DataFrame, notes: DataFrame, searches: DataFrame) -> DataFrame:
+    """One row a case: items, those that the index no longer has, notes, searches, first and last date."""
+    rows = items.join(index.select("key", "ts", F.lit(True).alias("_there")), "key", "left")
+    counts = rows.groupBy("case_id").agg(F.count("*").alias("items"), F.count(F.when(F.col("_there").isNull(), 1)).alias("not_in_index"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    of = lambda df, name: df.groupBy("case_id").agg(F.count("*").alias(name))
+    joined = cases.select(F.col("id").alias("case_id"), "name", "status").join(counts, "case_id", "left").join(of(notes, "notes"), "case_id", "left").join(of(searches, "searches"), "case_id", "left")
+    return joined.fillna(0, ["items", "not_in_index", "notes", "searches"])
+
+
+def ordered_cases(cases: DataFrame, changed: str = "changed") -> DataFrame:
+    """Cases as they are listed: open ones first, the last changed first."""
+    return cases.orderBy(F.col("status") == "closed", F.desc(changed), "id")
+
+
+def case_timeline(items: DataFrame, index: DataFrame, notes: DataFrame) -> DataFrame:
+    """(case_id, month, ts, kind, key, text): what an export lists, items by their date in the index and notes by theirs, without a date under ``-``.
+
+    To be ordered by case, month (``-`` last), ts, kind and key.
+    """
+    told = items.join(index.select("key", "ts", "title"), "key", "left").select("case_id", "ts", F.lit("item").alias("kind"), "key", F.coalesce("title", F.lit("(not in index)")).alias("text"))
+    said = notes.where(F.trim("text") != "").select("case_id", "ts", F.lit("note").alias("kind"), F.col("note_id").cast("string").alias("key"), "text")
+    rows = told.unionByName(said)
+    return rows.select("case_id", F.coalesce(F.date_format("ts", "yyyy-MM"), F.lit("-")).alias("month"), "ts", "kind", "key", "text")
+
+
+def items_csv(timeline: DataFrame, folder: str) -> None:
+    """The list of a case's items as CSV files with a header, for spreadsheets."""
+    timeline.where("kind = 'item'").select("case_id", "month", "key", "text").write.mode("overwrite").option("header", "true").partitionBy("case_id").csv(folder)

@@ -82,3 +82,99 @@ def covering_stamp(lines: DataFrame, number: str, stamps: DataFrame, stamp: str)
     found = rows.withColumn("_here", F.first("_s", ignorenulls=True).over(own)).where("_s is null")
     later = spread.groupBy("_block").agg(F.min("_later").alias("_later"))
     return found.join(later, "_block", "left").select(number, F.coalesce("_here", "_later").alias("stamp"))
+
+
+def names_of(moves: DataFrame) -> DataFrame:
+    """(rel, name): every name of the same file, itself too: renames and moves followed in both directions.
+
+    ``moves``: kind (moved or removed), rel, other (the successor).  Only names that a move knows are listed.
+    """
+    from stratica.operators import graph
+
+    pairs = moves.where("kind in ('moved', 'removed') and rel is not null and other is not null and rel <> other")
+    # backwards over both kinds, forwards over moves alone
+    steps = pairs.select(F.col("other").alias("a"), F.col("rel").alias("b")).unionByName(pairs.where("kind = 'moved'").select(F.col("rel").alias("a"), F.col("other").alias("b")))
+    reach = graph.closure(steps, "a", "b").select(F.col("node").alias("rel"), F.col("above").alias("name"))
+    own = pairs.select(F.explode(F.array("rel", "other")).alias("rel")).distinct().select("rel", F.col("rel").alias("name"))
+    return reach.unionByName(own).distinct()
+
+
+def history_of(lines: DataFrame, names: DataFrame, current: DataFrame) -> DataFrame:
+    """(rel, sha256, n, kind, current): every version of each file under any of its names, by the line that first saw it.
+
+    ``lines``: n, rel, kind, sha256; ``names``: rel, name; ``current``: rel, sha256.
+    """
+    all_names = names.unionByName(lines.select("rel").distinct().select("rel", F.col("rel").alias("name"))).distinct()
+    seen = lines.where("sha256 is not null and kind not in ('removed', 'missing', 'version')").select(F.col("rel").alias("name"), "sha256", "n", "kind")
+    first = all_names.join(seen, "name").groupBy("rel", "sha256").agg(F.min(F.struct("n", "kind")).alias("_f"))
+    now = current.select("rel", F.col("sha256").alias("_now"))
+    return first.join(now, "rel", "left").select("rel", "sha256", "_f.n", "_f.kind", F.coalesce(F.col("sha256") == F.col("_now"), F.lit(False)).alias("current"))
+
+
+def pending(journal: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(writes, gone) of a journal (seq, op, rel, sha256, other): the last write of each path, and its last removal or move unless a write came after."""
+    writes = journal.where("op = 'write' and rel is not null").groupBy("rel").agg(F.max(F.struct("seq", "sha256")).alias("_w")).select("rel", "_w.*")
+    gone = journal.where("op in ('removed', 'moved') and rel is not null").groupBy("rel").agg(F.max(F.struct("seq", "op", "other")).alias("_g")).select("rel", "_g.*")
+    later = gone.join(writes.select("rel", F.col("seq").alias("_written")), "rel", "left")
+    return writes, later.where("_written is null or seq > _written").drop("_written")
+
+
+def chain_lines(spark, folder: str) -> DataFrame:
+    """(path, place, line, n, prev, kind, rel, sha256) of evidence files: one JSON text a line; those that cannot be read keep their place with nulls."""
+    schema = "n long, prev string, kind string, rel string, sha256 string, at string"
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\n$", "").alias("value"))
+    lines = text.select("path", F.posexplode(F.split("value", "\n", -1)).alias("_at", "line"))
+    return lines.select("path", (F.col("_at") + 1).cast("long").alias("place"), "line", F.from_json("line", schema).alias("_d")).select("path", "place", "line", "_d.*")
+
+
+def appended(heads: DataFrame, facts: DataFrame, by: str) -> DataFrame:
+    """(by, n, prev, line, hash) of new lines of each chain: each names the hash of the one before, so a chain's batch is written in order by one task.
+
+    ``heads``: by, n, head (the last line's number and hash); ``facts``: by, at, body (JSON text).  Batches are what one run adds.
+    """
+    import hashlib
+    import json
+
+    import pandas as pd
+
+    kind = facts.schema[by].dataType.simpleString()
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["at", "body"])
+        n, prev, out = int(rows["_n"].iloc[0]), rows["_head"].iloc[0] or None, []
+        for body in rows["body"]:
+            n += 1
+            line = json.dumps({"n": n, "prev": prev, **json.loads(body)}, ensure_ascii=False)
+            out.append((key[0], n, prev, line, hashlib.sha256(line.encode()).hexdigest()))
+            prev = out[-1][-1]
+        return pd.DataFrame(out, columns=[by, "n", "prev", "line", "hash"])
+
+    started = facts.join(heads.select(by, F.col("n").alias("_n"), F.col("head").alias("_head")), by, "left").fillna({"_n": 0, "_head": ""})
+    return started.groupBy(by).applyInPandas(write, f"{by} {kind}, n long, prev string, line string, hash string")
+
+
+def message_versions(messages: DataFrame) -> DataFrame:
+    """(id, back, sha256, modified, kind): every version of a message that the store holds, the newest first (0).
+
+    ``messages``: id, body, subject, modified, deleted, earlier (array of body, subject, at).
+    """
+    said = lambda body, subject: F.sha2(F.to_json(F.array(F.coalesce(body, F.lit("")), F.coalesce(subject, F.lit("")))), 256)
+    now = F.struct(said(F.col("body"), F.col("subject")).alias("sha256"), F.col("modified").cast("string").alias("modified"), F.when(F.col("deleted").isNotNull(), "deleted").otherwise("current").alias("kind"))
+    before = F.transform(F.coalesce("earlier", F.array().cast("array<struct<body:string,subject:string,at:string>>")), lambda e: F.struct(said(e["body"], e["subject"]).alias("sha256"), e["at"].cast("string").alias("modified"), F.lit("earlier").alias("kind")))
+    rows = messages.select("id", F.posexplode(F.reverse(F.concat(before, F.array(now)))).alias("back", "_v"))
+    return rows.select("id", F.col("back").cast("long").alias("back"), "_v.*")
+
+
+def acknowledged(findings: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Findings (rel, sha256) that the keeper has not acknowledged for this very content."""
+    return findings.join(accepted.select("rel", "sha256"), ["rel", "sha256"], "left_anti")
+
+
+def is_archive_file(name: Column) -> Column:
+    """Whether a walk counts a file: no bookkeeping, hidden or half-written file."""
+    return ~(name.startswith("state.db") | name.startswith(".") | name.endswith(".tmp") | name.endswith(".teil"))
+
+
+def kept_versions(files: DataFrame, folder: Column, size: str) -> DataFrame:
+    """One row: number and bytes of kept versions."""
+    return files.where(folder).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))

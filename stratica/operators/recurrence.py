@@ -68,7 +68,7 @@ def days(first: Column, p: dict[str, Column], horizon: Column) -> Column:
     # no step is made that UNTIL or, where every step has a day, COUNT takes away again
     last = F.least(horizon, F.coalesce(F.to_date(p["until"]), horizon))
     upto = lambda n: F.sequence(F.lit(0), F.greatest(F.lit(0), n).cast("int"))
-    counted = lambda n: upto(F.least(n, F.coalesce(p["count"], n)))
+    counted = lambda n: upto(F.when(p["count"] > 0, F.least(n, p["count"])).otherwise(n))
     daily = F.transform(counted(F.datediff(last, first) / step), lambda k: DAY(first, k * step))
     week = F.date_sub(first, F.pmod(F.weekday(first) - p["wkst"], F.lit(7)))
     wanted = F.when(F.size(p["weekdays"]) > 0, F.array_distinct(p["weekdays"])).otherwise(F.array(F.weekday(first)))

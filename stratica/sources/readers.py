@@ -149,7 +149,7 @@ def boards(spark: SparkSession, folder: str) -> DataFrame:
 
 def chats(spark: SparkSession, folder: str) -> DataFrame:
     """Chat pages: one row per ``div.msg`` with its place in the page, by built-in functions alone."""
-    pages = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
+    pages = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
     blocks = pages.select("path", F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1).alias("title"), F.posexplode(F.slice(F.split("html", r'(?i)(?=<div class="msg")'), 2, 1 << 30)).alias("position", "block"))
     attribute = lambda name: F.nullif(F.regexp_extract("block", f'^<div[^>]*\\b{name}="([^"]*)"', 1), F.lit(""))
     part = lambda name: collapse(strip_html(F.regexp_extract("block", f'(?is)<span class="{name}"[^>]*>(.*?)</span>', 1)))

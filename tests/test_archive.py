@@ -75,7 +75,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"title": "Board", "tasks": [{"id": 1, "title": "T", "completed": true}]}')
     (tmp_path / "c.ics").write_bytes(b"BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:u1\r\nSUMMARY:Long\\, na\r\n me\r\nDTSTART;TZID=Europe/Berlin:20260105T090000\r\nRRULE:FREQ=DAILY\r\nBEGIN:VALARM\r\nSUMMARY:no\r\nEND:VALARM\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n")
     (tmp_path / "d.vcf").write_bytes(b"BEGIN:VCARD\r\nN:Doe;Jo;;;\r\nEMAIL;TYPE=work:jo@x\r\nitem1.EMAIL:j@y\r\nORG:Acme;Lab\r\nEND:VCARD\r\n")
-    (tmp_path / "e.html").write_text('<h1>Chat</h1><div class="msg" data-id="7"><span class="name">Bob</span><span class="time">09:30</span><div class="body"><p>hi  there</p></div></div><div class="msg" data-id="8" data-gone="x"><div class="body"></div></div>')
+    (tmp_path / "e.html").write_text('<h1>Chat</h1><div class="msg" data-id="7"><span class="name">Bob</span><span class="time">09:30</span><div class="body"><p>hi\n there</p></div></div><div class="msg" data-id="8" data-gone="x"><div class="body"></div></div>')
     folder = f"file://{tmp_path}"
     m = readers.mails(spark, folder).first()
     assert (m.who, m.who_mail, m.to, m.title, m.body, m.error) == ("Carla", "carla@x.example", "a@y.example|a@y.example", "Rechnung", "Hallo du", None)
