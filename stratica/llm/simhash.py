@@ -39,7 +39,7 @@ MOST_COMMON = 250_000
 #: Rounds in which every node is compared with one pivot before all that is left is compared; shingles of the texts that
 #: are held side by side while others are compared with them.
 PIVOTS = 2
-CELL_SHINGLES = 1_000_000
+CELL_SHINGLES = 400_000
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -288,8 +288,8 @@ class Side:
 def verified(members: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
     """Links (a, b) of nodes within a cell that have at least the Jaccard similarity, by their whole texts.
 
-    ``members`` are ``_cell, _left, _node, _root``: the nodes on the left of a cell are compared with all others of it that
-    have another root.  The left of a cell is held as an index, the rest streams by; of links that connect what is connected
+    ``members`` are ``_cell, _left, _node, _root``: the nodes on the left of a cell are compared with all of it that have
+    another root.  The left of a cell is held as an index, the rest streams by; of links that connect what is connected
     already only the first is given, so a cell gives fewer links than it has nodes.
     """
     placed = members.join(nodes.select("_node", F.col("_one._id").alias("_id"), F.col("_one._key").alias("_key")), "_node")
@@ -307,26 +307,44 @@ def verified(members: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
                 root = up
             return root
 
+        def meet(node: int, root: int, own: np.ndarray) -> Iterator[tuple[int, int]]:
+            for k in side.similar(own, similarity):
+                x, y = top(side.roots[k]), top(root)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    yield side.nodes[k], node
+
+        def close_left() -> Iterator[tuple[int, int]]:
+            """The left is complete: it is indexed, and its own nodes meet."""
+            nonlocal side
+            side = Side(list(waiting), [r for r, _ in waiting.values()], [x for _, x in waiting.values()])
+            if len(waiting) > 1:
+                for node, (root, own) in waiting.items():
+                    yield from meet(node, root, own)
+            waiting.clear()
+
+        def batch_of(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
         for batch in batches:
             found: list[tuple[int, int]] = []
             for cell, left, node, root, text in zip(*(batch.column(k).to_pylist() for k in range(4)), texts(batch.column(4)), strict=True):
                 if cell != current:
+                    if side is None and waiting:
+                        found += close_left()
                     current, side = cell, None
-                    waiting.clear()
                     above.clear()
                 own = shingle_set(text, shingle_words)
                 if left:
                     waiting[node] = root, own
                     continue
                 if side is None:
-                    side = Side(list(waiting), [r for r, _ in waiting.values()], [x for _, x in waiting.values()])
-                for k in side.similar(own, similarity):
-                    x, y = top(side.roots[k]), top(root)
-                    if x != y:
-                        above[max(x, y)] = min(x, y)
-                        found.append((side.nodes[k], node))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+                    found += close_left()
+                found += meet(node, root, own)
+            yield from batch_of(found)
+        if side is None and waiting:
+            yield from batch_of(list(close_left()))
 
     dealt = rows.repartition("_cell").sortWithinPartitions("_cell", F.desc("_left"))
     return stored(map_rows(dealt, compare, "a long, b long"), "similar-links")
@@ -346,7 +364,8 @@ def bundle_members(rooted: DataFrame, apart: DataFrame) -> DataFrame:
 
     Shingles with the same smallest node are one bundle, as those of a group of near copies are: its nodes are compared once.
     All that are not of the bundle's largest root stand on the left, against all of it; both sides are dealt into parts of
-    about ``CELL_SHINGLES``, so that no cell grows with the bundle.
+    about ``CELL_SHINGLES``, so that no cell grows with the bundle.  Where there is one cell alone, as in nearly all bundles,
+    a text on the left goes there once for both sides.
     """
     bundles = stored(rooted.join(apart, "_shingle").select("_low", "_node", "_root", "_size").distinct(), "bundles")
     by_root = bundles.groupBy("_low", "_root").agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum"))
@@ -357,7 +376,8 @@ def bundle_members(rooted: DataFrame, apart: DataFrame) -> DataFrame:
     own = lambda n: F.pmod(F.xxhash64("_node"), n)
     rows = bundles.join(cells, "_low")
     left = rows.where("_root <> _main").select("_low", "_node", "_root", own("_lefts").alias("_i"), every("_rights").alias("_j"), F.lit(True).alias("_left"))
-    right = rows.select("_low", "_node", "_root", every("_lefts").alias("_i"), own("_rights").alias("_j"), F.lit(False).alias("_left"))
+    alone = (F.col("_lefts") == 1) & (F.col("_rights") == 1)
+    right = rows.where(~alone | (F.col("_root") == F.col("_main"))).select("_low", "_node", "_root", every("_lefts").alias("_i"), own("_rights").alias("_j"), F.lit(False).alias("_left"))
     return left.unionByName(right).select(F.xxhash64("_low", "_i", "_j").alias("_cell"), "_left", "_node", "_root")
 
 
