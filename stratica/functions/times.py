@@ -78,3 +78,31 @@ def ancestors(path: Column) -> Column:
     """The path and all folders above it, the shortest first."""
     parts = F.split(path, "/", -1)
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def shown_end(end: Column, all_day: Column) -> Column:
+    """The last day of an all-day appointment, whose end names the day after; other ends as they are."""
+    return F.when(all_day, end - F.expr("interval 1 day")).otherwise(end)
+
+
+def task_state(percent: Column) -> Column:
+    """open, started or done, from how much of a task is done."""
+    return F.when(percent >= 100, "done").when(percent > 0, "started").when(percent == 0, "open")
+
+
+def folded(line: Column) -> Column:
+    """A calendar line in pieces of at most 74 characters, each continued on the next line behind a blank."""
+    return F.regexp_replace(line, "(?s)(.{74})(?=.)", "$1\r\n ")
+
+
+def escaped(value: Column) -> Column:
+    """A text as calendar files write it."""
+    return F.regexp_replace(F.regexp_replace(value, r"([\\;,])", r"\\$1"), "\r?\n", r"\\n")
+
+
+def event_text(uid: Column, title: Column, start: Column, end: Column, rule: Column, place: Column) -> Column:
+    """An appointment as the text of a calendar file; times are UTC, and what is null is left out."""
+    named = lambda name, value: F.when(value.isNotNull(), folded(F.concat(F.lit(f"{name}:"), value)))
+    utc = lambda t: F.date_format(t, "yyyyMMdd'T'HHmmss'Z'")
+    lines = [F.lit("BEGIN:VCALENDAR"), F.lit("VERSION:2.0"), F.lit("BEGIN:VEVENT"), named("UID", uid), named("SUMMARY", escaped(title)), named("DTSTART", utc(start)), named("DTEND", utc(end)), named("RRULE", rule), named("LOCATION", escaped(place)), F.lit("END:VEVENT"), F.lit("END:VCALENDAR")]
+    return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n"))

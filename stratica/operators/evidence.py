@@ -178,3 +178,27 @@ def is_archive_file(name: Column) -> Column:
 def kept_versions(files: DataFrame, folder: Column, size: str) -> DataFrame:
     """One row: number and bytes of kept versions."""
     return files.where(folder).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+
+
+def upstream_match(history: DataFrame, files: DataFrame) -> DataFrame:
+    """(rel, sha256, agrees): whether the content that the service named for a file is the one that was recorded; null where it named none."""
+    return history.join(files.select("rel", "sha256", "hash", "service_hash"), ["rel", "sha256"]).select("rel", "sha256", F.when(F.col("service_hash").isNotNull(), F.col("hash") == F.col("service_hash")).alias("agrees"))
+
+
+def xor_hash(content: Column) -> Column:
+    """The 160-bit hash by which file services compare contents: every byte is turned 11 bits further and all are combined by exclusive or, with the length at the end."""
+    import pandas as pd
+
+    def of(data: bytes | None) -> bytes | None:
+        import numpy as np
+
+        if data is None:
+            return None
+        padded = np.frombuffer(bytes(data) + bytes(-len(data) % 160), dtype=np.uint8).reshape(-1, 160)
+        value, ring = 0, (1 << 160) - 1
+        for place, byte in enumerate(np.bitwise_xor.reduce(padded, axis=0).tolist() if len(padded) else []):
+            turned = byte << (place * 11 % 160)
+            value ^= (turned & ring) | (turned >> 160)
+        return (value ^ len(data) << 96).to_bytes(20, "little")
+
+    return F.base64(F.pandas_udf(lambda contents: pd.Series([of(c) for c in contents], dtype=object), "binary")(content))

@@ -173,6 +173,12 @@ def search(chunks: DataFrame, wanted: str, c: Criteria = Criteria(), vectors: Da
     return page(shown(hits, words, preview), [F.desc("score"), F.col("cid")], offset, k)
 
 
+def all_hits(chunks: DataFrame, wanted: str, c: Criteria = Criteria(), dates: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+    """Every item that a search by words finds, with its score: no page and no pool of candidates cuts the result."""
+    rows = narrowed(chunks, c, dates, members)
+    return best_of_items(lexical(rows, wanted), rows).join(rows.drop("uid"), "cid")
+
+
 def shown(hits: DataFrame, words: Sequence[str], preview: int) -> DataFrame:
     """Hits as they are answered: rounded score, preview around the first word, address of the source."""
     return hits.withColumns({"score": F.round("score", 4), "preview": tx.snippet(F.col("text"), words, preview), "uri": mail.source_uri(F.col("root"), F.col("rel"))}).drop("text")

@@ -150,6 +150,28 @@ def test_chains(spark, tmp_path):
     assert [r.n for r in names.where(evidence.is_archive_file(F.col("n"))).collect()] == ["b.pdf"]
 
 
+def test_calendar_text_and_hash(spark):
+    import base64
+
+    row = spark.createDataFrame([("u@x", "A, b; " + "long " * 20, datetime.datetime(2025, 1, 2, 9), None, "FREQ=DAILY", "Room\n1")], "uid string, title string, a timestamp, b timestamp, rule string, place string").select(times.event_text(*map(F.col, ("uid", "title", "a", "b", "rule", "place")))).first()[0]
+    assert all(len(line) <= 75 for line in row.split("\r\n")) and "DTEND" not in row
+    joined = row.replace("\r\n ", "")
+    assert "SUMMARY:A\\, b\\; long" in joined and "LOCATION:Room\\n1\r\n" in joined and "DTSTART:20250102T090000Z" in joined
+
+    def slow(data):
+        value = 0
+        for k, b in enumerate(data):
+            shift = k * 11 % 160
+            value ^= ((b << shift) | (b << shift >> 160)) & ((1 << 160) - 1)
+        return base64.b64encode((value ^ (len(data) << 96)).to_bytes(20, "little")).decode()
+
+    contents = [b"", b"a", bytes(range(256)) * 3, None]
+    got = [r[0] for r in spark.createDataFrame([(k, c) for k, c in enumerate(contents)], "k int, c binary").orderBy("k").select(evidence.xor_hash(F.col("c"))).collect()]
+    assert got == [slow(c) if c is not None else None for c in contents]
+    states = spark.createDataFrame([(0,), (50,), (100,), (None,)], "p int").select(times.task_state(F.col("p"))).collect()
+    assert [r[0] for r in states] == ["open", "started", "done", None]
+
+
 def test_rounds(spark):
     ids = lambda *values: spark.createDataFrame([(v,) for v in values], "id string")
     known = spark.createDataFrame([("1", "u"), ("2", "u"), ("3", "w")], "id string, unit string")
@@ -179,5 +201,16 @@ def test_streaming_sessions_and_first_rows(spark, tmp_path):
     feed = lambda: windows.read_feed(spark, f"{tmp_path}/feed", rows.schema)
     windows.sessions(feed(), "ts", "user", "10 minutes", "1 day").writeStream.outputMode("complete").format("memory").queryName("sessions").trigger(availableNow=True).start().awaitTermination(120)
     assert sorted((r.user, r.start.minute, r.end.minute, r.n) for r in spark.table("sessions").collect()) == [(1, 0, 14, 2), (1, 30, 40, 1), (2, 1, 11, 2)]
+    windows.sliding(feed(), "ts", "user", "10 minutes", "5 minutes", "1 day").writeStream.outputMode("complete").format("memory").queryName("slides").trigger(availableNow=True).start().awaitTermination(120)
+    assert spark.table("slides").where("user = 2").count() == 2
     windows.first_of_each(feed(), "user", "ts", "1 day").writeStream.outputMode("append").format("memory").queryName("firsts").trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(r.user for r in spark.table("firsts").collect()) == [1, 2]
+
+
+def test_streaming_upserts(spark, tmp_path):
+    schema = "id long, t string, nr long, removed boolean"
+    for k, rows in enumerate([[(1, "a", 1, False), (2, "b", 2, False), (1, "A", 3, False)], [(2, "b", 4, True), (3, "c", 5, False)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
+        query = windows.upserted(windows.read_feed(spark, f"{tmp_path}/feed", spark.createDataFrame([], schema).schema), f"file://{tmp_path}/store", "items", "id", "nr", f"{tmp_path}/checkpoint")
+        query.awaitTermination(120)
+    assert sorted((r.id, r.t) for r in store.read_table(spark, f"file://{tmp_path}/store", "items").collect()) == [(1, "A"), (3, "c")]
