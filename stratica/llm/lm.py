@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +72,11 @@ class Model:
         if not self.codes and self.words:
             self.codes.update((w, k) for k, w in enumerate(self.words))
         words = ascii_lower(text).split()
-        get = self.codes.get
-        return words, np.array([get(w, -1) for w in words], dtype=np.int64)
+        return words, np.fromiter(map(self.codes.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+
+    def known_ids(self) -> dict[bytes, int]:
+        """The network ids of the words that the network has: a small table for training, which needs no counts."""
+        return {w: i for w, i in zip(self.words, self.network.tolist(), strict=True) if i != self.other}
 
     def network_ids(self, codes: np.ndarray) -> np.ndarray:
         """Network ids of head codes, and the end."""
@@ -126,9 +130,11 @@ def train_round(sample: DataFrame, replicas: int, model: Model, text_col: str, r
         optimizer = gru.Adam(weights, rate)
         held: list[np.ndarray] = []
         size = total = 0
+        get = model.known_ids().get
         for batch in batches:
             for text in texts(batch.column(0)):
-                held.append(model.network_ids(model.code(text)[1]))
+                words = ascii_lower(text).split()
+                held.append(np.append(np.fromiter(map(get, words, repeat(model.other)), dtype=np.int64, count=len(words)), model.end))
                 size += len(held[-1])
                 if size >= CHUNK_TOKENS:
                     gru.train(weights, held, model.end, optimizer)
@@ -150,7 +156,7 @@ def train_round(sample: DataFrame, replicas: int, model: Model, text_col: str, r
     schema = "weights binary, tokens long"
     found = map_rows(sample.select(text_col), replica, schema)
     groups = -(-replicas // FAN_IN)
-    rows = sorted(map_rows(found.repartition(groups, "tokens") if groups > 1 else found, averaged, schema).collect(), key=lambda r: bytes(r["weights"]))
+    rows = sorted(map_rows(found.repartition(groups, "tokens"), averaged, schema).collect(), key=lambda r: bytes(r["weights"]))
     if not rows:
         return model.weights
     n = sum(r["tokens"] for r in rows)
