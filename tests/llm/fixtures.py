@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Added to the ids below, which then differ from those of the documents table.
 FIRST = 1_000_000
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids array<int>, _row long, _root long, word string, held_out boolean, n long, label int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids array<int>, _row long, _root long, word string, held_out boolean, n long, label int, _text string, _label int, _key long, _node long, _fp long, _one string, _cell long, _id long, _tie long"
 LONG = " ".join(f"word{i % 977} Über{i % 31}" for i in range(30_000))
 TEXTS = [
     (1, "The quick brown fox, jumps over the lazy dog. It's 2024!\n\nAll rights reserved."),
@@ -27,7 +27,7 @@ TEXTS = [
 
 
 def awkward(spark: SparkSession) -> DataFrame:
-    rows = [(None if i is None else FIRST + i, t, None if k % 3 else "en", None if k % 2 else "src", None, None, k, k, "w", None, k, None) for k, (i, t) in enumerate(TEXTS)]
+    rows = [(None if i is None else FIRST + i, t, None if k % 3 else "en", None if k % 2 else "src", None, None, k, k, "w", None, k, None, "t", k, k, k, k, "o", k, k, k) for k, (i, t) in enumerate(TEXTS)]
     return spark.createDataFrame(rows, SCHEMA)
 
 

@@ -268,7 +268,9 @@ def chats(spark):
     rows = [(c, t, ("user", "assistant", None, "sys\\te\nm")[(c + t) % 4], texts[(3 * c + t) % len(texts)]) for c in range(5) for t in range(9)]
     rows += [(None, 0, "assistant", "orphan"), (99, None, "assistant", "no turn"), (99, 1, "assistant", "x"), (99, 1, "assistant", "x")]
     rows += [(50, t, ("user", "assistant")[t % 2], f"hot {t} 日本") for t in range(2000)]
-    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows += [(60, 0, "user", "q"), (60, 1, "assistant", "long answer é " * 20_000)]
+    named = [(*r, k, "b", k, k) for k, r in enumerate(rows)]
+    return spark.createDataFrame(named, "conv_id long, turn long, role string, text string, task long, block string, mask long, _tie long")
 
 
 def test_chat_round_trip(spark):
