@@ -14,9 +14,7 @@ import array
 import hashlib
 import heapq
 import json
-import os
 import re
-import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratica.llm.common import map_rows, most_frequent, stored, texts
+from stratica.llm.common import drop_stored, map_rows, most_frequent, shared_file, stored, texts
 from stratica.llm.transducer import Lexicon, compile_lexicon
 
 #: Code points with the Unicode property White_Space.
@@ -289,7 +287,10 @@ def frequent_words(docs: DataFrame, text_col: str, size: int, flush: int = 400_0
         yield from sums()
 
     counted = map_rows(docs.select(F.col(text_col).cast("string")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [word for word, _ in most_frequent(stored(counted, "word-counts"), size)]
+    kept = stored(counted, "word-counts")
+    found = [word for word, _ in most_frequent(kept, size)]
+    drop_stored(kept)
+    return found
 
 
 def build_lexicon(vocabulary: Vocabulary, words: list[bytes]) -> bytes:
@@ -315,10 +316,7 @@ def ship(docs: DataFrame, content: bytes, kind: str) -> str:
     context = docs.sparkSession.sparkContext
     if any(file.rsplit("/", 1)[-1] == name for file in context.listFiles):
         return name
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-ship-"), name)
-    with open(path, "wb") as f:
-        f.write(content)
-    context.addFile(path)
+    context.addFile(shared_file(docs.sparkSession, name, content))
     return name
 
 
@@ -366,7 +364,7 @@ class Codec:
         return map_rows(docs.select(id_col, F.col(text_col).cast("string")), run, schema)
 
     def decode(self, encoded: DataFrame, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
-        """``encoded`` with the text of its ids in the column ``into``; null ids give the empty text."""
+        """``encoded`` with the text of its ids in the column ``into``, in place of one of that name; null ids give the empty text."""
         schema = T.StructType([*[f for f in encoded.schema.fields if f.name != into], T.StructField(into, T.StringType())])
         name, carried = self.vocabulary_name, [c for c in encoded.columns if c != into]
         at = carried.index(ids_col)

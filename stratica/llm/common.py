@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratica.session import ensure_checkpoints
+
 #: Bytes of separators turned into blanks: everything but 0-9, a-z and non-ASCII, once lower-cased.
 ALNUM = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -72,20 +74,11 @@ def arrow_ddl(types: dict[str, pa.DataType]) -> T.StructType:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set (local tests)."""
-    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not context.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return str(current.get()).rstrip("/")
-    import tempfile
-
-    made = "file://" + tempfile.mkdtemp(prefix="spark-stratica-")
-    context.setCheckpointDir(made)
-    return made
+    ensure_checkpoints(spark)
+    return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def own_folder(spark: SparkSession) -> str:
@@ -114,6 +107,17 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def shared_file(spark: SparkSession, name: str, content: bytes) -> str:
+    """Write a file into the application's shared folder; its address."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(own_folder(spark))
+    system.create_dir(base, recursive=True)
+    with system.open_output_stream(f"{base}/{name}") as out:
+        out.write(content)
+    return f"{own_folder(spark)}/{name}"
+
+
 def delete_path(spark: SparkSession, name: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
