@@ -92,3 +92,42 @@ def vanished(known: DataFrame, seen: DataFrame, dates: DataFrame, verdicts: Data
     dated = dates.where(inside(F.col("ts"))).select("id").distinct().withColumn("_date", F.lit(True))
     suspects = known.join(seen.select("id"), "id", "left_anti").join(dated, "id", "left").where(F.coalesce(inside(F.col("ts")), F.lit(False)) | F.col("_date"))
     return suspects.join(verdicts.where("status = 404").select("id"), "id", "left_semi").select("id")
+
+
+def series_round(dates: DataFrame, taken: DataFrame, exceptions: DataFrame, listed: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(dates, taken, exceptions, due) of a book of series after a round of a calendar view.
+
+    ``dates`` (occ, master, orig) are the known dates, ``taken`` (master, orig) those that were taken out, ``exceptions``
+    (master, orig, sub) those that differ from their series.  ``listed`` (occ, master, orig, type, cancelled, sub) are what the
+    view shows, ``removed`` (occ) what it took out.  A date that is listed with another original start means that its whole
+    series moved: what was taken out moves by the same time, as it is not listed.  ``due`` are the masters to be written anew.
+    """
+    key = ["master", "orig"]
+    old = dates.select("occ", F.col("master").alias("_master"), F.col("orig").alias("_orig"))
+    rows = listed.where("orig is not null").join(old, "occ", "left")
+    moved = rows.where(F.col("_orig").isNotNull() & (F.col("_orig") != F.col("orig")))
+    delta = moved.groupBy("master").agg(F.min_by(F.unix_micros(F.col("orig").cast("timestamp")) - F.unix_micros(F.col("_orig").cast("timestamp")), "occ").alias("_delta"))
+    before = moved.select("master", F.col("_orig").alias("orig")).distinct()
+    gone = removed.select("occ").join(old, "occ").select("occ", F.col("_master").alias("master"), F.col("_orig").alias("orig"))
+    shifted = taken.join(before, key, "left_anti").join(delta, "master", "left").withColumn("orig", F.timestamp_micros(F.unix_micros(F.col("orig").cast("timestamp")) + F.coalesce("_delta", F.lit(0))).cast("timestamp_ntz")).select(*key)
+    shown = rows.select(*key).distinct()
+    now_taken = shifted.join(shown, key, "left_anti").unionByName(gone.where("orig is not null").select(*key)).distinct()
+    differs = (F.col("type") == "exception") | F.coalesce("cancelled", F.lit(False))
+    fresh = rows.where(differs).groupBy(*key).agg(F.min("sub").alias("sub"))
+    kept = exceptions.join(before, key, "left_anti").join(shown, key, "left_anti").join(gone.select(*key), key, "left_anti")
+    now_exceptions = kept.select(*key, "sub").unionByName(fresh)
+    now_dates = dates.join(rows.select("occ"), "occ", "left_anti").join(removed.select("occ"), "occ", "left_anti").select("occ", *key).unionByName(rows.select("occ", *key))
+    changed_dates = rows.where(F.col("_orig").isNull() | (F.col("_orig") != F.col("orig"))).select("master")
+    back = taken.join(shown, key, "left_semi").select("master")
+    as_was = exceptions.select(*key, "sub")
+    changed_exceptions = fresh.join(as_was, [*key, "sub"], "left_anti").select("master").unionByName(as_was.join(rows.where(~differs).select(*key), key, "left_semi").select("master"))
+    due = changed_dates.unionByName(gone.select("master")).unionByName(back).unionByName(changed_exceptions).distinct()
+    return now_dates, now_taken, now_exceptions, due
+
+
+def dates_the_rule_makes(taken: DataFrame, series: DataFrame, horizon: str) -> DataFrame:
+    """(master, orig): of the dates taken out those that the series' rule makes; for others an exception date would say nothing.  ``series``: master, start, rrule, tz."""
+    from stratica.operators.recurrence import expand
+
+    made = expand(series.select("master", "start", "rrule", "tz"), horizon).select("master", F.col("wall").alias("orig"))
+    return taken.join(made, ["master", "orig"], "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratica.functions import mail, times
 from stratica.functions import text as tx
-from stratica.operators import casebook, evidence, facets, feeds, items, reconcile, search
+from stratica.operators import calendar, casebook, evidence, facets, feeds, items, reconcile, search
 from stratica.sources import records, store
 from stratica.streaming import windows
 
@@ -187,6 +187,25 @@ def test_rounds(spark):
     assert [tuple(r) for r in pulled.collect()] == [(1, "k2", "f")]
 
 
+def test_series_round(spark):
+    at = lambda d, h=9: datetime.datetime(2025, 1, d, h)
+    dates = spark.createDataFrame([("o1", "m", at(1)), ("o2", "m", at(2)), ("o3", "m", at(3)), ("p1", "q", at(1)), ("p2", "q", at(2))], "occ string, master string, orig timestamp_ntz")
+    taken = spark.createDataFrame([("m", at(8)), ("q", at(9))], "master string, orig timestamp_ntz")
+    exceptions = spark.createDataFrame([("q", at(1), "room"), ("m", at(3), "late")], "master string, orig timestamp_ntz, sub string")
+    kind = "occ string, master string, orig timestamp_ntz, type string, cancelled boolean, sub string"
+    # m moves by an hour; q has its first date plain again, one taken out, one that comes back, and a new exception
+    listed = spark.createDataFrame([("o1", "m", at(1, 10), "occurrence", None, None), ("o2", "m", at(2, 10), "occurrence", None, None), ("o3", "m", at(3, 10), "exception", None, "late"), ("p1", "q", at(1), "occurrence", None, None), ("p9", "q", at(9), "occurrence", None, None), ("p4", "q", at(4), "exception", None, "x")], kind)
+    found = calendar.series_round(dates, taken, exceptions, listed, spark.createDataFrame([("p2",), ("unknown",)], "occ string"))
+    rows = [sorted((tuple(r) for r in f.collect()), key=repr) for f in found]
+    assert rows[0] == sorted([("o1", "m", at(1, 10)), ("o2", "m", at(2, 10)), ("o3", "m", at(3, 10)), ("p1", "q", at(1)), ("p9", "q", at(9)), ("p4", "q", at(4))], key=repr)
+    assert rows[1] == [("m", at(8, 10)), ("q", at(2))]
+    assert rows[2] == sorted([("m", at(3, 10), "late"), ("q", at(4), "x")], key=repr) and rows[3] == [("m",), ("q",)]
+    quiet = calendar.series_round(*found[:3], listed, spark.createDataFrame([], "occ string"))
+    assert quiet[3].count() == 0
+    series = spark.createDataFrame([("q", at(1), "FREQ=DAILY", "UTC")], "master string, start timestamp_ntz, rrule string, tz string")
+    assert [tuple(r) for r in calendar.dates_the_rule_makes(found[1].unionByName(taken.where("false")), series, "2025-02-01").collect()] == [("q", at(2))]
+
+
 def test_people_facet(spark):
     rows = spark.createDataFrame([("Carla Chef", "Carla@x", "2026-05-01 10:00", "outlook"), ("Carla Chef · Bob", "no@x", "2026-07-01", "planner"), ("Bob", None, "", "teams"), ("(unbekannt)", "u@x", "2026-01-01", "teams"), ("Acme", "a@x", "2026-01-01", "kontakte"), (None, None, None, "teams")], "who string, who_mail string, date string, src string")
     found = {r.name: r for r in facets.people_of(rows).collect()}
