@@ -9,6 +9,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from stratica.archive import Archive
 from stratica.functions import mail, times
 from stratica.functions import text as tx
 from stratica.operators import calendar, casebook, evidence, facets, feeds, items, reconcile, search
@@ -233,3 +234,38 @@ def test_streaming_upserts(spark, tmp_path):
         query = windows.upserted(windows.read_feed(spark, f"{tmp_path}/feed", spark.createDataFrame([], schema).schema), f"file://{tmp_path}/store", "items", "id", "nr", f"{tmp_path}/checkpoint")
         query.awaitTermination(120)
     assert sorted((r.id, r.t) for r in store.read_table(spark, f"file://{tmp_path}/store", "items").collect()) == [(1, "A"), (3, "c")]
+
+
+PAID = " ".join(f"paid{k}" for k in range(900))
+
+
+def test_archive(spark, tmp_path):
+    at = lambda d: datetime.datetime(2025, 6, d)
+    schema = "uid string, src string, root string, rel string, who string, who_mail string, ppl string, ts timestamp_ntz, title string, ctx string, text string, att string, thread string, gone string, key string, to_ppl string, cc_ppl string, bcc_ppl string, domains string"
+    mails = spark.createDataFrame([
+        ("o:1:0", "outlook", "outlook", "a.eml", "Carla", "carla@x", "carla alice", at(1), "Rechnung 4711", "inbox", "please pay", "r.pdf", "t1", None, "mail:1", "alice@y", None, None, "x y"),
+        ("o:2:0", "outlook", "outlook", "b.eml", "Alice", "alice@y", "alice carla", at(2), "Re: Rechnung", "inbox", PAID, None, "t1", None, "mail:2", "carla@x", None, None, "y"),
+    ], schema)
+    files = spark.createDataFrame([("datei:x/c.pdf:0", "datei", "onedrive", "x/c.pdf", at(3), "c.pdf", "x", "x / c.pdf", "c.pdf", "file:9")], "uid string, src string, root string, rel string, ts timestamp_ntz, title string, ctx string, text string, att string, key string")
+    one = lambda rows, kind: spark.createDataFrame(rows, kind)
+    criteria = search.Criteria(source="outlook", person="carla")
+    archive = Archive.build(
+        f"file://{tmp_path}/archive", [mails, files],
+        cases=one([("c1", "One", "open", at(1)), ("c2", "Two", "closed", at(9))], "id string, name string, status string, changed timestamp_ntz"), case_items=one([("c1", "mail:1")], "case_id string, key string"), case_removed=one([("c1", "mail:9")], "case_id string, key string"),
+        case_notes=one([("c1", at(4), 1, "said"), ("c1", at(4), 2, " ")], "case_id string, ts timestamp_ntz, note_id long, text string"), searches=one([("s1", "c1", "rechnung", Archive.criteria_text(criteria))], "id string, case_id string, query string, criteria string"),
+        organisation=one([("1", "Boss", "Chief", "D", None, False), ("2", "Mid", "Lead", "D", "1", False), ("3", "Low", "Dev", "E", "2", False)], "id string, name string, title string, department string, manager string, disabled boolean"),
+        lines=one([(1, "old.txt", "write", "h1", at(1)), (2, "new.txt", "write", "h2", at(5))], "n long, rel string, kind string, sha256 string, at timestamp_ntz"), moves=one([("moved", "old.txt", "new.txt")], "kind string, rel string, other string"),
+    )
+    uids = lambda df: sorted(r.uid for r in df.collect())
+    assert uids(archive.search_messages("rechnung")) == ["o:1:0", "o:2:0"] and uids(archive.search_messages("rechnung", case="c1")) == ["o:1:0"] and [r.uid for r in archive.browse_messages(k=2).collect()] == ["datei:x/c.pdf:0", "o:2:0"]
+    assert archive.get_document("o:2:0").first().text == PAID and [r.uid for r in archive.get_thread("t1").collect()] == ["o:1:0", "o:2:0"]
+    assert {r.who: r.n for r in archive.list_people("car").collect()} == {"Carla": 1, "Alice": 1} and archive.list_addresses("to").count() == 2 and {r.type: r.n for r in archive.list_filetypes().collect()} == {"pdf": 2}
+    assert [tuple(r) for r in archive.list_files("onedrive").collect()] == [("x", True, 1)] and {r.name: r.present for r in archive.list_sources(["outlook", "teams"]).collect()} == {"outlook": True, "teams": False}
+    told = archive.archive_analytics()
+    assert told["talk"].first().messages == 2 and told["files"].first().onedrive == 1 and [r.running for r in told["months"].collect()] == [2]
+    assert [r.id for r in archive.get_org_chart("3").orderBy("distance").collect()] == ["2", "1"] and [r.id for r in archive.get_manager("3").collect()] == ["2"] and archive.list_reports("1", 2).count() == 2 and archive.find_by_role("lead").first().id == "2" and archive.list_roles().count() == 3
+    assert [r.id for r in archive.list_cases().collect()] == ["c1", "c2"] and archive.get_case("c1").first()["items"] == 1 and [(r.kind, r.key) for r in archive.case_timeline("c1").collect()] == [("item", "mail:1"), ("note", "1")]
+    assert [r.name for r in archive.case_people("c1").collect()] == ["Carla"] and uids(archive.case_new_hits("c1", "rechnung")) == ["o:2:0"] and uids(archive.run_saved_search("s1")) == ["o:1:0", "o:2:0"]
+    assert [r.sha256 for r in archive.history("new.txt").collect()] == ["h2", "h1"] and archive.get_version("new.txt", "2025-06-05").first().sha256 == "h2" and archive.get_version("new.txt", "2025-06-04").count() == 0
+    with pytest.raises(LookupError):
+        archive.list_events()
