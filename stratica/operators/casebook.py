@@ -169,3 +169,17 @@ def case_timeline(items: DataFrame, index: DataFrame, notes: DataFrame) -> DataF
 def items_csv(timeline: DataFrame, folder: str) -> None:
     """The list of a case's items as CSV files with a header, for spreadsheets."""
     timeline.where("kind = 'item'").select("case_id", "month", "key", "text").write.mode("overwrite").option("header", "true").partitionBy("case_id").csv(folder)
+
+
+def casebook_lines(timeline: DataFrame) -> DataFrame:
+    """(case_id, month, place, line) of a case book as text, to be ordered by these: a heading for each month, then its items and notes."""
+    headings = timeline.select("case_id", "month").distinct().select("case_id", "month", F.lit("").alias("place"), F.concat(F.lit("## "), F.when(F.col("month") == "-", "undated").otherwise(F.col("month"))).alias("line"))
+    mark = F.when(F.col("kind") == "note", "> ").otherwise("* ")
+    place = F.concat_ws(" ", F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("-")), "kind", "key")
+    return headings.unionByName(timeline.select("case_id", "month", place.alias("place"), F.concat(mark, F.regexp_replace("text", r"\s+", " ")).alias("line")))
+
+
+def case_manifest(items: DataFrame, files: DataFrame) -> DataFrame:
+    """(case_id, key, rel, sha256, size, state): what each case holds as files, ``missing`` where none is there any more."""
+    rows = items.join(files.select("key", "rel", "sha256", "size"), "key", "left")
+    return rows.select("case_id", "key", "rel", "sha256", "size", F.when(F.col("sha256").isNull(), "missing").otherwise("here").alias("state"))

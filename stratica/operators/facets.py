@@ -190,3 +190,12 @@ def findings(rows: DataFrame, source: str, state: str, name: str, cap: int = 200
 def last_success(runs: DataFrame, steps: DataFrame, run: str, step: str, started: str, kind: Column) -> DataFrame:
     """(step, last): when each step last ended well in a run of the kind."""
     return runs.where(kind).join(steps.where("ok"), run).groupBy(step).agg(F.max(started).alias("last"))
+
+
+def analytics_document(frames: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows): small results as JSON texts, as one run of the index stores them.  The results are top lists, months and single rows."""
+    out = None
+    for name, frame in sorted(frames.items()):
+        one = frame.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*frame.columns)))).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -6,7 +6,6 @@ columns that a source lacks are null.  A chunk is an item with one piece of its
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -181,3 +181,22 @@ def in_reading_order(messages: DataFrame, root: str = "root_id", key: str = "id"
     posts = messages.where(F.col(root).isNull()).select(F.col(key).alias("_root"), F.col(ts).alias("_root_ts"))
     rows = messages.withColumn("_root", F.coalesce(root, key)).join(posts, "_root", "left")
     return rows.withColumns({"orphan": F.col("_root_ts").isNull(), "root_ts": F.coalesce("_root_ts", ts), "is_reply": F.col(root).isNotNull()}).drop("_root", "_root_ts")
+
+
+def folder_states(listed: DataFrame, recorded: DataFrame, excluded: Column, unit: str = "folder", key: str = "id", master: str | None = None) -> DataFrame:
+    """(unit, state, n): items of every folder that are here, open (listed and not recorded), excluded by the rules, or kept though no longer listed.
+
+    With ``master`` the dates of a series count once, by it.
+    """
+    own = F.coalesce(master, key) if master else F.col(key)
+    there = listed.select(F.col(unit), own.alias("_id"), F.coalesce(excluded, F.lit(False)).alias("_out")).groupBy(unit, "_id").agg(F.min("_out").alias("_out"))
+    known = recorded.select(F.col(unit), F.col(key).alias("_id"), F.lit(True).alias("_rec")).distinct()
+    rows = there.join(known, [unit, "_id"], "full_outer")
+    state = F.when(F.col("_out").isNull(), "kept").when(F.col("_rec"), "here").when(F.col("_out"), "excluded").otherwise("open")
+    return rows.groupBy(unit, state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def facts_to_read(files: DataFrame, facts: DataFrame, version: int) -> DataFrame:
+    """Files (rel, mtime, size) whose facts are not known for this content and this version of the reader; those of files that are gone are not asked for."""
+    known = facts.where(F.col("version") == version).select("rel", "mtime", "size")
+    return files.join(known, ["rel", "mtime", "size"], "left_anti")

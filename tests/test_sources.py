@@ -188,6 +188,23 @@ def test_rounds(spark):
     assert [tuple(r) for r in pulled.collect()] == [(1, "k2", "f")]
 
 
+def test_case_texts_and_folder_states(spark):
+    at = lambda d: datetime.datetime(2025, 6, d)
+    timeline = spark.createDataFrame([("c", "2025-06", at(2), "note", "1", "said\nit"), ("c", "2025-06", at(1), "item", "k", "Mail"), ("c", "-", None, "item", "z", "gone")], "case_id string, month string, ts timestamp, kind string, key string, text string")
+    lines = casebook.casebook_lines(timeline).orderBy("case_id", F.col("month") == "-", "month", "place").collect()
+    assert [r.line for r in lines] == ["## 2025-06", "* Mail", "> said it", "## undated", "* gone"]
+    files = spark.createDataFrame([("k", "a", "h", 1)], "key string, rel string, sha256 string, size long")
+    assert {r.key: r.state for r in casebook.case_manifest(timeline.select("case_id", "key"), files).collect()} == {"k": "here", "1": "missing", "z": "missing"}
+    listed = spark.createDataFrame([("f", "o1", "m", False), ("f", "o2", "m", False), ("f", "x", None, True), ("f", "y", None, False)], "folder string, id string, master string, out boolean")
+    known = spark.createDataFrame([("f", "m"), ("f", "old")], "folder string, id string")
+    assert {r.state: r.n for r in reconcile.folder_states(listed, known, F.col("out"), master="master").collect()} == {"here": 1, "kept": 1, "excluded": 1, "open": 1}
+    found = spark.createDataFrame([("a", 1, 1), ("b", 2, 2), ("c", 3, 3)], "rel string, mtime long, size long")
+    facts = found.where("rel <> 'c'").withColumns({"mtime": F.when(F.col("rel") == "b", 9).otherwise(F.col("mtime")), "version": F.lit(2)})
+    assert sorted(r.rel for r in reconcile.facts_to_read(found, facts, 2).collect()) == ["b", "c"] and reconcile.facts_to_read(found, facts, 3).count() == 3
+    told = facets.analytics_document({"n": found.select("rel"), "m": found.where("false")}).collect()
+    assert [(r.name, json.loads(r.rows)) for r in told] == [("m", []), ("n", [{"rel": "a"}, {"rel": "b"}, {"rel": "c"}])]
+
+
 def test_series_round(spark):
     at = lambda d, h=9: datetime.datetime(2025, 1, d, h)
     dates = spark.createDataFrame([("o1", "m", at(1)), ("o2", "m", at(2)), ("o3", "m", at(3)), ("p1", "q", at(1)), ("p2", "q", at(2))], "occ string, master string, orig timestamp_ntz")
