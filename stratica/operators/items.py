@@ -44,15 +44,16 @@ def chunked(items: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataF
     """One row per piece: the item's columns, ``text`` the piece and ``seq`` its number; attachment names stand on the first alone.
 
     An item without words has no chunk, except in the sources of ``WORDLESS`` and, of a conversation without any words, the
-    first message: these have one empty chunk.
+    first message: these have one empty chunk.  Items with words are never shuffled.
     """
-    own = items.withColumn("_parts", split_text(F.col("text"), size, overlap))
-    file = Window.partitionBy("src", "root", "rel")
-    silent = (F.col("src") == "teams") & (F.max(F.size("_parts")).over(file) == 0) & (F.row_number().over(file.orderBy("uid")) == 1)
-    empty = F.size("_parts") == 0
-    parts = F.when(empty & (F.col("src").isin(*WORDLESS) | silent), F.array(F.lit(""))).otherwise(F.col("_parts"))
-    rest = [c for c in items.columns if c not in ("text", "att", "seq")]
-    rows = own.withColumn("_kept", parts).select(*rest, "att", F.posexplode("_kept").alias("seq", "text"))
+    file, rest = ["src", "root", "rel"], [c for c in items.columns if c not in ("text", "att", "seq")]
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\r\x0b\x0c]"), F.lit(False))
+    pieces_ = items.where(worded).select(*rest, "att", F.posexplode(split_text(F.col("text"), size, overlap)).alias("seq", "text"))
+    silent = items.where(~worded & (F.col("src") == "teams"))
+    spoken = items.where(worded & (F.col("src") == "teams")).select(*file).distinct()
+    first = silent.groupBy(*file).agg(F.min("uid").alias("uid")).join(spoken, file, "left_anti")
+    empty = items.where(~worded & F.col("src").isin(*WORDLESS)).unionByName(silent.join(first, [*file, "uid"], "left_semi"))
+    rows = pieces_.unionByName(empty.select(*rest, "att", F.lit(0).alias("seq"), F.lit("").alias("text")))
     return rows.withColumn("att", F.when(F.col("seq") == 0, F.col("att")))
 
 
