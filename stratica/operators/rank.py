@@ -19,25 +19,29 @@ K1, B, RRF_K = 1.2, 0.75, 60
 def bm25(items: DataFrame, key: str, text: str | Sequence[str], terms: Sequence[str]) -> DataFrame:
     """Scores of all items that have a term: the usual formula with k1 = 1.2, b = 0.75 and idf at least 1e-6.
 
-    ``text`` is a column or several (title, text, names of attachments), which count as one.  A text is split once.
+    ``text`` is a column or several (title, text, names of attachments), which count as one.  Texts are read and split once:
+    their term frequencies and lengths, a few numbers an item, are dealt by key, and both the corpus figures and the scores
+    are taken from there.
     """
     columns = [text] if isinstance(text, str) else list(text)
     split = words(F.concat_ws(" ", *columns) if len(columns) > 1 else F.col(columns[0]))
     # what is left without a term tells how often it was there
     counts = lambda w: F.struct(F.size(w).alias("_len"), *[(F.size(w) - F.size(F.array_remove(w, t))).alias(f"_tf{k}") for k, t in enumerate(terms)])
-    sized = items.select(key, F.transform(F.array(split), counts)[0].alias("_c")).select(key, "_c.*")
+    sized = items.select(key, F.transform(F.array(split), counts)[0].alias("_c")).select(key, "_c.*").repartition(key)
     figures = sized.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count(F.when(F.col(f"_tf{k}") > 0, 1)).alias(f"_df{k}") for k in range(len(terms))])
-    return scored(sized.where(" OR ".join(f"_tf{k} > 0" for k in range(len(terms)))), figures, key, len(terms))
+    return scored(sized, figures, key, len(terms))
 
 
 def scored(sized: DataFrame, figures: DataFrame, key: str, n_terms: int) -> DataFrame:
-    """BM25 from term frequencies and lengths, and the one row of corpus figures."""
+    """BM25 of the items that have a term, from term frequencies and lengths and the one row of corpus figures."""
     score = F.lit(0.0)
     for k in range(n_terms):
         tf, df = F.col(f"_tf{k}"), F.col(f"_df{k}")
         idf = F.greatest(F.log((F.col("_n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    return sized.join(F.broadcast(figures)).select(key, score.alias("score"))  # figures: one row
+    # every part is above 0; a filter on frequencies, or one that nulls do not pass, would go below the exchange, which is then not used twice
+    found = sized.join(F.broadcast(figures)).select(key, score.alias("score"))  # figures: one row
+    return found.where(F.coalesce(F.col("score") > 0, F.lit(False)))
 
 
 def postings(items: DataFrame, key: str, text: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
