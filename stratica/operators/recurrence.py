@@ -76,7 +76,9 @@ def days(first: Column, p: dict[str, Column], horizon: Column) -> Column:
     weekly = bound_once(shifts, lambda own: F.flatten(F.transform(counted(F.datediff(last, week) / 7 / step), lambda k: F.transform(own, lambda s: DAY(week, k * 7 * step + s)))))
     month = F.trunc(first, "month")
     span = F.floor(F.months_between(last, month))
-    monthly = F.flatten(F.transform(upto(span / step), lambda k: in_month(F.add_months(month, k * step), p, F.dayofmonth(first))))
+    # days that every month has: by a positive number, by no rule, or by weekdays of the first or last four
+    sure = F.when(F.size(p["monthdays"]) > 0, F.array_max(p["monthdays"]) > 0).otherwise((F.size(p["setpos"]) == 0) & F.forall(p["places"], lambda n: F.abs(n) <= 4))
+    monthly = F.flatten(F.transform(F.when(sure, counted(span / step)).otherwise(upto(span / step)), lambda k: in_month(F.add_months(month, k * step), p, F.dayofmonth(first))))
     months = F.when(F.size(p["months"]) > 0, F.array_sort(F.array_distinct(p["months"]))).otherwise(F.array(F.month(first)))
     year = F.trunc(first, "year")
     yearly = F.flatten(F.transform(upto(F.floor(F.months_between(last, year) / 12) / step), lambda k: F.flatten(F.transform(months, lambda m: in_month(F.add_months(year, k * step * 12 + m - 1), p, F.dayofmonth(first))))))
@@ -110,7 +112,8 @@ def expand(series: DataFrame, horizon: str, start: str = "start", rule: str = "r
     date alone; a null zone is UTC.  A clock time that a spring change skips moves on by the gap.
     """
     times = occurrences(F.col(start), F.col(rule), F.lit(horizon).cast("date"), F.col(exdates) if exdates else None)
-    rows = series.where(F.col(start).isNotNull()).withColumn("wall", F.explode(times))
+    # the outer form: for the other, a filter on the array's size is put in front, and the array is made twice
+    rows = series.where(F.col(start).isNotNull()).withColumn("wall", F.explode_outer(times)).where("wall is not null")
     return rows.withColumn("at", F.to_utc_timestamp(F.col("wall").cast("timestamp"), F.coalesce(F.col(tz), F.lit("UTC"))))
 
 
