@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratica.llm import bpe, chat, decontam, langid, licenses, lm, packing, quality, simhash, toxicity
+from stratica.llm import audit, bpe, chat, decontam, exponion, langid, licenses, lm, monoid, packing, quality, simhash, toxicity
 from stratica.llm.common import stored
 
 
@@ -75,6 +75,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(docs, trees)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 centroids, five rounds, over all vectors."""
+    return exponion.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document through the tree and back, as digests."""
+    docs = table(spark, sf_dir, "documents")
+    both = monoid.TreeCodec(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).round_trip(docs)
+    return both.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders, by source."""
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_license_scan": op2_license_scan,
@@ -86,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_bpe_tree": op12_bpe_tree,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -104,4 +124,6 @@ ORACLE_SQL: dict[str, str] = {
                CAST(sum(length('<|im_start|>' || role_out || chr(10) || text_out || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
         FROM written GROUP BY conv_id
     """,
+    "op11_centroid_clustering": exponion.cluster_sql(),
+    "op13_filter_audit": audit.AUDIT_SQL,
 }
