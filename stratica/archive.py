@@ -15,9 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratica.functions import mail
-from stratica.operators import casebook, evidence, facets, filters, graph, items, organisation, rank, sequences
+from stratica.operators import casebook, evidence, facets, filters, graph, items, organisation, postings, rank, sequences
 from stratica.operators import search as sr
-from stratica.sources import store
+from stratica.sources import item_records, readers, store
+
+#: Buckets of chunks by the hash of their item.
+BUCKETS = 64
+
+
+def with_all_keys(rows: DataFrame) -> DataFrame:
+    """Items with a key: their own, else one made of their path."""
+    none = rows.select("src", "root", "rel", F.lit(None).cast("string").alias("id")).where("false")
+    return items.with_keys(rows, none)
 
 
 class Archive:
@@ -27,17 +36,55 @@ class Archive:
         self.spark, self.base = spark, base
 
     @classmethod
-    def build(cls, base: str, sources: Sequence[DataFrame], parser: int = 1, **tables: DataFrame) -> Archive:
-        """Write a new version from the items of all sources: chunks, people and addresses, and whatever other tables are given."""
+    def build(cls, base: str, sources: Sequence[DataFrame], parser: int = 1, horizon: str | None = None, **tables: DataFrame) -> Archive:
+        """Write a new version from the items of all sources: chunks with their inverted index, people and addresses, and whatever other tables are given.
+
+        ``horizon`` (a day): dates of the items' series up to it, as the table ``series_dates``.  All counts at once.
+        """
         union = items.union_of_sources(*sources)
         chunks = items.chunk_rows(items.chunked(union)).withColumn("cid", F.concat_ws("#", "uid", "seq"))
         spark = union.sparkSession
-        store.write_version(base, {"chunks": chunks, **tables}, parser)
-        built = store.read_table(spark, base, "chunks")
-        numbered = built.withColumn("_order", F.xxhash64("cid"))
-        store.write_version(base, {"chunks": built, "people": items.people_table(numbered, "_order"), "addresses": items.addresses(built), **tables}, parser)
+        entry = store.stage(base, "chunks", chunks, "uid", BUCKETS)
+        built = store.staged(spark, base, entry)
+        made = {**postings.segment(built, 0), "people": items.people_table(built.withColumn("_order", F.xxhash64("cid")), "_order"), "addresses": items.addresses(built)}
+        if horizon is not None and "series" in built.columns:
+            made["series_dates"] = item_records.series_dates(built.where("seq = 0"), horizon)
+        store.write_version(base, {**made, **tables}, parser, {"chunks": entry})
         return cls(spark, base)
 
+    @classmethod
+    def of_folders(cls, spark: SparkSession, base: str, outlook: str | None = None, teams: str | None = None, others: Sequence[DataFrame] = (), horizon: str | None = None, **tables: DataFrame) -> Archive:
+        """The archive of exported folders: mails, appointments and contacts below ``outlook``, chat pages below ``teams``, and items of ``others``."""
+        own = list(others)
+        if outlook is not None:
+            own.append(item_records.mail_items(readers.with_rel(readers.mails(spark, outlook), outlook, "outlook")))
+            own.append(item_records.event_items(readers.with_rel(readers.calendars(spark, outlook), outlook, "kalender")))
+            own.append(item_records.contact_items(readers.with_rel(readers.contacts(spark, outlook), outlook, "kontakte")))
+        if teams is not None:
+            own.append(item_records.chat_items(readers.with_rel(readers.chat_pages(spark, teams), teams, "teams")))
+        return cls.build(base, [with_all_keys(x) for x in own], horizon=horizon, **tables)
+
+    def update(self, changed: DataFrame, gone: DataFrame) -> None:
+        """Take in changed and new items, and take away those with the ``uid`` of ``gone``: only buckets of chunks that these fall into are written.
+
+        The index gets one segment more.  People and addresses stay those of the last build.  The same update made twice changes nothing.
+        """
+        info = store.read_info(self.spark, self.base)
+        uids = changed.select("uid").unionByName(gone.select("uid")).distinct()
+        old = self.chunks.join(uids, "uid", "left_semi")
+        columns = old.columns
+        fresh = items.chunk_rows(items.chunked(changed)).withColumn("cid", F.concat_ws("#", "uid", "seq"))
+        fresh = fresh.select(*[(F.col(c) if c in fresh.columns else F.lit(None)).cast(old.schema[c].dataType).alias(c) for c in columns])
+        entry = store.stage_merge(self.base, info, "chunks", fresh, old.join(fresh.select("cid"), "cid", "left_anti"), "cid")
+        segment = {n: store.stage(self.base, n, t) for n, t in postings.segment(fresh, info["number"], old=old).items()}
+        made = lambda now: {**now["tables"], "chunks": entry, **{n: store.grown(now, n, e) for n, e in segment.items()}}
+        store.change(self.spark, self.base, lambda now: now | {"tables": made(now)}, seen=info["number"])
+
+    @property
+    def index(self) -> postings.Index | None:
+        found = {name: self._optional(name) for name in postings.TABLES}
+        return None if None in found.values() else postings.Index(**found)
+
     def table(self, name: str) -> DataFrame:
         found = store.read_vectors(self.spark, self.base) if name == "vectors" else store.read_table(self.spark, self.base, name)
         if found is None:
@@ -55,19 +102,43 @@ class Archive:
         return self.table("chunks")
 
     # search
-    def search_messages(self, query: str, criteria: sr.Criteria = sr.Criteria(), vector: Sequence[float] | None = None, case: str | None = None, k: int = 12, offset: int = 0, preview: int = 200) -> DataFrame:
+    def search_messages(
+        self, query: str, criteria: sr.Criteria = sr.Criteria(), vector: Sequence[float] | None = None, case: str | None = None, k: int = 12, offset: int = 0, preview: int = 200,
+        mode: str = "hybrid", case_folder: str | None = None, collapse: bool = False, with_cases: bool = False,
+    ) -> DataFrame:
+        """A page of hits.  ``mode``: text, semantic, or hybrid (both where there is a vector); ``case_folder`` narrows a case; ``with_cases`` names the cases that hold a hit."""
+        if mode not in ("hybrid", "text", "semantic"):
+            raise ValueError(f"no such mode: {mode}")
+        if mode == "semantic" and vector is None:
+            raise ValueError("a semantic search needs a vector")
         members = None if case is None else self.case_items(case)
-        vectors = None if vector is None else self.vectors_of_chunks()
-        return sr.search(self.chunks, query, criteria, vectors, vector, self._optional("series_dates"), members, k, offset, preview)
+        if case_folder is not None:
+            if members is None:
+                raise ValueError("a case folder belongs to a case")
+            members = members.where(F.col("folder_id") == case_folder)
+        asked = None if mode == "text" else vector
+        hits = sr.search(self.chunks, "" if mode == "semantic" else query, criteria, None if asked is None else self.vectors_of_chunks(), asked, self._optional("series_dates"), members, k, offset, preview, self.index, collapse)
+        if not with_cases:
+            return hits
+        return hits.join(F.broadcast(casebook.membership(hits, self.table("case_items"), self.table("cases"))), "key", "left")  # at most k rows
 
     def browse_messages(self, criteria: sr.Criteria = sr.Criteria(), k: int = 30, offset: int = 0) -> DataFrame:
         return self.search_messages("", criteria, k=k, offset=offset)
 
     def all_hits(self, query: str, criteria: sr.Criteria = sr.Criteria()) -> DataFrame:
-        return sr.all_hits(self.chunks, query, criteria, self._optional("series_dates"))
+        return sr.all_hits(self.chunks, query, criteria, self._optional("series_dates"), index=self.index)
+
+    def search_timeline(self, query: str, criteria: sr.Criteria = sr.Criteria()) -> DataFrame:
+        return sr.timeline(self.all_hits(query, criteria))
+
+    def search_facets(self, query: str, criteria: sr.Criteria = sr.Criteria()) -> dict[str, DataFrame]:
+        return sr.facet_rows(self.all_hits(query, criteria))
 
-    def similar_messages(self, cid: str, k: int = 12) -> DataFrame:
-        return rank.similar_to(self.vectors_of_chunks(), "cid", "embedding", cid, k)
+    def similar_messages(self, uid: str, k: int = 12) -> DataFrame:
+        """The items most like one: of the 3 k chunks most like its first, the best of each item, itself left out."""
+        own = self.vectors_of_chunks()
+        near = rank.similar_to(own, "cid", "embedding", f"{uid}#0", 3 * k).withColumn("uid", sr.item_of(F.col("cid"))).where(F.col("uid") != uid)
+        return rank.top_k(sr.best_of_items(near), k, "score", "cid")
 
     def vectors_of_chunks(self) -> DataFrame:
         return self.chunks.select("cid", "hash").join(self.table("vectors"), "hash").select("cid", "embedding")

@@ -58,6 +58,14 @@ def extensions(names: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda e: e != ""))), " ")
 
 
+def address_list(line: Column) -> Column:
+    """(name, mail) of every address of a header line, in its order: ``Name <mail>``, ``"Last, First" <mail>`` or the address alone."""
+    found = F.regexp_extract_all(F.coalesce(line, F.lit("")), F.lit(r'((?:"(?:[^"\\]|\\.)*"|[^,;<>"])*<[^<>]*>|[^\s,;<>"]+)'), F.lit(1))
+    named = lambda a: F.regexp_replace(F.regexp_replace(F.trim(F.substring_index(a, "<", 1)), '^"|"$', ""), r"\\(.)", "$1")
+    one = lambda a: F.when(a.contains("<"), F.struct(F.trim(named(a)).alias("name"), F.trim(F.regexp_extract(a, "<([^<>]*)>", 1)).alias("mail"))).otherwise(F.struct(F.lit("").alias("name"), a.alias("mail")))
+    return F.transform(found, one)
+
+
 def domains(addresses: Column) -> Column:
     """Sorted, distinct lower-case domains of an array of addresses."""
     found = F.transform(addresses, lambda a: F.regexp_extract(F.lower(F.trim(a)), "@([^@]*)$", 1))

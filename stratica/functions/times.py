@@ -64,7 +64,7 @@ def plain_uid(uid: Column) -> Column:
     at = F.locate(WRAPPED_UID, upper)
     # the marker stands on a whole byte, and the inner id ends at the next zero byte
     inner = F.regexp_extract(F.substring(upper, at + len(WRAPPED_UID), F.length(upper)), "^((?:(?!00)..)*)", 1)
-    text = F.nullif(F.lower(F.decode(F.unhex(inner), "UTF-8")), F.lit(""))
+    text = F.nullif(F.lower(F.make_valid_utf8(F.unhex(inner).cast("string"))), F.lit(""))  # broken bytes become U+FFFD
     wrapped = upper.rlike("^(?:[0-9A-F]{2})+$") & (at > 0) & (at % 2 == 1)
     return F.when(wrapped, F.coalesce(text, F.lower(own))).otherwise(F.lower(own))
 

@@ -30,30 +30,34 @@ def current(lines: DataFrame, rel: str, number: str, kind: str, ended: tuple[str
     return last.select(rel, "_l.*").where(~F.col(kind).isin(*ended))
 
 
-def sweep(disk: DataFrame, index: DataFrame, journal: DataFrame, first_run: bool = False) -> DataFrame:
-    """(rel, state) for every path of the disk or the index.
-
-    Unchanged by size and time unless a write was announced; the same hash only refreshes the stat; a new path is initial
-    (first run), moved, written or from outside; a changed one written or from outside; a vanished one removed or missing.
-    ``disk`` and ``index`` have rel, size, mtime_ns, sha256; ``journal`` has op, rel, sha256, to.
+def sweep(disk: DataFrame, index: DataFrame, journal: DataFrame, first_run: bool = False, versions: str = "versions/") -> DataFrame:
+    """(rel, state, source) for every path of the disk or the index; ``source`` is where a moved file was before.
+
+    ``disk`` and ``index`` have rel, size, mtime_ns, sha256; ``journal`` has seq, op (write, removed, moved), rel, sha256 and
+    other (where a moved file went), and is read by ``pending``: a path's last write announces content, and a removal or move counts unless a
+    write came after.  Unchanged by size and time unless a write was announced; the same hash only refreshes the stat; a new
+    path is a kept version (below ``versions``), initial (first run), moved, written or from outside; a changed one written
+    or from outside; a vanished one removed or missing.
     """
-    announced = journal.where("op = 'write'").groupBy("rel").agg(F.collect_set("sha256").alias("_written"))
-    removed = journal.where("op = 'remove'").select("rel").distinct().withColumn("_removed", F.lit(True))
-    moved = journal.where("op = 'move'").select(F.col("to").alias("rel")).distinct().withColumn("_moved", F.lit(True))
+    writes, gone = pending(journal)
+    announced = writes.select("rel", F.lit(True).alias("_announced"), F.col("sha256").alias("_written"))
+    left = gone.select("rel", F.lit(True).alias("_left"))
+    came = gone.where("op = 'moved' and other is not null").groupBy(F.col("other").alias("rel")).agg(F.max("rel").alias("_from"))
     side = lambda df, name: df.select("rel", F.struct("size", "mtime_ns", "sha256").alias(name))
-    both = side(disk, "_d").join(side(index, "_i"), "rel", "full_outer").join(announced, "rel", "left").join(removed, "rel", "left").join(moved, "rel", "left")
+    both = side(disk, "_d").join(side(index, "_i"), "rel", "full_outer").join(announced, "rel", "left").join(left, "rel", "left").join(came, "rel", "left")
     d, i = (lambda c: F.col(f"_d.{c}")), (lambda c: F.col(f"_i.{c}"))
-    written = F.coalesce(F.array_contains("_written", d("sha256")), F.lit(False))
-    fresh = F.when(F.lit(first_run), "initial").when(F.col("_moved"), "moved").when(written, "write").otherwise("outside")
+    moved = F.col("_i").isNull() & F.col("_from").isNotNull()
+    changed = (
+        F.when(F.col("rel").startswith(versions), "version").when(F.lit(first_run), "initial").when(moved, "moved")
+        .when(F.coalesce(F.col("_written") == d("sha256"), F.lit(False)), "write").otherwise("outside")
+    )
     state = (
-        F.when(F.col("_d").isNull(), F.when(F.col("_removed"), "removed").otherwise("missing"))
-        .when(F.col("_i").isNull(), fresh)
-        .when((d("size") == i("size")) & (d("mtime_ns") == i("mtime_ns")) & F.col("_written").isNull(), "unchanged")
+        F.when(F.col("_d").isNull(), F.when(F.col("_left"), "removed").otherwise("missing"))
+        .when((d("size") == i("size")) & (d("mtime_ns") == i("mtime_ns")) & F.col("_announced").isNull(), "unchanged")
         .when(d("sha256") == i("sha256"), "refreshed")
-        .when(written, "write")
-        .otherwise("outside")
+        .otherwise(changed)
     )
-    return both.select("rel", state.alias("state"))
+    return both.select("rel", state.alias("state"), F.when(state == "moved", F.col("_from")).alias("source"))
 
 
 def verdict(present: Column, chain_ok: Column, recorded: Column, now: Column, kind: Column, announced: Column) -> Column:
@@ -99,6 +103,14 @@ def names_of(moves: DataFrame) -> DataFrame:
     return reach.unionByName(own).distinct()
 
 
+def file_classes(moves: DataFrame) -> DataFrame:
+    """(name, file): the smallest of all names that moves join, for each of them; one row for each name instead of all pairs."""
+    from stratica.operators import graph
+
+    own = moves.where("kind = 'moved'")
+    return graph.components(own, "rel", "other").select(F.col("node").alias("name"), F.col("root").alias("file"))
+
+
 def history_of(lines: DataFrame, names: DataFrame, current: DataFrame) -> DataFrame:
     """(rel, sha256, n, kind, current): every version of each file under any of its names, by the line that first saw it.
 

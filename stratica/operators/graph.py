@@ -1,4 +1,4 @@
-"""Hierarchies and renames: closures by doubling, so a chain of depth d takes about log2(d) joins."""
+"""Hierarchies and renames: closures by doubling and classes by pointer jumping, so a chain of depth d takes about log2(d) rounds."""
 
 from __future__ import annotations
 
@@ -10,27 +10,58 @@ def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(node, above, distance): every node that can be reached upwards, with the least number of steps.
 
     Edges with a null end are left out.  Circles end, as only least distances are kept; a node of a circle reaches itself.
-    Each round is checkpointed, so a lost executor costs one round at most.
+    Semi-naive doubling: pairs of exactly ``width`` steps are one power of the edges, and in each round only that power
+    meets the pairs known so far (all of distance up to ``width``), which gives all of distance up to twice that.  So a pair
+    is made once for each of its shortest ways, not once for every way to cut it in two.  Rounds are checkpointed.
     """
     from stratica.session import ensure_checkpoints
 
     ensure_checkpoints(edges.sparkSession)
-    pairs = edges.where(F.col(child).isNotNull() & F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("above"), F.lit(1).alias("distance")).distinct().checkpoint()
-    known = pairs.count()
-    while known:
-        more = pairs.alias("a").join(pairs.alias("b"), F.col("a.above") == F.col("b.node")).select("a.node", "b.above", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        pairs = pairs.unionByName(more).groupBy("node", "above").agg(F.min("distance").alias("distance")).checkpoint()
-        now = pairs.count()
-        if now == known:
-            break
-        known = now
-    return pairs
+    first = edges.where(F.col(child).isNotNull() & F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("above"), F.lit(1).alias("distance")).distinct()
+    reach, width = first.checkpoint(), 1
+    while True:
+        power = reach.where(F.col("distance") == width).select(F.col("node").alias("_low"), F.col("above").alias("_high"))
+        far = reach.join(power, F.col("above") == F.col("_low")).select("node", F.col("_high").alias("above"), (F.col("distance") + width).alias("distance"))
+        fresh = far.groupBy("node", "above").agg(F.min("distance").alias("distance")).join(reach.select("node", "above"), ["node", "above"], "left_anti").checkpoint()
+        if fresh.isEmpty():
+            return reach
+        reach, width = reach.unionByName(fresh), 2 * width
+
+
+def components(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """(node, root): the smallest node that each can be reached from, whatever the direction of edges; no list of pairs.
+
+    Every node points to the smallest neighbour of its own and its root's, and pointers are then shortened to their roots'
+    (pointer jumping), until nothing moves: the number of rounds is about the logarithm of the longest way.  Edges are
+    reduced to pairs of different roots each round, so what is inside a class no longer takes part.
+    """
+    from stratica.session import ensure_checkpoints
+
+    ensure_checkpoints(edges.sparkSession)
+    pairs = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("a"), F.col(right).alias("b"))
+    links = pairs.where("a <> b").unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    roots = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")).checkpoint()
+    while not links.isEmpty():
+        # links are between roots: hook each to its smallest neighbour if that is smaller
+        hooked = links.groupBy("a").agg(F.min("b").alias("b")).where("b < a")
+        while True:  # shorten chains of hooks
+            next_ = hooked.select(F.col("a").alias("b"), F.col("b").alias("_c"))
+            shorter = hooked.join(next_, "b", "left").select("a", F.coalesce("_c", "b").alias("b"), F.col("_c").isNotNull().alias("_moved")).checkpoint()
+            hooked = shorter.select("a", "b")
+            if shorter.where("_moved").isEmpty():
+                break
+        to = hooked.select(F.col("a").alias("root"), F.col("b").alias("_root"))
+        roots = roots.join(to, "root", "left").select("node", F.coalesce("_root", "root").alias("root")).checkpoint()
+        side = lambda c, df: df.join(hooked.select(F.col("a").alias(c), F.col("b").alias("_n")), c, "left").withColumn(c, F.coalesce("_n", c)).drop("_n")
+        links = side("b", side("a", links)).where("a <> b").select("a", "b").distinct().checkpoint()
+    return roots
 
 
 def cut_circles(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """The edges without the one that leaves the smallest node of each circle (one parent a node)."""
     reach = closure(edges, child, parent)
     on_circle = reach.where("node = above").select("node")
+    # what a node of a circle reaches is the circle itself, as each has one parent
     smallest = reach.join(on_circle, "node").groupBy("node").agg(F.min("above").alias("_least")).where("node = _least").select(F.col("node").alias(child))
     return edges.join(smallest, child, "left_anti")
 

@@ -1,7 +1,8 @@
 """Dates of repeating appointments as column expressions: a row's rule becomes an array, so nothing is shuffled.
 
 Days count on the wall clock of the series' own zone.  A day that a month lacks falls on the month's last day.  ``COUNT``
-counts before exceptions are taken out, ``UNTIL`` is inclusive, and the newest 4,000 dates are kept, which is the
+counts before exceptions are taken out, ``UNTIL`` is an inclusive instant (UTC, with or without its ``Z``; a day alone is that day's
+end), and the newest 4,000 dates are kept, which is the
 feature's own bound on one series.
 """
 
@@ -66,7 +67,7 @@ def days(first: Column, p: dict[str, Column], horizon: Column) -> Column:
     """The rule's days from ``first`` to the horizon in order; ``first`` alone for a frequency that is unknown or missing."""
     step = p["interval"]
     # no step is made that UNTIL or, where every step has a day, COUNT takes away again
-    last = F.least(horizon, F.coalesce(F.to_date(p["until"]), horizon))
+    last = F.least(horizon, F.coalesce(F.date_add(F.to_date(p["until"]), 1), horizon))  # a wall clock may be a day ahead of UTC
     upto = lambda n: F.sequence(F.lit(0), F.greatest(F.lit(0), n).cast("int"))
     counted = lambda n: upto(F.when(p["count"] > 0, F.least(n, p["count"])).otherwise(n))
     daily = F.transform(counted(F.datediff(last, first) / step), lambda k: DAY(first, k * step))
@@ -86,8 +87,13 @@ def days(first: Column, p: dict[str, Column], horizon: Column) -> Column:
     return F.coalesce(F.filter(chosen, lambda d: (d >= first) & (d <= last)), F.array(first))
 
 
-def occurrences(start: Column, rule: Column, horizon: Column, exdates: Column | None = None) -> Column:
-    """The clock times of a series in order, the newest ``NEWEST`` of them; its rule is read once for each row."""
+def instant(wall: Column, tz: Column | None) -> Column:
+    """The UTC clock of a clock time in a zone (null: UTC)."""
+    return wall if tz is None else F.to_utc_timestamp(wall.cast("timestamp"), F.coalesce(tz, F.lit("UTC"))).cast("timestamp_ntz")
+
+
+def occurrences(start: Column, rule: Column, horizon: Column, exdates: Column | None = None, tz: Column | None = None) -> Column:
+    """The clock times of a series in its zone in order, the newest ``NEWEST`` of them; its rule is read once for each row."""
     text = F.str_to_map(F.upper(F.regexp_replace(F.coalesce(rule, F.lit("")), r"\s", "")), F.lit(";"), F.lit("="))
 
     def walls(p: Column) -> Column:
@@ -97,7 +103,7 @@ def occurrences(start: Column, rule: Column, horizon: Column, exdates: Column |
         found = days(first, known, horizon)
         counted = F.when(known["count"] > 0, F.slice(found, F.lit(1), known["count"])).otherwise(found)
         times = F.transform(counted, lambda d: d.cast("timestamp_ntz") + clock)
-        kept = F.filter(times, lambda w: known["until"].isNull() | (w <= known["until"]) | ~known["freq"].isin(*FREQUENCIES))
+        kept = F.filter(times, lambda w: known["until"].isNull() | (instant(w, tz) <= known["until"]) | ~known["freq"].isin(*FREQUENCIES))
         if exdates is not None:
             kept = F.array_except(kept, F.coalesce(exdates, F.array().cast("array<timestamp_ntz>")))
         return bound_once(kept, lambda all_: F.when(F.size(all_) > NEWEST, F.slice(all_, -NEWEST, NEWEST)).otherwise(all_))
@@ -111,7 +117,7 @@ def expand(series: DataFrame, horizon: str, start: str = "start", rule: str = "r
     ``start`` is a clock time without zone; a null start gives no rows, a missing rule or one of unknown frequency its first
     date alone; a null zone is UTC.  A clock time that a spring change skips moves on by the gap.
     """
-    times = occurrences(F.col(start), F.col(rule), F.lit(horizon).cast("date"), F.col(exdates) if exdates else None)
+    times = occurrences(F.col(start), F.col(rule), F.lit(horizon).cast("date"), F.col(exdates) if exdates else None, F.col(tz))
     # the outer form: for the other, a filter on the array's size is put in front, and the array is made twice
     rows = series.where(F.col(start).isNotNull()).withColumn("wall", F.explode_outer(times)).where("wall is not null")
     return rows.withColumn("at", F.to_utc_timestamp(F.col("wall").cast("timestamp"), F.coalesce(F.col(tz), F.lit("UTC"))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratica.functions import mail
 from stratica.functions import text as tx
-from stratica.operators import filters, rank
+from stratica.operators import filters, postings, rank, sequences
 
 MIRRORS = ("onedrive", "sharepoint")
 LEAST_SIMILARITY = 0.45
@@ -120,10 +120,16 @@ def pool_size(offset: int, k: int) -> int:
     return min(1000, max(100, (offset + k) * 5))
 
 
-def lexical(chunks: DataFrame, wanted: str, key: str = "cid", columns: Sequence[str] = ("title", "text", "att")) -> DataFrame:
-    """(key, score) of the chunks that the search text matches, over title, text and attachment names together."""
+def lexical(chunks: DataFrame, wanted: str, key: str = "cid", columns: Sequence[str] = ("title", "text", "att"), index: postings.Index | None = None) -> DataFrame:
+    """(key, score) of the chunks that the search text matches, over title, text and attachment names.
+
+    With an index only its words' postings are read.  Without one all chunks are: the figures are those of ``chunks``, so a
+    search that is narrowed takes its hits from here and narrows them afterwards.
+    """
     import re
 
+    if index is not None:
+        return postings.scores(index, wanted, key)
     terms = sorted(set(re.findall(r"[^\W]+", wanted.lower())))
     if not terms:
         return chunks.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
@@ -136,10 +142,15 @@ def semantic(vectors: DataFrame, query: Sequence[float], key: str = "cid", embed
     return rank.cosine(vectors, key, embedding, query).where(F.col("score") >= least)
 
 
-def best_of_items(ranked: DataFrame, chunks: DataFrame, key: str = "cid", uid: str = "uid") -> DataFrame:
+def best_of_items(ranked: DataFrame, key: str = "cid", uid: str = "uid") -> DataFrame:
     """One hit for each item, that of its best chunk."""
     own = Window.partitionBy(uid).orderBy(F.desc("score"), key)
-    return ranked.join(chunks.select(key, uid), key).withColumn("_place", F.row_number().over(own)).where("_place = 1").drop("_place")
+    return ranked.withColumn("_place", F.row_number().over(own)).where("_place = 1").drop("_place")
+
+
+def item_of(cid: Column) -> Column:
+    """The item of a chunk: a chunk's id is its item's and its own number."""
+    return F.regexp_replace(cid, "#[0-9]+$", "")
 
 
 def page(hits: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
@@ -149,11 +160,16 @@ def page(hits: DataFrame, order: list[Column], offset: int, size: int) -> DataFr
     return rows.withColumns({"_place": place, "has_more": F.count("*").over(Window.partitionBy()) > size}).where(F.col("_place") <= size).drop("_place")
 
 
-def search(chunks: DataFrame, wanted: str, c: Criteria = Criteria(), vectors: DataFrame | None = None, query: Sequence[float] | None = None, dates: DataFrame | None = None, members: DataFrame | None = None, k: int = 12, offset: int = 0, preview: int = 200) -> DataFrame:
+def search(
+    chunks: DataFrame, wanted: str, c: Criteria = Criteria(), vectors: DataFrame | None = None, query: Sequence[float] | None = None, dates: DataFrame | None = None, members: DataFrame | None = None,
+    k: int = 12, offset: int = 0, preview: int = 200, index: postings.Index | None = None, collapse: bool = False,
+) -> DataFrame:
     """A page of hits, best first: words and, if there is a query vector, likeness, fused by rank; one hit for each item.
 
-    Without words and vector the newest items come first.  Columns: cid, uid, score (4 decimals), preview, uri, eff and the
-    item's own; ``has_more`` tells whether there is a further page.
+    Without words and vector the newest items come first.  Scores are those of the whole index; criteria take hits away and
+    change no score.  ``collapse`` leaves the best hit of each conversation (``more``: how many others it has).  Columns: cid, uid, score (4
+    decimals), preview, uri, eff and the item's own; ``has_more`` tells whether there is a further page.  Without criteria an index answers
+    by itself, and chunks are read for the rows of the page alone.
     """
     import re
 
@@ -162,21 +178,40 @@ def search(chunks: DataFrame, wanted: str, c: Criteria = Criteria(), vectors: Da
     if not words and query is None:
         newest = rows.where("seq = 0").withColumn("score", F.lit(None).cast("double"))
         return page(shown(newest, words, preview), [F.desc_nulls_last("eff"), F.col("uid")], offset, k)
-    lists = [lexical(rows, wanted)] if words else []
+    whole = c == Criteria() and members is None
+    lists = [lexical(chunks, wanted, index=index)] if words else []
     if query is not None and vectors is not None:
-        lists.append(semantic(vectors.join(rows.select("cid"), "cid", "left_semi"), query))
-    if len(lists) == 1:
-        ranked = lists[0]
+        lists.append(semantic(vectors, query))
+    if len(lists) > 1:
+        inside = [x if whole else x.join(rows.select("cid"), "cid", "left_semi") for x in lists]
+        lists = [rank.fused([rank.top_k(x, pool_size(offset, k), "score", "cid") for x in inside], "cid")]
+    if whole and not collapse:
+        found = lists[0].withColumn("uid", item_of(F.col("cid")))
     else:
-        ranked = rank.fused([rank.top_k(x, pool_size(offset, k), "score", "cid") for x in lists], "cid")
-    hits = best_of_items(ranked, rows).join(rows.drop("uid"), "cid")
-    return page(shown(hits, words, preview), [F.desc("score"), F.col("cid")], offset, k)
+        found = lists[0].join(rows.select("cid", "uid", *(["thread"] if collapse else [])), "cid")
+    best, order = best_of_items(found).withColumn("score", F.round("score", 4)), [F.desc("score"), F.col("cid")]
+    if collapse:
+        best = sequences.collapse_threads(best.withColumn("_talk", F.coalesce(F.nullif("thread", F.lit("")), "uid")), "_talk", order).drop("_talk", "thread")
+    few = page(best, order, offset, k)
+    return shown(few.drop("uid").join(rows, "cid"), words, preview).orderBy(*order)  # at most k rows
 
 
-def all_hits(chunks: DataFrame, wanted: str, c: Criteria = Criteria(), dates: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+def all_hits(chunks: DataFrame, wanted: str, c: Criteria = Criteria(), dates: DataFrame | None = None, members: DataFrame | None = None, index: postings.Index | None = None) -> DataFrame:
     """Every item that a search by words finds, with its score: no page and no pool of candidates cuts the result."""
-    rows = narrowed(chunks, c, dates, members)
-    return best_of_items(lexical(rows, wanted), rows).join(rows.drop("uid"), "cid")
+    return best_of_items(lexical(chunks, wanted, index=index).join(narrowed(chunks, c, dates, members), "cid"))
+
+
+def timeline(hits: DataFrame, most: int = 5000) -> DataFrame:
+    """(month, at, ...): hits as they lie in time, the oldest first and those without a date last under ``-``; at most ``most``, which is the feature's bound."""
+    month = F.coalesce(F.date_format("eff", "yyyy-MM"), F.lit("-"))
+    return hits.withColumn("month", month).orderBy(F.asc_nulls_last("eff"), "uid").limit(most)
+
+
+def facet_rows(hits: DataFrame) -> dict[str, DataFrame]:
+    """Counts of all hits by source, month, folder and extension, none cut off; an item with several extensions counts for each."""
+    by = lambda name, column: hits.groupBy(column.alias(name)).agg(F.count("*").alias("n"))
+    kinds = hits.select(F.explode(F.split(F.coalesce("ext", F.lit("")), " ")).alias("ext")).where("ext <> ''")
+    return {"src": by("src", F.col("src")), "month": by("month", F.coalesce(F.date_format("eff", "yyyy-MM"), F.lit("-"))), "folder": by("folder", mail.folder_unit(F.col("src"), F.col("root"), F.col("ctx"))), "ext": kinds.groupBy("ext").agg(F.count("*").alias("n"))}
 
 
 def shown(hits: DataFrame, words: Sequence[str], preview: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratica.functions import mail
 from stratica.functions import text as tx
-from stratica.operators import facets, items, search
+from stratica.operators import facets, items, postings, search
 from stratica.plans.contract import query
 
 #: Documents as items of an archive, in SQL; ``items_of`` is the same in Spark.
@@ -51,7 +51,7 @@ def picked(sql: str) -> str:
 
 
 @query(
-    r"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+    r"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
     r AS (SELECT doc_id, text, n, 0 AS a, CASE WHEN n <= 1500 THEN n WHEN contains(substr(text, 901, 600), ' ') THEN 1500 - strpos(reverse(substr(text, 901, 600)), ' ') ELSE 1500 END AS b FROM d
       UNION ALL SELECT doc_id, text, n, s, CASE WHEN s + 1500 >= n THEN n WHEN contains(substr(text, s + 901, 600), ' ') THEN s + 1500 - strpos(reverse(substr(text, s + 901, 600)), ' ') ELSE s + 1500 END
       FROM (SELECT *, greatest(b - 200, a + 1) AS s FROM r WHERE b < n)),
@@ -59,8 +59,8 @@ def picked(sql: str) -> str:
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS seq, length(piece) AS n, md5(piece) AS piece FROM p WHERE piece <> ''"""
 )
 def chunks(read):
-    """Pieces of whole texts, of which none is longer than 1,500 characters."""
-    rows = items.chunked(items_of(read).where("text is not null").withColumn("src", F.lit("pages")))
+    """Pieces of whole texts, of which none is longer than 1,500 characters; a text without words has none."""
+    rows = items.chunked(items_of(read).withColumn("src", F.lit("pages")))
     return rows.select("doc_id", "seq", F.length("text").alias("n"), F.md5("text").alias("piece"))
 
 
@@ -149,20 +149,80 @@ def effective_date(read):
     return search.narrowed(items_of(read), search.Criteria(date_from="2024-01-06", date_to="2024-01-08"), dates).select("doc_id", "eff")
 
 
+#: BM25 of two words over all items, in SQL: what a search is narrowed by changes no score.
+SEARCH_SQL = r""", tok AS (SELECT doc_id, cid, uid, src, root, thread, ext, ts, regexp_extract_all(lower(concat_ws(' ', title, text, att)), '[\p{L}\p{N}_]+') AS w FROM items),
+    sized AS (SELECT * EXCLUDE (w), len(w) AS dl, len(list_filter(w, lambda x: x = 'the')) AS t0, len(list_filter(w, lambda x: x = 'pdf')) AS t1 FROM tok),
+    g AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM sized),
+    bm AS (SELECT *, round(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * dl / a)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / a)), 4) AS score FROM sized, g WHERE t0 > 0 OR t1 > 0)
+"""
+
+
+def index_of(rows) -> postings.Index:
+    return postings.Index(**postings.segment(rows, 1))
+
+
+@query(picked(SEARCH_SQL + "SELECT doc_id, score, true AS has_more FROM bm WHERE src IN ('teams', 'outlook') OR (src = 'datei' AND root = 'teams') ORDER BY score DESC, cid LIMIT 10 OFFSET 5"))
+def search_page(read):
+    """The second page of a search over title, text and attachment names in two sources, without an index."""
+    return search.search(items_of(read), "the PDF", search.Criteria(source="teams, outlook"), k=10, offset=5).select("doc_id", "score", "has_more")
+
+
+@query(picked(SEARCH_SQL + "SELECT doc_id, score FROM bm WHERE src = 'outlook' AND list_contains(string_split(ext, ' '), 'pdf') ORDER BY score DESC, cid LIMIT 20"))
+def search_filtered(read):
+    """Postings decide; source and file type take hits away and leave the scores of the whole index."""
+    rows = items_of(read)
+    return search.search(rows, "the PDF", search.Criteria(source="outlook", filetype=".pdf"), k=20, index=index_of(rows)).select("doc_id", "score")
+
+
+@query(picked(SEARCH_SQL + ", p AS (SELECT *, row_number() OVER (PARTITION BY coalesce(thread, uid) ORDER BY score DESC, cid) AS place, count(*) OVER (PARTITION BY coalesce(thread, uid)) - 1 AS more FROM bm) SELECT doc_id, score, more FROM p WHERE place = 1 ORDER BY score DESC, cid LIMIT 15"))
+def search_collapsed(read):
+    """The best hit of each conversation, from postings."""
+    rows = items_of(read)
+    return search.search(rows, "the PDF", k=15, index=index_of(rows), collapse=True).select("doc_id", "score", "more")
+
+
 @query(
     picked(
-        r""", tok AS (SELECT doc_id, cid, regexp_extract_all(lower(concat_ws(' ', title, text, att)), '[\p{L}\p{N}_]+') AS w FROM items WHERE src IN ('teams', 'outlook')),
-        sized AS (SELECT doc_id, cid, len(w) AS dl, len(list_filter(w, lambda x: x = 'the')) AS t0, len(list_filter(w, lambda x: x = 'pdf')) AS t1 FROM tok),
-        g AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM sized),
-        bm AS (SELECT doc_id, cid, greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * dl / a)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / a)) AS score FROM sized, g WHERE t0 > 0 OR t1 > 0)
-        SELECT doc_id, round(score, 4) AS score, true AS has_more FROM bm ORDER BY round(score, 4) DESC, cid LIMIT 10 OFFSET 5"""
+        r""", tok AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') || ' ' AS x, ' ' || array_to_string(regexp_extract_all(lower(att), '[\p{L}\p{N}_]+'), ' ') || ' ' AS y FROM items)
+        SELECT doc_id FROM tok WHERE (contains(x, ' of the ') OR contains(y, ' of the ')) AND (contains(x, ' pdf ') OR contains(y, ' pdf ') OR contains(x, ' name ') OR contains(y, ' name '))"""
     )
 )
-def search_page(read):
-    """The second page of a search over title, text and attachment names."""
+def phrase_positions(read):
+    """A phrase by the positions of its words, never from one column into the next, and one of two loose words."""
+    return postings.scores(index_of(items_of(read)), '"of the" pdf name').select(F.regexp_extract("cid", "^d:([0-9]+):", 1).cast("long").alias("doc_id"))
+
+
+@query(
+    picked(
+        SEARCH_SQL.replace("FROM items)", "FROM live)").replace(", tok AS", ", live AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 1 THEN 'the new PDF ' || source_ ELSE text END AS text) FROM (SELECT *, title AS source_ FROM items) WHERE doc_id % 5 <> 0 OR doc_id % 10 = 5), tok AS")
+        + "SELECT doc_id, score FROM bm"
+    )
+)
+def index_segments(read):
+    """Three segments: the even ones of every fifth item are removed, the next of each five gets another text; scores are those of what is left."""
     rows = items_of(read)
-    own = rows.where("src in ('teams', 'outlook')")
-    return search.search(own, "the PDF", k=10, offset=5).select("doc_id", "score", "has_more")
+    changed = rows.where("doc_id % 5 = 1").withColumn("text", F.concat(F.lit("the new PDF "), F.col("title")))
+    parts = [postings.segment(rows, 1), postings.segment(changed, 2, old=rows.where("doc_id % 5 = 1")), postings.segment(rows.where("false"), 3, old=rows.where("doc_id % 10 = 0"))]
+    tables = {name: parts[0][name].unionByName(parts[1][name]).unionByName(parts[2][name]) for name in postings.TABLES}
+    found = postings.scores(postings.Index(**tables), "the PDF")
+    return found.select(F.regexp_extract("cid", "^d:([0-9]+):", 1).cast("long").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
+@query(picked(SEARCH_SQL + "SELECT kind, value, count(*) AS n FROM (SELECT 'src' AS kind, src AS value FROM bm UNION ALL SELECT 'month', coalesce(strftime(ts, '%Y-%m'), '-') FROM bm UNION ALL SELECT 'ext', unnest(string_split(ext, ' ')) FROM bm WHERE ext IS NOT NULL) GROUP BY 1, 2"))
+def hit_facets(read):
+    """All hits of a search by source, month and file type, none cut off."""
+    found = search.facet_rows(search.all_hits(items_of(read), "the PDF"))
+    out = None
+    for kind in ("src", "month", "ext"):
+        own = found[kind].select(F.lit(kind).alias("kind"), F.col(kind).alias("value"), "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(picked(SEARCH_SQL + "SELECT doc_id, coalesce(strftime(ts, '%Y-%m'), '-') AS month FROM bm ORDER BY ts NULLS LAST, uid LIMIT 5000"))
+def hit_timeline(read):
+    """All hits of a search in the order of time."""
+    return search.timeline(search.all_hits(items_of(read), "the PDF")).select("doc_id", "month")
 
 
 @query(picked("SELECT doc_id, uid, preview, has_more FROM (SELECT *, left(text, 60) AS preview, true AS has_more FROM items WHERE gone IS NULL) ORDER BY ts DESC NULLS LAST, uid LIMIT 12 OFFSET 24"))

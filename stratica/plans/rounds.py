@@ -23,7 +23,7 @@ def pick(values, k):
 #: Orders as invitation mails and lines as calendar entries, in SQL.
 CALENDAR_SQL = """WITH inv AS (SELECT 'U' || (o_custkey % 400) AS uid, CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%Y%m%dT%H%M%S') ELSE '' END AS recid, (['REQUEST', 'CANCEL', 'REPLY', 'COUNTER', 'PUBLISH'])[o_orderkey % 5 + 1] AS method, CASE WHEN o_orderkey % 17 = 0 THEN 'cancelled' ELSE 'ok' END AS status,
     o_orderkey % 4 AS seq, CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate END AS dtstart, 'Accepted: Topic ' || o_custkey AS summary, TIMESTAMP '2020-01-01' + INTERVAL 1 SECOND * o_orderkey::INT AS mail_ts FROM orders),
-    cal AS (SELECT l_orderkey, l_linenumber, 'u' || (l_partkey % 800) AS uid, l_shipdate AS ts, CASE WHEN l_linenumber = 2 THEN l_shipdate + INTERVAL 1 HOUR END AS rts, 'Topic ' || l_suppkey AS title, (['ok', 'cancelled', 'removed'])[l_orderkey % 3 + 1] AS st FROM lineitem WHERE l_linenumber <= 2),
+    cal AS (SELECT l_orderkey, l_linenumber, 'u' || (l_partkey % 800) AS uid, l_shipdate AS ts, CASE WHEN l_linenumber = 2 THEN l_shipdate + INTERVAL 1 HOUR END AS rts, 'Topic ' || l_suppkey AS title, (['ok', 'cancelled', 'removed'])[l_orderkey % 3 + 1] AS st FROM lineitem),
     rk AS (SELECT *, lower(uid) AS u, (dtstart IS NOT NULL)::INT AS h, CASE method WHEN 'REQUEST' THEN 4 WHEN 'PUBLISH' THEN 3 WHEN 'CANCEL' THEN 2 WHEN 'COUNTER' THEN 1 ELSE 0 END AS m, (method = 'CANCEL' OR status = 'cancelled') AS c FROM inv),
     best AS (SELECT u, recid, max(row(h, m, seq, mail_ts, summary, dtstart)) AS b, max(CASE WHEN c THEN row(h, m, seq, mail_ts, summary, dtstart) END) AS k FROM rk GROUP BY 1, 2)
 """
@@ -38,8 +38,7 @@ def invites_of(read):
 
 
 def calendar_of(read):
-    own = read("lineitem").where("l_linenumber <= 2")
-    return own.select(
+    return read("lineitem").select(
         "l_orderkey", "l_linenumber", F.concat(F.lit("u"), text(F.col("l_partkey") % 800)).alias("uid"), ntz("l_shipdate").alias("ts"), F.when(F.col("l_linenumber") == 2, ntz("l_shipdate") + F.expr("interval 1 hour")).alias("rts"),
         F.concat(F.lit("Topic "), text(F.col("l_suppkey"))).alias("title"), pick(["ok", "cancelled", "removed"], F.col("l_orderkey") % 3).alias("st"),
     )
@@ -256,13 +255,13 @@ def root_reply_order(read):
 
 
 @query(
-    """WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'create' WHEN 'click' THEN 'rename' WHEN 'signup' THEN 'close' WHEN 'purchase' THEN 'open' ELSE 'delete' END AS op, CAST(value AS VARCHAR) AS v FROM events WHERE event_type <> 'error' OR event_id % 40 = 3),
+    """WITH e AS (SELECT (user_id * 7 + event_id // 40) % 5000 AS user_id, event_id, CASE event_type WHEN 'view' THEN 'create' WHEN 'click' THEN 'rename' WHEN 'signup' THEN 'close' WHEN 'purchase' THEN 'open' ELSE 'delete' END AS op, CAST(value AS VARCHAR) AS v FROM events),
     g AS (SELECT user_id, max(event_id) AS g FROM e WHERE op = 'delete' GROUP BY 1), a AS (SELECT e.* FROM e LEFT JOIN g USING (user_id) WHERE op <> 'delete' AND (g IS NULL OR event_id > g))
     SELECT user_id, arg_max(v, event_id) FILTER (op IN ('create', 'rename'))::DOUBLE AS name, CASE WHEN arg_max(op, event_id) FILTER (op IN ('close', 'open')) = 'close' THEN 'closed' ELSE 'open' END AS status FROM a GROUP BY 1 HAVING count(*) FILTER (op = 'create') > 0"""
 )
 def case_states(read):
     ops = F.create_map(*[F.lit(x) for x in ("view", "create", "click", "rename", "signup", "close", "purchase", "open", "error", "delete")])
-    feed = read("events").where("event_type <> 'error' or event_id % 40 = 3").select("user_id", F.col("event_id").alias("nr"), ops[F.col("event_type")].alias("op"), F.col("value").alias("value"))
+    feed = read("events").select(((F.col("user_id") * 7 + F.floor(F.col("event_id") / 40)) % 5000).alias("user_id"), F.col("event_id").alias("nr"), ops[F.col("event_type")].alias("op"), F.col("value").alias("value"))
     return casebook.book_state(feed, ["user_id"]).select("user_id", "name", "status")
 
 
@@ -333,16 +332,30 @@ def history_kept(read):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT 'n' || o_orderkey AS a, 'n' || (o_orderkey + 1) AS b FROM orders WHERE o_orderkey % 4 <> 3), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-    SELECT a AS rel, b AS name FROM r UNION SELECT b, a FROM r UNION SELECT a, a FROM e UNION SELECT b, b FROM e"""
+    """WITH m AS (SELECT o_custkey, 'n' || lag(o_orderkey) OVER w AS a, 'n' || o_orderkey AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    names AS (SELECT o_custkey, b AS name FROM m WHERE o_custkey IN (SELECT o_custkey FROM m WHERE a IS NOT NULL))
+    SELECT x.name AS rel, y.name FROM names x JOIN names y USING (o_custkey)"""
 )
 def rename_closure(read):
-    """Files renamed up to three times."""
-    n = F.col("o_orderkey")
-    moves = read("orders").where("o_orderkey % 4 <> 3").select(F.lit("moved").alias("kind"), F.concat(F.lit("n"), text(n)).alias("rel"), F.concat(F.lit("n"), text(n + 1)).alias("other"))
+    """Files that go through all orders of a customer as their names; every name leads to every other."""
+    from pyspark.sql import Window
+
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    moves = read("orders").select(F.lit("moved").alias("kind"), F.concat(F.lit("n"), text(before)).alias("rel"), F.concat(F.lit("n"), text(F.col("o_orderkey"))).alias("other"))
     return evidence.names_of(moves)
 
 
+@query("SELECT 'n' || o_orderkey AS name, 'n' || lpad(CAST(min(o_orderkey) OVER (PARTITION BY o_custkey) AS VARCHAR), 9, '0') AS file FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1")
+def rename_classes(read):
+    """The same chains as classes: one row for each name."""
+    from pyspark.sql import Window
+
+    own = F.concat(F.lit("n"), F.lpad(text(F.col("o_orderkey")), 9, "0"))
+    before = F.lag(own).over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    found = evidence.file_classes(read("orders").select(F.lit("moved").alias("kind"), before.alias("rel"), own.alias("other")))
+    return found.select(F.concat(F.lit("n"), F.regexp_replace("name", "^n0*(?=[0-9])", "")).alias("name"), "file")
+
+
 @query(
     """WITH l AS (SELECT 'f' || o_custkey AS rel, o_orderstatus AS sha, o_orderkey AS n FROM orders WHERE o_orderkey % 5 <> 0), f AS (SELECT rel, sha, min(n) AS n FROM l GROUP BY 1, 2)
     SELECT rel, sha AS sha256, n, sha = 'F' AS current FROM f"""

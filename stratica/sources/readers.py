@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from stratica.functions.text import collapse, strip_html
 
-MAIL = "path string, who string, who_mail string, to string, cc string, bcc string, sent string, title string, thread_index string, references string, reply_to string, message_id string, att string, body string, html string, error string"
-EVENT = "path string, uid string, recurrence_id string, title string, start string, tz string, all_day boolean, finish string, rrule string, exdates string, place string, status string, organizer string, attendees string, error string"
-CONTACT = "path string, name string, org string, mails string, phones string, error string"
+MAIL = "path string, who string, who_mail string, to string, cc string, bcc string, sent string, title string, thread_index string, references string, reply_to string, message_id string, att string, body string, html string, from_line string, to_line string, cc_line string, bcc_line string, sent_line string, error string"
+EVENT = "path string, uid string, recurrence_id string, title string, start string, tz string, all_day boolean, finish string, rrule string, exdates string, place string, status string, organizer string, attendees string, recurrence_tz string, exdate_tz string, organizer_name string, attendee_names string, description string, nth int, position int, error string"
+CONTACT = "path string, name string, org string, mails string, phones string, card_id string, job string, note string, units string, nth int, error string"
 TASK = "path string, board string, bucket string, task_id string, title string, notes string, done boolean, created string, modified string, error string"
 
 
@@ -51,9 +51,13 @@ def mails(spark: SparkSession, folder: str) -> DataFrame:
         addresses = lambda field: "|".join(a.lower() for _, a in email.utils.getaddresses([str(x) for x in m.get_all(field, [])]) if "@" in a)
         text = lambda kind: (part.get_content() if (part := m.get_body((kind,))) else None)
         header = lambda field: str(m[field]) if m[field] else None
-        sent = email.utils.parsedate_to_datetime(m["Date"]).isoformat() if m["Date"] else None
+        line = lambda field: ", ".join(str(x) for x in m.get_all(field, [])) or None
+        try:
+            sent = email.utils.parsedate_to_datetime(m["Date"]).isoformat() if m["Date"] else None
+        except ValueError:
+            sent = None
         names = "|".join(n for a in m.iter_attachments() if (n := a.get_filename()))
-        return [{"who": name or address, "who_mail": address.lower(), "to": addresses("To"), "cc": addresses("Cc"), "bcc": addresses("Bcc"), "sent": sent, "title": header("Subject"), "thread_index": header("Thread-Index"), "references": header("References"), "reply_to": header("In-Reply-To"), "message_id": header("Message-ID"), "att": names or None, "body": text("plain"), "html": text("html")}]
+        return [{"who": name or address, "who_mail": address.lower(), "to": addresses("To"), "cc": addresses("Cc"), "bcc": addresses("Bcc"), "sent": sent, "title": header("Subject"), "thread_index": header("Thread-Index"), "references": header("References"), "reply_to": header("In-Reply-To"), "message_id": header("Message-ID"), "att": names or None, "body": text("plain"), "html": text("html"), "from_line": line("From"), "to_line": line("To"), "cc_line": line("Cc"), "bcc_line": line("Bcc"), "sent_line": header("Date")}]
 
     rows = parsed(spark, folder, "*.eml", MAIL, parse)
     plain = F.nullif(F.trim("body"), F.lit(""))
@@ -79,15 +83,16 @@ def calendars(spark: SparkSession, folder: str) -> DataFrame:
     """``.ics`` files: one row per VEVENT, masters and exceptions; times stay texts with their zone (``Z`` means UTC)."""
 
     def parse(content: bytes) -> list[dict]:
-        rows, row, inner = [], None, 0
+        rows, row, inner, seen = [], None, 0, {}
         for name, params, value in content_lines(content):
             if name == "BEGIN" and value == "VEVENT":
-                row, inner = {"exdates": [], "attendees": []}, 0
+                row, inner = {"exdates": [], "attendees": [], "attendee_names": [], "position": len(rows)}, 0
             elif row is None:
                 continue
             elif name == "BEGIN":
                 inner += 1
             elif name == "END" and value == "VEVENT":
+                row["nth"] = seen.setdefault(row.get("uid"), len(seen))
                 rows.append({k: ("|".join(v) or None) if isinstance(v, list) else v for k, v in row.items()})
                 row = None
             elif name == "END":
@@ -98,11 +103,15 @@ def calendars(spark: SparkSession, folder: str) -> DataFrame:
                 row |= {"start": value, "tz": "UTC" if value.endswith("Z") else params.get("TZID"), "all_day": params.get("VALUE") == "DATE" or len(value) == 8}
             elif name == "EXDATE":
                 row["exdates"] += value.split(",")
+                row.setdefault("exdate_tz", params.get("TZID"))
             elif name == "ATTENDEE":
                 row["attendees"].append(re.sub("(?i)^mailto:", "", value).lower())
+                row["attendee_names"] += [params["CN"]] if params.get("CN") else []
             elif name == "ORGANIZER":
-                row["organizer"] = re.sub("(?i)^mailto:", "", value).lower()
-            elif name in (known := {"UID": "uid", "RECURRENCE-ID": "recurrence_id", "SUMMARY": "title", "DTEND": "finish", "RRULE": "rrule", "LOCATION": "place", "STATUS": "status"}):
+                row |= {"organizer": re.sub("(?i)^mailto:", "", value).lower(), "organizer_name": params.get("CN")}
+            elif name == "RECURRENCE-ID":
+                row |= {"recurrence_id": value, "recurrence_tz": params.get("TZID")}
+            elif name in (known := {"UID": "uid", "SUMMARY": "title", "DESCRIPTION": "description", "DTEND": "finish", "RRULE": "rrule", "LOCATION": "place", "STATUS": "status"}):
                 row[known[name]] = plain_value(value)
         return rows
 
@@ -116,11 +125,11 @@ def contacts(spark: SparkSession, folder: str) -> DataFrame:
         rows, row = [], None
         for name, _, value in content_lines(content):
             if name == "BEGIN":
-                row = {"name": None, "org": None, "mails": [], "phones": [], "parts": ""}
+                row = {"name": None, "org": None, "mails": [], "phones": [], "parts": "", "nth": len(rows)}
             elif row is None:
                 continue
             elif name == "END":
-                rows.append({"name": row["name"] or row["parts"] or None, "org": row["org"], "mails": "|".join(row["mails"]), "phones": "|".join(row["phones"])})
+                rows.append({"name": row["name"] or row["parts"] or None, "org": row["org"], "mails": "|".join(row["mails"]), "phones": "|".join(row["phones"]), **{k: row.get(k) for k in ("card_id", "job", "note", "units", "nth")}})
                 row = None
             elif name == "FN":
                 row["name"] = plain_value(value).strip()
@@ -128,7 +137,10 @@ def contacts(spark: SparkSession, folder: str) -> DataFrame:
                 family, given = [*value.split(";"), "", ""][:2]
                 row["parts"] = plain_value(f"{given} {family}").strip()
             elif name == "ORG":
-                row["org"] = ", ".join(p for p in map(plain_value, re.split(r"(?<!\\);", value)) if p)
+                units = [p for p in map(plain_value, re.split(r"(?<!\\);", value)) if p]
+                row |= {"org": ", ".join(units), "units": "|".join(units)}
+            elif name in ("UID", "TITLE", "NOTE"):
+                row[{"UID": "card_id", "TITLE": "job", "NOTE": "note"}[name]] = plain_value(value).strip()
             elif name in ("EMAIL", "TEL"):
                 row["mails" if name == "EMAIL" else "phones"].append(value.strip())
         return rows
@@ -147,6 +159,20 @@ def boards(spark: SparkSession, folder: str) -> DataFrame:
     return parsed(spark, folder, "*.json", TASK, parse)
 
 
+def with_rel(rows: DataFrame, root: str, source: str) -> DataFrame:
+    """Rows of a reader with ``rel``, the path below the root; files that are no items of the source, or could not be read, go."""
+    from stratica.sources.records import below, wanted
+
+    named = rows.withColumn("rel", below(root, F.col("path"))).drop("path")
+    own = named.where(wanted(source, F.col("rel")))
+    return own.where("error is null").drop("error") if "error" in rows.columns else own
+
+
+def chat_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, html) of the pages below a folder."""
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
+
+
 def chats(spark: SparkSession, folder: str) -> DataFrame:
     """Chat pages: one row per ``div.msg`` with its place in the page, by built-in functions alone."""
     pages = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("html"))

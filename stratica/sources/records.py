@@ -37,6 +37,8 @@ def wanted(source: str, rel: Column) -> Column:
         "onedrive": whole & (parts[0] == FILES_FOLDER),
         "sharepoint": whole & archived & (F.size(parts) > 3) & (F.try_element_at(parts, F.lit(3)) == FILES_FOLDER),
         "pages": html & archived,
+        "kalender": F.lower(name).endswith(".ics"),
+        "kontakte": F.lower(name).endswith(".vcf"),
     }[source]
 
 
@@ -153,7 +155,7 @@ def organisation_people(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_window(spark: SparkSession, path: str, offset: int, size: int) -> DataFrame:
-    """(path, text, total, truncated): a window of bytes of each file as text."""
+    """(path, text, total, truncated): a window of bytes of each file as text; bytes that are no characters, as where it cuts one, become U+FFFD."""
     found = spark.read.format("binaryFile").load(path)
     part = F.substring("content", offset + 1, size)
-    return found.select("path", F.decode(part, "UTF-8").alias("text"), F.col("length").alias("total"), (F.col("length") > offset + size).alias("truncated"))
+    return found.select("path", F.make_valid_utf8(part.cast("string")).alias("text"), F.col("length").alias("total"), (F.col("length") > offset + size).alias("truncated"))

@@ -31,16 +31,16 @@ def sliding(feed: DataFrame, ts: str, by: str, size: str, step: str, late: str)
     return feed.withWatermark(ts, late).groupBy(F.window(ts, size, step).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
-def upserted(feed: DataFrame, base: str, name: str, key: str, number: str, checkpoint: str):
+def upserted(feed: DataFrame, base: str, name: str, key: str, number: str, checkpoint: str, buckets: int = 64):
     """A query that keeps a stored table up to date with a feed: of every batch the last change of each key, those that are ``removed`` taken out, all as one new version.
 
-    A batch that is run again after a failure gives the same table.
+    Only buckets of the table that a change falls into are written.  A batch that is run again after a failure gives the same table.
     """
     from stratica.operators.feeds import last_wins
     from stratica.sources import store
 
     def merge(batch: DataFrame, number_of_batch: int) -> None:
         last = last_wins(batch, key, number)
-        store.merged(base, name, last.where("not removed").drop("removed"), last.where("removed"), key, str(number_of_batch))
+        store.merged(base, name, last.where("not removed").drop("removed"), last.where("removed"), key, str(number_of_batch), buckets)
 
     return feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

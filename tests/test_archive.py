@@ -99,11 +99,15 @@ def test_circles_and_totals(spark):
 
 def test_sweep(spark):
     schema = "rel string, size long, mtime_ns long, sha256 string"
-    disk = spark.createDataFrame([("same", 1, 1, "a"), ("touched", 1, 2, "a"), ("ours", 2, 2, "b"), ("theirs", 2, 2, "c"), ("new", 1, 1, "n"), ("to", 1, 1, "m")], schema)
-    index = spark.createDataFrame([("same", 1, 1, "a"), ("touched", 1, 1, "a"), ("ours", 1, 1, "a"), ("theirs", 1, 1, "a"), ("gone", 1, 1, "g"), ("dropped", 1, 1, "d")], schema)
-    journal = spark.createDataFrame([("write", "ours", "b", None), ("remove", "dropped", None, None), ("move", "from", None, "to")], "op string, rel string, sha256 string, to string")
-    found = {r.rel: r.state for r in evidence.sweep(disk, index, journal).collect()}
-    assert found == {"same": "unchanged", "touched": "refreshed", "ours": "write", "theirs": "outside", "new": "outside", "to": "moved", "gone": "missing", "dropped": "removed"}
+    disk = spark.createDataFrame([("same", 1, 1, "a"), ("touched", 1, 2, "a"), ("ours", 2, 2, "b"), ("quiet", 1, 1, "q2"), ("theirs", 2, 2, "c"), ("new", 1, 1, "n"), ("to", 1, 1, "m"), ("back", 1, 1, "k"), ("versions/ours/1", 1, 1, "a")], schema)
+    index = spark.createDataFrame([("same", 1, 1, "a"), ("touched", 1, 1, "a"), ("ours", 1, 1, "a"), ("quiet", 1, 1, "q1"), ("theirs", 1, 1, "a"), ("gone", 1, 1, "g"), ("dropped", 1, 1, "d"), ("from", 1, 1, "m")], schema)
+    lines = [(1, "write", "ours", "z", None), (2, "write", "ours", "b", None), (3, "write", "quiet", "q2", None), (4, "removed", "dropped", None, None), (5, "moved", "from", None, "to"), (6, "removed", "back", None, None), (7, "write", "back", "k", None)]
+    journal = spark.createDataFrame(lines, "seq long, op string, rel string, sha256 string, other string")
+    found = {r.rel: (r.state, r.source) for r in evidence.sweep(disk, index, journal).collect()}
+    states = {"same": "unchanged", "touched": "refreshed", "ours": "write", "quiet": "write", "theirs": "outside", "new": "outside", "back": "write", "versions/ours/1": "version", "gone": "missing", "dropped": "removed", "from": "removed"}
+    assert found == {**{k: (v, None) for k, v in states.items()}, "to": ("moved", "from")}
+    first = {r.rel: r.state for r in evidence.sweep(disk, index.where("false"), journal.where("false"), first_run=True).collect()}
+    assert set(first.values()) == {"initial", "version"}
 
 
 def test_cases(spark):
