@@ -42,14 +42,15 @@ class Archive:
         ``horizon`` (a day): dates of the items' series up to it, as the table ``series_dates``.  All counts at once.
         """
         union = items.union_of_sources(*sources)
-        chunks = items.chunk_rows(items.chunked(union)).withColumn("cid", F.concat_ws("#", "uid", "seq"))
-        spark = union.sparkSession
+        spark, passing = union.sparkSession, store.stage(base, "items", union)  # files are read and parsed once
+        chunks = items.chunk_rows(items.chunked(store.staged(spark, base, passing))).withColumn("cid", F.concat_ws("#", "uid", "seq"))
         entry = store.stage(base, "chunks", chunks, "uid", BUCKETS)
         built = store.staged(spark, base, entry)
         made = {**postings.segment(built, 0), "people": items.people_table(built.withColumn("_order", F.xxhash64("cid")), "_order"), "addresses": items.addresses(built)}
         if horizon is not None and "series" in built.columns:
             made["series_dates"] = item_records.series_dates(built.where("seq = 0"), horizon)
         store.write_version(base, {**made, **tables}, parser, {"chunks": entry})
+        store.discard(spark, base, passing)
         return cls(spark, base)
 
     @classmethod

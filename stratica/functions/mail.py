@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stratica.functions.text import bound_once
+
 # Where quoted history begins, and where a signature begins.
 QUOTE_MARKS = (
     r"_{25,}",
@@ -27,13 +29,14 @@ REFUSED_STATUS, GONE_STATUS = (403,), (404, 410)
 
 def strip_quoted(text: Column) -> Column:
     """The new part of a mail: cut at the first quote mark, then at signature marks (never at the start), without ``>`` lines.  Null stays null."""
-    plain = F.regexp_replace(text, r"\r\n?", "\n")
-    at = F.regexp_instr(plain, F.lit("(?d)(?:" + "|".join(QUOTE_MARKS) + ")"))
-    head = F.when(at > 0, F.substring(plain, F.lit(1), at - 1)).otherwise(plain)
+
+    def head(value: Column, mark: str, least: int) -> Column:
+        return bound_once(value, lambda v: bound_once(F.regexp_instr(v, F.lit(mark)), lambda at: F.when(at >= least, F.substring(v, F.lit(1), at - 1)).otherwise(v)))
+
+    out = head(F.regexp_replace(text, r"\r\n?", "\n"), "(?d)(?:" + "|".join(QUOTE_MARKS) + ")", 1)
     for mark in SIGNATURE_MARKS:
-        at = F.regexp_instr(head, F.lit("(?d)" + mark))
-        head = F.when(at > 1, F.substring(head, F.lit(1), at - 1)).otherwise(head)
-    return F.regexp_replace(head, r"(?md)^[ \t]*>.*$", "")
+        out = head(out, "(?d)" + mark, 2)
+    return F.regexp_replace(out, r"(?md)^[ \t]*>.*$", "")
 
 
 def thread_key(thread_index: Column, references: Column, reply_to: Column, message_id: Column) -> Column:

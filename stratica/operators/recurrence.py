@@ -2,29 +2,24 @@
 
 Days count on the wall clock of the series' own zone.  A day that a month lacks falls on the month's last day.  ``COUNT``
 counts before exceptions are taken out, ``UNTIL`` is an inclusive instant (UTC, with or without its ``Z``; a day alone is that day's
-end), and the newest 4,000 dates are kept, which is the
+end, and for a series of whole days, which begins at midnight, that day itself), and the newest 4,000 dates are kept, which is the
 feature's own bound on one series.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratica.functions.text import bound_once
+
 WEEKDAYS = ("MO", "TU", "WE", "TH", "FR", "SA", "SU")
 NEWEST = 4000
 FREQUENCIES = ("DAILY", "WEEKLY", "MONTHLY", "YEARLY")
-PARTS = ("freq", "interval", "places", "weekdays", "monthdays", "months", "setpos", "wkst", "until", "count")
+PARTS = ("freq", "interval", "places", "weekdays", "monthdays", "months", "setpos", "wkst", "until", "until_day", "count")
 DAY = F.date_add
 
 
-def bound_once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once for a row, however often it is named there (a plain Column is written out anew each time)."""
-    return F.transform(F.array(value), use)[0]
-
-
 def parts(found: Column) -> dict[str, Column]:
     """The parts of a rule, from the map of its text."""
     numbers = lambda key: F.filter(F.transform(F.split(F.coalesce(found[key], F.lit("")), ","), lambda x: x.try_cast("int")), lambda n: n.isNotNull() & (n != 0))
@@ -46,6 +41,7 @@ def parts(found: Column) -> dict[str, Column]:
         "setpos": F.when(legacy, F.slice(places, 1, 1)).otherwise(setpos),
         "wkst": F.greatest(F.lit(0), F.coalesce(F.array_position(F.array(*[F.lit(w) for w in WEEKDAYS]), found["WKST"]).cast("int") - 1, F.lit(0))),
         "until": F.coalesce(F.try_to_timestamp(until, F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(F.concat(until, F.lit("T235959")), F.lit("yyyyMMdd'T'HHmmss"))).cast("timestamp_ntz"),
+        "until_day": F.try_to_timestamp(found["UNTIL"], F.lit("yyyyMMdd")).cast("date"),
         "count": found["COUNT"].try_cast("int"),
     }
 
@@ -103,7 +99,7 @@ def occurrences(start: Column, rule: Column, horizon: Column, exdates: Column |
         found = days(first, known, horizon)
         counted = F.when(known["count"] > 0, F.slice(found, F.lit(1), known["count"])).otherwise(found)
         times = F.transform(counted, lambda d: d.cast("timestamp_ntz") + clock)
-        kept = F.filter(times, lambda w: known["until"].isNull() | (instant(w, tz) <= known["until"]) | ~known["freq"].isin(*FREQUENCIES))
+        kept = F.filter(times, lambda w: known["until"].isNull() | F.when(known["until_day"].isNotNull() & (start == first.cast("timestamp_ntz")), F.to_date(w) <= known["until_day"]).otherwise(instant(w, tz) <= known["until"]) | ~known["freq"].isin(*FREQUENCIES))
         if exdates is not None:
             kept = F.array_except(kept, F.coalesce(exdates, F.array().cast("array<timestamp_ntz>")))
         return bound_once(kept, lambda all_: F.when(F.size(all_) > NEWEST, F.slice(all_, -NEWEST, NEWEST)).otherwise(all_))

@@ -185,7 +185,7 @@ def search(
     if len(lists) > 1:
         inside = [x if whole else x.join(rows.select("cid"), "cid", "left_semi") for x in lists]
         lists = [rank.fused([rank.top_k(x, pool_size(offset, k), "score", "cid") for x in inside], "cid")]
-    if whole and not collapse:
+    if whole and index is not None and not collapse:
         found = lists[0].withColumn("uid", item_of(F.col("cid")))
     else:
         found = lists[0].join(rows.select("cid", "uid", *(["thread"] if collapse else [])), "cid")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratica.functions import mail
-from stratica.functions.text import collapse, strip_html
+from stratica.functions.text import bound_once, collapse, strip_html
 from stratica.functions.times import calendar_time, zone
 from stratica.operators import recurrence
 
@@ -44,8 +44,7 @@ def mail_items(mails: DataFrame) -> DataFrame:
     names = {k: F.filter(F.transform(f"_{k}", lambda a: a["name"]), lambda n: n != "") for k in lines}
     mails_ = {k: F.filter(F.transform(f"_{k}", lambda a: a["mail"]), lambda n: n != "") for k in lines}
     line = lambda k: F.lower(F.array_join(F.concat(names[k], mails_[k]), " "))
-    own = F.coalesce(mail.strip_quoted(F.col("body")), F.lit(""))
-    text = collapse(F.when(F.trim(F.regexp_replace(own, r"\s+", " ")) != "", own).otherwise(F.coalesce("body", F.lit(""))))
+    text = bound_once(F.coalesce(mail.strip_quoted(F.col("body")), F.lit("")), lambda own: collapse(F.when(own.rlike(r"\S"), own).otherwise(F.coalesce("body", F.lit("")))))
     return rows.select(
         F.concat(F.lit("outlook:"), "rel", F.lit(":0")).alias("uid"), F.lit("outlook").alias("src"), F.lit("outlook").alias("root"), "rel", known_key("mail", F.col("message_id")).alias("key"),
         mail.thread_key(F.col("thread_index"), F.col("references"), F.col("reply_to"), F.col("message_id")).alias("thread"), F.col("att"),
@@ -72,7 +71,7 @@ def chat_items(pages: DataFrame) -> DataFrame:
 
     title = F.trim(strip_html(F.regexp_extract(blocks[0], r"(?is)<h1[^>]*>(.*?)</h1>", 1)))  # a heading inside a message is its text
     numbered = lambda all_: F.concat(F.filter(all_, lambda m: m["text"] != ""), F.filter(all_, lambda m: m["text"] == ""))
-    rows = pages.select("rel", title.alias("title"), F.posexplode(recurrence.bound_once(F.transform(F.slice(blocks, 2, 1 << 30), message), numbered)).alias("_n", "_m"))
+    rows = pages.select("rel", title.alias("title"), F.posexplode(bound_once(F.transform(F.slice(blocks, 2, 1 << 30), message), numbered)).alias("_n", "_m"))
     m = lambda name: F.col(f"_m.{name}")
     return rows.select(
         F.concat(F.lit("teams:"), "rel", F.lit(":"), F.col("_n").cast("string")).alias("uid"), F.lit("teams").alias("src"), F.lit("teams").alias("root"), "rel", F.concat(F.lit("chat:"), "rel").alias("thread"),

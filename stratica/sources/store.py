@@ -126,6 +126,13 @@ def staged(spark: SparkSession, base: str, entry: dict) -> DataFrame:
     return _read(spark, base, entry, sorted(entry["parts"].values()) if "parts" in entry else entry["folders"])
 
 
+def discard(spark: SparkSession, base: str, entry: dict) -> None:
+    """Delete a staged table that no manifest names."""
+    for folder in entry.get("folders") or {f.split("/_")[0] for f in entry["parts"].values()}:
+        path, system = _path(spark, f"{base}/{folder}")
+        system.delete(path, True)
+
+
 def write_version(base: str, tables: dict[str, DataFrame], parser: int = 1, ready: dict[str, dict] | None = None) -> int:
     """Write tables and make them count together with those that are ``ready``; tables of the store that are not named stay.  The new version's number."""
     spark = next(iter(tables.values())).sparkSession
