@@ -8,7 +8,7 @@ user has them, ``vectors``, ``series_dates``, ``calendar``, ``organisation``, ``
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -141,8 +141,29 @@ class Archive:
         near = rank.similar_to(own, "cid", "embedding", f"{uid}#0", 3 * k).withColumn("uid", sr.item_of(F.col("cid"))).where(F.col("uid") != uid)
         return rank.top_k(sr.best_of_items(near), k, "score", "cid")
 
+    def embed(self, embedder: Callable[[list[str]], list[list[float]]], dim: int, buckets: int = BUCKETS) -> None:
+        """Give every content its vector: known ones are taken by their hash, also those that no chunk has had for a while, and only the others go to the embedder.
+
+        Vectors and the chunks' hashes lie in buckets by hash.  Vectors that no chunk has now stay as ``retired``.
+        """
+        known = self._optional("hash_vectors")
+        none = self.spark.createDataFrame([], "hash string, embedding array<float>, retired boolean")
+        known = none if known is None else known
+        plan = sr.embedding_plan(self.chunks.withColumn("text", items.embedded(F.col("title"), F.col("text"))), known)
+        used = sr.embedded(plan, known.select("hash", "embedding"), embedder, dim).withColumn("retired", F.lit(False))
+        rest = known.join(self.chunks.select("hash"), "hash", "left_anti").select("hash", "embedding", F.lit(True).alias("retired"))
+        entries = {
+            "hash_vectors": store.stage_clustered(self.base, "hash_vectors", used.unionByName(rest), "hash", buckets),
+            "hash_chunks": store.stage_clustered(self.base, "hash_chunks", self.chunks.select("cid", "hash"), "hash", buckets),
+        }
+        store.change(self.spark, self.base, lambda now: now | {"tables": {**now["tables"], **entries}})
+
     def vectors_of_chunks(self) -> DataFrame:
-        return self.chunks.select("cid", "hash").join(self.table("vectors"), "hash").select("cid", "embedding")
+        """(cid, embedding): by buckets without a shuffle where ``embed`` has written them, else a join of chunks and vectors by content."""
+        chunks, vectors = self._optional("hash_chunks"), self._optional("hash_vectors")
+        if chunks is None or vectors is None:
+            return self.chunks.select("cid", "hash").join(self.table("vectors"), "hash").select("cid", "embedding")
+        return chunks.hint("merge").join(vectors.where("not retired"), "hash").select("cid", "embedding")
 
     def get_thread(self, thread: str) -> DataFrame:
         return sr.thread(self.chunks.where("seq = 0"), F.col("thread") == thread)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratica.operators.facets import DAY, time_bucket
+
 
 def add_items(items: DataFrame, new: DataFrame, cases: DataFrame, added: str = "added") -> DataFrame:
     """Members after adding: the first add of a (case, key) wins and closed cases take none."""
@@ -26,10 +28,19 @@ def membership(hits: DataFrame, items: DataFrame, cases: DataFrame) -> DataFrame
     return named.groupBy("key").agg(F.array_join(F.transform(ordered, lambda x: x["name"]), ", ").alias("cases"))
 
 
-def fold_history(history: DataFrame, by: str, order: list[Column], criteria: str) -> DataFrame:
-    """Repeats of the same criteria in a row become one row, the latest."""
-    own = Window.partitionBy(by).orderBy(*order)
-    return history.withColumn("_next", F.lead(criteria).over(own)).withColumn("_last", F.lead(F.lit(1)).over(own).isNull()).where(F.col("_last") | ~F.col("_next").eqNullSafe(F.col(criteria))).drop("_next", "_last")
+def fold_history(history: DataFrame, by: str, order: list[Column], criteria: str, ts: str | None = None, bucket_seconds: int = DAY) -> DataFrame:
+    """Repeats of the same criteria in a row become one row, the latest.
+
+    With ``ts``, the time that the order begins with, a key's rows are dealt by buckets of time, and only the first and the last row of
+    each bucket meet those of the key's other buckets.
+    """
+    bucket = F.lit(0) if ts is None else time_bucket(F.unix_micros(F.col(ts).cast("timestamp")), bucket_seconds)
+    own = Window.partitionBy(by, "_bucket").orderBy(*order)
+    marked = history.withColumn("_bucket", bucket).withColumns({"_next": F.lead(criteria).over(own), "_last": F.lead(F.lit(1)).over(own).isNull(), "_first": F.lag(F.lit(1)).over(own).isNull()})
+    all_ = Window.partitionBy(by).orderBy(F.asc_nulls_first("_bucket"), *order)  # two rows a bucket at most
+    border = marked.where("_last or _first").withColumns({"_next": F.lead(criteria).over(all_), "_end": F.lead(F.lit(1)).over(all_).isNull()}).where("_last")
+    inside = marked.where("not _last").withColumn("_end", F.lit(False))
+    return inside.unionByName(border).where(F.col("_end") | ~F.col("_next").eqNullSafe(F.col(criteria))).drop("_bucket", "_next", "_last", "_first", "_end")
 
 
 def thread_gap(items: DataFrame, messages: DataFrame, key: str, thread: str) -> DataFrame:
@@ -51,9 +62,17 @@ def distinct_versions(rows: DataFrame, by: str, order: list[str], value: str, ke
 
 
 def rate(rows: DataFrame, by: str, ts: str, seconds: int) -> DataFrame:
-    """How many rows of the same group the last ``seconds`` hold, this one included."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return rows.withColumn("_us", micros).withColumn("n", F.count("*").over(Window.partitionBy(by).orderBy("_us").rangeBetween(-seconds * 1_000_000, 0))).drop("_us")
+    """How many rows of the same group the last ``seconds`` hold, this one included; none (0) for rows without a time.
+
+    A group's rows are dealt by buckets of time eight times as long; what the next bucket looks back on is carried into it.
+    """
+    long = 8 * seconds
+    bucket = time_bucket(F.col("_us"), long)
+    timed = rows.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    late = F.col("_us") >= (bucket + 1) * (long * 1_000_000) - seconds * 1_000_000
+    spread = timed.withColumn("_b", F.explode(F.when(F.coalesce(late, F.lit(False)), F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own"))))))
+    own = Window.partitionBy(by, "_b.b").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
+    return spread.withColumn("n", F.count("_us").over(own)).where("_b.own").drop("_us", "_b")
 
 
 def month_gaps(items: DataFrame, by: str, ts: str) -> DataFrame:

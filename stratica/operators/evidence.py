@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Kinds of lines that say what a file holds.
+CONTENT = ("initial", "write", "outside", "moved")
+
+
 def broken_lines(lines: DataFrame, by: str, number: str, line: str, prev: str, heads: DataFrame | None = None) -> DataFrame:
     """(by, broken): the place of the first line of each chain that does not follow the one before it.
 
@@ -24,6 +28,29 @@ def broken_lines(lines: DataFrame, by: str, number: str, line: str, prev: str, h
     return hashed.join(wrong, by).where("_n <= _first").groupBy(by).agg(F.count("*").alias("broken"))
 
 
+def verified(lines: DataFrame, by: str, number: str, line: str, prev: str, disk: DataFrame, heads: DataFrame | None = None, accepted: DataFrame | None = None, content: tuple[str, ...] = CONTENT, ended: tuple[str, ...] = ("removed", "missing")) -> DataFrame:
+    """One row for each chain: ``lines``, ``broken`` (as ``broken_lines``; null: whole), and how its files lie on the disk.
+
+    A file's last line says what it should be: ``unchanged``, ``changed``, ``accepted`` (changed, and the keeper has acknowledged this very content) or ``missing``.
+    ``lines`` also have kind (those of ``content`` say what a file holds, those of ``ended`` that it is gone), rel and sha256;
+    ``disk`` and ``accepted`` have rel and sha256.  Lines are hashed where they are read, and files meet the disk by path.
+    """
+    total = lines.groupBy(by).agg(F.count("*").alias("lines"))
+    broken = broken_lines(lines, by, number, line, prev, heads)
+    last = lines.where(F.col("kind").isin(*content, *ended)).groupBy(by, "rel").agg(F.max_by(F.struct("kind", "sha256"), number).alias("_l")).where(~F.col("_l.kind").isin(*ended))
+    known = disk.groupBy("rel").agg(F.max("sha256").alias("_now"))
+    rows = last.select(by, "rel", F.col("_l.sha256").alias("_was")).join(known, "rel", "left")
+    if accepted is None:
+        rows = rows.withColumn("_ok", F.lit(False))
+    else:
+        own = accepted.select("rel", F.col("sha256").alias("_now"), F.lit(True).alias("_ok")).distinct()
+        rows = rows.join(own, ["rel", "_now"], "left").withColumn("_ok", F.coalesce("_ok", F.lit(False)))
+    same, there = F.col("_now").eqNullSafe(F.col("_was")), F.col("_now").isNotNull()
+    counts = {"unchanged": there & same, "changed": there & ~same & ~F.col("_ok"), "accepted": there & ~same & F.col("_ok"), "missing": ~there}
+    files = rows.groupBy(by).agg(*[F.count_if(c).alias(name) for name, c in counts.items()])
+    return total.join(broken, by, "left").join(files, by, "left")
+
+
 def current(lines: DataFrame, rel: str, number: str, kind: str, ended: tuple[str, ...], keep: list[str]) -> DataFrame:
     """The last line of each path, without paths whose last line ended them."""
     last = lines.groupBy(rel).agg(F.max_by(F.struct(kind, number, *keep), number).alias("_l"))

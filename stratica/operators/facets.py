@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Seconds of the buckets of time by which one key's rows are dealt to tasks.
+DAY = 86_400
+
+
 def count_by(items: DataFrame, by: str, key: str) -> DataFrame:
     return items.groupBy(by).agg(F.countDistinct(key).alias("n"))
 
@@ -23,13 +27,28 @@ def dense_months(items: DataFrame, ts: str) -> DataFrame:
     return every.join(known, "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def islands(items: DataFrame, by: str, ts: str, gap_seconds: int) -> DataFrame:
-    """Runs of items of one ``by`` without a pause over the gap: first, last and number."""
-    order = Window.partitionBy(by).orderBy(ts)
-    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    marked = items.where(F.col(ts).isNotNull()).withColumn("_s", seconds).withColumn("_new", F.coalesce((F.col("_s") - F.lag("_s").over(order) > gap_seconds).cast("int"), F.lit(1)))
-    numbered = marked.withColumn("_run", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(by, "_run").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n")).drop("_run")
+def islands(items: DataFrame, by: str, ts: str, gap_seconds: int, bucket_seconds: int = DAY) -> DataFrame:
+    """Runs of items of one ``by`` without a pause over the gap: first, last and number.
+
+    One ``by`` with most of the items is no hot key: runs are found within buckets of time, and only the first and the last run of a
+    bucket, which may go on in the buckets beside it, meet those of all others.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    own = Window.partitionBy(by, "_bucket").orderBy("_us")
+    marked = items.where(F.col(ts).isNotNull()).select(by, ts, micros.alias("_us")).withColumn("_bucket", time_bucket(F.col("_us"), bucket_seconds))
+    gap = gap_seconds * 1_000_000
+    runs = marked.withColumn("_new", F.coalesce((F.col("_us") - F.lag("_us").over(own) > gap).cast("int"), F.lit(1)))
+    runs = runs.withColumn("_run", F.sum("_new").over(own.rangeBetween(Window.unboundedPreceding, 0))).groupBy(by, "_bucket", "_run")
+    runs = runs.agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n"), F.min("_us").alias("_from"), F.max("_us").alias("_to"))
+    runs = runs.withColumn("_border", (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(Window.partitionBy(by, "_bucket"))))
+    all_ = Window.partitionBy(by).orderBy("_from")  # two rows a bucket at most
+    border = runs.where("_border").withColumn("_new", F.coalesce((F.col("_from") - F.lag("_to").over(all_) > gap).cast("int"), F.lit(1)))
+    joined = border.withColumn("_run", F.sum("_new").over(all_)).groupBy(by, "_run").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("n").alias("n"))
+    return runs.where("not _border").select(by, "first_ts", "last_ts", "n").unionByName(joined.drop("_run"))
+
+
+def time_bucket(micros: Column, seconds: int) -> Column:
+    return F.floor(micros / (seconds * 1_000_000))
 
 
 def top_rest(items: DataFrame, by: str, k: int, rest: str = "rest") -> DataFrame:

@@ -6,10 +6,15 @@ of items, mean length) are one row, which is joined by broadcast.  Top-k keeps k
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from stratica.functions.text import words
 
@@ -119,6 +124,78 @@ def similar_to(vectors: DataFrame, key: str, embedding: str, item: int | str, k:
     return top_k(scored, k, "score", key)
 
 
+#: Queries that are compared in one pass, as one matrix that every task gets.
+QUERIES = 4096
+
+
+def cosine_many(vectors: DataFrame, key: str, embedding: str, queries: DataFrame, query: str, k: int, together: int = QUERIES) -> DataFrame:
+    """(query, key, score): the k vectors most like each of many queries (``query``, ``embedding``), exactly; scores have 9 decimals, ties go to the smaller key.
+
+    An Arrow batch is one matrix that meets ``together`` queries in one product.  A task keeps k a query, and these meet by query,
+    so what is shuffled is tasks x queries x k rows.  Queries are dealt into blocks of that size by hash, one pass over the vectors
+    each.  Null and zero vectors are like nothing; fewer than k vectors are all returned.
+    """
+    n = max(1, -(-queries.count() // together))
+    out = None
+    for block in range(n):
+        rows = queries.where(F.pmod(F.xxhash64(query), F.lit(n)) == block).select(query, F.col(embedding).cast("array<double>")).collect() if n > 1 else queries.select(query, F.col(embedding).cast("array<double>")).collect()
+        rows = [r for r in rows if r[1] is not None]
+        if rows or (out is None and block == n - 1):
+            own = _best_of_block(vectors, key, embedding, rows, queries.schema[query].dataType, query, k)
+            out = own if out is None else out.unionByName(own)
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key))
+    return out.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
+
+def _best_of_block(vectors: DataFrame, key: str, embedding: str, rows: list, query_type: T.DataType, query: str, k: int) -> DataFrame:
+    schema = T.StructType([T.StructField(query, query_type), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    names = [r[0] for r in rows]
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, length, out=np.full_like(m, np.nan), where=length > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = unit(np.array([r[1] for r in rows], dtype=np.float64)).T if rows else np.zeros((0, 0))
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=object))] * len(rows)
+        for batch in batches:
+            batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), len(wanted)), False)) if rows else batch.slice(0, 0)
+            if not batch.num_rows:
+                continue
+            keys = np.array(batch.column(0).to_pylist(), dtype=object)
+            found = np.round(unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)) @ wanted, 9)
+            for q in range(len(rows)):
+                scores = found[:, q]
+                some = np.flatnonzero(~np.isnan(scores))
+                if len(some) > k:  # all that are not below the k-th, equal ones too
+                    some = some[scores[some] >= np.partition(scores[some], -k)[-k]]
+                if len(best[q][0]) == k:
+                    some = some[scores[some] >= best[q][0][-1]]
+                if len(some):
+                    both, names_ = np.concatenate([best[q][0], scores[some]]), np.concatenate([best[q][1], keys[some]])
+                    order = sorted(range(len(both)), key=lambda i: (-both[i], names_[i]))[:k]
+                    best[q] = both[order], names_[order]
+        sizes = [len(b[0]) for b in best]
+        columns = [[n for n, size in zip(names, sizes, strict=True) for _ in range(size)], [x for b in best for x in b[1].tolist()], [x for b in best for x in b[0].tolist()]]
+        types = [to_arrow_type(f.dataType) for f in schema.fields]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
+
+    return vectors.where(F.col(key).isNotNull()).select(key, F.col(embedding).cast("array<double>")).mapInArrow(run, schema)
+
+
+def similar_items(vectors: DataFrame, key: str, item: str, embedding: str, wanted: DataFrame, k: int) -> DataFrame:
+    """(query, item, key, score): for each chunk of ``wanted`` (``key``) the k other items most like it, one hit for each item, that of its best chunk.
+
+    3 k chunks are ranked for k items, as chunks of one item lie close together.
+    """
+    asked = vectors.join(wanted.select(key), key, "left_semi").select(F.col(key).alias("query"), embedding)
+    home = vectors.select(F.col(key).alias("query"), F.col(item).alias("_home"))
+    near = cosine_many(vectors, key, embedding, asked, "query", 3 * k).join(vectors.select(key, item), key).join(home, "query").where(F.col(item) != F.col("_home"))
+    best = near.withColumn("_place", F.row_number().over(Window.partitionBy("query", item).orderBy(F.desc("score"), key))).where("_place = 1")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
+    return best.withColumn("_place", place).where(F.col("_place") <= k).select("query", item, key, "score")
+
+
 def passages(hits: DataFrame, key: str, score: str, label: str, text: str, k: int, size: int = 2000) -> DataFrame:
     """The k best hits as numbered passages: ``[n] label`` and the head of the text, which is the feature's limit on an answer."""
     best = top_k(hits, k, score, key).withColumn("n", F.row_number().over(Window.orderBy(F.desc(score), key)))  # k rows

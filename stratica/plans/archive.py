@@ -202,6 +202,35 @@ def chain_check(read):
     return evidence.broken_lines(kept, "conv_id", "n", "text", "prev", heads)
 
 
+@query(
+    """WITH l AS (SELECT conv_id, turn + 1 AS n, text, lag(text) OVER w AS before, row_number() OVER w AS nth FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    p AS (SELECT *, CASE WHEN nth = 1 THEN CASE WHEN conv_id % 7 = 3 THEN 'invented' END WHEN length(before) > 1500 THEN 'altered' ELSE sha256(coalesce(before, '')) END AS prev FROM l),
+    k AS (SELECT *, row_number() OVER w AS place, lag(text) OVER w AS b, lag(1) OVER w AS has FROM p WHERE NOT (conv_id % 5 = 0 AND n = 2) WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
+    bad AS (SELECT conv_id, min(place) AS broken FROM k WHERE n <> place OR prev IS DISTINCT FROM (CASE WHEN has = 1 THEN sha256(coalesce(b, '')) END)
+      OR (conv_id % 11 = 1 AND place = (SELECT max(place) FROM k m WHERE m.conv_id = k.conv_id)) GROUP BY 1),
+    files AS (SELECT conv_id, conv_id || '/' || (n % 3) AS rel, arg_max(md5(coalesce(text, '')), n) AS sha FROM k WHERE n % 8 <> 7 GROUP BY 1, 2),
+    disk AS (SELECT conv_id || '/' || (n % 3) AS rel, max(md5(coalesce(text, ''))) AS sha FROM k WHERE conv_id % 4 <> 3 OR n % 3 <> 1 GROUP BY 1),
+    seen AS (SELECT conv_id, f.sha, d.rel IS NULL AS missing, d.sha AS now FROM files f LEFT JOIN disk d ON d.rel = f.rel)
+    SELECT k.conv_id, count(*) AS lines, any_value(bad.broken) AS broken, any_value(s.unchanged) AS unchanged, any_value(s.changed) AS changed, any_value(s.accepted) AS accepted, any_value(s.missing) AS missing
+    FROM k LEFT JOIN bad ON bad.conv_id = k.conv_id
+    LEFT JOIN (SELECT conv_id, count(*) FILTER (now = sha) AS unchanged, count(*) FILTER (now <> sha AND left(now, 1) > '3') AS changed, count(*) FILTER (now <> sha AND left(now, 1) <= '3') AS accepted, count(*) FILTER (missing) AS missing FROM seen GROUP BY 1) s ON s.conv_id = k.conv_id GROUP BY 1"""
+)
+def chain_verify(read):
+    """The chains of ``chain_check`` with their totals: each turn writes one of its conversation's three files, and the disk holds another state of some."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("conv_id").orderBy("turn")
+    before = F.when(F.length(F.lag("text").over(own)) > 1500, "altered").otherwise(F.sha2(F.coalesce(F.lag("text").over(own), F.lit("")), 256))
+    first = F.when(F.col("conv_id") % 7 == 3, "invented")
+    rel = F.concat(F.col("conv_id").cast("string"), F.lit("/"), (F.col("n") % 3).cast("string"))
+    lines = read("conversations").withColumn("prev", F.when(F.row_number().over(own) == 1, first).otherwise(before)).withColumn("n", F.col("turn") + 1).withColumns({"rel": rel, "sha256": F.md5(F.coalesce("text", F.lit(""))), "kind": F.when(F.col("n") % 8 == 7, "stamp").otherwise("write")})
+    kept = lines.where("not (conv_id % 5 = 0 and n = 2)")
+    heads = kept.groupBy("conv_id").agg(F.when(F.col("conv_id") % 11 == 1, "wrong").otherwise(F.sha2(F.coalesce(F.max_by("text", "n"), F.lit("")), 256)).alias("head"))
+    disk = kept.where("conv_id % 4 <> 3 or n % 3 <> 1").groupBy("rel").agg(F.max("sha256").alias("sha256"))
+    accepted = disk.where("left(sha256, 1) <= '3'")
+    return evidence.verified(kept, "conv_id", "n", "text", "prev", disk, heads, accepted, ("write",))
+
+
 @query("SELECT o_custkey, k AS o_orderkey FROM (SELECT o_custkey, max(o_orderkey) AS k, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1) WHERE s <> 'F'")
 def evidence_fold(read):
     return evidence.current(read("orders"), "o_custkey", "o_orderkey", "o_orderstatus", ("F",), []).select("o_custkey", "o_orderkey")
@@ -230,7 +259,7 @@ def collect_new(read):
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE nx IS DISTINCT FROM event_type")
 def history_folding(read):
-    return casebook.fold_history(read("events"), "user_id", [F.col("ts"), F.col("event_id")], "event_type").select("user_id", "event_id", "event_type")
+    return casebook.fold_history(read("events"), "user_id", [F.col("ts"), F.col("event_id")], "event_type", "ts").select("user_id", "event_id", "event_type")
 
 
 @query("SELECT conv_id, count(*) FILTER (role = 'user') AS has, count(*) FILTER (role <> 'user') AS lacks FROM conversations GROUP BY 1 HAVING has > 0")

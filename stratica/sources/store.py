@@ -121,8 +121,31 @@ def stage(base: str, name: str, table: DataFrame, by: str | None = None, buckets
     return {"by": by, "buckets": buckets, "parts": _write_buckets(base, name, table, by, buckets), "schema": table.schema.json()}
 
 
+def stage_clustered(base: str, name: str, table: DataFrame, by: str, buckets: int) -> dict:
+    """Write a table in Spark's own buckets by the hash of a column, sorted by it: two such tables with as many buckets are joined by it without a shuffle."""
+    spark, passing = table.sparkSession, f"stratica_{uuid.uuid4().hex}"
+    folder = f"data/{name}-{uuid.uuid4().hex}"
+    table.repartition(buckets, by).write.format("parquet").bucketBy(buckets, by).sortBy(by).option("path", f"{base}/{folder}").saveAsTable(passing)
+    spark.sql(f"DROP TABLE {passing}")  # an external table: its files stay
+    return _plain(table, folder) | {"clustered": [by, buckets]}
+
+
+def _clustered(spark: SparkSession, base: str, entry: dict) -> DataFrame:
+    """Buckets are no property of files, so the session's catalog is told of them under the folder's name."""
+    from pyspark.sql import types as T
+
+    (by, buckets), folder = entry["clustered"], entry["folders"][0]
+    name = "stratica_" + "".join(c if c.isalnum() else "_" for c in folder.rsplit("/", 1)[-1])
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(json.loads(entry["schema"])).fields)
+    place = f"{base}/{folder}".replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`{by}`) SORTED BY (`{by}`) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
+
+
 def staged(spark: SparkSession, base: str, entry: dict) -> DataFrame:
     """The rows of a staged table."""
+    if "clustered" in entry:
+        return _clustered(spark, base, entry)
     return _read(spark, base, entry, sorted(entry["parts"].values()) if "parts" in entry else entry["folders"])
 
 

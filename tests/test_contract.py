@@ -11,6 +11,7 @@ import pytest
 
 import stratica.plans.archive  # noqa: F401
 import stratica.plans.items  # noqa: F401
+import stratica.plans.records  # noqa: F401
 import stratica.plans.rounds  # noqa: F401
 from stratica.plans.contract import ORACLE_SQL, QUERIES
 from stratica.streaming import windows

@@ -216,3 +216,74 @@ def test_archive_updates(spark, folders, tmp_path):
         scores = [{h.uid: h.score for h in a.search_messages(wanted).collect()} for a in (archive, fresh)]
         assert scores[0] == scores[1]
     assert archive.table("people").count() > 0
+
+
+def test_vectors_by_content(spark, tmp_path):
+    base, log = f"file://{tmp_path}/store", tmp_path / "asked"
+    log.mkdir()
+
+    def embedder(texts: list[str]) -> list[list[float]]:
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text("\n".join(t.replace("\n", " ") for t in texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def asked() -> list[str]:
+        found = sorted(line for f in log.iterdir() for line in f.read_text().split("\n"))
+        for f in log.iterdir():
+            f.unlink()
+        return found
+
+    def rows(*texts: str):
+        data = [(f"u{k}:0", "pages", "pages", f"r{k}", "T", t) for k, t in enumerate(texts)]
+        return spark.createDataFrame(data, "uid string, src string, root string, rel string, title string, text string").withColumns({c: F.lit(None).cast("string") for c in ("who", "ppl", "att", "who_mail", "to_ppl", "cc_ppl", "bcc_ppl")})
+
+    long = "words enough to mean something in a search, number "
+    archive = Archive.build(base, [rows(long + "1", long + "2", long + "2", "short")])
+    archive.embed(embedder, 2, buckets=4)
+    assert asked() == [f"T {long}1", f"T {long}2"]
+    joined = archive.vectors_of_chunks()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert {r.cid: list(r.embedding)[1] for r in joined.collect()} == {"u0:0#0": 1.0, "u1:0#0": 1.0, "u2:0#0": 1.0, "u3:0#0": 0.0}
+    archive = Archive.build(base, [rows(long + "3", long + "2")])  # a rebuild
+    archive.embed(embedder, 2, buckets=4)
+    assert asked() == [f"T {long}3"] and archive.vectors_of_chunks().count() == 2
+    assert {r.retired for r in archive.table("hash_vectors").where("embedding[1] = 1").collect()} == {True, False}
+    archive = Archive.build(base, [rows(long + "1")])  # what was gone comes back
+    archive.embed(embedder, 2, buckets=4)
+    assert asked() == [] and archive.vectors_of_chunks().count() == 1
+
+
+def test_one_user_with_most_rows(spark):
+    """Sessions, rates and folded histories by buckets of time: as over whole users, and no task gets most rows."""
+    import random
+
+    from pyspark.sql import Window
+
+    from stratica.operators import casebook, facets
+
+    rng = random.Random(8)
+    first = datetime.datetime(2024, 1, 1)
+    times_ = sorted(rng.randrange(40 * 86_400) for _ in range(4000))
+    rows = [(1 if k % 10 else rng.randrange(2, 9), k, first + datetime.timedelta(seconds=s), rng.choice("ab")) for k, s in enumerate(times_)]
+    rows += [(1, 9000, first + datetime.timedelta(days=10), "a"), (1, 9001, first + datetime.timedelta(days=10), "a"), (3, 9002, None, "b")]
+    events = spark.createDataFrame(rows, "user int, id int, ts timestamp, kind string").persist()
+    timed = [r for r in rows if r[2] is not None]
+    for gap, bucket in ((600, 86_400), (7_200, 3_600), (200_000, 3_600)):
+        runs = []
+        for user in range(1, 9):
+            own = sorted(r[2] for r in timed if r[0] == user)
+            for t in own:
+                if runs and runs[-1][0] == user and (t - runs[-1][2]).total_seconds() <= gap:
+                    runs[-1][2:] = [t, runs[-1][3] + 1]
+                else:
+                    runs.append([user, t, t, 1])
+        assert sorted(tuple(r) for r in facets.islands(events, "user", "ts", gap, bucket).collect()) == sorted(map(tuple, runs))
+    plain = events.withColumn("us", F.unix_micros("ts")).withColumn("n", F.count("us").over(Window.partitionBy("user").orderBy("us").rangeBetween(-3_600_000_000, 0)))
+    assert sorted((r.id, r.n) for r in casebook.rate(events, "user", "ts", 3600).collect()) == sorted((r.id, r.n) for r in plain.collect())
+    order = [F.col("ts"), F.col("id")]
+    whole, dealt = (sorted(tuple(r) for r in casebook.fold_history(events, "user", order, "kind", ts).select("user", "id", "kind").collect()) for ts in (None, "ts"))
+    assert whole == dealt and whole
+    sizes = [r["n"] for r in events.where("ts is not null").repartition(8, "user", facets.time_bucket(F.unix_micros("ts"), facets.DAY)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * sorted(sizes)[4]
