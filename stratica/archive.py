@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratica.functions import mail
-from stratica.operators import casebook, evidence, facets, filters, graph, items, organisation, postings, rank, sequences
+from stratica.operators import casebook, detail, evidence, facets, filters, graph, items, organisation, postings, rank, sequences
 from stratica.operators import search as sr
 from stratica.sources import item_records, readers, store
 
@@ -172,6 +172,18 @@ class Archive:
         own = self.chunks.where(F.col("uid") == uid)
         return own.where("seq = 0").drop("text").join(items.whole_texts(own), "uid")
 
+    def verify_item(self, uid: str) -> DataFrame:
+        """How to quote an item, and what the chain of evidence and the disk (table ``files``: rel, sha256) say of it now."""
+        lines = self.table("lines")
+        none = self.spark.createDataFrame([], "seq long, op string, rel string, sha256 string, other string")
+        journal, broken = self._optional("journal"), self._optional("broken")
+        return detail.cited(self.chunks.where((F.col("uid") == uid) & (F.col("seq") == 0)), lines, self.table("files"), none if journal is None else journal, lines.where("false") if broken is None else broken)
+
+    def get_facts(self, uid: str) -> DataFrame:
+        """The facts of a chat message, file or page; of other kinds those that its item carries."""
+        own = self.chunks.where((F.col("uid") == uid) & (F.col("seq") == 0))
+        return detail.plain_facts(own).unionByName(detail.mail_facts(own))
+
     def neighbours(self, cid: str, before: int = 2, after: int = 2) -> DataFrame:
         own = self.chunks.where(F.col("cid") == cid).select("root", "rel")
         return sequences.context(self.chunks.where("seq = 0").join(own, ["root", "rel"], "left_semi"), "rel", "msg_idx", F.col("cid") == cid, before, after)

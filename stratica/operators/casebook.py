@@ -202,3 +202,28 @@ def case_manifest(items: DataFrame, files: DataFrame) -> DataFrame:
     """(case_id, key, rel, sha256, size, state): what each case holds as files, ``missing`` where none is there any more."""
     rows = items.join(files.select("key", "rel", "sha256", "size"), "key", "left")
     return rows.select("case_id", "key", "rel", "sha256", "size", F.when(F.col("sha256").isNull(), "missing").otherwise("here").alias("state"))
+
+
+def notes_after(notes: DataFrame, changes: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(notes, touched): dated notes after changes, and the cases that these touch with the time of the last.
+
+    ``notes``: id, case_id, at, text, origin; ``changes``: nr, op (add, change, delete), id, case_id, at, text, origin.  The last
+    change of a note counts; closed or unknown cases and empty texts are refused; a change or deletion of a note that the case does not have
+    changes nothing.  A changed note keeps its time and origin.
+    """
+    clean = changes.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""))
+    allowed = clean.where("op = 'delete' or text <> ''").join(cases.where("status <> 'closed'").select(F.col("id").alias("case_id")), "case_id", "left_semi")
+    # what is added exists from then on, so changes of a note are taken in order: its first word gives time and origin, its last the text
+    old = notes.select("id", "case_id", F.lit(-1).cast("long").alias("nr"), F.lit("add").alias("op"), "at", "text", "origin")
+    all_ = old.unionByName(allowed.select("id", "case_id", F.col("nr").cast("long").alias("nr"), "op", "at", "text", "origin"))
+    made = all_.groupBy("id", "case_id").agg(F.min(F.when(F.col("op") == "add", F.struct("nr", "at", "origin"))).alias("_a"), F.max(F.struct("nr", "op", "at", "text")).alias("_l"), F.min(F.when(F.col("op") == "delete", F.col("nr"))).alias("_gone"))
+    known = made.where("_a is not null")
+    left = known.where("_gone is null or _gone < _a.nr").select("id", "case_id", F.col("_a.at").alias("at"), F.col("_l.text").alias("text"), F.col("_a.origin").alias("origin"))
+    touched = known.where("_l.nr >= 0").groupBy("case_id").agg(F.max("_l.at").alias("changed"))
+    return left, touched
+
+
+def collect_sums(report: DataFrame) -> DataFrame:
+    """One row: what a run over all automatic searches has brought: new, skipped, already there, and searches that failed."""
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("error").isNull(), F.col(c))), F.lit(0))
+    return report.agg(*[total(c).alias(c) for c in ("new", "skipped", "already")], F.count("error").alias("errors"))

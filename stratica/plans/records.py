@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratica.operators import rank
+from stratica.operators import casebook, detail, rank
 from stratica.plans.contract import query
+from stratica.plans.items import items_of, picked
 from stratica.sources import item_records
 
 
@@ -106,3 +107,58 @@ def similar_items(read):
     vectors = read("embeddings").withColumn("item", F.floor(F.col("vec_id") / 4))
     found = rank.similar_items(vectors, "vec_id", "item", "embedding", vectors.where("vec_id % 100 = 0"), 5)
     return found.select("query", "item", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    picked(
+        """SELECT uid, src AS kind, CASE src WHEN 'datei' THEN doc_id || '.txt' WHEN 'teams' THEN who END AS name, CASE WHEN src = 'datei' THEN 'txt' END AS ext, CASE WHEN src = 'datei' THEN length(text) END AS size, ctx AS folder,
+        CASE WHEN src = 'teams' THEN title END AS chat, CASE WHEN src <> 'teams' THEN coalesce(strftime(ts, '%Y-%m-%d'), '') END AS modified FROM items WHERE src IN ('teams', 'datei', 'pages')"""
+    )
+)
+def item_facts(read):
+    """Facts of messages, files and pages."""
+    rows = items_of(read).withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
+    files = rows.where("src = 'datei'").select("root", "rel", F.length("text").cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified"))
+    fact = lambda path: F.get_json_object("facts", path)
+    found = detail.plain_facts(rows, files).join(rows.select("uid", "src"), "uid")
+    return found.select("uid", F.col("src").alias("kind"), F.coalesce(fact("$.name"), fact("$.from.name")).alias("name"), fact("$.ext").alias("ext"), fact("$.size").cast("long").alias("size"), fact("$.folder").alias("folder"), fact("$.chat").alias("chat"), fact("$.modified").alias("modified"))
+
+
+@query(
+    picked(
+        """SELECT uid, concat_ws(' · ', src, nullif(strftime(ts, '%Y-%m-%d'), ''), who, title) AS label, CASE WHEN doc_id % 5 > 0 THEN doc_id END AS chain_line,
+        CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'not_yet_chained' WHEN doc_id % 4 > 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'unchanged_outside_version' ELSE 'unchanged' END WHEN doc_id % 8 = 0 THEN 'changed_by_app' ELSE 'changed_outside' END AS verdict FROM items"""
+    )
+)
+def cite_items(read):
+    """Every document's file is in the chain, on the disk and in the journal, or lacks one of them."""
+    rows, n = items_of(read), F.col("doc_id")
+    was, other = F.md5(F.coalesce("text", F.lit(""))), F.md5(F.concat(F.coalesce("text", F.lit("")), F.lit("x")))
+    lines = rows.where(n % 5 > 0).select(n.alias("n"), F.lit("2024").alias("at"), "rel", F.when(n % 3 == 0, "outside").otherwise("write").alias("kind"), was.alias("sha256"))
+    disk = rows.where(n % 7 > 0).select("rel", F.when(n % 4 == 0, other).otherwise(was).alias("sha256"))
+    journal = rows.where(n % 8 == 0).select(n.alias("seq"), F.lit("write").alias("op"), "rel", other.alias("sha256"), F.lit(None).cast("string").alias("other"))
+    return detail.cited(rows, lines, disk, journal, lines.where("false")).select("uid", "label", "chain_line", "verdict")
+
+
+@query(
+    """WITH c AS (SELECT event_id AS nr, CASE event_type WHEN 'view' THEN 'add' WHEN 'error' THEN 'delete' ELSE 'change' END AS op, 'n' || (event_id * 7 % 3000) AS id, event_id * 7 % 3000 % 25 AS case_id, ts AS at, CASE WHEN event_id % 11 = 0 THEN '' ELSE 'T' || event_id END AS text FROM events),
+    a AS (SELECT * FROM c WHERE (op = 'delete' OR text <> '') AND case_id IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 4 > 0)),
+    g AS (SELECT id, case_id, min(nr) FILTER (op = 'add') AS born, min(nr) FILTER (op = 'delete') AS gone, arg_max(text, nr) AS text FROM a GROUP BY 1, 2)
+    SELECT g.id, g.case_id, a.at, g.text FROM g JOIN a ON a.nr = born WHERE gone IS NULL OR gone < born"""
+)
+def notes_round(read):
+    """Events as changes of notes of the cases of nations, a quarter of which are closed."""
+    n = F.col("event_id")
+    ops = F.when(F.col("event_type") == "view", "add").when(F.col("event_type") == "error", "delete").otherwise("change")
+    key = n * 7 % 3000
+    changes = read("events").select(n.alias("nr"), ops.alias("op"), F.concat(F.lit("n"), text(key)).alias("id"), (key % 25).alias("case_id"), F.col("ts").cast("timestamp_ntz").alias("at"), F.when(n % 11 == 0, " \n").otherwise(F.concat(F.lit(" T"), text(n), F.lit("\n"))).alias("text"), F.lit("ui").alias("origin"))
+    cases = read("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") % 4 == 0, "closed").otherwise("open").alias("status"))
+    notes = changes.where("false").select("id", "case_id", "at", "text", "origin")
+    return casebook.notes_after(notes, changes, cases)[0].select("id", "case_id", "at", "text")
+
+
+@query("SELECT coalesce(sum(l_linenumber) FILTER (l_returnflag <> 'R'), 0)::BIGINT AS new, coalesce(sum(l_suppkey) FILTER (l_returnflag <> 'R'), 0)::BIGINT AS skipped, coalesce(sum(l_partkey) FILTER (l_returnflag <> 'R'), 0)::BIGINT AS already, count(*) FILTER (l_returnflag = 'R') AS errors FROM lineitem")
+def collect_sums(read):
+    """Lines as reports of searches; those that were returned have failed."""
+    report = read("lineitem").select(F.col("l_linenumber").cast("long").alias("new"), F.col("l_suppkey").alias("skipped"), F.col("l_partkey").alias("already"), F.when(F.col("l_returnflag") == "R", "x").alias("error"))
+    return casebook.collect_sums(report)

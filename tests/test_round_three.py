@@ -287,3 +287,26 @@ def test_one_user_with_most_rows(spark):
     assert whole == dealt and whole
     sizes = [r["n"] for r in events.where("ts is not null").repartition(8, "user", facets.time_bucket(F.unix_micros("ts"), facets.DAY)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 8 and max(sizes) <= 2 * sorted(sizes)[4]
+
+
+def test_facts_of_each_kind(spark, folders):
+    from stratica.operators import detail
+
+    found = lambda df: {r.uid: json.loads(r.facts) for r in df.collect()}
+    mails = readers.with_rel(readers.mails(spark, folders[0]), folders[0], "outlook")
+    facts = found(detail.mail_facts(item_records.mail_items(mails), mails))["outlook:E-Mail/Kunden/1.eml:0"]
+    assert facts == {"from": {"name": "Chef, Carla", "mail": "carla@x.example"}, "to": [{"name": "Alice", "mail": "alice@own.example"}, {"name": "", "mail": "bob@own.example"}], "cc": [{"name": "Dana", "mail": "d@z.example"}], "bcc": [], "date": "2025-06-10 08:00", "folder": "E-Mail/Kunden", "attachments": []}
+    events = readers.with_rel(readers.calendars(spark, folders[0]), folders[0], "kalender")
+    facts = found(detail.event_facts(item_records.event_items(events), events))
+    assert facts["kalender:kalender/Arbeit/e.ics:0"] == {"start": "2026-01-05 08:00", "end": "", "allday": False, "location": "Raum 1", "organiser": {"name": "Alice", "mail": "alice@own.example"}, "attendees": [{"name": "Bob", "mail": "bob@own.example"}], "calendar": "kalender/Arbeit"}
+    assert facts["kalender:kalender/Arbeit/two.ics:0"]["allday"] and facts["kalender:kalender/Arbeit/two.ics:0"]["start"] == "2026-03-01"
+    cards = readers.with_rel(readers.contacts(spark, folders[0]), folders[0], "kontakte")
+    assert found(detail.contact_facts(item_records.contact_items(cards), cards)) == {"kontakte:kontakte/Team/c.vcf:0": {"org": "Acme · Lab", "role": "Lead", "emails": ["jo@x.example"], "phones": ["+49 30 1234567"], "note": "mag Tee", "folder": "kontakte/Team"}}
+    items_ = spark.createDataFrame([("planner:B/t1:0", "planner", "Plan/Neu", "x · y", "a_b.pdf"), ("todo:L/t2:0", "todo", "Liste", "", None), ("todo:L/t3:0", "todo", "Liste", "", None)], "uid string, src string, ctx string, who string, att string")
+    board = {"task": {"dueDateTime": "2026-02-03T00:00:00Z", "percentComplete": 50, "assignments": {"p1": {}, "p9": {}}}, "details": {"checklist": {"a": {"isChecked": True}, "b": {"isChecked": False}}}, "kommentare": [{"wer": "p1", "wann": "2026", "html": "<b>gut</b>"}]}
+    todo = {"task": {"dueDateTime": {"dateTime": "2026-02-05T00:00:00", "timeZone": "UTC"}, "status": "inProgress", "checklistItems": [{"isChecked": True}], "linkedResources": [{"applicationName": "app"}]}}
+    tasks = spark.createDataFrame([("planner", "t1", json.dumps(board)), ("todo", "t2", json.dumps(todo))], "src string, task_id string, entry string")
+    facts = found(detail.task_facts(items_, tasks, spark.createDataFrame([("p1", "Greta")], "id string, name string")))
+    assert facts["planner:B/t1:0"] == {"plan": "Plan", "bucket": "Neu", "assigned": ["Greta", "p9"], "due": "2026-02-03", "state": "inprogress", "checklist": {"done": 1, "total": 2}, "attachments": ["a_b.pdf"], "comments": [{"who": "Greta", "when": "2026", "text": "gut"}]}
+    assert (facts["todo:L/t2:0"]["due"], facts["todo:L/t2:0"]["state"], facts["todo:L/t2:0"]["steps"], facts["todo:L/t2:0"]["linked"]) == ("2026-02-05", "inprogress", {"done": 1, "total": 1}, ["app"])
+    assert facts["todo:L/t3:0"]["state"] == "" and facts["todo:L/t3:0"]["due"] == ""
