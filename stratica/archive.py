@@ -182,6 +182,8 @@ class Archive:
     def get_facts(self, uid: str) -> DataFrame:
         """The facts of a chat message, file or page; of other kinds those that its item carries."""
         own = self.chunks.where((F.col("uid") == uid) & (F.col("seq") == 0))
+        shown = F.date_format("ts", "yyyy-MM-dd HH:mm")
+        own = own.withColumn("date", F.coalesce("date", shown) if "date" in own.columns else shown)
         return detail.plain_facts(own).unionByName(detail.mail_facts(own))
 
     def neighbours(self, cid: str, before: int = 2, after: int = 2) -> DataFrame:

@@ -1,7 +1,7 @@
 """Lexical, semantic and fused ranking.
 
-Postings are (term, item, tf); only the query's terms are scored, by one aggregation per item.  Corpus figures (number
-of items, mean length) are one row, which is joined by broadcast.  Top-k keeps k rows a task before the last one merges.
+Texts without an index are read whole (``postings`` has the inverted index).  Corpus figures (number of items, mean length)
+are one row, which is joined by broadcast.  Top-k keeps k rows a task before the last one merges.
 """
 
 from __future__ import annotations
@@ -49,29 +49,13 @@ def scored(sized: DataFrame, figures: DataFrame, key: str, n_terms: int) -> Data
     return found.where(F.coalesce(F.col("score") > 0, F.lit(False)))
 
 
-def postings(items: DataFrame, key: str, text: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(term, key, tf) and (key, len) of all items: tables to be written once and searched often, the first by term."""
-    columns = [text] if isinstance(text, str) else list(text)
-    split = items.select(key, words(F.concat_ws(" ", *columns)).alias("_words"))
-    return split.select(key, F.explode("_words").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf")), split.select(key, F.size("_words").alias("len"))
-
-
-def bm25_of_postings(terms_of: DataFrame, lengths: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
-    """The scores of ``bm25`` from its tables: only the rows of the terms are read."""
-    own = terms_of.where(F.col("term").isin(*terms))
-    pivot = own.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"_tf{k}") for k, t in enumerate(terms)])
-    seen = own.agg(*[F.count(F.when(F.col("term") == t, 1)).alias(f"_df{k}") for k, t in enumerate(terms)])
-    figures = lengths.agg(F.count("*").alias("_n"), F.avg("len").alias("_avg")).join(F.broadcast(seen))  # one row each
-    return scored(pivot.join(lengths.withColumnRenamed("len", "_len"), key), figures, key, len(terms))
-
-
 def cosine(vectors: DataFrame, key: str, embedding: str, query: Sequence[float]) -> DataFrame:
-    """Cosine similarity with a query vector."""
+    """Cosine similarity with a query vector; null for vectors of length 0, which are like nothing."""
     q = F.array(*[F.lit(float(x)) for x in query])
     e = F.transform(embedding, lambda x: x.cast("double"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     dot = total(F.zip_with(e, q, lambda a, b: a * b))
-    return vectors.select(key, (dot / F.sqrt(total(F.transform(e, lambda x: x * x))) / F.sqrt(total(F.transform(q, lambda x: x * x)))).alias("score"))
+    return vectors.select(key, F.try_divide(F.try_divide(dot, F.sqrt(total(F.transform(e, lambda x: x * x)))), F.sqrt(total(F.transform(q, lambda x: x * x)))).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, score: str, key: str) -> DataFrame:
@@ -120,8 +104,8 @@ def similar_to(vectors: DataFrame, key: str, embedding: str, item: int | str, k:
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     rest = vectors.where(F.col(key) != F.lit(item)).select(key, F.transform(embedding, lambda x: x.cast("double")).alias("_e"))
     norm = lambda c: F.sqrt(total(F.transform(c, lambda x: x * x)))
-    scored = rest.join(F.broadcast(own)).select(key, F.round(total(F.zip_with("_e", "_q", lambda a, b: a * b)) / norm("_e") / norm("_q"), 9).alias("score"))
-    return top_k(scored, k, "score", key)
+    scored = rest.join(F.broadcast(own)).select(key, F.round(F.try_divide(F.try_divide(total(F.zip_with("_e", "_q", lambda a, b: a * b)), norm("_e")), norm("_q")), 9).alias("score"))
+    return top_k(scored.where("score is not null"), k, "score", key)
 
 
 #: Queries that are compared in one pass, as one matrix that every task gets.
