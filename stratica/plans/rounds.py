@@ -127,6 +127,31 @@ def org_roots(read):
     return organisation.roots(people, graph.closure(people, "id", "manager"))
 
 
+@query("""WITH c AS (SELECT c_custkey AS id, c_custkey // 64 AS block, row_number() OVER (PARTITION BY c_custkey // 64 ORDER BY c_custkey) AS place FROM customer)
+    SELECT a.id AS node, b.id AS above, a.place - b.place AS distance FROM c a JOIN c b ON a.block = b.block AND a.place > b.place""")
+def org_deep(read):
+    """Chains of 64 people, each under the one before."""
+    from pyspark.sql import Window
+
+    from stratica.operators import graph
+
+    block = F.floor(F.col("c_custkey") / 64)
+    people = read("customer").select(F.col("c_custkey").alias("id"), F.lag("c_custkey").over(Window.partitionBy(block).orderBy("c_custkey")).alias("manager"))
+    return graph.closure(people, "id", "manager").withColumn("distance", F.col("distance").cast("long"))
+
+
+@query("""SELECT 'r' || n_regionkey AS above, count(DISTINCT n_nationkey) + count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1
+    UNION ALL SELECT 'n' || c_nationkey, count(*) FROM customer GROUP BY 1""")
+def tree_totals(read):
+    """How many nations and customers stand below each region, and customers below each nation."""
+    from stratica.operators import graph
+
+    edge = lambda child, parent: [child.alias("node"), parent.alias("parent")]
+    named = lambda letter, c: F.concat(F.lit(letter), text(F.col(c)))
+    edges = read("nation").select(*edge(named("n", "n_nationkey"), named("r", "n_regionkey"))).unionByName(read("customer").select(*edge(named("c", "c_custkey"), named("n", "c_nationkey"))))
+    return graph.totals(graph.closure(edges, "node", "parent"))
+
+
 @query(PEOPLE_SQL + "SELECT id, name FROM p WHERE contains(lower(name), '0001')")
 def org_find(read):
     return organisation.find(people_of(read), "0001 ").select("id", "name")
