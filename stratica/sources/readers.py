@@ -25,7 +25,7 @@ CONTACT = "path string, name string, org string, mails string, phones string, ca
 TASK = "path string, board string, bucket string, task_id string, title string, notes string, done boolean, created string, modified string, error string"
 
 
-def parsed(spark: SparkSession, folder: str, pattern: str, schema: str, parse: Callable[[bytes], list[dict]]) -> DataFrame:
+def parsed(spark: SparkSession, folder: str | list[str], pattern: str, schema: str, parse: Callable[[bytes], list[dict]]) -> DataFrame:
     """Rows of ``parse`` for every file below the folder whose name matches."""
     names = [part.split()[0] for part in schema.split(", ")]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path", "content")
@@ -79,43 +79,68 @@ def plain_value(value: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] in "nN" else m[1], value)
 
 
+def event_rows(content: bytes) -> list[dict]:
+    """One row for each VEVENT of a calendar text, masters and exceptions, in their order."""
+    rows, row, inner, seen = [], None, 0, {}
+    for name, params, value in content_lines(content):
+        if name == "BEGIN" and value == "VEVENT":
+            row, inner = {"exdates": [], "attendees": [], "attendee_names": [], "position": len(rows)}, 0
+        elif row is None:
+            continue
+        elif name == "BEGIN":
+            inner += 1
+        elif name == "END" and value == "VEVENT":
+            row["nth"] = seen.setdefault(row.get("uid"), len(seen))
+            rows.append({k: ("|".join(v) or None) if isinstance(v, list) else v for k, v in row.items()})
+            row = None
+        elif name == "END":
+            inner -= 1
+        elif inner:
+            continue  # alarms and the like
+        elif name == "DTSTART":
+            row |= {"start": value, "tz": "UTC" if value.endswith("Z") else params.get("TZID"), "all_day": params.get("VALUE") == "DATE" or len(value) == 8}
+        elif name == "EXDATE":
+            row["exdates"] += value.split(",")
+            row.setdefault("exdate_tz", params.get("TZID"))
+        elif name == "ATTENDEE":
+            row["attendees"].append(re.sub("(?i)^mailto:", "", value).lower())
+            row["attendee_names"] += [params["CN"]] if params.get("CN") else []
+        elif name == "ORGANIZER":
+            row |= {"organizer": re.sub("(?i)^mailto:", "", value).lower(), "organizer_name": params.get("CN")}
+        elif name == "RECURRENCE-ID":
+            row |= {"recurrence_id": value, "recurrence_tz": params.get("TZID")}
+        elif name in (known := {"UID": "uid", "SUMMARY": "title", "DESCRIPTION": "description", "DTEND": "finish", "RRULE": "rrule", "LOCATION": "place", "STATUS": "status"}):
+            row[known[name]] = plain_value(value)
+    return rows
+
+
 def calendars(spark: SparkSession, folder: str) -> DataFrame:
     """``.ics`` files: one row per VEVENT, masters and exceptions; times stay texts with their zone (``Z`` means UTC)."""
+    return parsed(spark, folder, "*.ics", EVENT, event_rows)
+
+
+INVITE = EVENT.replace(", error string", ", method string, mail_sent string, organizer_hint string, error string")
+
+
+def invitation_rows(content: bytes) -> list[dict]:
+    """The events of the calendar parts of one mail, with their method and the mail's own date and sender; none of most mails."""
+    m, out = email.message_from_bytes(content, policy=email.policy.default), []
+    for part in m.walk():
+        if part.get_content_type() != "text/calendar":
+            continue
+        text = part.get_payload(decode=True) or b""
+        said = next((v for n, _, v in content_lines(text) if n == "METHOD"), None) or part.get_param("method")
+        try:
+            sent = email.utils.parsedate_to_datetime(m["Date"]).isoformat() if m["Date"] else None
+        except ValueError:
+            sent = None
+        out += [{**row, "method": str(said or "").upper(), "mail_sent": sent, "organizer_hint": email.utils.parseaddr(str(m.get("From", "")))[1].lower()} for row in event_rows(text)]
+    return out
 
-    def parse(content: bytes) -> list[dict]:
-        rows, row, inner, seen = [], None, 0, {}
-        for name, params, value in content_lines(content):
-            if name == "BEGIN" and value == "VEVENT":
-                row, inner = {"exdates": [], "attendees": [], "attendee_names": [], "position": len(rows)}, 0
-            elif row is None:
-                continue
-            elif name == "BEGIN":
-                inner += 1
-            elif name == "END" and value == "VEVENT":
-                row["nth"] = seen.setdefault(row.get("uid"), len(seen))
-                rows.append({k: ("|".join(v) or None) if isinstance(v, list) else v for k, v in row.items()})
-                row = None
-            elif name == "END":
-                inner -= 1
-            elif inner:
-                continue  # alarms and the like
-            elif name == "DTSTART":
-                row |= {"start": value, "tz": "UTC" if value.endswith("Z") else params.get("TZID"), "all_day": params.get("VALUE") == "DATE" or len(value) == 8}
-            elif name == "EXDATE":
-                row["exdates"] += value.split(",")
-                row.setdefault("exdate_tz", params.get("TZID"))
-            elif name == "ATTENDEE":
-                row["attendees"].append(re.sub("(?i)^mailto:", "", value).lower())
-                row["attendee_names"] += [params["CN"]] if params.get("CN") else []
-            elif name == "ORGANIZER":
-                row |= {"organizer": re.sub("(?i)^mailto:", "", value).lower(), "organizer_name": params.get("CN")}
-            elif name == "RECURRENCE-ID":
-                row |= {"recurrence_id": value, "recurrence_tz": params.get("TZID")}
-            elif name in (known := {"UID": "uid", "SUMMARY": "title", "DESCRIPTION": "description", "DTEND": "finish", "RRULE": "rrule", "LOCATION": "place", "STATUS": "status"}):
-                row[known[name]] = plain_value(value)
-        return rows
 
-    return parsed(spark, folder, "*.ics", EVENT, parse)
+def invitations(spark: SparkSession, places: str | list[str]) -> DataFrame:
+    """Appointments that lie in mails: those of a folder, or of the files named."""
+    return parsed(spark, places, "*.eml", INVITE, invitation_rows)
 
 
 def contacts(spark: SparkSession, folder: str) -> DataFrame:

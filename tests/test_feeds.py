@@ -101,3 +101,35 @@ def test_waiting_and_series_in_any_batches(spark, tmp_path, one_partition):
         assert sorted(found) == [("a", "x", 4, "2", 5), ("a", "y", 2, "1", 5), ("a", "z", 6, "1", 7)]
         book = fed(spark, tmp_path / "s", series, "uid string, nr long, slot string, value string", batches, stateful.series_book, again)
         assert {r[0]: r[1:] for r in book} == {"s": (8, "DAILY", '{"0105": "0108", "0107": null}'), "t": (7, "MONTHLY", "{}")}
+
+
+def test_invitations_are_read_once(spark, tmp_path):
+    import os
+
+    from stratica.sources import invitations
+
+    def mail(name: str, title: str | None, when: int = 1_700_000_000) -> None:
+        part = "" if title is None else f"Content-Type: text/calendar; method=REQUEST\r\n\r\nBEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:u-{name}\r\nSUMMARY:{title}\r\nDTSTART:20260105T090000Z\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"
+        path = tmp_path / "mails" / f"{name}.eml"
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(f"From: Ann <Ann@x.example>\r\nDate: Tue, 10 Jun 2025 08:00:00 +0000\r\nMIME-Version: 1.0\r\n{part or 'Content-Type: text/plain' + chr(13) + chr(10) * 2 + 'hi'}".encode())
+        os.utime(path, (when, when))
+
+    root = f"file://{tmp_path}/mails"
+    for name, title in (("a", "One"), ("b", None), ("c", "Three")):
+        mail(name, title)
+    first, facts = invitations.invitation_round(spark, root)
+    assert sorted((r.rel, r.title, r.method, r.organizer_hint) for r in facts.collect()) == [("a.eml", "One", "REQUEST", "ann@x.example"), ("c.eml", "Three", "REQUEST", "ann@x.example")]
+    assert not any(r.reused for r in first.collect()) and first.count() == 3
+    first.write.parquet(f"{tmp_path}/manifest")
+    known = spark.read.parquet(f"{tmp_path}/manifest")
+    mail("a", "Changed", 1_700_000_100)
+    mail("d", "Four")
+    (tmp_path / "mails/c.eml").unlink()
+    second, facts = invitations.invitation_round(spark, root, known)
+    assert {r.rel: r.reused for r in second.collect()} == {"a.eml": False, "b.eml": True, "d.eml": False}
+    assert sorted(r.title for r in facts.collect()) == ["Changed", "Four"]
+    (tmp_path / "mails/d.eml").unlink()
+    (tmp_path / "mails/a.eml").unlink()
+    last, facts = invitations.invitation_round(spark, root, known)
+    assert [(r.rel, r.reused) for r in last.collect()] == [("b.eml", True)] and facts.count() == 0
