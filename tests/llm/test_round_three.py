@@ -15,7 +15,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from stratica.llm import audit, exponion, monoid, queries
+from stratica.llm import audit, exponion, monoid, quality, queries
+from stratica.llm import trees as trees_module
 from tests.llm.fixtures import awkward, empty, rows_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -215,3 +216,108 @@ def test_removal_polynomial():
             before = sum(1 << j for j in order[: order.index(i)])
             total += sum(n for m, n in enumerate(counts) if m >> i & 1 and not m & before)
         assert 120 * removal.shapley(i) == total
+
+
+# quality rules: the verdict by a plain version
+
+
+def plain_boost(x: list[list[float]], y: list[float], monotone: list[int], n_trees: int, depth: int = 3, rate: float = 0.15, bins: int = 64, l2: float = 1.0, min_rows: int = 10):
+    """Boosted trees with loops over rows and cuts; trees are nested tuples (feature, cut, left, right) or leaf values."""
+    n, n_features = len(x), len(x[0])
+    prior = min(max(sum(y) / n, 1e-3), 1 - 1e-3)
+    base = math.log(prior / (1 - prior))
+    cuts = [sorted(set(np.quantile([r[f] for r in x], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for f in range(n_features)]
+    score, trees = [base] * n, []
+
+    def leaf(g: float, h: float, low: float, high: float) -> float:
+        return min(max(-g / (h + l2), low), high)
+
+    def gain_of(g: float, h: float, v: float) -> float:
+        return -(g * v + 0.5 * (h + l2) * v * v)
+
+    def grow(rows: list[int], grad, hess, level: int, low: float, high: float):
+        g, h = sum(grad[i] for i in rows), sum(hess[i] for i in rows)
+        value, best, found = leaf(g, h, low, high), 1e-6, None
+        for f in range(n_features if level < depth and len(rows) >= 2 * min_rows else 0):
+            for cut in cuts[f]:
+                left = [i for i in rows if x[i][f] <= cut]
+                if min(len(left), len(rows) - len(left)) < min_rows:
+                    continue
+                gl, hl = sum(grad[i] for i in left), sum(hess[i] for i in left)
+                vl, vr = leaf(gl, hl, low, high), leaf(g - gl, h - hl, low, high)
+                if monotone[f] and (vr - vl) * monotone[f] < 0:
+                    continue
+                gain = gain_of(gl, hl, vl) + gain_of(g - gl, h - hl, vr) - gain_of(g, h, value)
+                if gain > best + 1e-9:
+                    best, found = gain, (f, cut, vl, vr, left)
+        if found is None:
+            for i in rows:
+                score[i] += rate * value
+            return rate * value
+        f, cut, vl, vr, left = found
+        middle, right = (vl + vr) / 2, [i for i in rows if i not in set(found[4])]
+        a, b = {1: ((low, middle), (middle, high)), -1: ((middle, high), (low, middle)), 0: ((low, high), (low, high))}[monotone[f]]
+        return f, cut, grow(left, grad, hess, level + 1, *a), grow(right, grad, hess, level + 1, *b)
+
+    for _ in range(n_trees):
+        p = [1 / (1 + math.exp(-s)) for s in score]
+        trees.append(grow(list(range(n)), [a - b for a, b in zip(p, y, strict=True)], [max(a * (1 - a), 1e-6) for a in p], 0, -math.inf, math.inf))
+    return base, trees
+
+
+def plain_probability(base: float, trees: list, row: list[float]) -> float:
+    total = base
+    for node in trees:
+        while isinstance(node, tuple):
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        total += node
+    return 1 / (1 + math.exp(-total))
+
+
+def test_trees_equal_plain_ones():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(140, 4)), 2)
+    y = ((x[:, 0] - 0.7 * x[:, 1] + 0.4 * rng.normal(size=140)) > 0).astype(float)
+    monotone = [1, -1, 0, -1]
+    fitted = trees_module.fit_trees(x, y, np.array(monotone), n_trees=6)
+    base, plain = plain_boost(x.tolist(), y.tolist(), monotone, 6)
+    expected = [plain_probability(base, plain, r) for r in x.tolist()]
+    assert np.allclose(fitted.probability(x), expected, atol=1e-9)
+
+
+def plain_features(text: str) -> list[float]:
+    """The features of ``quality.FEATURES`` from the text, one by one."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, some = len(words), max(len(words), 1)
+    windows = Counter(tuple(words[k : k + 3]) for k in range(n - 2))
+    repeated = {k + j for k in range(n - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    chars = sum(map(len, words))
+    size = [len(w.encode()) for w in words]
+    share = lambda pattern, of: len(re.findall(pattern, text)) / of
+    stops = {w.decode() for w in quality.STOP_WORDS}
+    lower = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w)
+    return [
+        math.log1p(n), chars / some, share(r"[#*$%&|<>]", some), (len(lines) - len(set(lines))) / max(len(lines), 1), len(repeated) / some, len(set(words)) / some, share("[A-Z]", max(chars, 1)), share("[0-9]", max(chars, 1)),
+        share("[!?]", some), n / max(len(lines), 1), sum(s <= 3 for s in size) / some, sum(s > 20 for s in size) / some, sum(lower(w) in stops for w in words) / some,
+    ]
+
+
+def test_quality_verdicts_anew(spark, sf_dir, documents):
+    """``kept`` from plain features, walked through the fitted trees node by node."""
+    fitted = quality.fit_quality(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = awkward(spark).select("doc_id", "text").unionByName(documents.select("doc_id", "text"))
+    judged = {(r["doc_id"], r["n_words"], r["n_symbols"]): (r["base_failed"], r["kept"], r["score"]) for r in quality.judge_quality(docs, fitted).collect()}
+    verdicts = Counter()
+    for doc_id, text in [(r["doc_id"], r["text"] or "") for r in docs.collect()]:
+        row, words = plain_features(text), re.findall(r"[^\x20\x09-\x0D]+", text)
+        total = fitted.base
+        for node in fitted.roots.tolist():
+            while fitted.left[node] != node:
+                node = int(fitted.left[node] if row[fitted.feature[node]] <= fitted.threshold[node] else fitted.right[node])
+            total += fitted.value[node]
+        failed, kept, score = judged[doc_id, len(words), len(re.findall(r"[#*$%&|<>]", text))]
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-9
+        assert failed == (len(words) < 50 or 100 * row[4] * len(words) > 50 * len(words) + 1e-6) and kept == (not failed and score >= 0.5)
+        verdicts[failed, kept] += 1
+    assert verdicts[False, True] and verdicts[True, False] and verdicts[False, False]
