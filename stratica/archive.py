@@ -129,6 +129,12 @@ class Archive:
     def all_hits(self, query: str, criteria: sr.Criteria = sr.Criteria()) -> DataFrame:
         return sr.all_hits(self.chunks, query, criteria, self._optional("series_dates"), index=self.index)
 
+    def answer_context(self, query: str, criteria: sr.Criteria = sr.Criteria(), vector: Sequence[float] | None = None, k: int = 8, size: int = 2000) -> DataFrame:
+        """The best hits as numbered passages: kind, day, who and title above the head of each text."""
+        hits = self.search_messages(query, criteria, vector, k=k)
+        texts = self.chunks.select("cid", "text").join(F.broadcast(hits.select("cid", "score", items.label(F.col("src"), F.date_format("ts", "yyyy-MM-dd"), F.col("who"), F.col("title")).alias("label"))), "cid")  # at most k rows
+        return rank.passages(texts, "cid", "score", "label", "text", k, size)
+
     def search_timeline(self, query: str, criteria: sr.Criteria = sr.Criteria()) -> DataFrame:
         return sr.timeline(self.all_hits(query, criteria))
 

@@ -131,3 +131,32 @@ def dates_the_rule_makes(taken: DataFrame, series: DataFrame, horizon: str) -> D
 
     made = expand(series.select("master", "start", "rrule", "tz"), horizon).select("master", F.col("wall").alias("orig"))
     return taken.join(made, ["master", "orig"], "left_semi")
+
+
+ENTRY = ("uid", "ts", "rts", "te", "title", "st", "cal", "place")
+
+
+def calendar_written(base: str, entries: DataFrame, since: str, horizon: str) -> dict[str, int]:
+    """Write the calendar (``ENTRY`` columns and ``by_rule``) with its window into a store, and count what is new or changed and what is gone.
+
+    An entry is its whole content: one that was there before is unchanged, any other is changed.  Dates that a rule makes count
+    only inside the window that both calendars share, as the window moves with the day; all counts are of distinct entries.
+    """
+    from stratica.sources import store
+
+    spark = entries.sparkSession
+    before, window = store.read_table(spark, base, "calendar"), store.read_table(spark, base, "calendar_window")
+    old_window = window.first() if before is not None and window is not None else None
+    first, last = (since, horizon) if old_window is None else (max(since, old_window["since"]), min(horizon, old_window["horizon"]))
+    signed = lambda df: df.select("by_rule", "ts", F.to_json(F.struct(*ENTRY)).alias("_sig")).groupBy("_sig").agg(F.max("by_rule").alias("by_rule"), F.min("ts").alias("ts"))
+    shared = F.col("ts").isNull() | F.col("ts").between(F.lit(f"{first} 00:00:00").cast("timestamp_ntz"), F.lit(f"{last} 23:59:59").cast("timestamp_ntz"))
+    counts = ~F.coalesce("by_rule", F.lit(False)) | shared
+    made = {"calendar": store.stage(base, "calendar", entries.select(*ENTRY, "by_rule")), "calendar_window": store.stage(base, "calendar_window", spark.createDataFrame([(since, horizon)], "since string, horizon string"))}
+    now = signed(store.staged(spark, base, made["calendar"]))
+    if before is None:
+        changed, removed = now.where(counts).count(), 0
+    else:
+        was = signed(before)
+        changed, removed = (a.join(b.select("_sig"), "_sig", "left_anti").where(counts).count() for a, b in ((now, was), (was, now)))
+    store.change(spark, base, lambda info: info | {"tables": {**info["tables"], **made}})
+    return {"changed": changed, "removed": removed}

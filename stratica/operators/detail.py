@@ -19,8 +19,8 @@ TASK = (
     "task struct<dueDateTime:string,percentComplete:int,status:string,completedDateTime:string,assignments:map<string,string>,checklistItems:array<struct<isChecked:boolean>>,linkedResources:array<struct<displayName:string,applicationName:string>>>,"
     "details struct<checklist:map<string,struct<isChecked:boolean>>>,kommentare array<struct<wer:string,wann:string,html:string>>"
 )
-#: The states that services name, and what they are called here.
-TODO_STATES = {"notStarted": "notstarted", "inProgress": "inprogress", "waitingOnOthers": "inprogress", "deferred": "notstarted", "completed": "completed"}
+#: The states of a list's tasks that have a name; others have none.
+TODO_STATES = {"notStarted": "notstarted", "inProgress": "inprogress", "completed": "completed"}
 
 
 def some(value: Column) -> Column:

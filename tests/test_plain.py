@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratica.archive import Archive
@@ -11,6 +12,12 @@ from stratica.functions import times
 from stratica.operators import calendar, casebook, evidence, organisation, reconcile
 from stratica.operators import search as sr
 
+
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    monkeypatch.setattr("stratica.archive.BUCKETS", 4)
+
+
 at = lambda day, hour=0: datetime.datetime(2025, 1, day, hour)
 
 
@@ -99,6 +106,8 @@ def test_archive_questions(spark, tmp_path):
     archive.embed(lambda many: [[1.0, float("eins" in t), float("drei" in t)] for t in many], 3, buckets=2)
     assert archive.search_messages("", vector=[1.0, 1.0, 0.0], mode="semantic").count() == 0  # texts so short have vectors of length 0
     assert set(found(vector=[1.0, 0.0, 0.0], mode="text")) == {"m0", "m1", "m3"}
+    first = archive.answer_context("urlaub").first()
+    assert (first.n, first.passage) == (1, "[1] outlook · 2025-01-03 · Bob · T\nUrlaub")
     assert archive.similar_messages("m0", 2).count() <= 2
     assert {v for r in archive.list_folders().collect() for v in r} >= {"In/0", "In/1", 2}
     assert rows(archive.find_person("bo"), "id") == [("2",)] and rows(archive.get_manager("2"), "id") == [("1",)] and rows(archive.list_reports("1"), "id") == [("2",)]
@@ -106,3 +115,15 @@ def test_archive_questions(spark, tmp_path):
     assert [archive.verify_item(u).first().verdict for u in ("m0", "m1", "m2")] == ["unchanged", "changed_outside", "missing"]
     assert "from" in archive.get_facts("m0").first().facts
     assert [r.uid for r in archive.browse_messages(sr.Criteria(folder="In/1")).collect()] == ["m3", "m1"]
+
+
+def test_calendar_is_written_with_counts(spark, tmp_path):
+    base = f"file://{tmp_path}/store"
+    schema = "uid string, ts timestamp_ntz, rts timestamp_ntz, te timestamp_ntz, title string, st string, cal string, place string, by_rule boolean"
+    entry = lambda uid, day, by_rule=False, title="T": (uid, None if day is None else at(day), None, None, title, "ok", "c", "", by_rule)
+    write = lambda rows_, first, last: calendar.calendar_written(base, spark.createDataFrame(rows_, schema), first, last)
+    assert write([entry("a", 5), entry("s", 6, True), entry("s", 13, True), entry("u", None)], "2025-01-01", "2025-01-20") == {"changed": 4, "removed": 0}
+    # the window has moved on: the series' first date left it and a further one came in, which are no changes; a title is one
+    assert write([entry("a", 5, title="New"), entry("s", 13, True), entry("s", 27, True), entry("u", None)], "2025-01-10", "2025-01-30") == {"changed": 1, "removed": 1}
+    assert write([entry("a", 5, title="New"), entry("s", 27, True), entry("u", None), entry("s", 14, True)], "2025-01-10", "2025-01-30") == {"changed": 1, "removed": 1}
+    assert write([entry("u", None)], "2025-01-10", "2025-01-30") == {"changed": 0, "removed": 3}

@@ -16,6 +16,11 @@ from stratica.operators import evidence, graph, postings, recurrence, search
 from stratica.sources import item_records, readers, records, store
 
 
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    monkeypatch.setattr("stratica.archive.BUCKETS", 4)
+
+
 UNTIL = [
     ("2026-01-05 09:00:00", "Europe/Berlin", "FREQ=DAILY;UNTIL=20260110T080000Z", "05 06 07 08 09 10"),
     ("2026-01-05 09:00:00", "Europe/Berlin", "FREQ=DAILY;UNTIL=20260110T075959Z", "05 06 07 08 09"),
