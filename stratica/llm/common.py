@@ -34,6 +34,8 @@ def code_points(text: bytes) -> int:
 #: Bytes of the batches that the operators' functions get (a larger row is a batch by itself).
 BATCH_BYTES = 2_000_000
 BATCH_ROWS = 1_000
+#: Rows that Spark's Parquet reader decodes at once: their texts are held whole, and a growing buffer is copied.
+SCAN_ROWS = 256
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -52,10 +54,11 @@ def small_batches(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` over small batches, so that a task's memory does not follow the lengths of texts.
 
-    Spark's own batches are made small as well: the session's limits on their rows and bytes are lowered where larger.
+    Spark's own batches are made small as well, those that it reads from files too: the session's limits on their rows and
+    bytes are lowered where larger.
     """
     conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)):
         now = conf.get(key, None)
         if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))
