@@ -130,7 +130,7 @@ def prefix_cover(paths: DataFrame, path: str) -> DataFrame:
 
 def cadences(units: DataFrame, named: DataFrame, ranks: tuple[str, ...] = ("always", "daily", "weekly", "monthly"), path: str = "unit") -> DataFrame:
     """(unit, cadence): that of the deepest named folder on each unit's path, the more frequent of several there; ``always`` without one."""
-    order = F.array_position(F.array(*[F.lit(r) for r in ranks]), "cadence")
+    order = F.array_position(F.array(*[F.lit(r) for r in ranks]), F.col("cadence"))
     table = named.withColumn("_rank", order)
     up = units.select(path, F.explode(ancestors(F.col(path))).alias("_up"))
     best = up.join(table.select(F.col("folder").alias("_up"), "cadence", "_rank"), "_up").groupBy(path).agg(F.min_by("cadence", F.struct(-F.length("_up"), "_rank")).alias("cadence"))
