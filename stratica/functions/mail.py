@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stratica.functions.text import bound_once
-
 # Where quoted history begins, and where a signature begins.
 QUOTE_MARKS = (
     r"_{25,}",
@@ -27,15 +26,22 @@ SIGNATURE_MARKS = (
 REFUSED_STATUS, GONE_STATUS = (403,), (404, 410)
 
 
-def strip_quoted(text: Column) -> Column:
-    """The new part of a mail: cut at the first quote mark, then at signature marks (never at the start), without ``>`` lines.  Null stays null."""
+#: What the marks' signs stand for: white space and edges of words in ASCII, letters in every case that Unicode folds to them.
+SPELLED = {r"\b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", r"\s": r"[\t\n\f\r ]", "k": "[kK\u212a]", "s": "[sS\u017f]", "ü": "[üÜ]"}
+
 
-    def head(value: Column, mark: str, least: int) -> Column:
-        return bound_once(value, lambda v: bound_once(F.regexp_instr(v, F.lit(mark)), lambda at: F.when(at >= least, F.substring(v, F.lit(1), at - 1)).otherwise(v)))
+def spelled(mark: str) -> str:
+    """A mark in Java's syntax: its ``\\b`` goes by Unicode, its ``\\s`` has the vertical tab, and ``(?i)`` folds ASCII letters alone."""
+    return re.sub(r"\\.|\(\?[a-z]+:|[ksü]", lambda m: SPELLED.get(m[0] if len(m[0]) > 1 else m[0].lower(), m[0]), mark, flags=re.IGNORECASE)
 
-    out = head(F.regexp_replace(text, r"\r\n?", "\n"), "(?d)(?:" + "|".join(QUOTE_MARKS) + ")", 1)
+
+def strip_quoted(text: Column) -> Column:
+    """The new part of a mail: cut at the first quote mark, then at signature marks (never at the start), without ``>`` lines.  Null stays null."""
+    out = F.regexp_replace(text, r"\r\n?", "\n")
+    # what follows a mark goes with it: no places are counted, which Java does in units of UTF-16
+    out = F.regexp_replace(out, "(?d)(?:" + "|".join(map(spelled, QUOTE_MARKS)) + ")(?s:.*)", "")
     for mark in SIGNATURE_MARKS:
-        out = head(out, "(?d)" + mark, 2)
+        out = F.regexp_replace(out, r"(?d)(?!\A)" + spelled(mark) + "(?s:.*)", "")
     return F.regexp_replace(out, r"(?md)^[ \t]*>.*$", "")
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
+
 from stratica.operators import reconcile
+from stratica.plans import archive  # noqa: F401
+from stratica.plans.contract import ORACLE_SQL, QUERIES
 
 
 def test_the_more_frequent_cadence_of_a_folder(spark):
@@ -10,3 +14,18 @@ def test_the_more_frequent_cadence_of_a_folder(spark):
     named = spark.createDataFrame([("a", "monthly"), ("a", "daily"), ("b", "daily"), ("b", "monthly"), ("c", "weekly"), ("c/d", "monthly")], "folder string, cadence string").coalesce(1)
     units = spark.createDataFrame([("a/x",), ("b/x",), ("c/x",), ("c/d/x",), ("e",)], "unit string")
     assert dict(map(tuple, reconcile.cadences(units, named).collect())) == {"a/x": "daily", "b/x": "daily", "c/x": "weekly", "c/d/x": "monthly", "e": "always"}
+
+
+def test_marks_mean_what_they_mean_in_the_sql(spark, tmp_path):
+    """Edges of words beside letters beyond ASCII, characters of two units before a mark, other cases and white space, a mark at the start and another later."""
+    texts = [
+        "a\nOn\u00eaan said\nBob wrote:\nold", "a\nOn Monday Bob \u00eawrote:\nold", "a\nAm Montag schrieb\u00ea Bob:\nold", "a\nOnce Bob wrote:\nold",
+        "\U0001f600\U0001f600 new\n-----Original Message-----\nold", "\U0001f600 new\n-- \nBob", "new\n--- URSPR\u00dcNGLICHE NACHRICHT ---\nold", "new\nFrom: x\n\u017fent: y\nold", "new\nGet Outloo\u212a for iOS",
+        "new\n__________\x0b\nmore", "new\nFrom:\x0bx\nSent: y\nmore", "-- \nhi\n-- \nBob", "\nSent from my phone", "Sent from my phone\nmore\nSent from my phone", "", None,
+    ]
+    docs = spark.createDataFrame([(7 * k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = dict(con.execute(ORACLE_SQL["strip_quoted"]).fetchall())
+    assert dict(map(tuple, QUERIES["strip_quoted"](spark, str(tmp_path)).collect())) == expected and expected[0] == "a\n" and expected[28] == "\U0001f600\U0001f600 new\n"
