@@ -99,20 +99,29 @@ def verdict(present: Column, chain_ok: Column, recorded: Column, now: Column, ki
     )
 
 
-def covering_stamp(lines: DataFrame, number: str, stamps: DataFrame, stamp: str) -> DataFrame:
-    """For each line the first stamp at or after it: by a union and a window from behind, in blocks of the number."""
+def covering_stamp(lines: DataFrame, number: str, stamps: DataFrame, stamp: str, levels: int = 3) -> DataFrame:
+    """For each line the first stamp at or after it; null behind the last stamp and for lines without a number.
+
+    Lines and stamps meet in blocks of 65,536 numbers, by a window that runs from a block's end to its start.  The first stamp
+    behind a block comes in as one more row at its end; the same search finds it, over the numbers of blocks.  After three
+    levels 16 bits of a long are left, so no task gets more than a block, wherever numbers lie.
+    """
     from pyspark.sql import Window
 
-    width = 1 << 16
-    block = F.floor(F.col(number) / width)
-    firsts = stamps.groupBy(F.floor(F.col(stamp) / width).alias("_block")).agg(F.min(stamp).alias("_first"))
-    ahead = firsts.withColumn("_from", F.coalesce(F.lag("_block").over(Window.orderBy("_block")), F.lit(-1)))  # one row per 65,536 lines
-    spread = ahead.select(F.explode(F.sequence(F.col("_from"), F.greatest(F.col("_from"), F.col("_block") - 1))).alias("_block"), F.col("_first").alias("_later"))
-    rows = lines.select(F.col(number), block.alias("_block"), F.lit(None).cast("long").alias("_s")).unionByName(stamps.select(F.col(stamp).alias(number), F.floor(F.col(stamp) / width).alias("_block"), F.col(stamp).cast("long").alias("_s")))
-    own = Window.partitionBy("_block").orderBy(F.col(number), F.col("_s").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
-    found = rows.withColumn("_here", F.first("_s", ignorenulls=True).over(own)).where("_s is null")
-    later = spread.groupBy("_block").agg(F.min("_later").alias("_later"))
-    return found.join(later, "_block", "left").select(number, F.coalesce("_here", "_later").alias("stamp"))
+    width, block = 16, F.shiftright("_n", 16)
+    wanted = lines.where(F.col(number).isNotNull()).select(F.col(number).cast("long").alias("_n"))
+    marks = stamps.where(F.col(stamp).isNotNull()).select(F.col(stamp).cast("long").alias("_n")).distinct()
+    rows = wanted.select("_n", F.lit(None).cast("long").alias("_s"), F.lit(False).alias("_mark")).unionByName(marks.select("_n", F.col("_n").alias("_s"), F.lit(True).alias("_mark")))
+    if levels:
+        firsts = marks.groupBy(block.alias("_block")).agg(F.min("_n").alias("_s"))
+        behind = covering_stamp(wanted.select((block + 1).alias("_behind")).distinct(), "_behind", firsts, "_block", levels - 1)
+        end = F.shiftleft(F.col("_behind") - 1, width).bitwiseOR(F.lit((1 << width) - 1))
+        rows = rows.unionByName(behind.join(firsts, F.col("stamp") == F.col("_block")).select(end.alias("_n"), "_s", F.lit(True).alias("_mark")))
+    # a frame from the start is extended row by row; one to the end would be summed up anew for each row
+    own = Window.partitionBy(block if levels else F.lit(0)).orderBy(F.desc("_n"))
+    found = rows.withColumn("stamp", F.min("_s").over(own)).where("not _mark")
+    kind = lines.schema[number].dataType
+    return found.select(F.col("_n").cast(kind).alias(number), "stamp").unionByName(lines.where(F.col(number).isNull()).select(number, F.lit(None).cast("long").alias("stamp")))
 
 
 def names_of(moves: DataFrame) -> DataFrame:

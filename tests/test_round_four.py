@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
+from pyspark.sql import functions as F
 
-from stratica.operators import reconcile
+from stratica.operators import evidence, reconcile
 from stratica.plans import archive  # noqa: F401
 from stratica.plans.contract import ORACLE_SQL, QUERIES
 
@@ -29,3 +32,22 @@ def test_marks_mean_what_they_mean_in_the_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     expected = dict(con.execute(ORACLE_SQL["strip_quoted"]).fetchall())
     assert dict(map(tuple, QUERIES["strip_quoted"](spark, str(tmp_path)).collect())) == expected and expected[0] == "a\n" and expected[28] == "\U0001f600\U0001f600 new\n"
+
+
+def test_stamps_of_many_lines(spark):
+    """A frame that is summed up anew for each row takes minutes here."""
+    began = time.time()
+    lines, stamps = spark.range(600_000).select(F.col("id").alias("n")), spark.range(0, 600_000, 3).select(F.col("id").alias("s"))
+    found = evidence.covering_stamp(lines, "n", stamps, "s")
+    assert found.where("stamp is null or stamp < n or stamp >= n + 3 or stamp % 3 <> 0").count() == 2 and found.count() == 600_000
+    assert time.time() - began < 45
+
+
+def test_stamps_wherever_numbers_lie(spark):
+    """Below zero, far apart, at the ends of a long, repeated, null."""
+    far = [-(1 << 63), -(1 << 62), -(1 << 40) - 1, -70_000, -65_536, -1, 0, 1, 65_535, 65_536, 1 << 33, (1 << 48) + 5, (1 << 62) + 1, (1 << 63) - 1]
+    numbers = [*far, *[n + k for n in far[1:-1] for k in (-1, 1, 70_000)], 0, None, None]
+    stamps = [*far[1:-1:2], far[-1] - 5, 65_536, None]
+    found = evidence.covering_stamp(spark.createDataFrame([(n,) for n in numbers], "n long"), "n", spark.createDataFrame([(s,) for s in stamps], "s long"), "s").collect()
+    first = lambda n: None if n is None else min((s for s in stamps if s is not None and s >= n), default=None)
+    assert sorted(map(tuple, found), key=repr) == sorted([(n, first(n)) for n in numbers], key=repr)
