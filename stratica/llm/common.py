@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratica.session import ensure_checkpoints
+from stratica.storage import CLEANUP, clear_stored, delete_path, drop_stored, new_folder, own_folder, shared_dir, stored  # noqa: F401
 
 #: Bytes of separators turned into blanks: everything but 0-9, a-z and non-ASCII, once lower-cased.
 ALNUM = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -75,41 +74,6 @@ def arrow_ddl(types: dict[str, pa.DataType]) -> T.StructType:
     return T.StructType([T.StructField(k, from_arrow_type(t)) for k, t in types.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set (local tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    ensure_checkpoints(spark)
-    return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
-
-
-def own_folder(spark: SparkSession) -> str:
-    """The folder below the shared one that holds all that this application has stored."""
-    return f"{shared_dir(spark)}/stratica-{spark.sparkContext.applicationId}"
-
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{own_folder(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
-#: Spark's setting by which the shuffle files of a finished write are deleted at once, not when the driver collects its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends here, survives lost executors and leaves no shuffle files."""
-    spark = df.sparkSession
-    folder = new_folder(spark, kind)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.mode("errorifexists").parquet(folder)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def shared_file(spark: SparkSession, name: str, content: bytes) -> str:
     """Write a file into the application's shared folder; its address."""
     from pyarrow import fs
@@ -121,23 +85,6 @@ def shared_file(spark: SparkSession, name: str, content: bytes) -> str:
     return f"{own_folder(spark)}/{name}"
 
 
-def delete_path(spark: SparkSession, name: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def clear_stored(spark: SparkSession) -> None:
-    """Delete all that this application has stored, once no result that reads it is needed any more."""
-    delete_path(spark, own_folder(spark))
-
-
-def drop_stored(*frames: DataFrame) -> None:
-    """Delete tables that ``stored`` wrote, once nothing reads them any more."""
-    for df in frames:
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            delete_path(df.sparkSession, name)
-
-
 def one_row_an_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of each id (columns of ``docs``): that of the smallest text hash, so that a repeated id weighs no more than another."""
     rest = F.struct(*[c for c in docs.columns if c != id_col])

@@ -127,16 +127,26 @@ def covering_stamp(lines: DataFrame, number: str, stamps: DataFrame, stamp: str,
 def names_of(moves: DataFrame) -> DataFrame:
     """(rel, name): every name of the same file, itself too: renames and moves followed in both directions.
 
-    ``moves``: kind (moved or removed), rel, other (the successor).  Only names that a move knows are listed.
+    ``moves``: kind (moved or removed), rel, other (the successor).  Only names that a move knows are listed.  Names that
+    moves join are one class, found without pairs; removals lead backwards from class to class.  Pairs of names are made
+    last, by one join over classes, and are not shuffled.
     """
     from stratica.operators import graph
+    from stratica.storage import drop_stored, stored
 
-    pairs = moves.where("kind in ('moved', 'removed') and rel is not null and other is not null and rel <> other")
+    pairs = stored(moves.where("kind in ('moved', 'removed') and rel is not null and other is not null and rel <> other").select("kind", "rel", "other"), "moves")
     # backwards over both kinds, forwards over moves alone
-    steps = pairs.select(F.col("other").alias("a"), F.col("rel").alias("b")).unionByName(pairs.where("kind = 'moved'").select(F.col("rel").alias("a"), F.col("other").alias("b")))
-    reach = graph.closure(steps, "a", "b").select(F.col("node").alias("rel"), F.col("above").alias("name"))
-    own = pairs.select(F.explode(F.array("rel", "other")).alias("rel")).distinct().select("rel", F.col("rel").alias("name"))
-    return reach.unionByName(own).distinct()
+    removed = pairs.where("kind = 'removed'")
+    joined = graph.components(pairs.where("kind = 'moved'").select("rel", "other").unionByName(removed.select("rel", F.col("rel").alias("other"))).unionByName(removed.select(F.col("other").alias("rel"), "other")), "rel", "other")
+    side = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+    steps = stored(removed.join(side("rel"), "rel").join(side("other"), "other").where("_rel <> _other").select("_other", "_rel").distinct(), "steps")
+    named = side("name").select("name", F.col("_name").alias("root"))
+    same = side("rel").join(named, F.col("_rel") == F.col("root")).select("rel", "name")
+    drop_stored(pairs)
+    if steps.isEmpty():
+        return same
+    before = graph.closure(steps, "_other", "_rel").where("node <> above")
+    return same.unionByName(side("rel").join(before, F.col("_rel") == F.col("node")).select("rel", "above").join(named, F.col("above") == F.col("root")).select("rel", "name"))
 
 
 def file_classes(moves: DataFrame) -> DataFrame:

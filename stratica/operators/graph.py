@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratica.storage import drop_stored, stored
+
 
 def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(node, above, distance): every node that can be reached upwards, with the least number of steps.
@@ -12,17 +14,14 @@ def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     Edges with a null end are left out.  Circles end, as only least distances are kept; a node of a circle reaches itself.
     Semi-naive doubling: pairs of exactly ``width`` steps are one power of the edges, and in each round only that power
     meets the pairs known so far (all of distance up to ``width``), which gives all of distance up to twice that.  So a pair
-    is made once for each of its shortest ways, not once for every way to cut it in two.  Rounds are checkpointed.
+    is made once for each of its shortest ways, not once for every way to cut it in two.  Rounds are stored.
     """
-    from stratica.session import ensure_checkpoints
-
-    ensure_checkpoints(edges.sparkSession)
     first = edges.where(F.col(child).isNotNull() & F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("above"), F.lit(1).alias("distance")).distinct()
-    reach, width = first.checkpoint(), 1
+    reach, width = stored(first, "reach"), 1
     while True:
         power = reach.where(F.col("distance") == width).select(F.col("node").alias("_low"), F.col("above").alias("_high"))
         far = reach.join(power, F.col("above") == F.col("_low")).select("node", F.col("_high").alias("above"), (F.col("distance") + width).alias("distance"))
-        fresh = far.groupBy("node", "above").agg(F.min("distance").alias("distance")).join(reach.select("node", "above"), ["node", "above"], "left_anti").checkpoint()
+        fresh = stored(far.groupBy("node", "above").agg(F.min("distance").alias("distance")).join(reach.select("node", "above"), ["node", "above"], "left_anti"), "reach")
         if fresh.isEmpty():
             return reach
         reach, width = reach.unionByName(fresh), 2 * width
@@ -33,27 +32,30 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
     Every node points to the smallest neighbour of its own and its root's, and pointers are then shortened to their roots'
     (pointer jumping), until nothing moves: the number of rounds is about the logarithm of the longest way.  Edges are
-    reduced to pairs of different roots each round, so what is inside a class no longer takes part.
+    reduced to pairs of different roots each round, so what is inside a class no longer takes part.  Each step is stored,
+    the one before it deleted, so what lies on disk does not grow with the rounds.
     """
-    from stratica.session import ensure_checkpoints
-
-    ensure_checkpoints(edges.sparkSession)
     pairs = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("a"), F.col(right).alias("b"))
-    links = pairs.where("a <> b").unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    roots = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")).checkpoint()
+    links = stored(pairs.where("a <> b").unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    roots = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "roots")
     while not links.isEmpty():
         # links are between roots: hook each to its smallest neighbour if that is smaller
-        hooked = links.groupBy("a").agg(F.min("b").alias("b")).where("b < a")
+        hooked = stored(links.groupBy("a").agg(F.min("b").alias("b")).where("b < a"), "hooks")
         while True:  # shorten chains of hooks
             next_ = hooked.select(F.col("a").alias("b"), F.col("b").alias("_c"))
-            shorter = hooked.join(next_, "b", "left").select("a", F.coalesce("_c", "b").alias("b"), F.col("_c").isNotNull().alias("_moved")).checkpoint()
-            hooked = shorter.select("a", "b")
+            shorter = stored(hooked.join(next_, "b", "left").select("a", F.coalesce("_c", "b").alias("b"), F.col("_c").isNotNull().alias("_moved")), "hooks")
+            drop_stored(hooked)
+            hooked = shorter
             if shorter.where("_moved").isEmpty():
                 break
+            hooked = shorter.select("a", "b")
         to = hooked.select(F.col("a").alias("root"), F.col("b").alias("_root"))
-        roots = roots.join(to, "root", "left").select("node", F.coalesce("_root", "root").alias("root")).checkpoint()
+        following = stored(roots.join(to, "root", "left").select("node", F.coalesce("_root", "root").alias("root")), "roots")
         side = lambda c, df: df.join(hooked.select(F.col("a").alias(c), F.col("b").alias("_n")), c, "left").withColumn(c, F.coalesce("_n", c)).drop("_n")
-        links = side("b", side("a", links)).where("a <> b").select("a", "b").distinct().checkpoint()
+        fewer = stored(side("b", side("a", links)).where("a <> b").select("a", "b").distinct(), "links")
+        drop_stored(roots, links, hooked)
+        roots, links = following, fewer
+    drop_stored(links)
     return roots
 
 

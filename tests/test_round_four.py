@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import time
+from pathlib import Path
 
 import duckdb
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from stratica.operators import evidence, reconcile
 from stratica.plans import archive  # noqa: F401
 from stratica.plans.contract import ORACLE_SQL, QUERIES
+from stratica.storage import shared_dir
 
 
 def test_the_more_frequent_cadence_of_a_folder(spark):
@@ -51,3 +54,40 @@ def test_stamps_wherever_numbers_lie(spark):
     found = evidence.covering_stamp(spark.createDataFrame([(n,) for n in numbers], "n long"), "n", spark.createDataFrame([(s,) for s in stamps], "s long"), "s").collect()
     first = lambda n: None if n is None else min((s for s in stamps if s is not None and s >= n), default=None)
     assert sorted(map(tuple, found), key=repr) == sorted([(n, first(n)) for n in numbers], key=repr)
+
+
+def plain_names(moves):
+    """Every name that leads to every other, step by step."""
+    steps = {}
+    for kind, rel, other in moves:
+        if kind in ("moved", "removed") and rel is not None and other is not None and rel != other:
+            steps.setdefault(other, set()).add(rel)
+            steps.setdefault(rel, set()).update({other} if kind == "moved" else ())
+    found = set()
+    for name in steps:
+        seen, ahead = {name}, [name]
+        while ahead:
+            ahead = [y for x in ahead for y in steps[x] if y not in seen and not seen.add(y)]
+        found |= {(name, x) for x in seen}
+    return found
+
+
+def test_names_over_moves_and_removals(spark):
+    """Removals lead one way, through classes, in circles too; every pair comes once."""
+    chance = random.Random(3)
+    moves = [(chance.choice(["moved", "moved", "removed", "removed", None]), f"n{chance.randrange(90)}", f"n{chance.randrange(90)}") for _ in range(95)]
+    moves += [("removed", "x", "y"), ("removed", "y", "z"), ("removed", "z", "x"), ("moved", "z", "w"), ("removed", "w", "z"), ("moved", None, "q"), ("moved", "same", "same"), *moves[:9]]
+    found = [tuple(r) for r in evidence.names_of(spark.createDataFrame(moves, "kind string, rel string, other string")).select("rel", "name").collect()]
+    assert len(found) == len(set(found)) and set(found) == plain_names(moves)
+    assert sorted(map(tuple, evidence.names_of(spark.createDataFrame(moves[-12:-9], "kind string, rel string, other string").where("kind = 'none'")).collect())) == []
+
+
+def test_names_leave_no_pairs_on_disk(spark):
+    """What stays in the shared folder is the names' classes, not their pairs of every round."""
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    name = lambda n: F.concat(F.lit("n"), n.cast("string"))
+    before = size()
+    rows = spark.range(8_000).where("id % 40 <> 39").select(F.lit("moved").alias("kind"), name(F.col("id")).alias("rel"), name(F.col("id") + 1).alias("other"))
+    assert evidence.names_of(rows).count() == 200 * 40 * 40
+    assert size() - before < 400_000
