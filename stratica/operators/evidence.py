@@ -134,15 +134,16 @@ def names_of(moves: DataFrame) -> DataFrame:
     from stratica.operators import graph
     from stratica.storage import drop_stored, stored
 
-    pairs = stored(moves.where("kind in ('moved', 'removed') and rel is not null and other is not null and rel <> other").select("kind", "rel", "other"), "moves")
+    pairs = moves.where("kind in ('moved', 'removed') and rel is not null and other is not null and rel <> other")
     # backwards over both kinds, forwards over moves alone
-    removed = pairs.where("kind = 'removed'")
-    joined = graph.components(pairs.where("kind = 'moved'").select("rel", "other").unionByName(removed.select("rel", F.col("rel").alias("other"))).unionByName(removed.select(F.col("other").alias("rel"), "other")), "rel", "other")
+    removed = stored(pairs.where("kind = 'removed'").select("rel", "other").distinct(), "removals")
+    alone = removed.select(F.explode(F.array("rel", "other")).alias("rel")).select("rel", F.col("rel").alias("other"))
+    joined = graph.components(pairs.where("kind = 'moved'").select("rel", "other").unionByName(alone), "rel", "other")
     side = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
     steps = stored(removed.join(side("rel"), "rel").join(side("other"), "other").where("_rel <> _other").select("_other", "_rel").distinct(), "steps")
     named = side("name").select("name", F.col("_name").alias("root"))
     same = side("rel").join(named, F.col("_rel") == F.col("root")).select("rel", "name")
-    drop_stored(pairs)
+    drop_stored(removed)
     if steps.isEmpty():
         return same
     before = graph.closure(steps, "_other", "_rel").where("node <> above")

@@ -36,11 +36,12 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     the one before it deleted, so what lies on disk does not grow with the rounds.
     """
     pairs = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("a"), F.col(right).alias("b"))
-    links = stored(pairs.where("a <> b").unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    roots = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "roots")
-    while not links.isEmpty():
+    # a node hooks to smaller ones alone, so one direction of a link is enough
+    links = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    roots = stored(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "roots")
+    while not links.where("a <> b").isEmpty():
         # links are between roots: hook each to its smallest neighbour if that is smaller
-        hooked = stored(links.groupBy("a").agg(F.min("b").alias("b")).where("b < a"), "hooks")
+        hooked = stored(links.where("a <> b").groupBy("a").agg(F.min("b").alias("b")), "hooks")
         while True:  # shorten chains of hooks
             next_ = hooked.select(F.col("a").alias("b"), F.col("b").alias("_c"))
             shorter = stored(hooked.join(next_, "b", "left").select("a", F.coalesce("_c", "b").alias("b"), F.col("_c").isNotNull().alias("_moved")), "hooks")
@@ -52,7 +53,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         to = hooked.select(F.col("a").alias("root"), F.col("b").alias("_root"))
         following = stored(roots.join(to, "root", "left").select("node", F.coalesce("_root", "root").alias("root")), "roots")
         side = lambda c, df: df.join(hooked.select(F.col("a").alias(c), F.col("b").alias("_n")), c, "left").withColumn(c, F.coalesce("_n", c)).drop("_n")
-        fewer = stored(side("b", side("a", links)).where("a <> b").select("a", "b").distinct(), "links")
+        fewer = stored(side("b", side("a", links)).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
         drop_stored(roots, links, hooked)
         roots, links = following, fewer
     drop_stored(links)
